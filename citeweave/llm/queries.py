@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import op1_order_minhash, op7_pii
+from citeweave.llm import op1_order_minhash, op4_binary_ids, op7_pii, op8_language_rnn, op9_compression_quality
 from citeweave.llm.common import table
 
 
@@ -14,13 +14,30 @@ def op1_order_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_order_minhash.order_minhash(table(spark, sf_dir, "documents"))
 
 
+def op4_binary_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op4_binary_ids.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_pii.digest(op7_pii.pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_language_rnn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_language_rnn.languages(table(spark, sf_dir, "documents"))
+
+
+def op9_compression_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_compression_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash_query,
+    "op4_binary_ids": op4_binary_ids_query,
     "op7_pii": op7_pii_query,
+    "op8_language_rnn": op8_language_rnn_query,
+    "op9_compression_quality": op9_compression_quality_query,
 }
 
 ORACLES: dict[str, str] = {}
