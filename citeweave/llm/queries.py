@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import op1_order_minhash, op4_binary_ids, op7_pii, op8_language_rnn, op9_compression_quality
+from citeweave.llm import (
+    op1_order_minhash,
+    op3_best_fit,
+    op4_binary_ids,
+    op5_spaced_seeds,
+    op6_line_winnowing,
+    op7_pii,
+    op8_language_rnn,
+    op9_compression_quality,
+)
 from citeweave.llm.common import table
 
 
@@ -14,12 +23,24 @@ def op1_order_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_order_minhash.order_minhash(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_best_fit.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op4_binary_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return op4_binary_ids.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_spaced_seeds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_winnowing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_line_winnowing.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_pii.digest(op7_pii.pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -34,7 +55,10 @@ def op9_compression_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash_query,
+    "op3_best_fit": op3_best_fit_query,
     "op4_binary_ids": op4_binary_ids_query,
+    "op5_spaced_seeds": op5_spaced_seeds_query,
+    "op6_line_winnowing": op6_line_winnowing_query,
     "op7_pii": op7_pii_query,
     "op8_language_rnn": op8_language_rnn_query,
     "op9_compression_quality": op9_compression_quality_query,
