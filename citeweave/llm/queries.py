@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeweave.llm import (
     op1_order_minhash,
+    op2_template_removal,
     op3_best_fit,
     op4_binary_ids,
     op5_spaced_seeds,
@@ -15,6 +16,7 @@ from citeweave.llm import (
     op7_pii,
     op8_language_rnn,
     op9_compression_quality,
+    op10_bayes_jaccard,
 )
 from citeweave.llm.common import table
 
@@ -23,6 +25,10 @@ def op1_order_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_order_minhash.order_minhash(table(spark, sf_dir, "documents"))
 
 
+def op2_template_removal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_template_removal.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_best_fit.best_fit(table(spark, sf_dir, "documents"))
 
@@ -53,8 +59,14 @@ def op9_compression_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame
     return op9_compression_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_bayes_jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op10_bayes_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "class_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash_query,
+    "op2_template_removal": op2_template_removal_query,
     "op3_best_fit": op3_best_fit_query,
     "op4_binary_ids": op4_binary_ids_query,
     "op5_spaced_seeds": op5_spaced_seeds_query,
@@ -62,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii_query,
     "op8_language_rnn": op8_language_rnn_query,
     "op9_compression_quality": op9_compression_quality_query,
+    "op10_bayes_jaccard": op10_bayes_jaccard_query,
 }
 
 ORACLES: dict[str, str] = {}
