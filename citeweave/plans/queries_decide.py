@@ -1 +1,276 @@
-"""Queries."""
+"""Queries of lookup, search, selection and decision rules (F5-F8, G, H) and of the end-to-end jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from citeweave.functions import quality
+
+from citeweave.operators import candidates as cands
+from citeweave.operators import decide, lookup, search
+from citeweave.operators.candidates import identifier_pool
+from citeweave.plans import ducksql as d
+from citeweave.plans import inputs as src
+from citeweave.plans import jobs
+from citeweave.plans.queries_text import MENTION_SQL, candidates, with_windows
+from citeweave.plans.queries_text import _from as from_
+from citeweave.plans.registry import ORACLES, query
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return with_windows(src.load(spark, sf_dir, src.MENTIONS))
+
+
+def catalogs(spark, sf_dir) -> DataFrame:
+    return src.load(spark, sf_dir, src.CATALOG).withColumn("authors", F.split("authors", "; "))
+
+
+def search_catalog(spark, sf_dir) -> DataFrame:
+    """The catalog again as search sources, numbered."""
+    to_search = F.when(F.col("source") == "crossref_doi", F.when(F.length("title") % 2 == 0, "crossref_search").otherwise("openalex_search")).when(F.col("source") == "openlibrary_isbn", "openlibrary_search").otherwise("semanticscholar_search")
+    return catalogs(spark, sf_dir).withColumn("eid", F.xxhash64("source", "title", "doi", "isbn", "arxiv")).withColumn("source", to_search)
+
+
+_CAT = f"(SELECT *, CASE source WHEN 'crossref_doi' THEN 'doi' WHEN 'openlibrary_isbn' THEN 'isbn' ELSE 'arxiv' END AS kind, CASE source WHEN 'crossref_doi' THEN lower(doi) WHEN 'openlibrary_isbn' THEN isbn ELSE arxiv END AS key FROM {from_(src.CATALOG)})"
+_C8 = ORACLES["c8_identifier_pool"]
+_HITS = f"SELECT p.doc_id, p.kind, p.value, c.title, c.authors, c.source, c.year FROM ({_C8}) p JOIN {_CAT} c ON c.kind = p.kind AND c.key = CASE WHEN p.kind = 'doi' THEN lower(p.value) ELSE p.value END"
+
+
+@query(
+    "f5_lookup_identifiers",
+    f"SELECT p.doc_id, p.kind, p.value, c.key IS NOT NULL AS matched, coalesce(c.title, '') AS title FROM ({_C8}) p LEFT JOIN {_CAT} c ON c.kind = p.kind AND c.key = CASE WHEN p.kind = 'doi' THEN lower(p.value) ELSE p.value END WHERE p.kind <> 'stable'",
+)
+def f5(spark, sf_dir):
+    pool = identifier_pool(documents(spark, sf_dir), candidates(spark, sf_dir))
+    return lookup.lookup_identifiers(pool, catalogs(spark, sf_dir)).select("doc_id", "kind", "value", "matched", F.coalesce("title", F.lit("")).alias("title"))
+
+
+_FEATURES = f"SELECT doc_id, {d.sanity('substr(text, 1, 8000)')} AS norm, {d.words(d.filename('path'))} AS name_words, length({d.strip('text')}) < 100 AS short, {d.unreadable('text')} AS blind FROM {MENTION_SQL}"
+_SCORE = d.sanity_score("h.title", d.split_names("h.authors"), "h.source", "f.norm", "f.name_words", "f.short", "f.blind")
+_SCORED = f"SELECT h.*, round({_SCORE}, 3) AS sanity_score FROM ({_HITS}) h JOIN ({_FEATURES}) f USING (doc_id)"
+
+
+@query("g1_g2_sanity", f"SELECT doc_id, kind, value, sanity_score, sanity_score >= 0.4 AS sanity_passed FROM ({_SCORED})")
+def g1(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    hits = lookup.scored_hits(lookup.lookup_identifiers(identifier_pool(docs, candidates(spark, sf_dir)), catalogs(spark, sf_dir)), jobs.features(docs))
+    return hits.select("doc_id", "kind", "value", "sanity_score", "sanity_passed")
+
+
+_BEST = (
+    f"SELECT doc_id, max(CASE WHEN sanity_score >= 0.4 THEN 1 ELSE 0 END) = 1 AS sanity_passed, count(*) AS hits, max(sanity_score) AS top FROM ({_SCORED}) GROUP BY doc_id"
+)
+
+
+@query("f6_best_identifier", f"SELECT doc_id, sanity_passed, CASE WHEN sanity_passed THEN 0 ELSE top END AS failed_score FROM ({_BEST})")
+def f6(spark, sf_dir):
+    best = jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir))
+    return best.select("doc_id", "sanity_passed", F.when(F.col("sanity_passed"), 0.0).otherwise(F.col("sanity_score")).alias("failed_score"))
+
+
+@query("w1_identifier_resolution", f"SELECT doc_id, sanity_passed AS auto_safe, CASE WHEN sanity_passed THEN 'auto' ELSE 'review' END AS route FROM ({_BEST})")
+def w1(spark, sf_dir):
+    return jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir)).select("doc_id", "auto_safe", "route")
+
+
+@query("f7_title_search")
+def f7(spark, sf_dir):
+    q = search.search_queries(candidates(spark, sf_dir)).withColumn("qid", F.xxhash64("doc_id", "nth"))
+    return search.title_search(q, search_catalog(spark, sf_dir)).select("doc_id", "nth", "source", "title", F.round("score", 6).alias("score"), "confidence")
+
+
+#: Search hits of three sources and two candidates each, made from orders.
+HITS = (
+    "SELECT o_orderkey AS doc_id, n AS nth, CASE (o_orderkey + n) % 4 WHEN 0 THEN 'crossref_search' WHEN 1 THEN 'openalex_search' WHEN 2 THEN 'openlibrary_search' ELSE 'semanticscholar_search' END AS source, "
+    "concat('T', cast(o_orderkey * 10 + n as varchar(20))) AS title, CASE WHEN (o_orderkey + n) % 5 = 0 THEN 'high' ELSE 'medium' END AS confidence, cast(((o_orderkey * 7 + n * 13) % 100) as double) / 100 AS sanity_score "
+    "FROM {orders}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) AS k"
+)
+
+
+@query(
+    "f8_best_search_match",
+    "WITH h AS (SELECT *, sanity_score >= 0.4 AND confidence = 'high' AS strong, sanity_score + CASE WHEN confidence = 'high' THEN 0.05 ELSE 0 END AS total, "
+    "CASE source WHEN 'crossref_search' THEN 0 WHEN 'openalex_search' THEN 1 WHEN 'openlibrary_search' THEN 3 ELSE 4 END AS ord, CASE source WHEN 'openlibrary_search' THEN 2 WHEN 'semanticscholar_search' THEN 3 ELSE 1 END AS wave "
+    f"FROM {from_(HITS)}), t AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h e WHERE e.doc_id = h.doc_id AND e.source = h.source AND e.nth < h.nth AND e.strong)), "
+    "w1 AS (SELECT * FROM t WHERE wave = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, ord, nth) = 1), "
+    "w2 AS (SELECT * FROM (SELECT * FROM w1 UNION ALL SELECT * FROM t WHERE wave = 2 AND doc_id NOT IN (SELECT doc_id FROM w1 WHERE strong)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, ord, nth) = 1), "
+    "w3 AS (SELECT * FROM (SELECT * FROM w2 UNION ALL SELECT * FROM t WHERE wave = 3 AND doc_id NOT IN (SELECT doc_id FROM w2 WHERE strong)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, ord, nth) = 1) "
+    "SELECT doc_id, nth, source, title, round(total, 6) AS total FROM w3",
+)
+def f8(spark, sf_dir):
+    hits = src.load(spark, sf_dir, HITS).withColumns({"sanity_passed": F.col("sanity_score") >= 0.4, "verified": F.lit(True)})
+    return search.best_search_match(hits).select("doc_id", "nth", "source", "title", F.round("total", 6).alias("total"))
+
+
+_CQ = f"SELECT *, {d.split_names('authors')} AS names FROM {from_(src.CANDIDATES)}"
+_NT = f"len({d.words(d.title('title'))})"
+_QUALITY = (
+    f"(CASE WHEN title = '' THEN 0.0 WHEN {d.garbage('title')} THEN -3.0 WHEN {d.journal_abbrev('title')} THEN -2.0 ELSE least(4.0, greatest(1.0, {_NT} / 3.0)) END "
+    "+ CASE WHEN len(names) > 0 THEN least(2.0, 0.75 + 0.5 * len(names)) ELSE 0 END + CASE WHEN year <> '' THEN 0.4 ELSE 0 END + CASE WHEN doi <> '' OR isbn <> '' OR arxiv <> '' THEN 2.5 ELSE 0 END "
+    "- CASE WHEN source IN ('filename_title_only', 'text_header') THEN 0.8 ELSE 0 END - CASE WHEN source = 'pdfinfo' AND (title LIKE 'PII:%' OR title = '') THEN 1.5 ELSE 0 END "
+    f"- CASE WHEN title <> '' AND {_NT} <= 2 THEN 0.5 ELSE 0 END)"
+)
+_RATED = f"SELECT *, {_QUALITY} AS quality FROM ({_CQ})"
+_BEST_CAND = f"SELECT * FROM ({_RATED}) WHERE title <> '' OR len(names) > 0 OR doi <> '' OR isbn <> '' OR arxiv <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(quality, 9) DESC, priority, length(title) DESC, pos) = 1"
+
+
+@query("g3_candidate_quality", f"SELECT doc_id, pos, round({_QUALITY}, 6) AS quality FROM ({_CQ})")
+def g3(spark, sf_dir):
+    return candidates(spark, sf_dir).select("doc_id", "pos", F.round(cands.candidate_quality(), 6).alias("quality"))
+
+
+@query("g4_best_candidate", f"SELECT doc_id, title, source, round(quality, 6) AS quality FROM ({_BEST_CAND})")
+def g4(spark, sf_dir):
+    return cands.best_candidate(candidates(spark, sf_dir)).select("doc_id", "title", "source", F.round("quality", 6).alias("quality"))
+
+
+@query("g5_synthesize")
+def g5(spark, sf_dir):
+    return cands.synthesize(cands.prepared(candidates(spark, sf_dir))).withColumn("authors", F.array_join("authors", "; ")).drop("notes")
+
+
+@query(
+    "g6_local_fallback",
+    f"SELECT o_orderkey AS doc_id, coalesce(b.title, '') AS title, coalesce(b.source, 'none') AS source, CASE WHEN b.source IS NULL OR b.source IN ('filename_title_only', 'text_header') THEN 'low' ELSE 'medium' END AS confidence, "
+    f"coalesce({d.joined(d.authors('b.names'))}, '') AS authors FROM orders LEFT JOIN ({_BEST_CAND}) b ON b.doc_id = o_orderkey",
+)
+def g6(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    return cands.local_fallback(docs, candidates(spark, sf_dir)).select("doc_id", "title", "source", "confidence", F.array_join("authors", "; ").alias("authors"))
+
+
+@query(
+    "g7_dedupe_candidates",
+    f"SELECT doc_id, pos, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, title, authors, year, doi, isbn, arxiv ORDER BY pos) AS n FROM {from_(src.CANDIDATES)}) WHERE pos < 3 OR n = 1",
+)
+def g7(spark, sf_dir):
+    return cands.dedupe_candidates(candidates(spark, sf_dir).withColumn("added", F.col("pos") >= 3)).select("doc_id", "pos", "source")
+
+
+@query(
+    "g8_demote_book_source",
+    f"SELECT c.doc_id, c.pos, CASE WHEN source = 'grobid' AND {d.book('path', 'text')} THEN greatest(priority, 30) ELSE priority END AS priority FROM {from_(src.CANDIDATES)} JOIN {MENTION_SQL} m USING (doc_id)".replace("c.doc_id", "doc_id").replace("c.pos", "pos").replace(" AS t JOIN (", " AS t JOIN (").replace(" AS t m USING", " AS m USING"),
+)
+def g8(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    flagged = docs.select("doc_id", quality.is_book(F.col("path"), F.col("text")).alias("is_book"))
+    return cands.demote_book_source(candidates(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi"), flagged).select("doc_id", "pos", "priority")
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """Identifier matches as results to decide on; every third failed sanity or came from a search."""
+    k = F.col("doc_id")
+    r = jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir))
+    searched = (k % 3) == 0
+    return r.withColumns(
+        {
+            "source": F.when(searched, "crossref_search").otherwise(F.col("source")), "sanity_passed": F.col("sanity_passed") & ~searched, "needs_ocr": (k % 5) == 0, "auto_safe": F.lit(False),
+            "notes": F.expr("cast(array() as array<string>)"),
+        }
+    )
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    lists = [c for c, t in df.dtypes if t == "array<string>"]
+    return df.withColumns({c: F.array_join(c, " | ") for c in lists})
+
+
+@query("h1_soft_auto")
+def h1(spark, sf_dir):
+    return _flat(decide.soft_auto(results(spark, sf_dir), candidates(spark, sf_dir)).select("doc_id", "soft_auto", "soft_auto_reasons"))
+
+
+@query("h2_h3_h4_corroboration")
+def h2(spark, sf_dir):
+    return decide.corroboration_decision(results(spark, sf_dir), candidates(spark, sf_dir)).withColumn("strict_similarity", F.round("strict_similarity", 6))
+
+
+@query("h5_rescue_match")
+def h5(spark, sf_dir):
+    return _flat(decide.rescue_match(results(spark, sf_dir), candidates(spark, sf_dir)).select("doc_id", "sanity_passed", "sanity_score", "notes"))
+
+
+@query(
+    "h6_downgrade_failed",
+    f"SELECT doc_id, o, CASE WHEN o THEN 'high' ELSE 'medium' END AS confidence, o AS verified, concat('sanity_score=', printf('%.3f', s), CASE WHEN o THEN ' (passed)' ELSE ' (below threshold 0.4)' END) AS notes FROM (SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS o, cast(o_orderkey % 1000 as double) / 1000 AS s FROM orders)",
+)
+def h6(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("doc_id"), (k % 3 == 0).alias("sanity_passed"), (k % 1000 / 1000).alias("sanity_score"), F.lit(True).alias("verified"), F.lit("high").alias("confidence"), F.expr("cast(array() as array<string>)").alias("notes")
+    )
+    return _flat(decide.downgrade_failed(rows).select("doc_id", F.col("sanity_passed").alias("o"), "confidence", "verified", "notes"))
+
+
+@query("h7_prefer_local")
+def h7(spark, sf_dir):
+    r = results(spark, sf_dir).withColumn("verified", F.col("sanity_passed")).withColumn("title", F.when(F.col("doc_id") % 2 == 0, "Quite another work").otherwise(F.col("title")))
+    fallback = cands.local_fallback(r.select("doc_id"), candidates(spark, sf_dir))
+    return _flat(decide.prefer_local(r, fallback).select("doc_id", "title", "source", "confidence", "notes"))
+
+
+@query("h8_finalize_w2")
+def h8(spark, sf_dir):
+    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir))
+    return _flat(out.withColumn("sanity_score", F.round("sanity_score", 3)))
+
+
+@query("h8_finalize_safe_mode")
+def h8_safe(spark, sf_dir):
+    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir), "safe")
+    return _flat(out.select("doc_id", "source", "confidence", "auto_safe", "soft_auto"))
+
+
+_STRONG = (
+    f"SELECT doc_id, max(CASE WHEN title <> '' AND {_NT} >= 4 AND NOT {d.series('title')} AND (source IN ({', '.join(map(d.text, decide.SEARCHABLE))}) OR source LIKE 'llm:%') THEN 1 ELSE 0 END) AS strong FROM {from_(src.CANDIDATES)} GROUP BY doc_id"
+)
+
+
+@query(
+    "h9_deferred_worklist",
+    f"SELECT m.doc_id, NOT coalesce(b.sanity_passed, false) AS deferred, CASE WHEN n > 0 AND b.doc_id IS NOT NULL THEN 'skipped: identifier lookup returned metadata' WHEN NOT {d.unreadable('m.text')} AND coalesce(s.strong, 0) = 1 THEN 'skipped: readable text with strong local candidate' "
+    f"WHEN n > 0 THEN 'hard-case: identifiers found but lookup failed' ELSE 'hard-case: no_identifier' END AS trigger FROM ({src.oracle(src.MENTIONS)}) AS m LEFT JOIN ({_BEST}) b USING (doc_id) LEFT JOIN ({_STRONG}) s USING (doc_id) "
+    f"LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_C8}) WHERE kind <> 'stable' GROUP BY doc_id) p USING (doc_id)".replace("WHEN n > 0", "WHEN coalesce(n, 0) > 0"),
+)
+def h9(spark, sf_dir):
+    docs, c = documents(spark, sf_dir), candidates(spark, sf_dir)
+    n = identifier_pool(docs, c).filter("kind <> 'stable'").groupBy("doc_id").agg(F.count("*").alias("n_identifiers"))
+    flags = docs.select("doc_id", quality.is_unreadable_text(F.col("text")).alias("needs_ocr")).join(n, "doc_id", "left").na.fill(0, ["n_identifiers"])
+    return decide.deferred_worklist(flags, c, jobs.identifier_resolution(docs, c, catalogs(spark, sf_dir))).select("doc_id", "deferred", "trigger")
+
+
+@query(
+    "h10_image_only_text",
+    f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN coalesce(string_agg(trim(concat(title, ' ', replace(authors, '; ', ' '))), ' ' ORDER BY pos), '') ELSE 'text' END AS sanity_text FROM orders LEFT JOIN (SELECT * FROM {from_(src.CANDIDATES)} WHERE source IN ('grobid', 'llm:m')) c ON c.doc_id = o_orderkey GROUP BY o_orderkey",
+)
+def h10(spark, sf_dir):
+    k = F.col("o_orderkey")
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("doc_id"), F.when(k % 2 == 0, "").otherwise("text").alias("sanity_text"), F.lit(True).alias("needs_ocr"))
+    vision = candidates(spark, sf_dir).filter(F.col("source").isin("grobid", "llm:m")).withColumn("source", F.concat(F.lit("vision_llm:"), "source"))
+    return cands.image_only_text(docs, vision).select("doc_id", "sanity_text")
+
+
+@query(
+    "h11_merge_missing",
+    f"SELECT a.doc_id, coalesce(nullif(a.year, ''), b.year, '') AS year, coalesce(nullif(a.doi, ''), b.doi, '') AS doi, CASE WHEN a.authors <> '' THEN a.authors ELSE coalesce(b.authors, '') END AS authors, concat_ws(' | ', nullif(a.notes, ''), nullif(b.notes, '')) AS notes "
+    f"FROM (SELECT * FROM {from_(src.CANDIDATES)} WHERE source = 'filename_title_only') a LEFT JOIN (SELECT * FROM {from_(src.CANDIDATES)} WHERE source = 'grobid') b USING (doc_id)",
+)
+def h11(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    shape = ["doc_id", "title", "authors", "year", "doi", "isbn", "arxiv", "notes"]
+    a, b = (c.filter(F.col("source") == s).select(*shape) for s in ("filename_title_only", "grobid"))
+    return decide.merge_missing(a, b).select("doc_id", "year", "doi", F.array_join("authors", "; ").alias("authors"), F.array_join("notes", " | ").alias("notes"))
+
+
+@query("a20_debug_columns")
+def a20(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    return cands.debug_columns(c, identifier_pool(documents(spark, sf_dir), c))
+
+
+@query("d14_importable", f"SELECT o_orderkey AS doc_id, (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 < 2 AS importable FROM orders")
+def d14(spark, sf_dir):
+    k = F.col("o_orderkey")
+    r = F.struct((k % 2 == 0).alias("auto_safe"), (k % 3 == 0).alias("soft_auto"), F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").otherwise("low").alias("confidence"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("doc_id"), quality.is_importable(r)["importable"].alias("importable"))

@@ -1 +1,238 @@
-"""Queries."""
+"""Queries of reports, queues, run comparison and resume (F9-F11, G9-G12, I)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from citeweave.operators import compare, reports
+from citeweave.plans import inputs as src
+from citeweave.plans.queries_text import _from as from_
+from citeweave.plans.registry import query
+from citeweave.sources.files import PROVIDERS
+
+R, D, P = (from_(x) for x in (src.RESULTS, src.DEBUG, src.PROFILE))
+SNAKE = lambda c: c.lower().replace(" ", "_")
+
+
+def results(spark, sf_dir) -> DataFrame:
+    return src.load(spark, sf_dir, src.RESULTS)
+
+
+def profile(spark, sf_dir) -> DataFrame:
+    return src.load(spark, sf_dir, src.PROFILE)
+
+
+_JOINED = (
+    f'SELECT r.*, coalesce(d."Candidate Sources", \'\') AS "Candidate Sources", coalesce(nullif(r."Authors", \'\'), d."Authors", \'\') AS authors_or, coalesce(nullif(r."Final Source", \'\'), d."Final Source", \'\') AS final_or '
+    f'FROM (SELECT * FROM {R}) r LEFT JOIN (SELECT * FROM {D} QUALIFY row_number() OVER (PARTITION BY "File Path" ORDER BY seq DESC) = 1) d ON d."File Path" = r."File Path"'
+)
+
+
+def joined(spark, sf_dir) -> DataFrame:
+    return reports.join_debug(results(spark, sf_dir), src.load(spark, sf_dir, src.DEBUG))
+
+
+@query("f9_join_debug", f'SELECT seq, authors_or AS authors, final_or AS final_source, "Candidate Sources" AS candidate_sources FROM ({_JOINED})')
+def f9(spark, sf_dir):
+    return joined(spark, sf_dir).select("seq", F.col("Authors").alias("authors"), F.col("Final Source").alias("final_source"), F.col("Candidate Sources").alias("candidate_sources"))
+
+
+_RANK = "CASE lower(\"Confidence\") WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
+_BAD = ", ".join(f"'{s}'" for s in reports.BAD_SOURCES)
+_RISKY = ", ".join(f"'{s}'" for s in reports.RISKY_SOURCES)
+
+
+@query(
+    "g10_review_queue",
+    f'SELECT lpad(cast(n AS varchar), 3, \'0\') AS review_id, seq FROM (SELECT seq, row_number() OVER (ORDER BY "Error" = \'\', "Needs OCR" <> \'yes\', "Sanity Passed" = \'yes\', "Verified" = \'yes\', {_RANK}, "Source" NOT IN ({_BAD}), seq) AS n FROM ({_JOINED})) WHERE n <= 100',
+)
+def g10(spark, sf_dir):
+    return reports.review_queue(joined(spark, sf_dir).withColumn("missing", F.lit(False)), 100).select(F.col("Review ID").alias("review_id"), "seq")
+
+
+@query(
+    "g11_soft_audit_queue",
+    f'SELECT lpad(cast(n AS varchar), 3, \'0\') AS soft_id, seq FROM (SELECT seq, row_number() OVER (ORDER BY "Needs OCR" <> \'yes\', "Sanity Passed" = \'yes\', cast("Sanity Score" AS double), NOT coalesce(try_cast(nullif(regexp_extract("Soft Auto Reasons", \'by ([0-9]+) strong\', 1), \'\') AS int) <= 2, false), "DOI" <> \'\', final_or NOT IN ({_RISKY}), len(regexp_extract_all("Title", \'[A-Za-z0-9]+\')), '
+    f"len(list_filter(string_split(authors_or, ';'), lambda a: trim(a) <> '')), seq) AS n FROM ({_JOINED}) WHERE \"Soft Auto\" = 'yes') WHERE n <= 100",
+)
+def g11(spark, sf_dir):
+    return reports.soft_audit_queue(joined(spark, sf_dir).withColumn("missing", F.lit(False)), 100).select(F.col("Soft ID").alias("soft_id"), "seq")
+
+
+def flags(df: DataFrame) -> DataFrame:
+    yes = {"auto_safe": "Auto Safe", "soft_auto": "Soft Auto", "verified": "Verified", "sanity_passed": "Sanity Passed", "needs_ocr": "Needs OCR"}
+    return df.select(*(reports.is_yes(c).alias(k) for k, c in yes.items()), F.lower("Confidence").alias("confidence"), F.lit(False).alias("imported"))
+
+
+@query(
+    "i1_run_summary",
+    'SELECT count(*) AS total, count_if("Auto Safe" = \'yes\') AS auto_safe, count_if("Soft Auto" = \'yes\' AND "Auto Safe" <> \'yes\') AS soft_auto, count_if("Soft Auto" <> \'yes\' AND "Auto Safe" <> \'yes\') AS review, '
+    + ", ".join(f"count_if(\"Confidence\" = '{c}') AS {c}" for c in ("high", "medium", "low"))
+    + f', count_if("Verified" = \'yes\') AS verified, count_if("Sanity Passed" = \'yes\') AS sanity_passed, count_if("Needs OCR" = \'yes\') AS needs_ocr, 0 AS imported FROM {R}',
+)
+def i1(spark, sf_dir):
+    return reports.run_summary(flags(results(spark, sf_dir)))
+
+
+_NUM = lambda c: f'coalesce(try_cast("{c}" AS double), 0)'
+
+
+@query(
+    "i2_profile_overview",
+    f'SELECT count(*) AS total, count_if("Status" = \'processed\') AS processed, count_if("Status" LIKE \'skipped%\') AS skipped, count_if("Status" = \'error\') AS status_error, count_if("Error" <> \'\') AS with_error, round(sum({_NUM("File Wall s")}), 3) AS wall_total, '
+    f'round(sum({_NUM("Resolve Total s")}), 3) AS resolve_total, round(avg({_NUM("File Wall s")}), 6) AS wall_mean, round(median({_NUM("File Wall s")}), 6) AS wall_median, round(max({_NUM("File Wall s")}), 6) AS wall_max FROM {P}',
+)
+def i2(spark, sf_dir):
+    o = reports.profile_overview(profile(spark, sf_dir))
+    return o.withColumns({c: F.round(c, 3 if c.endswith("total") else 6) for c in ("wall_total", "resolve_total", "wall_mean", "wall_median", "wall_max")})
+
+
+_COUNTED = ("Status", "Confidence", "Final Source", "Verified")
+
+
+@query(
+    "i3_value_counts",
+    " UNION ALL ".join(
+        f'SELECT \'{c}\' AS "column", CASE WHEN "{c}" = \'\' THEN \'(blank)\' ELSE {f"lower({chr(34)}{c}{chr(34)})" if c == "Confidence" else f"{chr(34)}{c}{chr(34)}"} END AS value, count(*) AS n FROM {P} GROUP BY 2' for c in _COUNTED
+    ),
+)
+def i3(spark, sf_dir):
+    return reports.value_counts(profile(spark, sf_dir), list(_COUNTED))
+
+
+_TIMES = ("File Wall s", "Resolve Total s", *(f"{p} Search s" for p in PROVIDERS.values()))
+
+
+@query(
+    "i4_timing_totals",
+    " UNION ALL ".join(f'SELECT \'{c}\' AS "column", round(sum({_NUM(c)}), 3) AS seconds, round(sum({_NUM(c)}) / sum({_NUM("File Wall s")}), 6) AS share FROM {P}' for c in _TIMES),
+)
+def i4(spark, sf_dir):
+    return reports.timing_totals(profile(spark, sf_dir)).select("column", F.round("seconds", 3).alias("seconds"), F.round("share", 6).alias("share"))
+
+
+_P4 = ("Candidates Tried", "Matches", "Errors")
+
+
+@query(
+    "i5_provider_summary",
+    " UNION ALL ".join(
+        f"SELECT '{p}' AS provider, round(sum({_NUM(p + ' Search s')}), 3) AS seconds, " + ", ".join(f"cast(sum(floor({_NUM(f'{p} Search {c}')})) AS bigint) AS {a}" for c, a in zip(_P4, ("tried", "matches", "errors")))
+        + f", round(CASE WHEN sum({_NUM(p + ' Search Candidates Tried')}) > 0 THEN sum({_NUM(p + ' Search Matches')}) / sum({_NUM(p + ' Search Candidates Tried')}) ELSE 0 END, 6) AS match_rate FROM {P}"
+        for p in PROVIDERS.values()
+    ),
+)
+def i5(spark, sf_dir):
+    return reports.provider_summary(profile(spark, sf_dir)).withColumns({"seconds": F.round("seconds", 3), "match_rate": F.round("match_rate", 6)})
+
+
+_J = "SELECT from_json(j, '[{\"kind\":\"VARCHAR\",\"resolver\":\"VARCHAR\",\"matched\":\"BOOLEAN\",\"error\":\"VARCHAR\"}]') AS l FROM (SELECT CASE WHEN json_valid(\"Identifier Lookups JSON\") THEN \"Identifier Lookups JSON\" END AS j FROM {p})"
+
+
+@query("i6_lookup_stats", f"SELECT x.resolver AS resolver, x.kind AS kind, count(*) AS lookups, count_if(x.matched) AS matches, count_if(x.error <> '') AS errors FROM (SELECT unnest(l) AS x FROM ({_J.replace('{p}', P)})) GROUP BY 1, 2")
+def i6(spark, sf_dir):
+    return reports.identifier_lookup_stats(profile(spark, sf_dir))
+
+
+_S = f"SELECT unnest(from_json(\"Title Searches JSON\", '[{{\"error_messages\":[\"VARCHAR\"],\"skip_reason\":\"VARCHAR\"}}]')) AS s FROM {P}"
+
+
+@query(
+    "i7_title_search_stats",
+    f"SELECT what, text, count(*) AS n FROM (SELECT 'error' AS what, trim(unnest(s.error_messages)) AS text FROM ({_S}) UNION ALL SELECT 'skip', trim(s.skip_reason) FROM ({_S})) WHERE text <> '' GROUP BY 1, 2",
+)
+def i7(spark, sf_dir):
+    return reports.title_search_stats(profile(spark, sf_dir))
+
+
+@query("i8_top_errors", f'SELECT "Error" AS error, count(*) AS n FROM {P} WHERE "Error" <> \'\' GROUP BY 1 ORDER BY n DESC, error LIMIT 3')
+def i8(spark, sf_dir):
+    return reports.top_errors(profile(spark, sf_dir), 3)
+
+
+@query(
+    "g9_top_slowest",
+    " UNION ALL ".join(
+        f'SELECT * FROM (SELECT \'{c}\' AS "column", round({_NUM(c)}, 6) AS seconds, "File Path" AS path, row_number() OVER (ORDER BY {_NUM(c)} DESC, "File Path") AS nth FROM {P} WHERE {_NUM(c)} > 0) WHERE nth <= 5' for c in ("File Wall s", "Resolve Total s")
+    ),
+)
+def g9(spark, sf_dir):
+    return reports.top_slowest(profile(spark, sf_dir), ("File Wall s", "Resolve Total s"), 5).select("column", F.round("seconds", 6).alias("seconds"), F.col("File Path").alias("path"), "nth")
+
+
+@query("g12_candidate_evidence")
+def g12(spark, sf_dir):
+    cell = F.concat(F.lit('[{"source":"grobid","title":"'), "Title", F.lit('","authors":["Jo Stone",""],"year":"2001"},{"title":""}]'))
+    rows = joined(spark, sf_dir).withColumns({"Candidates JSON": cell, "GROBID Title": F.col("Title"), "GROBID Authors": F.lit(""), "GROBID Year": F.lit("")})
+    return reports.candidate_evidence(rows.withColumns({f"{s} {k}": F.lit("") for s in ("Text LLM", "Vision") for k in ("Title", "Authors", "Year")}))
+
+
+@query(
+    "i9_queue_summary",
+    f"WITH j AS ({_JOINED}) SELECT 'total' AS what, 'rows' AS value, count(*) AS n FROM j UNION ALL SELECT 'total', 'missing', 0 UNION ALL SELECT 'total', 'needs ocr', count(*) FROM j WHERE \"Needs OCR\" = 'yes' UNION ALL SELECT 'total', 'unverified', count(*) FROM j WHERE \"Verified\" <> 'yes' "
+    "UNION ALL SELECT 'total', 'sanity failed', count(*) FROM j WHERE \"Sanity Passed\" <> 'yes' UNION ALL SELECT 'source', coalesce(nullif(final_or, ''), \"Source\"), count(*) FROM j GROUP BY 2 "
+    "UNION ALL SELECT 'corroborators', coalesce(nullif(regexp_extract(\"Soft Auto Reasons\", 'by ([0-9]+) strong', 1), ''), 'unknown'), count(*) FROM j GROUP BY 2",
+)
+def i9(spark, sf_dir):
+    return reports.queue_summary(joined(spark, sf_dir).withColumn("missing", F.lit(False)))
+
+
+def later(spark, sf_dir) -> DataFrame:
+    """Another run: some rows gone, some changed."""
+    k = F.col("seq")
+    return results(spark, sf_dir).filter(k % 50 != 7).withColumn("Year", F.when(k % 40 == 3, "1999").otherwise(F.col("Year")))
+
+
+_STABLE = ["Source", "Confidence", "Title", "Year"]
+
+
+@query("i11_run_snapshot", f'SELECT regexp_extract("File Path", \'([^/]*)$\', 1) AS key, count(*) AS n FROM {R} GROUP BY 1')
+def i11(spark, sf_dir):
+    return compare.run_snapshot(results(spark, sf_dir), _STABLE).select("key", "n")
+
+
+@query(
+    "i12_compare_runs",
+    f"WITH a AS (SELECT *, regexp_extract(\"File Path\", '([^/]*)$', 1) AS key FROM {R}) SELECT 'auto' AS \"table\", 'missing' AS what, key, 'error' AS level FROM a WHERE seq % 50 = 7 UNION ALL "
+    "SELECT 'auto', 'changed', key, 'error' FROM a WHERE seq % 50 <> 7 AND seq % 40 = 3 AND \"Year\" <> '1999' UNION ALL "
+    "SELECT 'auto', 'row count', concat(cast(count(*) AS varchar), ' -> ', cast(count_if(seq % 50 <> 7) AS varchar)), 'error' FROM a",
+)
+def i12(spark, sf_dir):
+    return compare.compare_runs(results(spark, sf_dir), later(spark, sf_dir), "auto", _STABLE)
+
+
+@query(
+    "i13_compare_timing",
+    f"WITH b AS (SELECT sum({_NUM('File Wall s')}) AS t, median({_NUM('File Wall s')}) AS m, max({_NUM('File Wall s')}) AS x FROM {P}) SELECT what, round(was, 4) AS was, round(now, 4) AS now, round(allowed, 4) AS allowed, level FROM ("
+    "SELECT 'total' AS what, t AS was, t * 3 AS now, t * 2 + 10 AS allowed, 'error' AS level FROM b UNION ALL SELECT 'median', m, m * 3, m * 2.5 + 2, 'warning' FROM b UNION ALL SELECT 'max', x, x * 3, x * 3 + 10, 'warning' FROM b) WHERE now > allowed",
+)
+def i13(spark, sf_dir):
+    slow = profile(spark, sf_dir).withColumn("File Wall s", (reports.number("File Wall s") * 3).cast("string"))
+    return compare.compare_timing(profile(spark, sf_dir), slow).select("what", *(F.round(c, 4).alias(c) for c in ("was", "now", "allowed")), "level")
+
+
+@query(
+    "f10_resume_split",
+    f'SELECT "File Path" AS path, "Auto Safe" = \'yes\' AS done FROM {R}',
+)
+def f10(spark, sf_dir):
+    previous = compare.previous_rows([results(spark, sf_dir), results(spark, sf_dir).drop("Auto Safe")])
+    return compare.resume_split(results(spark, sf_dir).select(F.col("File Path").alias("path")), previous).select("path", "done")
+
+
+RETRY = "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS v, CASE o_orderkey % 3 WHEN 0 THEN 'low' ELSE 'medium' END AS c, cast(o_orderkey % 10 as double) / 10 AS s, CASE WHEN o_orderkey % 4 = 0 THEN '10.1/x' ELSE '' END AS d FROM {orders}"
+
+
+@query(
+    "f11_merge_ocr_retry",
+    f"SELECT doc_id, v OR c = 'medium' OR s > 0.41 OR d <> '' AS recovered FROM {from_(RETRY)}",
+)
+def f11(spark, sf_dir):
+    new = src.load(spark, sf_dir, RETRY)
+    none = F.expr("cast(array() as array<string>)")
+    shape = lambda df, v, c, s, dd: df.select(
+        "doc_id", F.lit("T").alias("title"), F.array(F.lit("A")).alias("authors"), F.lit("").alias("isbn"), F.lit("").alias("arxiv"), dd.alias("doi"), v.alias("verified"), c.alias("confidence"), s.alias("sanity_score"), none.alias("notes")
+    )
+    first = shape(new, F.lit(False), F.lit("low"), F.lit(0.4), F.lit(""))
+    return compare.merge_ocr_retry(first, shape(new, F.col("v"), F.col("c"), F.col("s"), F.col("d"))).select("doc_id", "recovered")

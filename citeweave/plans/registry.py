@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None):
 
 def collect() -> None:
     """Import the modules that register queries."""
-    from citeweave.plans import queries_decide, queries_reports, queries_sources, queries_text  # noqa: F401
+    from citeweave.plans import queries_text  # isort: skip  # noqa: F401
+    from citeweave.plans import queries_decide, queries_reports, queries_sources  # noqa: F401
 
 
 collect()
