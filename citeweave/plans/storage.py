@@ -1,0 +1,14 @@
+"""Scratch folders of registered queries that write and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the one that the cluster shares; a local one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-citeweave-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
