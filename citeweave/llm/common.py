@@ -36,6 +36,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(*memories: dict) -> None:
+    """At the end of a task: forget what a worker remembers and give Arrow's free memory back, for the stages to come."""
+    import pyarrow as pa
+
+    for memory in memories:
+        memory.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def id_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
 

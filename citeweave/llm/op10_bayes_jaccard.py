@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import connected, partitions, row_key, stash
+from citeweave.llm.common import connected, let_go, partitions, row_key, stash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -42,7 +42,7 @@ _A = _RANDOM.integers(1, 2**32, N_HASH, dtype=np.uint64).astype(np.uint32) | np.
 _B = _RANDOM.integers(0, 2**32, N_HASH, dtype=np.uint64).astype(np.uint32)
 _MIX = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _WORDS: dict[str, int] = {}
-_WORDS_MOST = 1_000_000
+_WORDS_MOST = 300_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -170,6 +170,7 @@ def in_tasks(dealt: DataFrame, group: list[str], work, schema: str) -> DataFrame
                 held = table
         if held is not None and held.num_rows:
             yield from work(held, edges(held))
+        let_go(_WORDS)
 
     def edges(table: pa.Table) -> np.ndarray:
         differ = np.zeros(max(table.num_rows - 1, 0), bool)
@@ -270,6 +271,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["row", "doc_id", "rep", "sig"]
                 )
+        let_go(_WORDS)
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(sign, "row long, doc_id long, rep long, sig array<long>")

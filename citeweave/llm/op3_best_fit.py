@@ -25,9 +25,9 @@ OUT = "doc_id long, piece int, start long, n_tokens int, shard int, bin_id long,
 
 
 def n_tokens(text: str = "text") -> Column:
-    """Runs of non-blank characters, and an end token."""
-    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
-    return F.when(bare == "", F.lit(1)).otherwise(F.length(bare) - F.length(F.translate(bare, " ", "")) + 2).cast("long")
+    """Runs of characters that are not white space (of Unicode), and an end token."""
+    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
+    return F.when(bare == "", F.lit(1)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 2).cast("long")
 
 
 def pack_lengths(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, overhead: float = OVERHEAD) -> tuple[np.ndarray, np.ndarray, list[int]]:

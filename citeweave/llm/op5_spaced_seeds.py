@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import let_go
+
 # The masks; 1 selects a token.
 MASKS = ("110100010011", "101011001001", "111001000101", "100110110010")
 SPAN = 12
@@ -156,6 +158,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *names]
                     )
+            let_go()
 
         return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id long, item_start long, doc_start long, n_tokens long, n_equal long")
 

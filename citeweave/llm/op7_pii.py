@@ -117,8 +117,9 @@ def confirmed(kind: str, v: Column) -> Column:
 def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: array of struct(start, rank, end, kind, score), by start and then kind as listed.
 
-    Code points, end exclusive. Base kinds keep every confirmed span whatever its score; ``iban`` is added.
+    Code points, end exclusive; a column of that name is replaced. Base kinds keep every confirmed span whatever its score; ``iban`` is added.
     """
+    docs = docs.drop("pii")
     whole = F.coalesce(F.col(text), F.lit(""))
     kinds = list(KINDS)
     df = docs.select(

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import let_go
+
 BLOCK, DICT_BYTES, LEVEL = 1024, 48 * 1024, 3
 #: Bytes at which a text's own evidence weighs as much as the prior.
 THIN = 32
@@ -133,24 +135,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     return Model(good, bad, *curve(np.concatenate(x), np.concatenate(y)), prior)
 
 
-def with_score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """``docs`` with ``score``."""
+def with_score(docs: DataFrame, model: Model | float, out: str = "score") -> DataFrame:
+    """``docs`` with the score; a column of its name is replaced."""
+    docs = docs.drop(out)
     if not isinstance(model, Model):
-        return docs.withColumn("score", F.lit(float(model)))
+        return docs.withColumn(out, F.lit(float(model)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.names.index("text"))
-            out = [np.empty(0)]
+            scores = [np.empty(0)]
             for i in range(0, len(text), 512):
                 texts = text.slice(i, 512).to_pylist()
                 sizes = np.array([len((t or "").encode()) for t in texts])
-                out.append(model.probability(differences(texts, model.good, model.bad), sizes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "score"])
+                scores.append(model.probability(differences(texts, model.good, model.bad), sizes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, out])
+        let_go()
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
     model = op9_compression_quality.train(docs, table(spark, sf_dir, "labels"))
-    return op9_compression_quality.with_score(docs, model).filter(F.col("score") >= QUALITY).select(*docs.columns)
+    return op9_compression_quality.with_score(docs, model, "__score").filter(F.col("__score") >= QUALITY).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of runs of lines; a document that consists of repeats goes."""
-    return op6_line_winnowing.without_repeats(docs).filter(~F.col("emptied")).select(*docs.columns)
+    return op6_line_winnowing.without_repeats(docs, flags=("__repeats", "__emptied")).filter(~F.col("__emptied")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,318 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, on whole small tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from citeweave.llm import op1_order_minhash as op1
+from citeweave.llm import op2_template_removal as op2
+from citeweave.llm import op3_best_fit as op3
+from citeweave.llm import op4_binary_ids as op4
+from citeweave.llm import op5_spaced_seeds as op5
+from citeweave.llm import op6_line_winnowing as op6
+from citeweave.llm import op7_pii as op7
+from citeweave.llm import op8_language_rnn as op8
+from citeweave.llm import op9_compression_quality as op9
+from citeweave.llm import op10_bayes_jaccard as op10
+from citeweave.llm.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def rows(spark, sf, name):
+    return QUERIES[name](spark, sf).collect()
+
+
+def test_op1_edits_and_likeness(spark, sf, texts):
+    got = {r.doc_id: r for r in rows(spark, sf, "op1_order_minhash")}
+    ids = sorted(texts)
+    assert sorted(got) == ids
+    for i, nxt in zip(ids, ids[1:] + ids[:1]):
+        s, f = texts[i], len(texts[i]) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((s[: len(s) - f] + texts[nxt][:f]).encode()).hexdigest()
+        assert 0 <= got[i].near_next <= 1 and got[i].n_chars == len(s)
+    long = [r for r in got.values() if r.n_chars > 500]
+    assert np.mean([r.near_edited for r in long]) > 0.3 > 10 * np.mean([r.near_next for r in long])
+    same: dict = {}
+    for i in ids:
+        assert same.setdefault(texts[i], got[i].fingerprint) == got[i].fingerprint
+
+
+def test_op1_signature_is_order_minhash(spark):
+    """Two texts of the same words in another order have the same selected k-mers only where the order agrees."""
+    a = " ".join(f"w{i}" for i in range(200))
+    moved = " ".join([*(f"w{i}" for i in range(100, 200)), *(f"w{i}" for i in range(100))])
+    df = spark.createDataFrame([(0, a), (1, moved), (2, a + " w200")], "doc_id long, text string")
+    sig = {r.doc_id: set(r.s) for r in op1.with_signature(df, "text", "s").collect()}
+    assert len(sig[0] & sig[2]) > len(sig[0] & sig[1])
+    assert all(list(s) == sorted(s) and len({x >> 16 for x in s}) == len(s) for s in map(sorted, sig.values()))
+
+
+def test_op2_against_documents(spark, sf):
+    def plain(t):
+        return "\n".join(x for x in (" ".join(p.split()) for p in t.split("\n")) if x)
+
+    bodies = {plain(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text}
+    got = rows(spark, sf, "op2_template_removal")
+    assert got and all(r.n_chars == len(r.text) for r in got)
+    assert all(r.text.partition("\n")[2] in bodies or r.text in bodies for r in got)
+
+
+def test_op2_templates_are_counted_per_host(spark):
+    page = "<body><div><p>Buy our things today</p></div><p>text {0} of its own</p></body>"
+    data = [(i, "http://a.org/%d" % i, page.format(i)) for i in range(8)] + [(9, "http://b.org/1", page.format(9))]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op2.main_texts(df).collect()}
+    assert got[3] == "text 3 of its own"
+    assert got[9] == "Buy our things today\ntext 9 of its own"
+
+
+def test_op2_parsing():
+    html = (
+        '<html><script>var t="</p>"</script><header>H</header><div class="cookie-notice">c</div><article><header><h1>T &amp; U</h1><p>by me</p></header>'
+        '<p>a <b>b\n c<p>d<br>e<ul><li>x<li>y</ul><div id="comments">no</div><form>f</form></article><footer>z</footer>'
+    )
+    assert op2.main_text(op2.read(html)) == "T & U\na b c\nd e\nx\ny"
+    assert op2.main_text(op2.read("no markup &lt; here")) == "no markup < here"
+    assert op2.main_text(op2.read("<" * 50_000 + "<p>" * 20_000 + "x")) != ""
+
+
+def test_op3_bins(spark, sf):
+    got = rows(spark, sf, "op3_best_fit")
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r)
+    for own in bins.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.bin_offset):
+            assert r.bin_offset == at
+            at += r.n_tokens
+        assert own[0].bin_size in op3.SIZES and at <= own[0].bin_size
+        assert own[0].bin_size == min(s for s in op3.SIZES if s >= at)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sum(r.n_tokens for r in got) == sum(len((r.text or "").split()) + 1 for r in docs.select("text").collect())
+
+
+def test_op3_packs_tightly():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 4097, 3000)
+    bins, offsets, sizes = op3.pack_lengths(lengths)
+    assert sum(sizes) < 1.05 * lengths.sum()
+    mixed, _, small = op3.pack_lengths(np.array([250] * 10), (256, 512, 4096), overhead=0)
+    assert sum(small) <= 10 * 256 and len(mixed) == 10
+
+
+@pytest.mark.parametrize("n", [0, 1, 59, 61, 4095, 4096, 4097, 9000])
+@pytest.mark.parametrize("high", [1, 2, 300, 50_000, 2**31, 2**63])
+def test_op4_round_trip(n, high):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, high, n, dtype=np.uint64)
+    if n > 100:
+        ids[:: n // 50] = 2**61  # escaped
+    doc_ids, lengths, back = op4.from_bytes(op4.to_bytes([5, 7], [n, 0], ids))
+    assert (back == ids).all() and list(doc_ids) == [5, 7] and list(lengths) == [n, 0]
+
+
+def test_op4_encoder_is_exact():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, mine = Tokenizer.from_file(path), op4.encoder(path)
+    rng = np.random.default_rng(1)
+    bits = ["a", "b", "é", " ", " ", "\n", "'s", ".", ",", "  ", "\t", "1", "-", "漢", "🙂", "\r\n", "\x1c", "<|endoftext|>", "don't", "\n\n"]
+    cases = ["".join(rng.choice(bits, int(rng.integers(0, 30)))) for _ in range(3000)]
+    want = [e.ids for e in plain.encode_batch(cases, add_special_tokens=False)]
+    for a, b in op4.runs_of(pa.array(cases), 400):
+        ids, each = mine(pa.array(cases[a:b]))
+        assert each.tolist() == [len(w) for w in want[a:b]] and ids.tolist() == [i for w in want[a:b] for i in w]
+
+
+def test_op4_files(spark, sf, texts):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in rows(spark, sf, "op4_binary_ids")}
+    start = 0
+    for i in sorted(texts):
+        ids = [*plain.encode(texts[i], add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_op5_finds_replaced_words(spark):
+    words = [f"word{i}" for i in range(40)]
+    leak = [w if i % 7 else "other" for i, w in enumerate(words)]
+    docs = [(0, "before " + " ".join(leak) + " after"), (1, " ".join(words[::2] * 3)), (2, " ".join(words[:12])), (3, "x " + " ".join(words[:13]) + " y")]
+    got = {r.doc_id: r for r in op5.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()}
+    assert set(got) == {0, 3}
+    assert got[0].n_tokens >= 35 and got[3].n_tokens == 13 and got[3].doc_start == 1
+
+
+def test_op5_against_exact_ngrams(spark, sf, texts):
+    tok = lambda t: re.findall(r"\w+", t.lower())
+    items = {r.item_id: tok(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    grams = {tuple(t[k : k + 13]) for t in items.values() for k in range(len(t) - 12)}
+    hit = {i for i, t in texts.items() if any(tuple(tok(t)[k : k + 13]) in grams for k in range(len(tok(t)) - 12))}
+    got = {r.doc_id for r in rows(spark, sf, "op5_spaced_seeds")}
+    assert hit <= got and len(got - hit) <= 0.02 * len(texts)
+
+
+def test_op6_leaves_no_repeated_window(spark, sf, texts):
+    got = {r.doc_id: r for r in rows(spark, sf, "op6_line_winnowing")}
+    assert sorted(got) == sorted(texts)
+
+    def windows(t):
+        h, n = op6.hashes(t)
+        for a in range(len(h)):
+            b, total = a, 0
+            while b < len(h) and total < op6.WORDS:
+                total += n[b]
+                b += 1
+            if n[a] and total >= op6.WORDS:
+                yield tuple(h[a:b].tolist())
+
+    def repeats(of):
+        seen, n = set(), 0
+        for i in sorted(of):
+            for w in windows(of[i]):
+                n += w in seen
+                seen.add(w)
+        return n
+
+    before, after = repeats(texts), repeats({i: r.text or "" for i, r in got.items()})
+    assert after <= 0.01 * before
+    units = lambda t: set(op6.hashes(t)[0].tolist())
+    everything = set().union(*(units(t) for t in texts.values()))
+    assert set().union(*(units(r.text or "") for r in got.values())) == everything  # a first copy of every line stays
+    assert all((r.text or "") == texts[i] for i, r in got.items() if not r.repeats)
+
+
+def test_op6_first_copy_stays(spark):
+    passage = " ".join(f"shared{i}" for i in range(30)) + "."
+    docs = [(2, f"Own two here. {passage} End."), (1, f"Own one. {passage}"), (3, "x x x. " * 20), (4, "Quite different text.")]
+    got = {r.doc_id: r for r in op6.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].text == docs[1][1] and got[2].text == "Own two here. End." and got[4].text == docs[3][1]
+    assert got[3].text.strip() == "x x x." and not got[3].emptied
+
+
+def _luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def _base(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        if 14 <= len(d) <= 19 and _luhn(d):
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_op7_base_spans(spark, sf, texts):
+    rng = np.random.default_rng(2)
+    bits = ["a.b", "@", "x-y.org", ".", "1.2.3.4", "300.1.1.1", "4984250489669609", "4984 2504-8966 9609", " ", "+1 (988) 555-2485", "+", "12", "-", "é", "🙂", "_c@d.e", "001"]
+    odd = {10**6 + i: "".join(rng.choice(bits, int(rng.integers(0, 14)))) for i in range(800)}
+    every = texts | odd
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    for r in op7.digest(op7.pii_spans(df)).collect():
+        want = _base(every[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (every[r.doc_id], r.spans, want)
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("iban")) == want
+
+
+def test_op7_iban_and_context(spark):
+    docs = [(0, "my bank account GB82 WEST 1234 5698 7654 32 ok"), (1, "GB83 WEST 1234 5698 7654 32"), (2, "version 1.2.3.4"), (3, "server ip 1.2.3.4")]
+    got = {r.doc_id: r for r in op7.digest(op7.pii_spans(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert got[0].n_iban == 1 and "iban:16:43" in got[0].spans and got[1].n_iban == 0
+    assert float(got[2].scores) < float(got[3].scores)
+
+
+def test_op8_gradient_and_accuracy(spark, sf):
+    rng = np.random.default_rng(0)
+    net = op8.fit({"a": [b"xyx", b"yxx"], "b": [b"qqp", b"pqp"]})
+    x, there = op8.padded([b"xyxq", b"pq", b"z"])
+    y = np.array([0, 1, 1])
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    _, g = op8.gradients(w, x, there, y)
+    for k in ("fU", "bE", "V"):
+        at = tuple(int(rng.integers(s)) for s in w[k].shape) if k != "bE" else (ord("q"), 3)
+        moved = {n: v.copy() for n, v in w.items()}
+        moved[k][at] += 1e-3
+        up = op8.gradients(moved, x, there, y)[0]
+        moved[k][at] -= 2e-3
+        down = op8.gradients(moved, x, there, y)[0]
+        assert abs((up - down) / 2e-3 - g[k][at]) < 1e-3
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in rows(spark, sf, "op8_language_rnn") if r.held_out and r.lang_pred != "und" and lang[r.doc_id]]
+    assert held and np.mean([lang[r.doc_id] == r.lang_pred for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held)
+
+
+def test_op9_held_out_accuracy(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has 38 held-out labels
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = rows(spark, sf, "op9_compression_quality")
+    assert all(r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in label]
+    assert np.mean([label[r.doc_id] == r.predicted for r in held]) > 0.9
+
+
+def _classes(texts):
+    sets = {i: frozenset(op10.shingles(op10.tokens(t)).tolist()) for i, t in texts.items()}
+    root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (find(i), links[i]) for i in sets}
+
+
+def test_op10_classes_and_links(spark, sf, texts):
+    want = _classes(texts)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in rows(spark, sf, "op10_bayes_jaccard")} == want
+
+
+def test_op10_blocks_of_a_large_group(spark, monkeypatch):
+    """A group over several blocks: every link counted once, one class."""
+    monkeypatch.setattr(op10, "SIDE", 16)
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(120)]
+    texts = {}
+    for i in range(70):
+        own = list(base)
+        for p in rng.integers(0, 120, int(rng.integers(0, 4))):
+            own[p] = f"r{i}"
+        texts[i] = " ".join(own)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in op10.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == _classes(texts)
+
+
+def test_op10_pruning_bounds():
+    bounds = dict(op10.fewest_equal())
+    assert all(bounds[n] < 0.8 * n for n in bounds) and bounds[96] > 0.55 * 96
