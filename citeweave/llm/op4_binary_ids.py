@@ -12,13 +12,14 @@ Null text counts as empty: the end id alone. Rows with the same doc_id are order
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -30,6 +31,8 @@ MAGIC = b"CWS8B001"
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 BLOCK = 4096
+#: Bit lengths of small ids.
+_BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +42,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64)
     blocks = -(-n // BLOCK)
-    bits = np.frexp(x.astype(np.float64))[1].astype(np.uint8)  # at most one too many, for ids over 53 bits
+    if int(x.max()) < len(_BITS):
+        bits = _BITS[x]
+    else:
+        bits = np.frexp(x.astype(np.float64))[1].astype(np.uint8)  # at most one too many, for ids over 53 bits
     padded = np.zeros((blocks, BLOCK + 64), np.uint8)
     whole = np.zeros(blocks * BLOCK, np.uint8)
     whole[:n] = bits
@@ -51,7 +57,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s in range(len(COUNTS) - 1, 0, -1):  # the largest count that fits is set last
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
-        np.copyto(chosen, s, where=np.maximum(most[p][:, :BLOCK], most[p][:, c - p : c - p + BLOCK]) <= WIDTHS[s])
+        fits = np.maximum(most[p][:, :BLOCK], most[p][:, c - p : c - p + BLOCK]) <= WIDTHS[s]
+        if s < len(COUNTS) - 1 and not fits.any():
+            break  # more ids of fewer bits fit nowhere either
+        np.copyto(chosen, s, where=fits)
     # follow the words of all blocks side by side: where the next word starts, a block's end included
     reach = COUNTS.astype(np.int32)[chosen]
     taken = np.zeros((blocks, BLOCK), bool)
@@ -67,13 +76,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sel = chosen.reshape(-1)[first].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     room = np.minimum((first // BLOCK + 1) * BLOCK, n) - first
+    x = np.concatenate([x, np.zeros(64, np.uint64)])
     for s in range(1, len(COUNTS)):
         rows = np.flatnonzero(sel == s)
         if len(rows):
-            src, left, packed = first[rows], room[rows], np.zeros(len(rows), np.uint64)
+            src, packed = first[rows], np.zeros(len(rows), np.uint64)
+            short = np.flatnonzero(room[rows] < COUNTS[s])  # words at the end of a block
+            left = room[rows[short]]
             for k in range(int(COUNTS[s])):
-                value = x[np.minimum(src + k, n - 1)]
-                value[left <= k] = 0
+                value = x[src + k]
+                value[short[left <= k]] = 0
                 packed |= value << np.uint64(k * int(WIDTHS[s]))
             words[rows] |= packed
     rows = np.flatnonzero(sel == 0)
@@ -122,63 +134,117 @@ def from_bytes(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lengths, unpack(words.view("<u8"), offsets, escaped.view("<u8"), n)
 
 
-#: A single blank between two characters that no tokenizer takes for white space: no token spans it to the left.
-_ODD = re.compile(r"\s \s?| \s|^ | $")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than lone blanks and line breaks between other characters.
+_ODD = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
+_ENDS = frozenset(".,;:!?")
 _KNOWN: dict = {}
 KNOWN_MOST = 800_000
 
 
 def encoder(tokenizer_path: str):
-    """Text → bytes of little-endian 32-bit ids.
+    """Texts → (little-endian 32-bit ids of all of them, number of ids of each).
 
-    A byte-level vocabulary of this kind starts a new piece at a lone blank, so a text's ids are those of its blank-led
-    chunks in a row; equal chunks are encoded once a worker (the memory of them is bounded).
+    A byte-level vocabulary of this kind starts a new piece at a lone blank, and where letters, marks and a lone line break meet.
+    So a text's ids are those of its blank-led words in a row, and a word's those of its letters, end mark and so on. A batch's
+    words are numbered, each distinct one is looked up or encoded once (a worker's memory of them is bounded), and the ids are
+    gathered by number. Texts with other white space are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-
     spell = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])  # a character a byte
 
-    def chunks(text: str) -> list[str]:
-        words = (_CUT.split(text) if _ODD.search(text) else text.split(" ")) if text else []
-        return words[:1] + [" " + w for w in words[1:]]
-
-    def learn(new: list[str], known: dict) -> None:
-        """Blank-led chunks are encoded in one text and its ids cut where their bytes end; others each alone."""
-        led = [c for c in new if c[0] == " " and c[1:2].strip()]
-        alone = [c for c in new if not (c[0] == " " and c[1:2].strip())]
-        for c, e in zip(alone, tokenizer.encode_batch(alone, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        for i in range(0, len(led), 2_000):
-            part = led[i : i + 2_000]
-            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(spell[ids]), np.cumsum([len(c.encode()) for c in part]), "left") + 1
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(part, ends.tolist()):
-                known[c] = raw[4 * a : 4 * b]
-                a = b
-
-    def encode(texts: list[str]) -> list[bytes]:
-        known = _KNOWN.setdefault(tokenizer_path, {})
-        if len(known) > KNOWN_MOST:
-            known.clear()
-        each = [chunks(t) for t in texts]
-        learn(list({c for own in each for c in own if c not in known}), known)
-        return [b"".join([known[c] for c in own]) for own in each]
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def in_one_text(new: list[str], between: str, known: dict) -> None:
+        """Encode words that are all led by ``between``, a lone blank or line break: the ids are cut where the words' bytes end."""
+        for i in range(0, len(new), 2_000):
+            part = new[i : i + 2_000]
+            ids = np.array(tokenizer.encode_batch_fast(["a" + between + between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            size = np.array(list(map(len, map(str.encode, part)))) + 1
+            ends = np.searchsorted(np.cumsum(spell[ids]), np.concatenate([[1], 1 + np.cumsum(size)]), "left") + 1
+            raw, ends = ids.tobytes(), ends.tolist()
+            skip = 4 if between == "\n" else 0  # a line break is a piece of its own
+            for w, x, y in zip(part, ends, ends[1:]):
+                known[w] = raw[4 * x + skip : 4 * y]
+
+    def learn(new: list[str], led: dict, bare: dict, marks: dict) -> None:
+        """Blank-led words: letters with an end mark, or two such words around a line break, from their parts; others whole."""
+        letters, starts, plan, odd = set(filter(str.isalpha, new)), set(), [], []
+        for w in itertools.filterfalse(str.isalpha, new):
+            left, line, right = w.partition("\n")
+            core, mark = (left[:-1], left[-1]) if left[-1:] in _ENDS else (left, "")
+            core2, mark2 = (right[:-1], right[-1]) if right[-1:] in _ENDS else (right, "")
+            if core.isalpha() and (core2.isalpha() or not line):
+                plan.append((w, core, mark, line, core2, mark2))
+                letters.add(core)
+                if line:
+                    starts.add(core2)
+            else:
+                odd.append(w)
+        in_one_text([w for w in letters if w not in led], " ", led)
+        in_one_text([w for w in starts if w not in bare], "\n", bare)
+        in_one_text(odd, " ", led)
+        for w, core, mark, line, core2, mark2 in plan:
+            led[w] = led[core] + marks[mark] + (marks[line] + bare[core2] + marks[mark2] if line else b"")
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        led, bare, marks = _KNOWN.setdefault(tokenizer_path, ({}, {}, {"": b""} | {m: whole([m])[0] for m in ("\n", *_ENDS)}))
+        if len(led) + len(bare) > KNOWN_MOST:
+            led.clear()
+            bare.clear()
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        # an odd text is a single word of its own
+        words = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        starts = words.offsets.to_numpy()[:n] - words.offsets.to_numpy()[0]
+        flat = words.flatten()
+        numbered = flat.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = numbered.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(code), bool)
+        later[starts] = False
+        inside = np.zeros(len(distinct), bool)
+        inside[code[later]] = True
+        need = [w for w, i in zip(distinct, inside.tolist()) if i]
+        learn([w for w in need if w not in led], led, bare, marks)
+        place = np.cumsum(inside) - 1
+        firsts = pc.if_else(pa.array(odd), texts, flat.take(pa.array(starts))).to_pylist()
+        values = [*map(led.__getitem__, need), *whole(firsts)]
+        code = place[code]
+        code[starts] = len(need) + np.arange(n)
+        size = np.array(list(map(len, values)), np.int64) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        begin, each = (np.cumsum(size) - size)[code], size[code]
+        before = np.cumsum(each) - each
+        out = ids[np.repeat(begin - before, each) + np.arange(each.sum())]
+        return out, np.add.reduceat(each, starts) if n else np.empty(0, np.int64)
 
     return encode
 
 
+#: So many bytes of text are encoded together, one text at least.
+BATCH_BYTES = 4_000_000
+
+
+def runs_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of rows of about ``most`` bytes."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most)))
+        yield a, b
+        a = b
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, ids_per_file: int = 4_000_000) -> DataFrame:
     """Write files of whole documents in ascending doc_id order; one row a file: (file, part, seq, n_docs, n_ids).
 
-    Ids are range-partitioned by doc_id, a task streams its sorted rows and starts another file every ``ids_per_file`` ids.
+    Ids are range-partitioned by doc_id, a task streams its sorted rows and starts another file after ``ids_per_file`` ids.
     A file is written beside its place and moved there, and a repeated task writes the same bytes again.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -187,32 +253,33 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id
         encode = encoder(tokenizer_path)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        part, seq = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
         rows: list[tuple] = []
         doc_ids: list[int] = []
-        parts: list[bytes] = []
-        held = 0
+        lengths: list[int] = []
+        parts: list[np.ndarray] = []
 
         def flush() -> None:
-            nonlocal seq, held, doc_ids, parts
-            name = f"ids-{part:06d}-{seq:06d}.s8b"
-            data = to_bytes(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"))
+            name = f"ids-{part:06d}-{len(rows):06d}.s8b"
+            ids = np.concatenate(parts)
+            data = to_bytes(doc_ids, lengths, ids)
             beside = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(beside) as f:
                 f.write(data)
             store.move(beside, f"{base}/{name}")
-            rows.append((name, part, seq, len(doc_ids), held))
-            seq, held, doc_ids, parts = seq + 1, 0, [], []
+            rows.append((name, part, len(rows), len(doc_ids), len(ids)))
+            for held in (doc_ids, lengths, parts):
+                held.clear()
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(keys), 256):
-                for key, own in zip(keys[i : i + 256], encode([t or "" for t in texts.slice(i, 256).to_pylist()])):
-                    doc_ids.append(key)
-                    parts.append(own + end)
-                    held += len(own) // 4 + 1
-                    if held >= ids_per_file:
-                        flush()
+            keys, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            for a, b in runs_of(texts, BATCH_BYTES):
+                ids, each = encode(texts.slice(a, b - a))
+                doc_ids += keys[a:b]
+                lengths += (each + 1).tolist()
+                parts.append(np.insert(ids, np.cumsum(each), end_id).astype("<u4"))
+                if sum(map(len, parts)) >= ids_per_file:
+                    flush()
         if doc_ids:
             flush()
         columns = list(zip(*rows)) or [[]] * 5
@@ -220,7 +287,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file", "part", "seq", "n_docs", "n_ids"])
 
     key = id_key().alias("key")
-    dealt = docs.select(key, "text").repartitionByRange(2 * partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
+    dealt = docs.select(key, "text").repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
     return dealt.mapInArrow(write, "file string, part int, seq int, n_docs long, n_ids long")
 
 
