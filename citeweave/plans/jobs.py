@@ -31,8 +31,9 @@ def identifier_resolution(docs: DataFrame, candidates: DataFrame, catalogs: Data
 
 def search_hits(docs: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Title-search matches of the documents with sanity_score and sanity_passed."""
-    queries = search_queries(candidates).withColumn("qid", F.xxhash64("doc_id", "nth"))
-    hits = title_search(queries, catalog).join(features(docs), "doc_id")
+    # blocking, counting and scoring read both sides: each is made once
+    queries = search_queries(candidates).withColumn("qid", F.xxhash64("doc_id", "nth")).persist()
+    hits = title_search(queries, catalog.persist()).join(features(docs), "doc_id")
     judged = apply_sanity(sanity_score(F.col("title"), F.col("authors"), F.col("source"), F.col("features")))
     return hits.withColumn("judged", judged).select(*[c for c in hits.columns if c != "features"], "judged.*")
 

@@ -76,8 +76,8 @@ def w1(spark, sf_dir):
 
 @query("f7_title_search")
 def f7(spark, sf_dir):
-    q = search.search_queries(candidates(spark, sf_dir)).withColumn("qid", F.xxhash64("doc_id", "nth"))
-    return search.title_search(q, search_catalog(spark, sf_dir)).select("doc_id", "nth", "source", "title", F.round("score", 6).alias("score"), "confidence")
+    q = search.search_queries(candidates(spark, sf_dir)).withColumn("qid", F.xxhash64("doc_id", "nth")).persist()
+    return search.title_search(q, search_catalog(spark, sf_dir).persist()).select("doc_id", "nth", "source", "title", F.round("score", 6).alias("score"), "confidence")
 
 
 #: Search hits of three sources and two candidates each, made from orders.
