@@ -1,14 +1,13 @@
 """Removal of repeated runs of lines, found by winnowing line hashes.
 
 The unit is a line, cut further behind sentence ends, because a passage pasted into a paragraph shares its first and last
-line with other text. Windows are as many units in a row as hold ``WORDS`` words; the unit with the least hash of each
-window is a fingerprint. A run of ``WORDS`` words that two documents share holds a whole window, and so one fingerprint
-at least, the same in both.
+line with other text. Windows are as many units in a row as hold ``WORDS`` words, the fewest from each first unit and the fewest up to
+each last unit, so that the windows inside a run of ``WORDS`` words or more cover all of it.
 
-Positions are joined by fingerprint: every document's first position of a fingerprint meets the position in the earliest
-document (by doc_id) that has it, never each other's. Each meeting gives a diagonal of two documents, along which
-the run is extended both ways; runs of ``WORDS`` words or more go from the later document. Repeats inside a document are
-found in the same way within its task, its first copy staying.
+Every window is a fingerprint, by the hash of all its units: a single unit's hash (the least of the window) would let one
+frequent line stand in for all runs that hold it. Each window stays in the earliest document (by doc_id) that has it, at its
+first position there, and goes everywhere else; documents never meet each other, only the first holder of a window. As a
+whole window is the key, the first copy of every unit stays.
 
 Units are equal when they are after trimming; empty ones never start a run. Null and empty texts stay as they are, a missing
 doc_id comes before all others, rows repeated whole (same doc_id and text) count as one document and all get its answer.
@@ -29,6 +28,9 @@ from pyspark.sql import types as T
 from citeweave.llm.common import id_key, let_go, row_key, stash
 
 WORDS = 25
+#: An odd number and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 2**64)
 _CUT = re.compile(r"[.!?]+[\"')\]]*[ \t]+|\n+")
 
 
@@ -52,54 +54,28 @@ def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, np.array([u.count(" ") + 1 if u else 0 for u in bare], np.int32)
 
 
-def fingerprints(h: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Positions of the least hash of every window; the rightmost of equal ones."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    last = np.searchsorted(total, total[:-1] + least)  # windows [i, last)
-    starts = np.flatnonzero((last <= len(h)) & (words > 0))
-    picked: list[int] = []
-    queue: list[int] = []  # positions with rising hashes
-    key = np.where(words > 0, h.view(np.uint64), np.uint64(2**64 - 1)).tolist()
-    head = pushed = 0
-    for i in starts.tolist():
-        stop = int(last[i])
-        while pushed < stop:
-            while len(queue) > head and key[queue[-1]] >= key[pushed]:
-                queue.pop()
-            queue.append(pushed)
-            pushed += 1
-        while queue[head] < i:
-            head += 1
-        if not picked or picked[-1] != queue[head]:
-            picked.append(queue[head])
-    return np.unique(np.array(picked, np.int64))
-
-
-def runs(same: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal stretches of equal units with ``least`` words or more."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-    total = np.concatenate([[0], np.cumsum(words)])
-    return [(a, b) for a, b in edge.reshape(-1, 2).tolist() if total[b] - total[a] >= least]
-
-
-def own_repeats(h: np.ndarray, words: np.ndarray, marks: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Later repeats inside one document."""
-    first: dict[int, int] = {}
-    gone: list[tuple[int, int]] = []
-    done = 0
-    for p in marks.tolist():
-        q = first.setdefault(int(h[p]), p)
-        if q < p and p >= done:
-            d = p - q
-            a = p
-            while a > d and h[a - 1] == h[a - 1 - d]:
-                a -= 1
-            differ = np.flatnonzero(h[p:] != h[q : len(h) - d])
-            b = p + int(differ[0]) if len(differ) else len(h)
-            if words[a:b].sum() >= least:
-                gone.append((a, b))
-                done = b
-    return gone
+def windows(h: np.ndarray, words: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(text, first unit, unit behind the last, hash, whether it stood in the text before) of each window of texts laid end to end."""
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    stop = np.searchsorted(total, total[:-1] + least)  # the window from i is [i, stop[i])
+    full = words > 0
+    a = np.flatnonzero(full & (stop <= ends[text]))
+    last = np.flatnonzero(full & (total[1:] - total[begins[text]] >= least))
+    start = np.searchsorted(total, total[last + 1] - least, "right") - 1
+    other = stop[start] != last + 1  # not among those from a first unit
+    a, b = np.concatenate([a, start[other]]), np.concatenate([stop[a], last[other] + 1])
+    # sum of h[a + k] * BASE ** k modulo 2 ** 64
+    power = lambda x: np.cumprod(np.array([1, *[x] * len(h)], np.uint64))
+    so_far = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64) * power(_BASE)[:-1], dtype=np.uint64)])
+    mark = ((so_far[b] - so_far[a]) * power(_UNBASE)[a]).view(np.int64)
+    order = np.lexsort((a, mark, text[a]))
+    a, b, mark = a[order], b[order], mark[order]
+    again = np.zeros(len(a), bool)
+    again[1:] = (mark[1:] == mark[:-1]) & (text[a[1:]] == text[a[:-1]])
+    return text[a], a - begins[text[a]], b - begins[text[a]], mark, again
 
 
 def strip_units(text: str, gone: list[tuple[int, int]]) -> str:
@@ -121,74 +97,36 @@ def strip_units(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join(out).strip("\n") if not lost[-1:].any() else "".join(out).rstrip()
 
 
-_RUNS = "array<struct<a:int,b:int>>"
-
-
-def _features(docs: DataFrame, least: int) -> DataFrame:
-    """(key, id, h, words, own, marks): unit hashes, words, repeats inside, fingerprint positions that are first in it."""
+def _windows(docs: DataFrame, least: int) -> DataFrame:
+    """(key, id, a, b, mark, again): all windows of all documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                h, words, own, marks = [], [], [], []
-                for text in part.column(2).to_pylist():
-                    x, n = hashes(text)
-                    m = fingerprints(x, n, least)
-                    gone = own_repeats(x, n, m, least)
-                    _, first = np.unique(x[m], return_index=True)
-                    h.append(x)
-                    words.append(n)
-                    own.append([{"a": a, "b": b} for a, b in gone])
-                    marks.append(np.sort(m[first]).astype(np.int32))
+                h, words = zip(*(hashes(text) for text in part.column(2).to_pylist()))
+                row, a, b, mark, again = windows(np.concatenate(h), np.concatenate(words), np.array([len(x) for x in h]), least)
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), pa.array(h, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
-                        pa.array(own, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(marks, pa.list_(pa.int32())),
-                    ],
-                    names=["key", "id", "h", "words", "own", "marks"],
-                )
+                    [part.column(0).take(row), part.column(1).take(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(mark), pa.array(again)],
+                    names=["key", "id", "a", "b", "mark", "again"],
+                )
         let_go()
 
     rows = docs.filter("text <> ''").select(row_key().alias("key"), id_key().alias("id"), "text")
-    return rows.mapInArrow(make, f"key long, id long, h array<long>, words array<int>, own {_RUNS}, marks array<int>")
+    return rows.mapInArrow(make, "key long, id long, a int, b int, mark long, again boolean")
 
 
 def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(key, gone): for each document with repeated runs, their units as half-open ranges. ``key`` is ``row_key()``."""
-    made = stash(_features(docs, least), "lines")
-    at = made.select("key", "id", F.explode("marks").alias("pos"), "h").select("key", "id", "pos", F.get("h", F.col("pos")).alias("mark"))
-    first = at.groupBy("mark").agg(F.min(F.struct("id", "key", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    made = stash(_windows(docs, least), "windows")
+    at = made.filter("NOT again")
+    first = at.groupBy("mark").agg(F.min(F.struct("id", "key")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     # a table of its own, so that both sides of the join are plain exchanges, which Spark splits where a mark is hot
-    first = stash(first, "first-marks")
-    meets = (
-        at.join(first.select("mark", "f"), "mark")
-        .filter("key <> f.key")
-        .select("key", F.col("f.key").alias("other"), (F.col("pos") - F.col("f.pos")).alias("shift"))
-        .distinct()
-    )
-    # all diagonals of two documents in one row; a fingerprint occurs once in each, so they are few
-    pairs = meets.groupBy("key", "other").agg(F.collect_list("shift").alias("shifts"))
-    theirs = made.select(F.col("key").alias("other"), F.col("h").alias("other_h")).dropDuplicates(["other"])
-    mine = made.select("key", "h", "words").dropDuplicates(["key"])
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = []
-            lists = lambda k: (x.as_py() for x in batch.column(k))
-            arrays = lambda k: (x.values.to_numpy(zero_copy_only=False) for x in batch.column(k))
-            for shifts, b, a, w in zip(lists(1), arrays(2), arrays(3), arrays(4)):
-                found = []
-                for s in shifts:
-                    lo, hi = max(0, s), min(len(a), len(b) + s)
-                    found += [{"a": x + lo, "b": y + lo} for x, y in runs(a[lo:hi] == b[lo - s : hi - s], w[lo:hi], least)]
-                gone.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["key", "gone"])
-
-    both = pairs.join(theirs, "other").join(mine, "key").select("key", "shifts", "other_h", "h", "words")
-    across = both.mapInArrow(extend, f"key long, gone {_RUNS}").filter(F.size("gone") > 0)
-    inside = made.select("key", F.col("own").alias("gone")).filter(F.size("gone") > 0)
-    return across.union(inside).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    first = stash(first.select("mark", F.col("f.key").alias("first")), "first-marks")
+    across = at.select("mark", "key", "a", "b").join(first, "mark").filter("key <> first").select("key", "a", "b")
+    inside = made.filter("again").select("key", "a", "b")
+    return across.union(inside).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
 def without_repeats(docs: DataFrame, least: int = WORDS, flags: tuple[str, str] = ("repeats", "emptied")) -> DataFrame:

@@ -316,3 +316,30 @@ def test_op10_blocks_of_a_large_group(spark, monkeypatch):
 def test_op10_pruning_bounds():
     bounds = dict(op10.fewest_equal())
     assert all(bounds[n] < 0.8 * n for n in bounds) and bounds[96] > 0.55 * 96
+
+
+def test_op6_frequent_line_hides_no_run(spark):
+    """Two documents share a run whose every window has the same frequent line as its least hash; an earlier one has the line only."""
+    line = min((f"line {i}." for i in range(5000)), key=lambda x: op6.hashes(x)[0].view(np.uint64)[0])
+    run = " ".join(f"{' '.join(f'r{k}x{i}' for i in range(12))}. {line}" for k in range(6))
+    data = [(0, f"{'Unrelated words here ' * 5}. {line} {'More of them ' * 5}."), (1, f"First one. {line} Own text. {run} Its end."), (2, f"Second one. {line} Other text. {run} Another end.")]
+    got = {r.doc_id: r for r in op6.without_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0].text == data[0][1] and got[1].text == data[1][1]
+    assert got[2].repeats and got[2].text == f"Second one. {line} Other text. Another end."
+
+
+def test_op6_no_window_twice(spark, sf, texts):
+    """No window stands twice in what is left, also where copies of its parts come from different documents."""
+    tail = [" ".join(f"t{k}x{i}" for i in range(n)) + "." for k, n in enumerate((25, 3, 3, 14, 14, 14))]
+    mixed = {10**6: " ".join(tail[:4]), 10**6 + 1: " ".join(tail[3:]), 10**6 + 2: " ".join(tail), 10**6 + 3: " ".join(tail[:3]) + " End."}
+    every = texts | mixed
+    got = {r.doc_id: r.text or "" for r in op6.without_repeats(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()}
+    assert got[10**6 + 2].strip() == "" and got[10**6 + 3] == "End."
+    seen: set = set()
+    for i in sorted(got):
+        h, n = op6.hashes(got[i])
+        for a in range(len(h)):
+            b = int(np.searchsorted(np.cumsum(n[a:]), op6.WORDS)) + a + 1
+            if n[a] and b <= len(h):
+                assert tuple(h[a:b]) not in seen, i
+                seen.add(tuple(h[a:b]))
