@@ -2,9 +2,10 @@
 
 A seed is a fixed mask over ``SPAN`` tokens; tokens at its gaps are ignored, so a replaced word spoils only windows that
 select it. Hashes of all masked windows of the benchmark and of a document are joined; every hit gives a pair and a diagonal,
-and along the diagonal the stretch with the most matches over mismatches is verified: at least ``LEAST`` tokens (or the
-whole item if it is shorter), ``SIMILAR`` of them equal. Items of fewer than ``SPAN`` tokens are found by all their tokens
-in a row; items under ``SHORTEST`` tokens prove nothing and are skipped.
+and along the diagonal the longest stretch with a share of ``SIMILAR`` equal tokens is verified: at least ``LEAST`` tokens (or
+the whole item if it is shorter), replaced ones at its ends included; what is reported is cut to its equal ends. Items of
+fewer than ``SPAN`` tokens have masks of their own, two of so many blocks that two stay whole under all replacements
+that the share allows; items under ``SHORTEST`` tokens prove nothing and are skipped.
 
 Tokens are lower-case runs of letters, digits and underscores. The benchmark goes to the tasks in blocks of at most
 ``BLOCK_TOKENS`` tokens, one pass over the documents for each block, so what a task holds is bounded whatever its size.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,6 @@ from citeweave.llm.common import let_go
 MASKS = ("110100010011", "101011001001", "111001000101", "100110110010")
 SPAN = 12
 LEAST, SIMILAR, SHORTEST = 13, 0.8, 5
-#: A mismatch costs as much as so many matches gain.
-COST = 3.0
 BLOCK_TOKENS = 1_000_000
 _TABLE_BITS = 22
 _TOKEN = re.compile(r"\w+")
@@ -52,6 +52,22 @@ def masked(ids: np.ndarray, offsets: list[int]) -> np.ndarray:
     return total * np.uint64(0x9E3779B97F4A7C15)
 
 
+def short_masks(n: int) -> list[list[int]]:
+    """Masks for items of ``n`` tokens: whatever tokens are replaced, up to a share of 1 - ``SIMILAR``, one mask misses all of them."""
+    replaced = int(n * (1 - SIMILAR) + 1e-9)
+    return [np.concatenate(two).tolist() for two in combinations(np.array_split(np.arange(n), replaced + 2), 2)]
+
+
+def longest(same: np.ndarray) -> tuple[int, int]:
+    """The longest stretch with ``SIMILAR`` equal tokens or more, as a half-open range; the first of several."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, round(100 * (1 - SIMILAR)), -round(100 * SIMILAR)))])
+    low = np.minimum.accumulate(total)
+    # for each end the earliest start whose sum is not above the end's
+    start = np.searchsorted(-low, -total, "left")
+    k = int((np.arange(len(total)) - start).argmax())
+    return int(start[k]), k
+
+
 class Seeds:
     """A block of the benchmark: its vocabulary, and for each mask its hashes in order with item and position."""
 
@@ -65,7 +81,7 @@ class Seeds:
         spaced = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
         short = sorted({len(x) for _, x in self.items if len(x) < SPAN})
         self.masks = []
-        for offsets, fits in [(o, lambda n: n >= SPAN) for o in spaced] + [(list(range(s)), lambda n, s=s: n == s) for s in short]:
+        for offsets, fits in [(o, lambda n: n >= SPAN) for o in spaced] + [(o, lambda n, s=s: n == s) for s in short for o in short_masks(s)]:
             found = [(masked(x, offsets), k) for k, (_, x) in enumerate(self.items) if fits(len(x))]
             if not found:
                 continue
@@ -98,13 +114,12 @@ class Seeds:
         if b <= a:
             return None
         same = item[a:b] == ids[diagonal + a : diagonal + b]
-        total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -COST))])
-        gain = total - np.minimum.accumulate(total)
-        stop = int(gain.argmax())
-        start = int(total[: stop + 1].argmin())
-        length, equal = stop - start, int(same[start:stop].sum())
-        if length < min(LEAST, len(item)) or equal < SIMILAR * length:
+        start, stop = longest(same)
+        if stop - start < min(LEAST, len(item)):
             return None
+        ends = np.flatnonzero(same[start:stop])
+        start, stop, equal = start + int(ends[0]), start + int(ends[-1]) + 1, len(ends)
+        length = stop - start
         return a + start, diagonal + a + start, length, equal
 
 

@@ -343,3 +343,34 @@ def test_op6_no_window_twice(spark, sf, texts):
             if n[a] and b <= len(h):
                 assert tuple(h[a:b]) not in seen, i
                 seen.add(tuple(h[a:b]))
+
+
+def test_op5_replaced_words_at_the_ends(spark):
+    """Items that stand whole in a document with a fifth of their words replaced, at the ends too; and one word more replaced."""
+    def pair(n, gone):
+        words = [f"i{n}w{k}" for k in range(n)]
+        return " ".join(words), "before " + " ".join("other" if k in gone else w for k, w in enumerate(words)) + " after"
+
+    cases = [(16, {1, 14}), (16, {0, 1, 15}), (20, {1, 2, 18}), (24, {0, 2, 22, 23}), (5, {2}), (8, {0}), (10, {0, 9}), (11, {4, 6}), (13, {12}), (5, {1, 3}), (11, {1, 5, 9})]
+    made = [pair(n, gone) for n, gone in cases]
+    docs = spark.createDataFrame([(k, d) for k, (_, d) in enumerate(made)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(made)], "item_id long, text string")
+    got = {r.doc_id for r in op5.overlaps(docs, items).filter("doc_id = item_id").collect()}
+    assert got == {k for k, (n, gone) in enumerate(cases) if 5 * len(gone) <= n}
+
+
+def test_op5_longest_stretch():
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        same = rng.random(int(rng.integers(1, 40))) < rng.random()
+        spans = [b - a for a in range(len(same) + 1) for b in range(a, len(same) + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
+        a, b = op5.longest(same)
+        assert b - a == max(spans) and 5 * same[a:b].sum() >= 4 * (b - a)
+
+
+def test_op5_short_masks_miss_no_replacement():
+    from itertools import combinations
+
+    for n in range(op5.SHORTEST, op5.SPAN):
+        for gone in combinations(range(n), n // 5):
+            assert any(not set(gone) & set(m) for m in op5.short_masks(n))
