@@ -30,6 +30,13 @@ def doi(key: str) -> str:
     return f"concat('10.1000/ord.', cast({key} as varchar(20)))"
 
 
+def arxiv(key: str) -> str:
+    """An arXiv id of a key: its last five digits, and a month counted from January 2020 by the others."""
+    month = f"cast(floor({key} / 100000) as bigint)"
+    year = f"cast((20 + cast(floor({month} / 12) as bigint)) % 100 as varchar(20))"
+    return f"concat(lpad({year}, 2, '0'), lpad(cast(1 + {month} % 12 as varchar(20)), 2, '0'), '.', lpad(cast({key} % 100000 as varchar(20)), 5, '0'))"
+
+
 NAMES = f"""
 SELECT c_custkey AS id, CASE c_custkey % 8
   WHEN 0 THEN concat('  Ada  Smith', {letters("c_custkey")}, ' (ed.) [eds.]')
@@ -72,8 +79,8 @@ SELECT o.o_orderkey AS doc_id,
     CASE WHEN o.o_orderkey % 7 = 0 THEN concat('Also ', {doi("o.o_orderkey + 1")}, ', and stable/', cast(o.o_orderkey as varchar(20)), ' here. ') ELSE '' END,
     CASE WHEN o.o_orderkey % 4 = 0 THEN concat('ISBN ', {isbn13("p.p_partkey")}, ' of ', p.p_name, ' ', lower(p.p_type), ' ', {letters("p.p_partkey")}, '. ') ELSE '' END,
     CASE WHEN o.o_orderkey % 11 = 0 THEN 'ISBN 9781234567890 is wrong. ' ELSE '' END,
-    CASE WHEN o.o_orderkey % 6 = 1 THEN concat('preprint arXiv: 2001.', lpad(cast(o.o_orderkey % 10000 as varchar(20)), 5, '0'), ' end. ') ELSE '' END) AS text
-FROM {{orders}} o JOIN {{part}} p ON p.p_partkey = o.o_orderkey % 200"""
+    CASE WHEN o.o_orderkey % 6 = 1 THEN concat('preprint arXiv: ', {arxiv("o.o_orderkey")}, ' end. ') ELSE '' END) AS text
+FROM {{orders}} o CROSS JOIN (SELECT min(p_partkey) AS least, count(*) AS n FROM {{part}}) c JOIN {{part}} p ON p.p_partkey = c.least + o.o_orderkey % c.n"""
 
 CATALOG = f"""
 SELECT 'crossref_doi' AS source, concat('On order', {letters("o.o_orderkey")}, ' of widgets') AS title, concat('Jo Stone', {letters("o.o_custkey")}) AS authors,
@@ -83,8 +90,8 @@ UNION ALL
 SELECT 'openlibrary_isbn', concat(p_name, ' ', lower(p_type), ' ', {letters("p_partkey")}), concat('Al Baker', {letters("p_partkey")}), '', '', {isbn13("p_partkey")}, '', p_brand
 FROM {{part}}
 UNION ALL
-SELECT 'arxiv_id', concat('Preprint ', {letters("o_orderkey")}), 'Xu Li', '2020', '', '', concat('2001.', lpad(cast(o_orderkey % 10000 as varchar(20)), 5, '0')), ''
-FROM {{orders}} WHERE o_orderkey % 6 = 1 AND o_orderkey < 10000"""
+SELECT 'arxiv_id', concat('Preprint ', {letters("o_orderkey")}), 'Xu Li', '2020', '', '', {arxiv("o_orderkey")}, ''
+FROM {{orders}} WHERE o_orderkey % 6 = 1"""
 
 CANDIDATES = f"""
 SELECT o_orderkey AS doc_id, 0 AS pos, concat('On order', {letters("o_orderkey")}, ' of widgets') AS title, concat('Jo Stone', {letters("o_custkey")}) AS authors, '' AS year,

@@ -50,3 +50,19 @@ def test_every_document_gets_one_result(spark, sf):
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) == spark.read.parquet(f"{sf}/orders.parquet").count()
     spark.catalog.clearCache()
+
+
+def test_inputs_grow_with_their_tables(spark):
+    """Every sixth order has an arXiv entry and id of its own, and orders cite all parts."""
+    from citeweave.plans import inputs
+
+    orders = spark.range(0, 130_000, 131).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "date'2000-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    part = spark.range(300).selectExpr("id AS p_partkey", "'n' AS p_name", "'T' AS p_type", "'b' AS p_brand")
+    made = lambda sql: spark.sql(sql, orders=orders, part=part)
+    entries = made(inputs.CATALOG).filter("source = 'arxiv_id'")
+    assert entries.count() == entries.select("arxiv").distinct().count() == sum(k % 6 == 1 for k in range(0, 130_000, 131))
+    docs = made(inputs.MENTIONS)
+    assert docs.count() == 993
+    assert docs.selectExpr("regexp_extract(text, 'ISBN (978[0-9]+) of', 1) AS isbn").filter("isbn <> ''").distinct().count() == 75
+    cited = docs.selectExpr("regexp_extract(text, 'arXiv: ([0-9.]{10}) end', 1) AS arxiv").filter("arxiv <> ''")
+    assert cited.join(entries, "arxiv").count() == entries.count()
