@@ -173,3 +173,12 @@ def test_best_identifier_is_order_free(spark):
     for order in (rows, rows[::-1]):
         got = {r.doc_id: r.value for r in lookup.best_identifier_match(spark.createDataFrame(order, shape)).collect()}
         assert got == {1: "b", 2: "y"}
+
+
+def test_blocking_counts_stop_words(spark):
+    """Word Jaccard counts all words, so a title without the rarest of ten is a pair."""
+    from citeweave.operators import search
+
+    query = spark.createDataFrame([(1, "on the use of a norm in spaces with zorblax"), (2, "a linear algebra")], "qid long, title string")
+    catalog = spark.createDataFrame([(1, "on the use of a norm in spaces with"), (2, "zorblax"), (20, "linear algebra"), *((k, f"norm use spaces {k}") for k in range(3, 9))], "eid long, title string")
+    assert {(1, 1), (2, 20)} <= {tuple(r) for r in search.blocked_pairs(query, catalog).collect()}
