@@ -29,11 +29,14 @@ def word_jaccard(a: Column, b: Column) -> Column:
 def title_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
     """1 for equal normalised titles, 0 for a blank one, else the larger of sequence ratio and word Jaccard.
 
-    Pairs whose lengths keep the ratio under ``least`` (it is 2 min / (a + b) at most) skip the helper.
+    Pairs that cannot reach ``least`` skip the helper: what a ratio leaves unmatched is (1 - ratio)(a + b) characters, never fewer
+    than the edit distance, which is built in.
     """
     x, y = normalize_title(a), normalize_title(b)
     la, lb = F.length(x), F.length(y)
-    need = (x != y) & (la > 0) & (lb > 0) & (2.0 * F.least(la, lb) >= least * (la + lb))
+    need = (x != y) & (la > 0) & (lb > 0)
+    if least > 0:
+        need = need & (2.0 * F.least(la, lb) >= least * (la + lb)) & (F.levenshtein(x, y) <= (1 - least) * (la + lb) + 1e-9)
     ratio = sequence_ratio(F.when(need, x), F.when(need, y))
     return F.when((la == 0) | (lb == 0), 0.0).when(x == y, 1.0).otherwise(F.greatest(F.coalesce(ratio, F.lit(0.0)), word_jaccard(x, y)))
 

@@ -156,7 +156,8 @@ def identifier_pool(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, kind, pos, value): distinct identifiers of a document in the order in which they count."""
     own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "doi", "isbn", "arxiv"))), lambda x: F.struct(x["doi"].alias("doi"), x["isbn"].alias("isbn"), x["arxiv"].alias("arxiv")))
     of_cands = candidates.filter(has_identifier()).groupBy("doc_id").agg(own.alias("own"))
-    chunks = [basename(F.col("path")), F.col("text"), F.col("ident_text")]
+    # a document of few pages has the same text in both windows
+    chunks = [basename(F.col("path")), F.col("text"), F.when(F.col("ident_text").eqNullSafe(F.col("text")), "").otherwise(F.col("ident_text"))]
     found = docs.select(
         "doc_id", stem(F.col("path")).alias("stem"), extract_dois(*chunks).alias("d"), extract_isbns(*chunks).alias("i"), extract_arxivs(*chunks).alias("a"), extract_stable_ids(*chunks).alias("s")
     ).join(of_cands, "doc_id", "left")

@@ -257,3 +257,34 @@ def sanity_score(ttl: str, names: str, source: str, norm: str, name_words: str,
         f"CASE WHEN {short} THEN CASE {early} ELSE 0.0 END WHEN {blind} THEN CASE {early} WHEN {search} AND len({heavy(4)}) > 0 AND {share(heavy(4), name_words)} >= 0.4 THEN 0.5 ELSE 0.0 END "
         f"ELSE 0.6 * ({t_match}) + 0.4 * ({a_match}) END"
     )
+
+
+# similarity of titles
+
+
+def similar(pairs: str) -> str:
+    """A table (a, b, sim) of the distinct title pairs of a query (a, b): the larger of sequence ratio and word Jaccard.
+
+    The ratio is that of matching blocks: in each pair of stretches the longest common run is taken (the first of several, in a and
+    then in b), and what stands before and behind it is searched in turn. Runs are islands of equal characters on a diagonal.
+    """
+    jac = jaccard("x", "y")
+    return f"""(WITH RECURSIVE named AS MATERIALIZED (SELECT a, b, {title("a")} AS x, {title("b")} AS y FROM (SELECT DISTINCT a, b FROM ({pairs}))),
+    p AS MATERIALIZED (SELECT row_number() OVER () AS id, x, y FROM (SELECT DISTINCT x, y FROM named WHERE x <> y AND x <> '' AND y <> '')),
+    xs AS MATERIALIZED (SELECT id, i, substr(x, i, 1) AS c FROM (SELECT id, x, unnest(range(1, length(x) + 1)) AS i FROM p)),
+    ys AS MATERIALIZED (SELECT id, j, substr(y, j, 1) AS c FROM (SELECT id, y, unnest(range(1, length(y) + 1)) AS j FROM p)),
+    eq AS MATERIALIZED (SELECT id, i, j, i - j AS d FROM xs JOIN ys USING (id, c)),
+    part AS (
+      SELECT id, 1 AS x1, length(x) + 1 AS x2, 1 AS y1, length(y) + 1 AS y2, 0 AS k FROM p
+      UNION ALL
+      SELECT id, u.x1, u.x2, u.y1, u.y2, u.k FROM (
+        SELECT id, unnest([struct_pack(x1 := x1, x2 := m.i, y1 := y1, y2 := m.j, k := -m.n), struct_pack(x1 := m.i - m.n, x2 := x2, y1 := m.j - m.n, y2 := y2, k := 0)]) AS u FROM (
+          SELECT id, x1, x2, y1, y2, min(struct_pack(n := -k, i := i, j := j)) AS m FROM (
+            SELECT id, x1, x2, y1, y2, min(i) AS i, min(j) AS j, count(*) AS k FROM (
+              SELECT s.id, x1, x2, y1, y2, i, j, d, i - row_number() OVER (PARTITION BY s.id, x1, y1, d ORDER BY i) AS isle
+              FROM part s JOIN eq ON eq.id = s.id AND i >= x1 AND i < x2 AND j >= y1 AND j < y2 WHERE x1 < x2 AND y1 < y2)
+            GROUP BY id, x1, x2, y1, y2, d, isle)
+          GROUP BY id, x1, x2, y1, y2))
+    ),
+    ratios AS (SELECT x, y, 2.0 * sum(k) / (length(x) + length(y)) AS ratio FROM p JOIN part USING (id) GROUP BY p.id, x, y)
+    SELECT a, b, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 ELSE greatest(coalesce(ratio, 0.0), {jac}) END AS sim FROM named LEFT JOIN ratios USING (x, y))"""

@@ -147,10 +147,26 @@ SELECT concat('/lib/', cast(user_id as varchar(20)), '/f', cast(event_id as varc
 FROM {events}"""
 
 
-def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+#: Titles to search, spelt well and less well, and the catalog that they are searched in.
+_WORK = f"concat('Notes on ', p_name, ' and ', lower(p_type), ' ', {letters("(p_partkey * 7919) % 1000003")}, ' ', {letters("(p_partkey * 104729) % 999983")})"
+TITLE_QUERIES = f"""
+SELECT id AS qid, id AS doc_id, 1 AS nth, CASE id % 7 WHEN 0 THEN t WHEN 1 THEN concat(substr(t, 1, 13), substr(t, 15)) WHEN 2 THEN concat(substr(t, 1, 4), 'x', substr(t, 6, 14), 'zq', substr(t, 22))
+  WHEN 3 THEN concat(upper(t), '!') WHEN 4 THEN substr(t, 10) WHEN 5 THEN concat(t, ' revised') ELSE concat('Some ', substr(t, 1, 20), substr(t, 23)) END AS title,
+  CASE id % 3 WHEN 0 THEN concat('Ann Reed', {letters("id % 97")}) WHEN 1 THEN 'Bo Stone' ELSE '' END AS authors, CASE WHEN id % 2 = 0 THEN y ELSE '' END AS year
+FROM (SELECT p_partkey AS id, {_WORK} AS t, cast(1950 + p_size as varchar(9)) AS y FROM {{part}}) AS w"""
+TITLE_CATALOG = f"""
+SELECT p_partkey AS eid, CASE p_partkey % 5 WHEN 0 THEN 'crossref_search' WHEN 1 THEN 'openalex_search' WHEN 2 THEN 'google_books_search' WHEN 3 THEN 'openlibrary_search' ELSE 'semanticscholar_search' END AS source,
+  {_WORK} AS title, concat('Reed', {letters("p_partkey % 97")}, ', A.; Cy Lee') AS authors, cast(1950 + p_size as varchar(9)) AS year, '' AS doi, '' AS isbn, '' AS arxiv, p_brand AS publisher
+FROM {{part}}"""
+
+
+def load(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """The rows of an input. ``dealt`` names tables, with a key, that go to all tasks before text is made of them, be their files few."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sorted(set(re.findall(r"\{(\w+)\}", sql)))}
+    for t, key in (dealt or {}).items():
+        tables[t] = tables[t].repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
     text = sql.replace('"', "`") if sql in (RESULTS, DEBUG) else _quoted(sql)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(text, **tables)
 
 
 def _quoted(sql: str) -> str:

@@ -11,6 +11,7 @@ from citeweave.operators.decide import finalize
 from citeweave.operators.lookup import best_identifier_match, lookup_identifiers, scored_hits
 from citeweave.operators.search import best_search_match, search_queries, title_search
 from citeweave.sources.files import routes
+from citeweave.storage import stash
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -31,20 +32,19 @@ def identifier_resolution(docs: DataFrame, candidates: DataFrame, catalogs: Data
 
 def search_hits(docs: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Title-search matches of the documents with sanity_score and sanity_passed."""
-    # blocking, counting and scoring read both sides: each is made once
-    queries = search_queries(candidates).withColumn("qid", F.xxhash64("doc_id", "nth")).persist()
-    hits = title_search(queries, catalog.persist()).join(features(docs), "doc_id")
+    queries = search_queries(candidates).withColumn("qid", F.xxhash64("doc_id", "nth"))
+    hits = title_search(queries, catalog).join(features(docs), "doc_id")
     judged = apply_sanity(sanity_score(F.col("title"), F.col("authors"), F.col("source"), F.col("features")))
     return hits.withColumn("judged", judged).select(*[c for c in hits.columns if c != "features"], "judged.*")
 
 
 def resolve(docs: DataFrame, candidates: DataFrame, catalogs: DataFrame, search_catalog: DataFrame, mode: str = "default") -> DataFrame:
     """W2: identifiers first, title search for what they leave, decision rules, fallback: one result a document."""
-    # three passes look at the candidates and at the identifier winners: both are kept, lineage rebuilds what is lost
-    ready = prepared(candidates).persist()
-    ident = identifier_resolution(docs, ready, catalogs).persist()
+    # several passes look at each of these: written once, read by all
+    ready = stash(prepared(candidates), "candidates")
+    ident = stash(identifier_resolution(docs, ready, catalogs), "identified")
     rest = docs.join(ident.filter("auto_safe").select("doc_id"), "doc_id", "left_anti")
     left = ready.join(rest.select("doc_id"), "doc_id", "left_semi")
-    found = best_search_match(search_hits(rest, left, search_catalog)).persist()
-    docs_flag = docs.select("doc_id", text_features(F.col("text"), F.col("path"))["unreadable"].alias("needs_ocr"))
+    found = stash(best_search_match(search_hits(rest, left, search_catalog)), "searched")
+    docs_flag = stash(docs.select("doc_id", text_features(F.col("text"), F.col("path"))["unreadable"].alias("needs_ocr")), "flags")
     return finalize(docs_flag, ready, ident, found, mode)

@@ -10,16 +10,17 @@ from citeweave.functions import quality
 from citeweave.operators import candidates as cands
 from citeweave.operators import decide, lookup, search
 from citeweave.operators.candidates import identifier_pool
+from citeweave.plans import decide_sql as rules
 from citeweave.plans import ducksql as d
 from citeweave.plans import inputs as src
 from citeweave.plans import jobs
-from citeweave.plans.queries_text import MENTION_SQL, candidates, with_windows
+from citeweave.plans.queries_text import MENTION_SQL, candidates, mentions, with_windows
 from citeweave.plans.queries_text import _from as from_
 from citeweave.plans.registry import ORACLES, query
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return with_windows(src.load(spark, sf_dir, src.MENTIONS))
+    return with_windows(mentions(spark, sf_dir))
 
 
 def catalogs(spark, sf_dir) -> DataFrame:
@@ -58,26 +59,33 @@ def g1(spark, sf_dir):
     return hits.select("doc_id", "kind", "value", "sanity_score", "sanity_passed")
 
 
-_BEST = (
-    f"SELECT doc_id, max(CASE WHEN sanity_score >= 0.4 THEN 1 ELSE 0 END) = 1 AS sanity_passed, count(*) AS hits, max(sanity_score) AS top FROM ({_SCORED}) GROUP BY doc_id"
-)
+_BEST = "SELECT doc_id, sanity_passed FROM best"
 
 
-@query("f6_best_identifier", f"SELECT doc_id, sanity_passed, CASE WHEN sanity_passed THEN 0 ELSE top END AS failed_score FROM ({_BEST})")
+@query("f6_best_identifier", rules.based("SELECT doc_id, kind, value, title, array_to_string(names, '; ') AS authors, year, doi, isbn, arxiv, source, publisher, sanity_score, sanity_passed FROM best"))
 def f6(spark, sf_dir):
     best = jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir))
-    return best.select("doc_id", "sanity_passed", F.when(F.col("sanity_passed"), 0.0).otherwise(F.col("sanity_score")).alias("failed_score"))
+    return best.select("doc_id", "kind", "value", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi", "isbn", "arxiv", "source", "publisher", "sanity_score", "sanity_passed")
 
 
-@query("w1_identifier_resolution", f"SELECT doc_id, sanity_passed AS auto_safe, CASE WHEN sanity_passed THEN 'auto' ELSE 'review' END AS route FROM ({_BEST})")
+@query("w1_identifier_resolution", rules.based("SELECT doc_id, title, source, sanity_score, sanity_passed AS auto_safe, CASE WHEN sanity_passed THEN 'auto' ELSE 'review' END AS route FROM best"))
 def w1(spark, sf_dir):
-    return jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir)).select("doc_id", "auto_safe", "route")
+    return jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir)).select("doc_id", "title", "source", "sanity_score", "auto_safe", "route")
+
+
+def _named(sql: str) -> str:
+    return f"(SELECT *, {d.split_names('authors')} AS names FROM ({src.oracle(sql)}) AS t)"
 
 
-@query("f7_title_search")
+def title_tables(spark, sf_dir) -> list[DataFrame]:
+    """Queries and catalog of the title search."""
+    split = F.filter(F.split("authors", "; "), lambda x: x != "")
+    return [src.load(spark, sf_dir, sql, {"part": "p_partkey"}).withColumn("authors", split) for sql in (src.TITLE_QUERIES, src.TITLE_CATALOG)]
+
+
+@query("f7_title_search", rules.best_titles(f"SELECT * FROM {_named(src.TITLE_QUERIES)}", f"SELECT * FROM {_named(src.TITLE_CATALOG)}"))
 def f7(spark, sf_dir):
-    q = search.search_queries(candidates(spark, sf_dir)).withColumn("qid", F.xxhash64("doc_id", "nth")).persist()
-    return search.title_search(q, search_catalog(spark, sf_dir).persist()).select("doc_id", "nth", "source", "title", F.round("score", 6).alias("score"), "confidence")
+    return search.title_search(*title_tables(spark, sf_dir), spelling=True).select("qid", "source", "eid", "title", F.round("score", 6).alias("score"), "confidence")
 
 
 #: Search hits of three sources and two candidates each, made from orders.
@@ -105,17 +113,10 @@ def f8(spark, sf_dir):
 
 _CQ = f"SELECT *, {d.split_names('authors')} AS names FROM {from_(src.CANDIDATES)}"
 _NT = f"len({d.words(d.title('title'))})"
-_QUALITY = (
-    f"(CASE WHEN title = '' THEN 0.0 WHEN {d.garbage('title')} THEN -3.0 WHEN {d.journal_abbrev('title')} THEN -2.0 ELSE least(4.0, greatest(1.0, {_NT} / 3.0)) END "
-    "+ CASE WHEN len(names) > 0 THEN least(2.0, 0.75 + 0.5 * len(names)) ELSE 0 END + CASE WHEN year <> '' THEN 0.4 ELSE 0 END + CASE WHEN doi <> '' OR isbn <> '' OR arxiv <> '' THEN 2.5 ELSE 0 END "
-    "- CASE WHEN source IN ('filename_title_only', 'text_header') THEN 0.8 ELSE 0 END - CASE WHEN source = 'pdfinfo' AND (title LIKE 'PII:%' OR title = '') THEN 1.5 ELSE 0 END "
-    f"- CASE WHEN title <> '' AND {_NT} <= 2 THEN 0.5 ELSE 0 END)"
-)
-_RATED = f"SELECT *, {_QUALITY} AS quality FROM ({_CQ})"
-_BEST_CAND = f"SELECT * FROM ({_RATED}) WHERE title <> '' OR len(names) > 0 OR doi <> '' OR isbn <> '' OR arxiv <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(quality, 9) DESC, priority, length(title) DESC, pos) = 1"
+_BEST_CAND = f"SELECT * FROM (SELECT *, {rules.QUALITY} AS quality FROM ({_CQ})) WHERE {rules.USEFUL} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {rules.RANK}) = 1"
 
 
-@query("g3_candidate_quality", f"SELECT doc_id, pos, round({_QUALITY}, 6) AS quality FROM ({_CQ})")
+@query("g3_candidate_quality", f"SELECT doc_id, pos, round({rules.QUALITY}, 6) AS quality FROM ({_CQ})")
 def g3(spark, sf_dir):
     return candidates(spark, sf_dir).select("doc_id", "pos", F.round(cands.candidate_quality(), 6).alias("quality"))
 
@@ -125,7 +126,7 @@ def g4(spark, sf_dir):
     return cands.best_candidate(candidates(spark, sf_dir)).select("doc_id", "title", "source", F.round("quality", 6).alias("quality"))
 
 
-@query("g5_synthesize")
+@query("g5_synthesize", rules.based(f"SELECT * FROM ({rules.synthesized()})"))
 def g5(spark, sf_dir):
     return cands.synthesize(cands.prepared(candidates(spark, sf_dir))).withColumn("authors", F.array_join("authors", "; ")).drop("notes")
 
@@ -176,17 +177,17 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.array_join(c, " | ") for c in lists})
 
 
-@query("h1_soft_auto")
+@query("h1_soft_auto", rules.based(f"SELECT * FROM ({rules.soft_auto()})"))
 def h1(spark, sf_dir):
     return _flat(decide.soft_auto(results(spark, sf_dir), candidates(spark, sf_dir)).select("doc_id", "soft_auto", "soft_auto_reasons"))
 
 
-@query("h2_h3_h4_corroboration")
+@query("h2_h3_h4_corroboration", rules.based(f"SELECT * FROM ({rules.corroboration()})"))
 def h2(spark, sf_dir):
     return decide.corroboration_decision(results(spark, sf_dir), candidates(spark, sf_dir)).withColumn("strict_similarity", F.round("strict_similarity", 6))
 
 
-@query("h5_rescue_match")
+@query("h5_rescue_match", rules.based(f"SELECT doc_id, sanity_passed, sanity_score, array_to_string(notes, ' | ') AS notes FROM ({rules.rescue()})"))
 def h5(spark, sf_dir):
     return _flat(decide.rescue_match(results(spark, sf_dir), candidates(spark, sf_dir)).select("doc_id", "sanity_passed", "sanity_score", "notes"))
 
@@ -203,23 +204,33 @@ def h6(spark, sf_dir):
     return _flat(decide.downgrade_failed(rows).select("doc_id", F.col("sanity_passed").alias("o"), "confidence", "verified", "notes"))
 
 
-@query("h7_prefer_local")
+_UNLIKE = "r2 AS MATERIALIZED (SELECT * REPLACE (sanity_passed AS verified, CASE WHEN doc_id % 2 = 0 THEN 'Quite another work' ELSE title END AS title) FROM r)"
+
+
+@query(
+    "h7_prefer_local",
+    rules.based(f", {_UNLIKE}, l AS MATERIALIZED ({rules.fallback('r2')}) SELECT doc_id, title, source, confidence, array_to_string(notes, ' | ') AS notes FROM ({rules.prefer_local('r2', 'l')})"),
+)
 def h7(spark, sf_dir):
     r = results(spark, sf_dir).withColumn("verified", F.col("sanity_passed")).withColumn("title", F.when(F.col("doc_id") % 2 == 0, "Quite another work").otherwise(F.col("title")))
     fallback = cands.local_fallback(r.select("doc_id"), candidates(spark, sf_dir))
     return _flat(decide.prefer_local(r, fallback).select("doc_id", "title", "source", "confidence", "notes"))
 
 
-@query("h8_finalize_w2")
+def _finalized(spark, sf_dir, mode: str) -> DataFrame:
+    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir), mode)
+    shape = ["doc_id", "title", "authors", "source", "confidence", "verified", "sanity_passed", "sanity_score", "needs_ocr", "auto_safe", "soft_auto"]
+    return _flat(out.withColumn("sanity_score", F.round("sanity_score", 3)).select(*shape))
+
+
+@query("h8_finalize_w2", rules.finalized())
 def h8(spark, sf_dir):
-    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir))
-    return _flat(out.withColumn("sanity_score", F.round("sanity_score", 3)))
+    return _finalized(spark, sf_dir, "default")
 
 
-@query("h8_finalize_safe_mode")
+@query("h8_finalize_safe_mode", rules.finalized("safe"))
 def h8_safe(spark, sf_dir):
-    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir), "safe")
-    return _flat(out.select("doc_id", "source", "confidence", "auto_safe", "soft_auto"))
+    return _finalized(spark, sf_dir, "safe")
 
 
 _STRONG = (
@@ -229,7 +240,7 @@ _STRONG = (
 
 @query(
     "h9_deferred_worklist",
-    f"SELECT m.doc_id, NOT coalesce(b.sanity_passed, false) AS deferred, CASE WHEN n > 0 AND b.doc_id IS NOT NULL THEN 'skipped: identifier lookup returned metadata' WHEN NOT {d.unreadable('m.text')} AND coalesce(s.strong, 0) = 1 THEN 'skipped: readable text with strong local candidate' "
+    f"WITH {rules.BASE.strip()} SELECT m.doc_id, NOT coalesce(b.sanity_passed, false) AS deferred, CASE WHEN n > 0 AND b.doc_id IS NOT NULL THEN 'skipped: identifier lookup returned metadata' WHEN NOT {d.unreadable('m.text')} AND coalesce(s.strong, 0) = 1 THEN 'skipped: readable text with strong local candidate' "
     f"WHEN n > 0 THEN 'hard-case: identifiers found but lookup failed' ELSE 'hard-case: no_identifier' END AS trigger FROM ({src.oracle(src.MENTIONS)}) AS m LEFT JOIN ({_BEST}) b USING (doc_id) LEFT JOIN ({_STRONG}) s USING (doc_id) "
     f"LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_C8}) WHERE kind <> 'stable' GROUP BY doc_id) p USING (doc_id)".replace("WHEN n > 0", "WHEN coalesce(n, 0) > 0"),
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators import reports
+from citeweave.plans import decide_sql as rules
 from citeweave.plans import inputs as src
 from citeweave.plans.queries_decide import catalogs, documents
 from citeweave.plans.queries_text import _from as from_
@@ -13,6 +14,7 @@ from citeweave.plans.queries_text import candidates
 from citeweave.plans.registry import query
 from citeweave.sources import catalogs as cat
 from citeweave.sources import files
+from citeweave.storage import scratch
 from citeweave.streaming.incremental import DOCUMENTS, incremental_resolve, resolved
 
 
@@ -149,8 +151,6 @@ def a3(spark, sf_dir):
     f"SELECT regexp_extract(\"File Path\", '([^/]*)$', 1) AS file, \"Title\" AS title, \"Authors\" AS authors, \"Error\" AS error FROM {from_(src.RESULTS)}",
 )
 def a2(spark, sf_dir):
-    from citeweave.plans.storage import scratch
-
     folder = scratch(spark, "results")
     reports_rows = src.load(spark, sf_dir, src.RESULTS).drop("seq")
     reports_rows.write.csv(folder, sep="\t", header=True, quote='"', escape='"', emptyValue="")
@@ -175,8 +175,6 @@ def a4(spark, sf_dir):
     "SELECT concat('/lib/', o_orderkey) AS path, 'a, b' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS verified, 'grobid' AS local_best, '' AS grobid_title FROM orders",
 )
 def a5(spark, sf_dir):
-    from citeweave.plans.storage import scratch
-
     k = F.col("o_orderkey")
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.concat(F.lit("/lib/"), k.cast("string")).alias("file_path"), F.array(F.lit("a"), F.lit("b")).alias("tags"), F.struct(F.lit("T").alias("title"), (k % 2 == 0).alias("verified")).alias("result"),
@@ -218,10 +216,11 @@ def i10(spark, sf_dir):
     return reports.response_counts(src.load(spark, sf_dir, RESPONSES))
 
 
-@query("k1_incremental_resolve")
+@query(
+    "k1_incremental_resolve",
+    rules.based("SELECT doc_id, coalesce(source, '') AS source, coalesce(title, '') AS title, coalesce(sanity_score, 0.0) AS sanity_score, CASE WHEN coalesce(sanity_passed, false) THEN 'auto' ELSE 'review' END AS route FROM m LEFT JOIN best USING (doc_id)"),
+)
 def k1(spark, sf_dir):
-    from citeweave.plans.storage import scratch
-
     inbox, sink, mark = (scratch(spark, f"k1-{x}") for x in ("in", "out", "mark"))
     documents(spark, sf_dir).select("doc_id", "path", "text", "ident_text").repartition(2).write.parquet(inbox)
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(inbox)

@@ -17,6 +17,10 @@ from citeweave.plans.registry import query
 ENGLISH = "SELECT doc_id, text, source FROM {documents}"
 
 
+def mentions(spark, sf_dir) -> DataFrame:
+    return src.load(spark, sf_dir, src.MENTIONS, {"orders": "o_orderkey"})
+
+
 def _docs(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -77,7 +81,7 @@ def b9(spark, sf_dir):
 )
 def b14(spark, sf_dir):
     p = F.col("path")
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", tx.normalize_filename(p).alias("norm"), F.array_join(tx.path_tags("/lib", p), ", ").alias("tags"))
+    return mentions(spark, sf_dir).select("doc_id", tx.normalize_filename(p).alias("norm"), F.array_join(tx.path_tags("/lib", p), ", ").alias("tags"))
 
 
 @query("b12_b13_ligatures")
@@ -91,7 +95,7 @@ MENTION_SQL = _from(src.MENTIONS)
 
 @query("c1_dois", f"SELECT doc_id, {d.joined(d.unique(d.dois('text')))} AS dois FROM {MENTION_SQL}")
 def c1(spark, sf_dir):
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", _sorted(ids.extract_dois(F.col("text"))).alias("dois"))
+    return mentions(spark, sf_dir).select("doc_id", _sorted(ids.extract_dois(F.col("text"))).alias("dois"))
 
 
 @query(
@@ -99,17 +103,17 @@ def c1(spark, sf_dir):
     f"SELECT doc_id, {d.joined(d.unique(f'list_transform({d.found('text', r'[^0-9]((?:97[89][-\s]?)?[0-9][0-9\s-]{8,20}[0-9Xx])[^0-9]')}, lambda c: {d.isbn('c')})'))} AS isbns FROM {MENTION_SQL}",
 )
 def c2(spark, sf_dir):
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", _sorted(ids.extract_isbns(F.col("text"))).alias("isbns"))
+    return mentions(spark, sf_dir).select("doc_id", _sorted(ids.extract_isbns(F.col("text"))).alias("isbns"))
 
 
 @query("c3_arxivs", f"SELECT doc_id, {d.joined(d.unique(d.found('text', r'(?i)arXiv: ([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)\b')))} AS arxivs FROM {MENTION_SQL}")
 def c3(spark, sf_dir):
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", _sorted(ids.extract_arxivs(F.col("text"))).alias("arxivs"))
+    return mentions(spark, sf_dir).select("doc_id", _sorted(ids.extract_arxivs(F.col("text"))).alias("arxivs"))
 
 
 @query("c4_stable_ids", f"SELECT doc_id, {d.joined(d.unique(d.found('text', r'(?i)\b(stable/[0-9]+)\b')))} AS stable FROM {MENTION_SQL}")
 def c4(spark, sf_dir):
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", _sorted(ids.extract_stable_ids(F.col("text"))).alias("stable"))
+    return mentions(spark, sf_dir).select("doc_id", _sorted(ids.extract_stable_ids(F.col("text"))).alias("stable"))
 
 
 RAW_ISBN = "SELECT l_orderkey AS k, l_linenumber AS n, concat(cast(l_partkey * 7919 % 1000000000 as varchar(20)), '-', cast(l_suppkey % 10 as varchar(9)), CASE WHEN l_linenumber % 3 = 0 THEN 'x' ELSE cast(l_linenumber % 10 as varchar(9)) END) AS ten, concat('978-', lpad(cast(l_orderkey as varchar(20)), 9, '0'), ' ', cast(l_linenumber % 10 as varchar(9))) AS thirteen FROM {lineitem}"
@@ -147,7 +151,7 @@ _STEM = "regexp_extract(path, '([^/]*)\\.pdf$', 1)"
     f"SELECT doc_id, CASE WHEN {d.match(_STEM, '^[0-9]{7,10}$')} THEN {d.joined('[' + ', '.join(f'concat({d.text(p)}, {_STEM})' for p in ids.NUMERIC_STEM_PREFIXES) + ']')} ELSE '' END AS guesses FROM {MENTION_SQL}",
 )
 def c7(spark, sf_dir):
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", F.array_join(ids.filename_dois(tx.stem(F.col("path"))), "; ").alias("guesses"))
+    return mentions(spark, sf_dir).select("doc_id", F.array_join(ids.filename_dois(tx.stem(F.col("path"))), "; ").alias("guesses"))
 
 
 def with_windows(mentions: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def candidates(spark, sf_dir) -> DataFrame:
     f"UNION ALL SELECT DISTINCT doc_id, 'stable', unnest({d.found('text', r'(?i)\b(stable/[0-9]+)\b')}) FROM m",
 )
 def c8(spark, sf_dir):
-    return identifier_pool(with_windows(src.load(spark, sf_dir, src.MENTIONS)), candidates(spark, sf_dir)).select("doc_id", "kind", "value")
+    return identifier_pool(with_windows(mentions(spark, sf_dir)), candidates(spark, sf_dir)).select("doc_id", "kind", "value")
 
 
 _PREDICATES = {
@@ -211,7 +215,7 @@ def d9(spark, sf_dir):
 
 @query("d10_book", f"SELECT doc_id, {d.book('path', 'text')} AS book FROM {MENTION_SQL}")
 def d10(spark, sf_dir):
-    return src.load(spark, sf_dir, src.MENTIONS).select("doc_id", quality.is_book(F.col("path"), F.col("text")).alias("book"))
+    return mentions(spark, sf_dir).select("doc_id", quality.is_book(F.col("path"), F.col("text")).alias("book"))
 
 
 @query("e1_filename_candidates")
@@ -243,7 +247,10 @@ def f1_jaccard(spark, sf_dir):
     return src.load(spark, sf_dir, PAIRS).select("id", F.round(similarity.word_jaccard(*pair), 6).alias("jaccard"))
 
 
-@query("f1_f3_f4_title_similarity")
+@query(
+    "f1_f3_f4_title_similarity",
+    f"SELECT id, round(sim, 6) AS similarity, round(score, 6) AS score, CASE WHEN score >= 0.97 THEN 'high' WHEN score >= 0.9 THEN 'medium' ELSE 'low' END AS band FROM (SELECT id, sim, sim + 0.05 + CASE WHEN id % 2 = 0 THEN 0.05 ELSE 0 END AS score FROM {_from(PAIRS)} JOIN {d.similar('SELECT a, b FROM ' + _from(PAIRS))} USING (a, b))",
+)
 def f1(spark, sf_dir):
     s = src.load(spark, sf_dir, PAIRS).withColumn("similarity", similarity.title_similarity(F.col("a"), F.col("b")))
     one = F.array(F.lit("Ann Reed"))
