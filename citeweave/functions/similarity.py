@@ -26,19 +26,29 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
 
 
-def title_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
-    """1 for equal normalised titles, 0 for a blank one, else the larger of sequence ratio and word Jaccard.
+def may_reach(x: Column, y: Column, least: float) -> Column:
+    """Whether the sequence ratio of two texts can be ``least`` or more, by built-ins alone.
 
-    Pairs that cannot reach ``least`` skip the helper: what a ratio leaves unmatched is (1 - ratio)(a + b) characters, never fewer
-    than the edit distance, which is built in.
+    It leaves (1 - ratio)(a + b) characters unmatched, never fewer than the difference of lengths or the edit distance.
     """
-    x, y = normalize_title(a), normalize_title(b)
     la, lb = F.length(x), F.length(y)
-    need = (x != y) & (la > 0) & (lb > 0)
+    return (2.0 * F.least(la, lb) >= least * (la + lb)) & (F.levenshtein(x, y) <= (1 - least) * (la + lb) + 1e-9)
+
+
+def normal_similarity(x: Column, y: Column, least: float = 0.0) -> Column:
+    """Of two normalised titles: 1 if equal, 0 if one is blank, else the larger of sequence ratio and word Jaccard.
+
+    Pairs whose ratio cannot reach ``least`` skip the helper.
+    """
+    need = (x != y) & (x != "") & (y != "")
     if least > 0:
-        need = need & (2.0 * F.least(la, lb) >= least * (la + lb)) & (F.levenshtein(x, y) <= (1 - least) * (la + lb) + 1e-9)
+        need = need & may_reach(x, y, least)
     ratio = sequence_ratio(F.when(need, x), F.when(need, y))
-    return F.when((la == 0) | (lb == 0), 0.0).when(x == y, 1.0).otherwise(F.greatest(F.coalesce(ratio, F.lit(0.0)), word_jaccard(x, y)))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.greatest(F.coalesce(ratio, F.lit(0.0)), word_jaccard(x, y)))
+
+
+def title_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    return normal_similarity(normalize_title(a), normalize_title(b), least)
 
 
 def surnames(authors: Column) -> Column:

@@ -148,7 +148,7 @@ FROM {events}"""
 
 
 #: Titles to search, spelt well and less well, and the catalog that they are searched in.
-_WORK = f"concat('Notes on ', p_name, ' and ', lower(p_type), ' ', {letters("(p_partkey * 7919) % 1000003")}, ' ', {letters("(p_partkey * 104729) % 999983")})"
+_WORK = f"concat('On', {letters("(p_partkey * 7919) % 1000003")}, ' ', p_name, ' ', {letters("(p_partkey * 104729) % 999983")}, ' of ', {letters("(p_partkey * 1299709) % 999979")}, ' ', lower(p_type))"
 TITLE_QUERIES = f"""
 SELECT id AS qid, id AS doc_id, 1 AS nth, CASE id % 7 WHEN 0 THEN t WHEN 1 THEN concat(substr(t, 1, 13), substr(t, 15)) WHEN 2 THEN concat(substr(t, 1, 4), 'x', substr(t, 6, 14), 'zq', substr(t, 22))
   WHEN 3 THEN concat(upper(t), '!') WHEN 4 THEN substr(t, 10) WHEN 5 THEN concat(t, ' revised') ELSE concat('Some ', substr(t, 1, 20), substr(t, 23)) END AS title,
