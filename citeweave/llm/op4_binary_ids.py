@@ -7,12 +7,13 @@ its word has selector 0 and the index of the id in a list of whole 64-bit values
 
 File: magic, four counts, doc ids, ids a document, block offsets, escaped ids, words; little-endian, 64 bits each.
 
-Null text counts as empty: the end id alone. Rows with the same doc_id are ordered by text; a missing doc_id comes first.
+Null text counts as empty: the end id alone. Rows with the same doc_id come in a fixed order of their texts' hashes; a missing doc_id comes first. Rows
+repeated whole are encoded each. Other columns, whatever their names, are ignored. A very long text is encoded by itself and stays in one file.
 """
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from citeweave.llm.common import NULL_ID, id_key, new_path, partitions, stash
+from citeweave.llm.common import NULL_ID, id_key, let_go, partitions
+from citeweave.storage import scratch
 
 MAGIC = b"CWS8B001"
 #: How many ids a selector's word holds and their width; selector 0 escapes.
@@ -136,97 +138,129 @@ def from_bytes(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 #: White space other than lone blanks and line breaks between other characters.
 _ODD = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
-_ENDS = frozenset(".,;:!?")
-_KNOWN: dict = {}
-KNOWN_MOST = 800_000
+#: Letters and the signs that end their word: two pieces.
+_SIGNS = r"(\p{L})([^\s\p{L}\p{N}']+)([ \n]|$)"
+#: Pieces that a worker remembers.
+KNOWN_MOST = 500_000
+
+
+def cuts_at_blanks(tokenizer_path: str) -> list[str] | None:
+    """Added tokens of a byte-level vocabulary whose pieces are known here: a blank starts one, letters and signs part. None for any other."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        said = json.load(f)
+    cut, model = said.get("pre_tokenizer") or {}, said["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and not said.get("normalizer") and model["type"] == "BPE"
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return [t["content"] for t in said.get("added_tokens", [])] if plain else None
+
+
+class Pieces:
+    """What a worker remembers: each piece's place in one run of ids."""
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.added = cuts_at_blanks(tokenizer_path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each piece is asked for once
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.spell = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # a character a byte
+        self.line = self.whole(["\n"])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+        self.ends: list[np.ndarray] = [np.zeros(1, np.int64)]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def remember(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends.append(ends + self.used)
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+
+    def learn(self, new: list[str]) -> None:
+        """Words are encoded many in one text, led by blanks or by line breaks: their ids are cut where their bytes end."""
+        led, bare, rest = [], [], []
+        for p in new:
+            (led if p[:1] == " " and p[1:].isalpha() else bare if p.isalpha() else rest).append(p)
+        for i in range(0, len(led), 2_000):
+            part = led[i : i + 2_000]
+            ids = self.whole(["a" + "".join(part)])[0][1:]
+            self.remember(part, ids, np.searchsorted(np.cumsum(self.spell[ids]), np.cumsum([len(p.encode()) for p in part])) + 1)
+        for i in range(0, len(bare), 2_000):
+            part = bare[i : i + 2_000]
+            ids = self.whole(["\n".join(part)])[0]
+            ids = ids[~np.isin(ids, self.line)]
+            self.remember(part, ids, np.searchsorted(np.cumsum(self.spell[ids]), np.cumsum([len(p.encode()) for p in part])) + 1)
+        if rest:
+            each = self.whole(rest)
+            self.remember(rest, np.concatenate(each), np.cumsum([len(x) for x in each]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        n = len(texts)
+        if not n:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if self.added is None:
+            every = self.whole(texts.to_pylist())
+            return np.concatenate(every), np.array([len(x) for x in every], np.int64)
+        odd = pc.match_substring_regex(texts, _ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        cut = pc.replace_substring_regex(pc.if_else(odd, "", texts), _SIGNS, "\\1\0\\2\\3")
+        pieces = pc.split_pattern(pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        starts = pieces.offsets.to_numpy()[:n] - pieces.offsets.to_numpy()[0]
+        numbered = pieces.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = list(map(self.known.get, distinct))
+        new = [p for p, k in zip(distinct, place) if k is None]
+        if new:
+            if len(self.known) + len(new) > KNOWN_MOST:
+                self.forget()
+                new = distinct
+            self.learn(new)
+            place = list(map(self.known.__getitem__, distinct))
+        place = np.array(place, np.int64)[numbered.indices.to_numpy()]
+        ends = np.concatenate(self.ends)
+        self.ends = [ends]
+        begin, each = ends[place], ends[place + 1] - ends[place]
+        ids = self.ids[: self.used]
+        apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(apart):  # such a text is one empty piece so far
+            whole = self.whole(texts.take(pa.array(apart)).to_pylist())
+            size = np.array([len(x) for x in whole])
+            begin[starts[apart]], each[starts[apart]] = self.used + np.cumsum(size) - size, size
+            ids = np.concatenate([ids, *whole])
+        before = np.cumsum(each) - each
+        return ids[np.repeat(begin - before, each) + np.arange(each.sum())], np.add.reduceat(each, starts)
+
+
+_KNOWN: dict[str, Pieces] = {}
 
 
 def encoder(tokenizer_path: str):
-    """Texts → (little-endian 32-bit ids of all of them, number of ids of each).
+    """Texts → (ids of all of them, number of ids of each).
 
-    A byte-level vocabulary of this kind starts a new piece at a lone blank, and where letters, marks and a lone line break meet.
-    So a text's ids are those of its blank-led words in a row, and a word's those of its letters, end mark and so on. A batch's
-    words are numbered, each distinct one is looked up or encoded once (a worker's memory of them is bounded), and the ids are
-    gathered by number. Texts with other white space are encoded whole.
+    A vocabulary of the usual byte-level kind starts a new piece at a lone blank, around a lone line break, and where letters end
+    and signs other than an apostrophe begin. So a text's ids are those of its pieces in a row; a batch's pieces are numbered, each distinct one is
+    looked up or encoded once, and the ids are gathered by number. Texts with other white space or with an added token are encoded whole, and so are
+    all texts under a vocabulary of another kind.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    spell = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])  # a character a byte
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def in_one_text(new: list[str], between: str, known: dict) -> None:
-        """Encode words that are all led by ``between``, a lone blank or line break: the ids are cut where the words' bytes end."""
-        for i in range(0, len(new), 2_000):
-            part = new[i : i + 2_000]
-            ids = np.array(tokenizer.encode_batch_fast(["a" + between + between.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            size = np.array(list(map(len, map(str.encode, part)))) + 1
-            ends = np.searchsorted(np.cumsum(spell[ids]), np.concatenate([[1], 1 + np.cumsum(size)]), "left") + 1
-            raw, ends = ids.tobytes(), ends.tolist()
-            skip = 4 if between == "\n" else 0  # a line break is a piece of its own
-            for w, x, y in zip(part, ends, ends[1:]):
-                known[w] = raw[4 * x + skip : 4 * y]
-
-    def learn(new: list[str], led: dict, bare: dict, marks: dict) -> None:
-        """Blank-led words: letters with an end mark, or two such words around a line break, from their parts; others whole."""
-        letters, starts, plan, odd = set(filter(str.isalpha, new)), set(), [], []
-        for w in itertools.filterfalse(str.isalpha, new):
-            left, line, right = w.partition("\n")
-            core, mark = (left[:-1], left[-1]) if left[-1:] in _ENDS else (left, "")
-            core2, mark2 = (right[:-1], right[-1]) if right[-1:] in _ENDS else (right, "")
-            if core.isalpha() and (core2.isalpha() or not line):
-                plan.append((w, core, mark, line, core2, mark2))
-                letters.add(core)
-                if line:
-                    starts.add(core2)
-            else:
-                odd.append(w)
-        in_one_text([w for w in letters if w not in led], " ", led)
-        in_one_text([w for w in starts if w not in bare], "\n", bare)
-        in_one_text(odd, " ", led)
-        for w, core, mark, line, core2, mark2 in plan:
-            led[w] = led[core] + marks[mark] + (marks[line] + bare[core2] + marks[mark2] if line else b"")
-
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        led, bare, marks = _KNOWN.setdefault(tokenizer_path, ({}, {}, {"": b""} | {m: whole([m])[0] for m in ("\n", *_ENDS)}))
-        if len(led) + len(bare) > KNOWN_MOST:
-            led.clear()
-            bare.clear()
-        n = len(texts)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        # an odd text is a single word of its own
-        words = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        starts = words.offsets.to_numpy()[:n] - words.offsets.to_numpy()[0]
-        flat = words.flatten()
-        numbered = flat.dictionary_encode()
-        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        code = numbered.indices.to_numpy().astype(np.int64)
-        later = np.ones(len(code), bool)
-        later[starts] = False
-        inside = np.zeros(len(distinct), bool)
-        inside[code[later]] = True
-        need = [w for w, i in zip(distinct, inside.tolist()) if i]
-        learn([w for w in need if w not in led], led, bare, marks)
-        place = np.cumsum(inside) - 1
-        firsts = pc.if_else(pa.array(odd), texts, flat.take(pa.array(starts))).to_pylist()
-        values = [*map(led.__getitem__, need), *whole(firsts)]
-        code = place[code]
-        code[starts] = len(need) + np.arange(n)
-        size = np.array(list(map(len, values)), np.int64) // 4
-        ids = np.frombuffer(b"".join(values), "<u4")
-        begin, each = (np.cumsum(size) - size)[code], size[code]
-        before = np.cumsum(each) - each
-        out = ids[np.repeat(begin - before, each) + np.arange(each.sum())]
-        return out, np.add.reduceat(each, starts) if n else np.empty(0, np.int64)
-
-    return encode
+    if tokenizer_path not in _KNOWN:
+        _KNOWN[tokenizer_path] = Pieces(tokenizer_path)
+    return _KNOWN[tokenizer_path].encode
 
 
 #: So many bytes of text are encoded together, one text at least.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 8_000_000
 
 
 def runs_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -239,37 +273,31 @@ def runs_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, ids_per_file: int = 4_000_000) -> DataFrame:
-    """Write files of whole documents in ascending doc_id order; one row a file: (file, part, seq, n_docs, n_ids).
+def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, ids_per_file: int = 4_000_000) -> None:
+    """Write files of whole documents in ascending doc_id order: rows (part, seq, n_docs, n_ids, content), ``content`` being a file's bytes.
 
-    Ids are range-partitioned by doc_id, a task streams its sorted rows and starts another file after ``ids_per_file`` ids.
-    A file is written beside its place and moved there, and a repeated task writes the same bytes again.
+    Rows are written by Spark, so they go to any store that Spark reaches, and a lost or repeated task leaves no half file. Documents are
+    range-partitioned; a task streams its sorted rows and starts another file after ``ids_per_file`` ids, so a row is bounded.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         encode = encoder(tokenizer_path)
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        part = TaskContext.get().partitionId()
-        rows: list[tuple] = []
+        part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
 
-        def flush() -> None:
-            name = f"ids-{part:06d}-{len(rows):06d}.s8b"
+        def file() -> pa.RecordBatch:
+            nonlocal seq
             ids = np.concatenate(parts)
-            data = to_bytes(doc_ids, lengths, ids)
-            beside = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(beside) as f:
-                f.write(data)
-            store.move(beside, f"{base}/{name}")
-            rows.append((name, part, len(rows), len(doc_ids), len(ids)))
+            values = (part, seq, len(doc_ids), len(ids), to_bytes(doc_ids, lengths, ids))
+            seq += 1
             for held in (doc_ids, lengths, parts):
                 held.clear()
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["part", "seq", "n_docs", "n_ids", "content"])
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
@@ -279,49 +307,48 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id
                 lengths += (each + 1).tolist()
                 parts.append(np.insert(ids, np.cumsum(each), end_id).astype("<u4"))
                 if sum(map(len, parts)) >= ids_per_file:
-                    flush()
+                    yield file()
         if doc_ids:
-            flush()
-        columns = list(zip(*rows)) or [[]] * 5
-        types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file", "part", "seq", "n_docs", "n_ids"])
+            yield file()
+        let_go()
 
-    key = id_key().alias("key")
-    dealt = docs.select(key, "text").repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
-    return dealt.mapInArrow(write, "file string, part int, seq int, n_docs long, n_ids long")
+    # ids that many rows share are split by the hash of the text, and rows repeated whole by where they were read
+    order = ["key", "hash", "row"]
+    keyed = docs.select(id_key().alias("key"), "text").select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("key", "text")
+    dealt.mapInArrow(write, "part int, seq int, n_docs long, n_ids long, content binary").write.option("compression", "none").parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of the files in ``folder``: (file, pos, doc_id, offset in the file, n_tokens, ids_crc32)."""
+    """Documents of the files in ``folder``: (part, seq, doc_id, offset in the file, n_tokens, ids_crc32)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for part, seq, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 doc_ids, lengths, ids = from_bytes(content.as_py())
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
                 begins = ends - lengths
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([path.rpartition("/")[2]] * len(doc_ids), pa.string()),
+                        pa.array(np.full(len(doc_ids), part, np.int32)),
+                        pa.array(np.full(len(doc_ids), seq, np.int32)),
                         pa.array(doc_ids, mask=doc_ids == NULL_ID),
                         pa.array(begins),
                         pa.array(np.asarray(lengths)),
                         pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.int64()),
                     ],
-                    names=["file", "doc_id", "offset", "n_tokens", "ids_crc32"],
+                    names=["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"],
                 )
+        let_go()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("path", "content")
-    return files.mapInArrow(read, "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    return spark.read.parquet(folder).select("part", "seq", "content").mapInArrow(read, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Write the files, read them back: (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "ids")
-    files = stash(write_ids(docs, folder, tokenizer_path, end_id), "ids-files")
-    if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    folder = folder or scratch(spark, "ids")
+    write_ids(docs, folder, tokenizer_path, end_id)
     before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    first = files.select("file", F.coalesce(before, F.lit(0)).alias("first"))  # a row a file
-    return read_ids(spark, folder).join(first, "file").select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    first = spark.read.parquet(folder).select("part", "seq", "n_ids").select("part", "seq", F.coalesce(before, F.lit(0)).alias("first"))  # a row a file
+    return read_ids(spark, folder).join(first, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
