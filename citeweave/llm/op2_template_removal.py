@@ -1,16 +1,20 @@
-"""Main text of pages: site templates go by counting subtrees, furniture by what its markup says.
+"""Main text of pages: site templates go by counting subtrees, other furniture by what its markup says.
 
-A page is read into a tree of its block elements (inline tags are transparent, so an unclosed ``<b>`` does no harm). Each
-element outside the article has a hash of its whole subtree. Spark counts, host by host, on how many different pages a
-subtree stands; one on ``PAGES`` of them at least and on ``SHARE`` of the host's is a template and is deleted wherever it stands
-there. Copies of one page count once, and nothing inside an ``article`` or ``main`` element is deleted for recurring, so
-that a much copied article keeps its text.
+A page is read into a tree of its block elements (inline tags are transparent, so an unclosed ``<b>`` does no harm). Two hashes of
+subtrees are counted host by host in Spark, over pages whose core differs: the exact one, of tags, attributes and text, and the shape, of tags
+and words of class alone, with like neighbours as one and the path above it, which still recurs where the text of a menu or advert is another
+on every page. One that stands on ``PAGES`` such pages of a host at least, and on ``SHARE`` of them, is a template, and its subtrees are deleted.
+
+The core is the ``article`` (else ``main``) elements, else the least block with half of the page's text. It and what is around it are never deleted
+for recurring; shapes count only outside it, and inside an article or main an exact subtree counts only if it has attributes, so that
+paragraphs and lists which articles share stay. Copies of one core count as one page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles also go by element, role or the
-words of class and id. If a page has an article (else ``main``), only it is text; a ``header`` inside it keeps its headings.
+words of class and id, for hosts of few pages. If a page has an article (else ``main``), only it is text; a ``header`` inside it keeps its headings.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line breaks.
 
-Null and empty html give an empty text. A missing or odd url has the host ''. Pages without mark-up are one block.
+Null and empty html give an empty text. A missing or odd url has the host ''. Pages without mark-up are one block. Repeated rows get equal
+texts and count once. Other columns, whatever their names, are ignored. Long pages are read in one pass, whole.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot select body div section article main".split())
 # Furniture by element, by role, by a word of class or id.
-FURNITURE = frozenset("script style noscript template svg math nav footer aside form button select option textarea dialog menu iframe object canvas audio video head title xmp noembed noframes datalist map".split())
+FURNITURE = frozenset("script style noscript template svg nav footer aside form button select option textarea dialog menu iframe object canvas audio video head title xmp noembed noframes datalist map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay "
@@ -47,6 +51,9 @@ WORDS = frozenset(
 _HEAD_WORDS = frozenset({"header", "site-header", "page-header", "site_header", "top-bar", "topbar"})
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: From behind a tag's name to its end: a quote opens a value only behind an equals sign, and ``>`` is free inside one.
+_REST = re.compile(r"""(?:[^>=]|=\s*(?:"[^"]*"|'[^']*')|=(?!\s*["']))*+>""")
+_NUMBER = re.compile(r"[0-9]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -58,8 +65,14 @@ class Node:
     dropped: bool
     article: bool
     heading: bool
+    #: Sorted attributes, and the words of class.
+    said: tuple = ()
+    kind: str = ""
     parts: list = field(default_factory=list)
+    shapes: list = field(default_factory=list)
     digest: int = 0
+    shape: int = 0
+    size: int = 0
 
 
 @dataclass
@@ -97,13 +110,20 @@ def read(source: str) -> Page:
         if t:
             runs.append((stack[-1], block, t))
             nodes[stack[-1]].parts.append(t)
+            nodes[stack[-1]].size += len(t.strip())
 
     def close() -> None:
         node = nodes[stack.pop()]
+        up = nodes[node.parent]
         whole = "\x01".join(p if isinstance(p, str) else format(p[0], "x") for p in node.parts)
-        node.digest = xxh3_64_intdigest(f"{node.tag}\x02{whole}".encode("utf-8", "surrogatepass"))
-        nodes[node.parent].parts.append((node.digest,))
-        node.parts = [1] if node.parts else []
+        node.digest = xxh3_64_intdigest(f"{node.tag}\x02{node.said}\x02{whole}".encode("utf-8", "surrogatepass"))
+        node.shape = xxh3_64_intdigest(f"{node.tag}\x03{node.kind}\x03{node.shapes}".encode("utf-8", "surrogatepass"))
+        if node.tag not in RAW:
+            up.size += node.size
+        up.parts.append((node.digest,))
+        if up.shapes[-1:] != [node.shape]:
+            up.shapes.append(node.shape)
+        node.parts, node.shapes = [1] if node.parts else [], []
 
     while at < n:
         lt = source.find("<", at)
@@ -133,11 +153,10 @@ def read(source: str) -> Page:
             continue
         tag = name[0].lower().rstrip("/")
         raw = source[name.end() : gt]
-        if not closing and raw.count('"') % 2:  # a > inside a quoted value
-            quote = source.find('"', gt)
-            more = source.find(">", quote) if quote > 0 else -1
-            if 0 < more < gt + 2000:
-                gt, raw = more, source[name.end() : more]
+        if not closing and ('"' in raw or "'" in raw):
+            rest = _REST.match(source, name.end())
+            if rest:  # else a quote is never closed: the tag ends at the first >
+                gt, raw = rest.end() - 1, source[name.end() : rest.end() - 1]
         at = gt + 1
         if tag in VOID:
             if tag == "br":
@@ -170,7 +189,9 @@ def read(source: str) -> Page:
             block += 1
         up = nodes[stack[-1]]
         heading = up.heading and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") or (tag == "header" and inside)
-        nodes.append(Node(tag, stack[-1], up.dropped or off, up.article or tag in ("article", "main") or a.get("role", "").lower() == "main", heading))
+        article = up.article or tag in ("article", "main") or a.get("role", "").lower() == "main"
+        kind = _NUMBER.sub("0", " ".join(sorted(a.get("class", "").lower().split())))
+        nodes.append(Node(tag, stack[-1], up.dropped or off, article, heading, tuple(sorted(a.items())), kind))
         stack.append(len(nodes) - 1)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}", re.I).search(source, at)
@@ -184,17 +205,64 @@ def read(source: str) -> Page:
     return page
 
 
-def subtrees(page: Page) -> list[int]:
-    """Distinct hashes of the elements outside the article that hold anything, as signed 64-bit values."""
-    found = {x.digest for x in page.nodes[1:] if x.parts and not x.article and x.tag not in ("html", "head", "body")}
-    return [d - 2**64 if d >= 2**63 else d for d in found]
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def core(page: Page) -> list[int]:
+    """For each node: 2 inside the core, 1 around it, else 0."""
+    nodes = page.nodes
+    roots = [k for k, x in enumerate(nodes) if x.article and not nodes[x.parent].article]
+    if not roots:
+        at, more = 0, True
+        below: dict[int, list[int]] = {}
+        for k, x in enumerate(nodes[1:], 1):
+            below.setdefault(x.parent, []).append(k)
+        while more:  # down to the least block with half of the text
+            best = max(below.get(at, ()), key=lambda k: nodes[k].size, default=-1)
+            more = best >= 0 and nodes[best].tag not in RAW and 2 * nodes[best].size >= nodes[0].size > 0
+            at = best if more else at
+        roots = [at]
+    place = [0] * len(nodes)
+    for k in roots:
+        place[k] = 2
+        up = nodes[k].parent
+        while up >= 0 and place[up] == 0:
+            place[up] = 1
+            up = nodes[up].parent
+    for k, x in enumerate(nodes):
+        if x.parent >= 0 and place[x.parent] == 2:
+            place[k] = 2
+    return place
+
+
+def subtrees(page: Page) -> list[tuple[int, int]]:
+    """(node, hash) of the subtrees that count: exact ones and shapes, as signed 64-bit values."""
+    from xxhash import xxh3_64_intdigest
+
+    out, place, paths = [], core(page), [""]
+    for k, x in enumerate(page.nodes[1:], 1):
+        paths.append(f"{paths[x.parent]}>{x.tag}.{x.kind}" if place[x.parent] != 2 else "")
+        root = place[k] == 2 and place[x.parent] != 2
+        if not x.parts or x.tag in ("html", "head", "body") or place[k] == 1:
+            continue
+        if not root and (not x.article or x.said):
+            out.append((k, _signed(x.digest)))
+        if place[k] == 0:
+            out.append((k, _signed(xxh3_64_intdigest(f"{paths[k]}\x04{x.shape}".encode("utf-8", "surrogatepass")))))
+    return out
+
+
+def core_text(page: Page) -> str:
+    place = core(page)
+    return "".join(t for k, _, t in page.runs if place[k] == 2)
 
 
 def main_text(page: Page, templates: frozenset[int] = frozenset()) -> str:
+    counted = {k for k, h in subtrees(page) if h in templates} if templates else set()
     gone: list[bool] = []
-    for node in page.nodes:
-        by_count = not node.article and bool(templates) and (node.digest - 2**64 if node.digest >= 2**63 else node.digest) in templates
-        gone.append(node.dropped or by_count or (node.parent >= 0 and gone[node.parent]))
+    for k, node in enumerate(page.nodes):
+        gone.append(node.dropped or k in counted or (node.parent >= 0 and gone[node.parent]))
     chosen = [True] * len(page.nodes)
     for tag in ("article", "main"):
         roots = [k for k, x in enumerate(page.nodes) if x.tag == tag and not gone[k]]
@@ -217,7 +285,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash): subtrees that recur across a host's pages. ``pages`` has host and html."""
+    """(host, hash): subtrees that recur across a host's pages of different cores. ``pages`` has host and html."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -227,8 +295,8 @@ def templates(pages: DataFrame) -> DataFrame:
                 hosts, trees, whole = [], [], []
                 for host, source in zip(batch.column(0).slice(i, 500).to_pylist(), batch.column(1).slice(i, 500).to_pylist()):
                     page = read(source)
-                    own = [0, *subtrees(page)]  # 0 stands for the page
-                    kind = xxh3_64_intdigest("".join(r[2] for r in page.runs).encode("utf-8", "surrogatepass")) - 2**63
+                    own = [0, *{h for _, h in subtrees(page)}]  # 0 stands for the page
+                    kind = xxh3_64_intdigest(core_text(page).encode("utf-8", "surrogatepass")) - 2**63
                     hosts += [host] * len(own)
                     trees += own
                     whole += [kind] * len(own)
