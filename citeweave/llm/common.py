@@ -37,7 +37,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected(edges: DataFrame, name: str, max_rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame, name: str) -> DataFrame:
     """Components of ``edges(a long, b long)`` as (node, root = least node of its component).
 
     Alternates two joins a round: every neighbour above a node goes to the least node around it, then every
@@ -47,8 +47,8 @@ def connected(edges: DataFrame, name: str, max_rounds: int = 64) -> DataFrame:
     e = stash(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e"
     )
-    before = None
-    for _ in range(max_rounds):
+    before, now = None, ()
+    while before != now:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         far = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -58,11 +58,6 @@ def connected(edges: DataFrame, name: str, max_rounds: int = 64) -> DataFrame:
         near = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = near.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = stash(small, f"{name}-s")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == before:
-            break
-        before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
+        before, now = now, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

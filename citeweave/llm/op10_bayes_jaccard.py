@@ -9,8 +9,8 @@
    in the same way, are verified exactly on their whole shingle sets. A representative's links are added up, weighted with
    the copies, and verified pairs leave forest edges, whose components are the classes.
 
-No pair is a row: buckets and components of more than ``SIDE`` members are dealt as pairs of blocks of ``SIDE``, each a task
-of its own, and what leaves a task is a row a member. Similarity decides alone; there is no cap on members or partners.
+No pair is a row: buckets and components of more than ``SIDE`` members, or more than ``SIDE_CHARS`` characters of text where texts come along, are dealt as
+pairs of blocks of so many, each a task of its own, and what leaves a task is a row a member. Similarity decides alone; there is no cap on members or partners.
 
 A text of fewer than five tokens has one shingle, all of them. Null, empty and token-less texts have none and are linked to
 nothing. Rows repeated whole are copies of each other. A missing doc_id is a document like any other; class_id is the least
@@ -35,7 +35,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 N_HASH = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-4
-SIDE = 1024
+SIDE, SIDE_CHARS = 1024, 16_000_000
 _TOKEN = re.compile(r"\w+")
 _RANDOM = np.random.default_rng(5)
 _A = _RANDOM.integers(1, 2**32, N_HASH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -142,9 +142,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def blocked(members: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
     """(group, rep) → (group, rep, lo, hi, side): groups of at most ``SIDE`` are one task, larger ones a task for each pair of blocks.
 
-    Blocks are cut by hash, so their number follows from the group's size alone and no group is sorted or gathered.
+    ``sizes`` may have ``chars``, the length of a group's texts. Blocks are cut by hash, so their number follows from the group's size alone and no group is sorted or gathered.
     """
-    dealt = members.join(sizes.filter("size > 1"), group).withColumn("blocks", F.expr(f"cast((size + {SIDE} - 1) div {SIDE} as int)"))
+    dealt = members.join(sizes.filter("size > 1"), group)
+    by_text = f"(chars + {SIDE_CHARS} - 1) div {SIDE_CHARS}" if "chars" in sizes.columns else "1"
+    dealt = dealt.withColumn("blocks", F.expr(f"cast(greatest(1, least(size, greatest((size + {SIDE} - 1) div {SIDE}, {by_text}))) as int)"))
     dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     # block x meets every block y: as the left side for y >= x, as the right side for y < x
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side")))
@@ -255,7 +257,7 @@ def _verify(table: pa.Table, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, rep, sig): documents of equal tokens share ``rep``; without tokens it is null."""
+    """(row, doc_id, rep, sig, chars): documents of equal tokens share ``rep``; without tokens it is null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -269,12 +271,12 @@ def _signed(docs: DataFrame) -> DataFrame:
                     keys.append(xxh3_64_intdigest("\n".join(words).encode()) - 2**63 if words else None)
                     sigs.append(minhash(shingles(words)) if words else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["row", "doc_id", "rep", "sig"]
+                    [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), part.column(3)], names=["row", "doc_id", "rep", "sig", "chars"]
                 )
         let_go(_WORDS)
 
-    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sign, "row long, doc_id long, rep long, sig array<long>")
+    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("chars"))
+    return rows.mapInArrow(sign, "row long, doc_id long, rep long, sig array<long>, chars long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = stash(
         signed.filter("rep IS NOT NULL")
         .groupBy("rep")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"), F.first("sig").alias("sig")),
+        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"), F.first("sig").alias("sig"), F.max("chars").alias("chars")),
         "near-reps",
     )
     bucket = ["band", "value"]
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = parts.join(reps.select("rep", "copies", "sig", "first.row"), "rep")
     texts = docs.select(row_key().alias("row"), "text").join(rows.select("row", "rep", "sig", "copies"), "row").drop("row").dropDuplicates(["rep"])
-    apart = blocked(parts, ["comp"], parts.groupBy("comp").agg(F.count("*").alias("size")))
+    apart = blocked(parts, ["comp"], parts.join(reps.select("rep", "chars"), "rep").groupBy("comp").agg(F.count("*").alias("size"), F.sum("chars").alias("chars")))
     found = stash(in_tasks(apart.join(texts, "rep"), ["comp"], _verify, "rep long, root long, links long"), "near-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).filter("a <> b"), "near-b")

@@ -1,13 +1,13 @@
 """Main text of pages: site templates go by counting subtrees, other furniture by what its markup says.
 
 A page is read into a tree of its block elements (inline tags are transparent, so an unclosed ``<b>`` does no harm). Two hashes of
-subtrees are counted host by host in Spark, over pages whose core differs: the exact one, of tags, attributes and text, and the shape, of tags
+subtrees are counted host by host in Spark, over pages that differ: the exact one, of tags, attributes and text, and the shape, of tags
 and words of class alone, with like neighbours as one and the path above it, which still recurs where the text of a menu or advert is another
 on every page. One that stands on ``PAGES`` such pages of a host at least, and on ``SHARE`` of them, is a template, and its subtrees are deleted.
 
-The core is the ``article`` (else ``main``) elements, else the least block with half of the page's text. It and what is around it are never deleted
-for recurring; shapes count only outside it, and inside an article or main an exact subtree counts only if it has attributes, so that
-paragraphs and lists which articles share stay. Copies of one core count as one page.
+The core is the ``article`` and ``main`` elements, else the least block with half of the page's text. Shapes count only outside and not around it, and not those of bare paragraphs, headings and the like. Articles and
+what is around them are never deleted for recurring, and inside them an exact subtree counts only if it has attributes, so that
+paragraphs and lists which articles share stay. Copies of one article (of one page, where there is none) count as one page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles also go by element, role or the
 words of class and id, for hosts of few pages. If a page has an article (else ``main``), only it is text; a ``header`` inside it keeps its headings.
@@ -40,6 +40,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var center".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot select body div section article main".split())
+#: Elements of running text: without attributes their shape says nothing.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption address summary".split())
 # Furniture by element, by role, by a word of class or id.
 FURNITURE = frozenset("script style noscript template svg nav footer aside form button select option textarea dialog menu iframe object canvas audio video head title xmp noembed noframes datalist map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -241,21 +243,23 @@ def subtrees(page: Page) -> list[tuple[int, int]]:
     from xxhash import xxh3_64_intdigest
 
     out, place, paths = [], core(page), [""]
+    articles = any(x.article for x in page.nodes)
     for k, x in enumerate(page.nodes[1:], 1):
         paths.append(f"{paths[x.parent]}>{x.tag}.{x.kind}" if place[x.parent] != 2 else "")
-        root = place[k] == 2 and place[x.parent] != 2
-        if not x.parts or x.tag in ("html", "head", "body") or place[k] == 1:
+        if not x.parts or x.tag in ("html", "head", "body"):
             continue
-        if not root and (not x.article or x.said):
+        around = articles and (place[k] == 1 or (place[k] == 2 and place[x.parent] != 2))
+        if not around and (not x.article or x.said):
             out.append((k, _signed(x.digest)))
-        if place[k] == 0:
+        if place[k] == 0 and (x.said or x.tag not in TEXT):
             out.append((k, _signed(xxh3_64_intdigest(f"{paths[k]}\x04{x.shape}".encode("utf-8", "surrogatepass")))))
     return out
 
 
 def core_text(page: Page) -> str:
-    place = core(page)
-    return "".join(t for k, _, t in page.runs if place[k] == 2)
+    """Text of the articles, or of the whole page without them."""
+    articles = [t for k, _, t in page.runs if page.nodes[k].article]
+    return "".join(articles or (t for _, _, t in page.runs))
 
 
 def main_text(page: Page, templates: frozenset[int] = frozenset()) -> str:

@@ -5,8 +5,9 @@ the least room that holds them. Where none does, a bin is opened whose size has
 permitted size that holds the piece the rest is filled, in thought, with the longest pieces still to come, and size plus
 ``OVERHEAD`` is divided by what it would hold. At the end every bin shrinks to the least permitted size of its contents.
 
-Shards are dealt by hash and hold about ``SHARD_TOKENS`` tokens, so a task's work is bounded and no bin spans shards.
-A document without tokens still has its end token: length 1. Repeated rows are packed each. Other columns are ignored.
+Shards are dealt by hash and hold about ``SHARD_TOKENS`` tokens, so a task's work is bounded and no bin spans shards; rows repeated whole
+are dealt apart by where they were read. A document without tokens (null or empty text) still has its end token: length 1. A text longer than
+the largest sequence becomes several pieces. A missing doc_id stays missing. Repeated rows are packed each. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 SIZES = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 8
 SHARD_TOKENS = 4_000_000
+#: Rows repeated whole go to so many shards at most.
+COPIES = 4096
 OUT = "doc_id long, piece int, start long, n_tokens int, shard int, bin_id long, bin_size int, bin_offset int"
 
 
@@ -77,7 +80,7 @@ def pack_lengths(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, overhead:
 def best_fit(docs: DataFrame, length: Column | None = None, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """A row a piece: where it starts in its document, and its bin, the bin's size and its offset there."""
     most = max(sizes)
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("deal"), (n_tokens() if length is None else length).cast("long").alias("n"))
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES))).alias("deal"), (n_tokens() if length is None else length).cast("long").alias("n"))
     total = doc.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_TOKENS))
     pieces = doc.select("*", F.explode(F.expr(f"sequence(0, cast((n - 1) div {most} as int))")).alias("piece")).select(

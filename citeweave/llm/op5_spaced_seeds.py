@@ -5,18 +5,19 @@ select it. Hashes of all masked windows of the benchmark and of a document are j
 and along the diagonal the longest stretch with a share of ``SIMILAR`` equal tokens is verified: at least ``LEAST`` tokens (or
 the whole item if it is shorter), replaced ones at its ends included; what is reported is cut to its equal ends. Items of
 fewer than ``SPAN`` tokens have masks of their own, two of so many blocks that two stay whole under all replacements
-that the share allows; items under ``SHORTEST`` tokens prove nothing and are skipped.
+that the share allows; items of fewer than five tokens match whole and unchanged. ``shortest`` leaves shorter items out (none by default).
 
-Tokens are lower-case runs of letters, digits and underscores. The benchmark goes to the tasks in blocks of at most
-``BLOCK_TOKENS`` tokens, one pass over the documents for each block, so what a task holds is bounded whatever its size.
-Null and empty texts match nothing; repeated rows each report; other columns are ignored.
+Tokens are lower-case runs of letters, digits and underscores. A benchmark of ``BLOCK_TOKENS`` tokens at most goes to the tasks whole: one pass
+over the documents, nothing shuffled. A larger one stays in Spark: its hashes are a table, a map of bits of bounded size tells
+which hashes of a document can meet it, those are joined with the table, and pairs that meet get both texts and are verified in tasks.
+
+Null and empty texts, and missing items, match nothing; repeated rows each report; other columns, whatever their names, are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import let_go
+from citeweave.llm.common import let_go, stash
 
 # The masks; 1 selects a token.
 MASKS = ("110100010011", "101011001001", "111001000101", "100110110010")
 SPAN = 12
-LEAST, SIMILAR, SHORTEST = 13, 0.8, 5
+LEAST, SIMILAR, SHORTEST = 13, 0.8, 1
 BLOCK_TOKENS = 1_000_000
 _TABLE_BITS = 22
+#: Bits of the map of a large benchmark's hashes: 2 ** this, at most.
+MAP_BITS = 27
 _TOKEN = re.compile(r"\w+")
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -58,6 +61,12 @@ def short_masks(n: int) -> list[list[int]]:
     return [np.concatenate(two).tolist() for two in combinations(np.array_split(np.arange(n), replaced + 2), 2)]
 
 
+def mask_list(lengths: set[int]) -> list[tuple[list[int], Callable[[int], bool]]]:
+    """Offsets of each mask, and which lengths of items it is for."""
+    spaced = [([i for i, c in enumerate(m) if c == "1"], lambda n: n >= SPAN) for m in MASKS]
+    return spaced + [(o, lambda n, s=s: n == s) for s in sorted(lengths) if s < SPAN for o in short_masks(s)]
+
+
 def longest(same: np.ndarray) -> tuple[int, int]:
     """The longest stretch with ``SIMILAR`` equal tokens or more, as a half-open range; the first of several."""
     total = np.concatenate([[0], np.cumsum(np.where(same, round(100 * (1 - SIMILAR)), -round(100 * SIMILAR)))])
@@ -71,17 +80,15 @@ def longest(same: np.ndarray) -> tuple[int, int]:
 class Seeds:
     """A block of the benchmark: its vocabulary, and for each mask its hashes in order with item and position."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             own = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text)]
-            if len(own) >= SHORTEST:
+            if len(own) >= max(shortest, 1):
                 self.items.append((item_id, np.array(own, np.uint64)))
-        spaced = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-        short = sorted({len(x) for _, x in self.items if len(x) < SPAN})
         self.masks = []
-        for offsets, fits in [(o, lambda n: n >= SPAN) for o in spaced] + [(o, lambda n, s=s: n == s) for s in short for o in short_masks(s)]:
+        for offsets, fits in mask_list({len(x) for _, x in self.items}):
             found = [(masked(x, offsets), k) for k, (_, x) in enumerate(self.items) if fits(len(x))]
             if not found:
                 continue
@@ -108,19 +115,22 @@ class Seeds:
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
     def verified(self, ids: np.ndarray, begin: int, end: int, k: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """(start in the item, start in the tokens, length, equal) of the best stretch on a diagonal inside [begin, end)."""
-        item = self.items[k][1]
-        a, b = max(0, begin - diagonal), min(len(item), end - diagonal)
-        if b <= a:
-            return None
-        same = item[a:b] == ids[diagonal + a : diagonal + b]
-        start, stop = longest(same)
-        if stop - start < min(LEAST, len(item)):
-            return None
-        ends = np.flatnonzero(same[start:stop])
-        start, stop, equal = start + int(ends[0]), start + int(ends[-1]) + 1, len(ends)
-        length = stop - start
-        return a + start, diagonal + a + start, length, equal
+        return verified(self.items[k][1], ids, begin, end, diagonal)
+
+
+def verified(item: np.ndarray, ids: np.ndarray, begin: int, end: int, diagonal: int) -> tuple[int, int, int, int] | None:
+    """(start in the item, start in the tokens, length, equal) of the best stretch on a diagonal inside [begin, end)."""
+    a, b = max(0, begin - diagonal), min(len(item), end - diagonal)
+    if b <= a:
+        return None
+    same = item[a:b] == ids[diagonal + a : diagonal + b]
+    start, stop = longest(same)
+    if stop - start < min(LEAST, len(item)):
+        return None
+    ends = np.flatnonzero(same[start:stop])
+    start, stop, equal = start + int(ends[0]), start + int(ends[-1]) + 1, len(ends)
+    length = stop - start
+    return a + start, diagonal + a + start, length, equal
 
 
 def overlaps_of(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -151,31 +161,108 @@ def overlaps_of(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, in
         yield d, seeds.items[k][0], i, t - begins[d], length, equal
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+FOUND = ("item_start", "doc_start", "n_tokens", "n_equal")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each document and benchmark item that it holds: (doc_id, item_id, item_start, doc_start, n_tokens, n_equal)."""
-    rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // (4 * BLOCK_TOKENS)))
+    if size > 4 * block_tokens:
+        return _joined(docs, rows, shortest)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    block = [tuple(r) for r in rows.collect()]
+    made: list[Seeds] = []
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            made.append(Seeds(block, shortest))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                ids = batch.column(0).slice(i, 500)
+                found = list(overlaps_of(made[0], batch.column(1).slice(i, 500).to_pylist()))
+                columns = list(zip(*found)) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "item_id", *FOUND]
+                )
+        let_go()
+
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id long, item_start long, doc_start long, n_tokens long, n_equal long")
+
+
+def word_ids(words: list[str]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(w.encode()) for w in words], np.uint64)
+
+
+def _joined(docs: DataFrame, rows: DataFrame, shortest: int) -> DataFrame:
+    """The same rows for a benchmark of any size, by joins on (mask, hash)."""
+    # an item is known by the number that it gets when it is written; a document by two hashes of its row
+    items = stash(rows.withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    masks = mask_list(set(range(max(shortest, 1), SPAN)))
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = word_ids(tokens(text))
+                for m, (offsets, fits) in enumerate(masks):
+                    if len(ids) >= max(shortest, 1) and fits(len(ids)):
+                        h = masked(ids, offsets)
+                        out.append((np.full(len(h), m, np.int32), h.view(np.int64), np.full(len(h), item), np.arange(len(h))))
+            columns = [np.concatenate(c) for c in zip(*out)] or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["mask", "hash", "item", "at"])
+
+    table = stash(items.select("item", "text").mapInArrow(seeds, "mask int, hash long, item long, at long"), "seeds")
+    used = [r[0] for r in table.select("mask").distinct().collect()]
+    bits = min(MAP_BITS, max(16, (16 * max(table.count(), 1)).bit_length()))
+    top = table.select(F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("t")).select(F.expr("shiftright(t, 6)").alias("cell"), F.expr("shiftleft(1L, cast(t % 64 as int))").alias("bit"))
+    cells = top.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
+    known = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+    for r in cells:
+        known[r.cell] = r.bits & (2**64 - 1)
+    known = docs.sparkSession.sparkContext.broadcast(known)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = known.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part, out = batch.slice(i, 500), []
+                for k, text in enumerate(part.column(2).to_pylist()):
+                    ids = word_ids(tokens(text))
+                    for m in used:
+                        h = masked(ids, masks[m][0])
+                        t = h >> np.uint64(64 - bits)
+                        at = np.flatnonzero(cell[(t >> np.uint64(6)).astype(np.int64)] >> (t & np.uint64(63)) & np.uint64(1))
+                        out.append((np.full(len(at), k), np.full(len(at), m, np.int32), h[at].view(np.int64), at))
+                row, *columns = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64)] * 4
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64())))], names=["k1", "k2", "mask", "hash", "place"]
+                )
+        let_go()
+
+    keyed = docs.filter("text <> ''").select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("k2"), "doc_id", "text")
+    hits = keyed.select("k1", "k2", "text").mapInArrow(probe, "k1 long, k2 long, mask int, hash long, place long")
+    met = stash(hits.join(table, ["mask", "hash"]).select("k1", "k2", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct(), "seed-hits")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (text, item, diagonal) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+                ids = word_ids(tokens(text))
+                found = verified(word_ids(tokens(item)), ids, 0, len(ids), diagonal)
+                if found:
+                    rows.append((k, *found))
+            at, *columns = zip(*rows) if rows else [()] * 5
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *(pa.array(c, pa.int64()) for c in columns)], names=["k1", "k2", "item", *FOUND])
+        let_go()
 
-    def against(block: list[tuple[int, str]]) -> DataFrame:
-        made: list[Seeds] = []
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not made:
-                made.append(Seeds(block))
-            names = ["item_id", "item_start", "doc_start", "n_tokens", "n_equal"]
-            for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    ids = batch.column(0).slice(i, 500)
-                    found = list(overlaps_of(made[0], batch.column(1).slice(i, 500).to_pylist()))
-                    columns = list(zip(*found)) or [()] * 6
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *names]
-                    )
-            let_go()
-
-        return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id long, item_start long, doc_start long, n_tokens long, n_equal long")
-
-    blocks = ([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()] for b in range(n))
-    return reduce(DataFrame.union, (against(b) for b in blocks))
+    hit = keyed.select("k1", "k2", "text").join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    texts = met.join(items.select("item", F.col("text").alias("item_text")), "item").join(hit.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+    shape = "k1 long, k2 long, item long, item_start long, doc_start long, n_tokens long, n_equal long"
+    good = texts.select("k1", "k2", "item", "text", "item_text", "diagonal").mapInArrow(check, shape)
+    best = good.groupBy("k1", "k2", "item").agg(F.max_by(F.struct(*FOUND), F.struct("n_equal", -F.col("doc_start"))).alias("f"))
+    return keyed.select("k1", "k2", "doc_id").join(best, ["k1", "k2"]).join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "f.*")

@@ -63,3 +63,23 @@ def test_everything_is_packed(spark, sf, stages):
     assert sum(r.n_tokens for r in packed) == sum(len((t or "").split()) + 1 for t in texts(stages[4]).values())
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
     assert op10_bayes_jaccard.THRESHOLD == 0.8
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, an empty table, and columns with the names that stages use themselves."""
+    import corpus_pipeline
+
+    text = "A text of some words. It goes on for a while so that it has shingles and lines. " * 3
+    rows = [(1, text), (1, text), (None, text + "More."), (2, None), (3, ""), (4, "short"), (5, " \n "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", 0.5, True, True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __row string, __score double, __emptied boolean, __repeats boolean")
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (2, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "quite another passage of the benchmark"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for start in (docs, docs.limit(0)):
+        now = stash(start, "edges")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stash(stage(spark, now, sf), "edges-" + re.sub(r"\W", "-", name))
+            assert out.columns == docs.columns and out.count() <= now.count(), name
+            now = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
