@@ -111,10 +111,38 @@ def test_filename_candidates(spark):
     assert got[4, "filename_title_only"].title == "waves in wood"
 
 
-def test_header_lines():
-    assert extract.header_lines("Downloaded from x\n\nWAVES IN WOOD\nAnn Reed, Bo Stone\nAbstract")[:2] == ("Waves In Wood", "Ann Reed, Bo Stone")
-    assert extract.header_lines("Journal of Wood\nOn waves in wood\nAnn Reed\n")[:2] == ("On waves in wood", "Ann Reed")
-    assert extract.header_lines("12\n")[0] == ""
+def test_header_lines(spark):
+    texts = [
+        "Downloaded from x\n\nWAVES IN WOOD\nAnn Reed, Bo Stone\nAbstract", "Journal of Wood\nOn waves in wood\nAnn Reed\n", "12\n", "STATE-OF-ART: WOOD\r\nA SECOND LINE\nAuthor(s): Ann Reed\nBo",
+        "W A V E S\nThe growth of trees\nabstract:", "Published as a conference paper at X 1999: Waves in deep wood\nAnn Reed", "short\ntiny", "Proceedings of wood in summer\n1999\nJournal of Wood", None, "", "x\u2028On waves and wood",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r.h.title, r.h.authors, r.h.head != "") for r in extract.with_header(df).orderBy("doc_id").collect()]
+    assert got == [
+        ("Waves In Wood", "Ann Reed, Bo Stone", True), ("On waves in wood", "Ann Reed", True), ("", "", False), ("State-Of-Art: Wood: A Second Line", "Ann Reed", True), ("The growth of trees", "", True),
+        ("Ann Reed", "", True), ("short", "tiny", True), ("", "1999", True), ("", "", False), ("", "", False), ("On waves and wood", "", True),
+    ]
+
+
+def test_ligatures_against_plain_python(spark):
+    """Pairs of words of all kinds in a row, joined by regular expressions with a function."""
+    import random
+
+    rng = random.Random(4)
+    words = ["B", "F", "I", "A", "Xyz", "Low", "the", "The", "Ab", "cde", "Fgh", "É", "Éa", "(B", "Ode)", "C", "Re", "Longer", "x1", "_B"]
+    texts = [(" " if k % 2 else "  ").join(rng.choice(words) for _ in range(rng.randint(1, 14))) for k in range(400)]
+    low = lambda m: m[1] + m[2].lower()
+
+    def title(t):
+        if len(re.findall(repair.TITLE_SPLIT, t)) < 2:
+            return t
+        t = re.sub(repair.TITLE_SPLIT, low, t)
+        for _ in range(repair.ROUNDS):
+            t = re.sub(repair.FRAGMENT, lambda m: m[0] if m[1].lower() in repair.STAY_APART else low(m), t)
+        return t
+
+    assert apply(spark, repair.repair_title_ligatures, texts) == [title(t) for t in texts]
+    assert apply(spark, repair.repair_ligatures, texts) == [re.sub(repair.TEXT_SPLIT, low, t) if len(re.findall(repair.TEXT_SPLIT, t)) >= 3 else t for t in texts]
 
 
 def candidate(pos, source, title, authors=(), year="", doi="", priority=10):
