@@ -6,7 +6,10 @@ Written for DuckDB's RE2 (no look-around) and its list functions, independently
 from __future__ import annotations
 
 from citeweave.functions import quality as q
+from citeweave.functions import repair
+from citeweave.functions import text as tx
 from citeweave.functions.sanity import IDENTIFIER_SOURCES, SEARCH_SOURCES, STOP_WORDS
+from citeweave.operators import extract
 
 BLANKS = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -259,6 +262,74 @@ def sanity_score(ttl: str, names: str, source: str, norm: str, name_words: str,
     )
 
 
+# names of files, split words and header lines
+
+
+def footnotes(x: str) -> str:
+    bare = f"translate({x}, {text(tx.FOOTNOTE_SIGNS)}, '')"
+    return strip(sub(sub(bare, "([a-zA-Z])[0-9]+", r"\1"), r"[\s]+[0-9]+(\s|$)", r" \1"))
+
+
+def decamel(x: str) -> str:
+    for pattern in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
+        x = sub(x, pattern, r"\1 \2")
+    return x
+
+
+def file_title(x: str) -> str:
+    s = sub(sub(f"replace({decamel(clean(x))}, '_', ' ')", r"^\[[^\]]{1,200}\]\s*"), rf"[{BLANKS}]+", " ")
+    s = f"(CASE WHEN length({s}) - length(replace({s}, '-', '')) >= 4 AND NOT contains({s}, ' ') THEN replace({s}, '-', ' ') ELSE {s} END)"
+    s = sub(sub(sub(s, tx.TRAILING_WORDS.replace("(?iU)", "(?i)").replace(r"\z", "$")), tx.CONFERENCE_YEAR), r"(?i)^[0-9]{4}[_ -]+book[_ -]+")
+    return clean(strip(sub(sub(s, r"\s*\([0-9]+\)$"), rf"[{BLANKS}]+", " "), " -_."))
+
+
+def small_first(x: str) -> str:
+    return f"concat(lower(substr({x}, 1, 1)), substr({x}, 2))"
+
+
+def halves_joined(x: str, letters: str) -> str:
+    """Of ASCII text."""
+    met = f"list_transform(regexp_extract_all({x}, '\\b[B-HJ-Z]\\s+[A-Z][a-z]{letters}\\b'), lambda m: concat(substr(m, 1, 1), {small_first("trim(substr(m, 2), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")}))"
+    gaps = f"regexp_split_to_array({x}, '\\b[B-HJ-Z]\\s+[A-Z][a-z]{letters}\\b')"
+    return f"array_to_string(list_transform({gaps}, lambda g, i: concat(g, coalesce({met}[i], ''))), '')"
+
+
+def fragments_joined(x: str) -> str:
+    """One round, of ASCII text."""
+    whole = r"\b[A-Za-z][a-z]{1,4}\s+[A-Z][a-z]{2,}\b"
+    first, second = (f"regexp_extract(m, '^(\\S+)\\s+(\\S+)$', {k})" for k in (1, 2))
+    met = f"list_transform({found0(x, whole)}, lambda m: CASE WHEN list_contains({lst(repair.STAY_APART)}, lower({first})) THEN m ELSE concat({first}, {small_first(second)}) END)"
+    return f"array_to_string(list_transform(regexp_split_to_array({x}, {text(whole)}), lambda g, i: concat(g, coalesce({met}[i], ''))), '')"
+
+
+def found0(x: str, pattern: str) -> str:
+    return f"regexp_extract_all({x}, {text(pattern)})"
+
+
+def title_case(x: str) -> str:
+    return f"array_to_string(list_transform({found0(x, r'\pL+|\PL+')}, lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), '')"
+
+
+def kept_lines(x: str) -> str:
+    ends = text(r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]")
+    lines = f"list_filter(list_transform(regexp_split_to_array({x}, {ends}), lambda l: {clean('l')}), lambda l: l <> '')[1:{extract.KEPT_LINES}]"
+    named = f"list_transform({lines}, lambda l: CASE WHEN lower(l) LIKE 'author(s):%' THEN trim(substr(l, 11)) WHEN NOT {noise('l')} THEN l END)"
+    return f"list_filter({named}, lambda l: l IS NOT NULL)"
+
+
+def line_fits(x: str) -> str:
+    """Whether a line can be a title (conference lines are noise and never come here)."""
+    capitals = match(x, extract.CAPITALS.replace(r"\z", "$"))
+    n = f"len(string_split({x}, ' '))"
+    spaced = f"len(list_filter(string_split({x}, ' '), lambda w: {match('w', r'^\pL$')})) > 0.4 * {n}"
+    prose = f"({n} >= 3 AND NOT {match(x, extract.LONE_YEAR.replace(r'\z', '$'))} AND NOT lower({x}) LIKE 'proceedings%')"
+    return f"(length({x}) BETWEEN 6 AND 220 AND NOT {journal_header(x)} AND CASE WHEN {capitals} THEN NOT {spaced} ELSE {prose} END)"
+
+
+def capitals(x: str) -> str:
+    return f"({match(x, r'\pL')} AND length({sub(x, r'[^\pL]|\p{Lu}')}) = 0 AND NOT contains({x}, ',') AND NOT {match(x, r'\b[A-Z]\.\s')} AND len(string_split({x}, ' ')) >= 2)"
+
+
 # similarity of titles
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.functions import identifiers as ids
 from citeweave.functions import quality
 
 from citeweave.operators import candidates as cands
@@ -274,7 +275,26 @@ def h11(spark, sf_dir):
     return decide.merge_missing(a, b).select("doc_id", "year", "doi", F.array_join("authors", "; ").alias("authors"), F.array_join("notes", " | ").alias("notes"))
 
 
-@query("a20_debug_columns")
+_GUESSES = "[" + ", ".join(f"concat({d.text(p)}, stem)" for p in ids.NUMERIC_STEM_PREFIXES) + "]"
+
+
+def _listed(kind: str) -> str:
+    return f"coalesce((SELECT string_agg(value, '; ' ORDER BY pos) FROM pool p WHERE p.doc_id = g.doc_id AND p.kind = '{kind}'), '')"
+
+
+@query(
+    "a20_debug_columns",
+    rules.based(
+        f""", w AS (SELECT doc_id, regexp_extract(path, '([^/]*)\\.pdf$', 1) AS stem FROM m), guess AS (SELECT doc_id, {_GUESSES} AS gs FROM w WHERE {d.match('stem', '^[0-9]{7,10}$')}),
+    own AS (SELECT doc_id, list(value ORDER BY pos) AS vs FROM pool WHERE kind = 'doi' GROUP BY 1),
+    dois AS (SELECT doc_id, list_concat(list_concat(list_filter(coalesce(gs, [])[1:1], lambda x: NOT list_contains(coalesce(vs, []), x)), coalesce(vs, [])), coalesce(gs, [])) AS ds FROM own FULL JOIN guess USING (doc_id)),
+    g AS (SELECT doc_id, string_agg(source, ' | ' ORDER BY pos) AS candidate_sources, cast(to_json(list(struct_pack(arxiv := arxiv, authors := names, doi := doi, isbn := isbn, notes := notes, priority := priority, source := source, title := title, year := year) ORDER BY pos)) AS varchar) AS candidates_json,
+      arg_min(struct_pack(t := title, a := array_to_string(names, '; '), y := year), pos) FILTER (WHERE source = 'grobid' AND title <> '') AS gb FROM c GROUP BY 1),
+    b AS (SELECT doc_id, source FROM (SELECT *, {rules.QUALITY} AS quality FROM c) WHERE {rules.USEFUL} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {rules.RANK}) = 1)
+    SELECT doc_id, candidate_sources, candidates_json, coalesce(b.source, '') AS local_best_source, coalesce(gb.t, '') AS grobid_title, coalesce(gb.a, '') AS grobid_authors, coalesce(gb.y, '') AS grobid_year,
+      coalesce(array_to_string(list_filter(ds, lambda x, i: list_position(ds, x) = i), '; '), '') AS identifier_dois, {_listed('isbn')} AS identifier_isbns, {_listed('arxiv')} AS identifier_arxivs FROM g LEFT JOIN b USING (doc_id) LEFT JOIN dois USING (doc_id)"""
+    ),
+)
 def a20(spark, sf_dir):
     c = candidates(spark, sf_dir)
     return cands.debug_columns(c, identifier_pool(documents(spark, sf_dir), c))

@@ -161,7 +161,11 @@ def g9(spark, sf_dir):
     return reports.top_slowest(profile(spark, sf_dir), ("File Wall s", "Resolve Total s"), 5).select("column", F.round("seconds", 6).alias("seconds"), F.col("File Path").alias("path"), "nth")
 
 
-@query("g12_candidate_evidence")
+@query(
+    "g12_candidate_evidence",
+    f"WITH j AS MATERIALIZED ({_JOINED}) SELECT \"File Path\", 0 AS pos, 'GROBID' AS source, \"Title\" AS title, '' AS authors, '' AS year FROM j UNION ALL SELECT \"File Path\", 1, 'grobid', \"Title\", 'Jo Stone', '2001' FROM j "
+    "UNION ALL SELECT \"File Path\", 2, '(unknown)', '', '', '' FROM j",
+)
 def g12(spark, sf_dir):
     cell = F.concat(F.lit('[{"source":"grobid","title":"'), "Title", F.lit('","authors":["Jo Stone",""],"year":"2001"},{"title":""}]'))
     rows = joined(spark, sf_dir).withColumns({"Candidates JSON": cell, "GROBID Title": F.col("Title"), "GROBID Authors": F.lit(""), "GROBID Year": F.lit("")})

@@ -110,7 +110,10 @@ def a19(spark, sf_dir):
     return out.select("doc_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "source")
 
 
-@query("a15_arxiv_atom")
+@query(
+    "a15_arxiv_atom",
+    "SELECT 'arxiv_id' AS source, concat('On order ', o_orderkey) AS title, 'Jo Stone' AS authors, cast(extract(year FROM o_orderdate) AS varchar) AS year, concat('10.1000/x', o_orderkey) AS doi, '' AS isbn, concat('2001.', lpad(cast(o_orderkey AS varchar), 5, '0')) AS arxiv, '' AS publisher FROM orders",
+)
 def a15(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     feed = F.concat(
@@ -121,7 +124,7 @@ def a15(spark, sf_dir):
     return out.withColumn("authors", F.array_join("authors", "; "))
 
 
-@query("a16_tei_candidates")
+@query("a16_tei_candidates", "SELECT o_orderkey AS doc_id, concat('On order ', o_orderkey, ' of widgets') AS title, 'Jo Stone' AS authors, 'grobid' AS source, 12 AS priority FROM orders")
 def a16(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     tei = F.concat(
@@ -146,6 +149,41 @@ def a3(spark, sf_dir):
     return files.result_rows(routed, ["doc_id", "route"]).select("doc_id", "route", F.col("Sanity Score").alias("score"), F.col("Auto Safe").alias("safe"))
 
 
+@query(
+    "a3_written_tables",
+    "WITH r AS (SELECT o_orderkey AS k, o_orderkey % 3 AS m FROM orders) SELECT 'auto' AS route, concat('/lib/', k) AS path, CASE WHEN m = 0 THEN 'yes' ELSE 'no' END AS safe, CASE WHEN m = 1 THEN 'yes' ELSE 'no' END AS soft, 'A; \"B\"' AS authors FROM r WHERE m < 2 "
+    "UNION ALL SELECT 'soft', concat('/lib/', k), 'no', 'yes', 'A; \"B\"' FROM r WHERE m = 1 UNION ALL SELECT 'review', concat('/lib/', k), 'no', 'no', 'A; \"B\"' FROM r WHERE m = 2",
+)
+def a3_written(spark, sf_dir):
+    k, folder = F.col("o_orderkey"), scratch(spark, "routed")
+    none = F.expr("cast(array() as array<string>)")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("/lib/"), k.cast("string")).alias("path"), none.alias("tags"), F.array(F.lit("A"), F.lit('"B"')).alias("authors"), none.alias("notes"), none.alias("soft_auto_reasons"), F.lit(0.5).alias("sanity_score"),
+        (k % 3 == 0).alias("auto_safe"), (k % 3 == 1).alias("soft_auto"), F.lit("x").alias("source"),
+    )
+    files.write_routed(rows, folder)
+    tables = [files.read_results(spark, f"{folder}/route={r}").select(F.lit(r).alias("route"), F.col("File Path").alias("path"), F.col("Auto Safe").alias("safe"), F.col("Soft Auto").alias("soft"), F.col("Authors").alias("authors")) for r in ("auto", "soft", "review")]
+    return tables[0].union(tables[1]).union(tables[2])
+
+
+@query("a1_list_documents", "SELECT DISTINCT cast(n_regionkey AS varchar) AS folder FROM nation ORDER BY 1 LIMIT 3 OFFSET 1")
+def a1(spark, sf_dir):
+    """A file a region, listed by path: the first left out, three taken."""
+    folder = scratch(spark, "files")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").repartition(1).write.partitionBy("n_regionkey").parquet(folder)
+    return files.list_documents(spark, folder, 1, 3, "*.parquet").select(F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).alias("folder"))
+
+
+@query("a7_read_responses", "SELECT concat('namespace=n', s_nationkey % 3) AS namespace, cast(s_suppkey AS varchar) AS k, s_name AS name, true AS keyed FROM supplier")
+def a7(spark, sf_dir):
+    """A file a supplier in three folders, read back as responses."""
+    folder = scratch(spark, "responses")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("n"), (F.col("s_nationkey") % 3).cast("string")).alias("namespace"), F.col("s_suppkey").alias("k"), "s_name")
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("namespace").json(folder)
+    got = files.read_responses(spark, folder)
+    return got.select("namespace", F.get_json_object("payload", "$.k").alias("k"), F.get_json_object("payload", "$.s_name").alias("name"), (F.length("key_sha1") > 0).alias("keyed"))
+
+
 @query(
     "a2_read_results",
     f"SELECT regexp_extract(\"File Path\", '([^/]*)$', 1) AS file, \"Title\" AS title, \"Authors\" AS authors, \"Error\" AS error FROM {from_(src.RESULTS)}",

@@ -57,7 +57,7 @@ def b4(spark, sf_dir):
     return src.load(spark, sf_dir, src.NAMES).select("id", tx.clean_author_name(r).alias("name"), tx.normalize_author(r).alias("norm"), tx.author_surname(r).alias("surname"))
 
 
-@query("b6_footnote_markers")
+@query("b6_footnote_markers", f"SELECT id, {d.footnotes("concat(raw, '†12 *')")} AS name FROM {_from(src.NAMES)}")
 def b6(spark, sf_dir):
     marked = F.concat("raw", F.lit("†12 *"))
     return src.load(spark, sf_dir, src.NAMES).select("id", tx.strip_footnote_markers(marked).alias("name"))
@@ -68,7 +68,10 @@ def b7(spark, sf_dir):
     return src.load(spark, sf_dir, src.NAMES).select("id", F.array_join(tx.split_authors(F.col("raw")), " | ").alias("names"))
 
 
-@query("b9_b10_filename_text")
+_INITIALS = "array_to_string(list_transform(string_split(lower(title), ' '), lambda w: concat(upper(substr(w, 1, 1)), substr(w, 2))), ' ')"
+
+
+@query("b9_b10_filename_text", f"SELECT id, {d.decamel("replace(name, ' ', '')")} AS split, {d.file_title('name')} AS cleaned FROM (SELECT id, concat('[Series] NIPS-2019-', {_INITIALS}, id, '_main') AS name FROM {_from(src.TITLES)})")
 def b9(spark, sf_dir):
     name = F.concat(F.lit("[Series] NIPS-2019-"), F.initcap("title"), F.col("id").cast("string"), F.lit("_main"))
     return src.load(spark, sf_dir, src.TITLES).select("id", tx.decamelize(F.replace(name, F.lit(" "), F.lit(""))).alias("split"), tx.clean_filename_text(name).alias("cleaned"))
@@ -84,10 +87,27 @@ def b14(spark, sf_dir):
     return mentions(spark, sf_dir).select("doc_id", tx.normalize_filename(p).alias("norm"), F.array_join(tx.path_tags("/lib", p), ", ").alias("tags"))
 
 
-@query("b12_b13_ligatures")
+def _broken(x: str) -> str:
+    return d.sub(d.sub(f"coalesce({x}, '')", r"[^\x00-\x7f]"), r"\b([A-Z])([a-z])([a-z]{3,})", r"\1 X\3")
+
+
+def _repaired() -> str:
+    """Whole texts without their accents, words broken; the title rounds one below the other."""
+    rounds = "SELECT id, t, y, " + d.halves_joined("t", "{1,}") + " AS u FROM w"
+    for _ in range(repair.ROUNDS):
+        rounds = f"SELECT id, t, y, {d.fragments_joined('u')} AS u FROM ({rounds})"
+    count = lambda p: f"len({d.found0('t', p)})"
+    return (
+        f"WITH w AS MATERIALIZED (SELECT doc_id AS id, {_broken('text')} AS t, {d.halves_joined(_broken('text'), '{2,}')} AS y FROM documents) SELECT id AS doc_id, sha256(CASE WHEN {count(repair.TEXT_SPLIT)} >= 3 THEN y ELSE t END) AS text, "
+        f"sha256(CASE WHEN {count(repair.TITLE_SPLIT)} >= 2 THEN u ELSE t END) AS title FROM ({rounds})"
+    )
+
+
+@query("b12_b13_ligatures", _repaired())
 def b12(spark, sf_dir):
-    broken = F.regexp_replace("text", r"\b([A-Z])([a-z])([a-z]{3,})", "$1 X$3")
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(repair.repair_ligatures(broken), 256).alias("text"), repair.repair_title_ligatures(broken.substr(1, 80)).alias("title"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7f]", "")
+    df = _docs(spark, sf_dir).select("doc_id", F.regexp_replace(plain, r"\b([A-Z])([a-z])([a-z]{3,})", "$1 X$3").alias("t"))
+    return df.select("doc_id", F.sha2(repair.repair_ligatures(F.col("t")), 256).alias("text"), F.sha2(repair.repair_title_ligatures(F.col("t")), 256).alias("title"))
 
 
 MENTION_SQL = _from(src.MENTIONS)
@@ -230,9 +250,32 @@ def e1(spark, sf_dir):
     return extract.candidates_from_filename(t.select(F.col("id").alias("doc_id"), F.concat(F.lit("/lib/"), F.replace(made, F.lit("/"), F.lit("_")), F.lit(".pdf")).alias("path")))
 
 
-@query("e2_header_candidates")
+#: Documents behind header lines of several kinds.
+HEADERS = (
+    "SELECT doc_id, concat(CASE doc_id % 6 WHEN 0 THEN concat('Downloaded from here', chr(10), 'WAVES IN DEEP WOOD OF ', upper(source), chr(10), 'A THEORY OF ALL', chr(10), 'Ann Reed, Bo Stone', chr(10)) "
+    "WHEN 1 THEN concat('Journal of Wood', chr(13), chr(10), 'On the  growth of ', source, ' trees', chr(10), 'Ann Reed; Bo Stone†1', chr(10)) WHEN 2 THEN concat('STATE-OF-ART: WOOD', chr(10), 'Author(s): Cy Lee', chr(10)) "
+    "WHEN 3 THEN concat('short', chr(10), 'tiny', chr(10)) WHEN 4 THEN concat('Proceedings of 1999 in doc', chr(10), 'W A V E S', chr(10), 'Trees of ', source, ' in 2001', chr(10), 'by the editors:', chr(10)) ELSE '' END, coalesce(text, '')) AS text FROM {documents}"
+)
+
+
+def _headed() -> str:
+    title = f"CASE WHEN k = 0 THEN substr(coalesce(lines[1], ''), 1, 220) WHEN sub THEN concat(rtrim({d.title_case('lines[k]')}, ':'), ': ', {d.title_case('nxt')}) WHEN caps THEN {d.title_case('lines[k]')} ELSE lines[k] END"
+    title = title.replace(f"rtrim({d.title_case('lines[k]')}, ':')", f"rtrim(CASE WHEN caps THEN {d.title_case('lines[k]')} ELSE lines[k] END, ':')")
+    names = f"CASE WHEN k = 0 THEN coalesce(lines[2], '') WHEN {d.author_line('third')} AND (caps OR length(third) < 120) THEN third ELSE '' END"
+    split = f"list_filter(list_transform({d.split_authors('names')}, lambda a: {d.footnotes('a')}), lambda a: a <> '')"
+    fits = f"list_transform(lines[1:{extract.TITLE_LINES}], lambda l: {d.line_fits('l')})"
+    return (
+        f"WITH a AS MATERIALIZED (SELECT doc_id, {d.kept_lines('text')} AS lines FROM {_from(HEADERS)}), b AS MATERIALIZED (SELECT *, coalesce(list_position({fits}, true), 0) AS k FROM a WHERE len(lines) > 0), "
+        f"c AS (SELECT *, coalesce(lines[k + 1], '') AS nxt, k > 0 AND {d.match('coalesce(lines[k], chr(0))', extract.CAPITALS.replace(chr(92) + 'z', '$'))} AS caps FROM b), "
+        f"e AS (SELECT *, {d.capitals('nxt')} AS sub FROM c), f AS (SELECT *, CASE WHEN sub THEN coalesce(lines[k + 2], '') ELSE nxt END AS third FROM e), g AS MATERIALIZED (SELECT *, {title} AS title, {names} AS names FROM f) "
+        f"SELECT doc_id, CASE WHEN {d.journal_header('title')} THEN '' ELSE title END AS title, array_to_string({split}, '; ') AS authors, {d.first_year(f"array_to_string(lines[1:{extract.TITLE_LINES}], ' ')")} AS year, 'text_header' AS source, 90 AS priority FROM g"
+    )
+
+
+@query("e2_header_candidates", _headed())
 def e2(spark, sf_dir):
-    return extract.candidates_from_header(_docs(spark, sf_dir).select("doc_id", "text"))
+    out = extract.candidates_from_header(src.load(spark, sf_dir, HEADERS))
+    return out.select("doc_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "source", "priority")
 
 
 PAIRS = (

@@ -36,9 +36,9 @@ def yes_no(c: Column) -> Column:
     return F.when(c, "yes").otherwise("no")
 
 
-def list_documents(spark: SparkSession, root: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """(path, length, modificationTime) of all ``*.pdf`` below ``root`` by path; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(root)
+def list_documents(spark: SparkSession, root: str, offset: int = 0, limit: int | None = None, pattern: str = "*.pdf") -> DataFrame:
+    """(path, length, modificationTime) of all files of the pattern below ``root`` by path; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     out = found.select("path", "length", "modificationTime").orderBy("path").offset(offset)
     return out if limit is None else out.limit(limit)
 
