@@ -5,7 +5,10 @@ matches alternate, so a running sum of their code-point lengths gives every star
 matcher stays linear: a look-behind admits a run's first character only and possessive loops never retry, which leaves
 the leftmost non-overlapping matches of the plain pattern as they are.
 
-Null text counts as empty: no spans, zero counts. Repeated rows get equal answers. Other columns pass through.
+Base kinds keep every confirmed span. Of the kinds added here (account, insurance, identity and tax numbers with check digits, and secrets) those count whose
+score, moved by words nearby, is ``ENOUGH`` or more: a number whose check digit one in 23 passes needs its name nearby.
+
+Null text counts as empty: no spans, zero counts. Repeated rows get equal answers. Texts are read whole. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,18 +23,30 @@ KINDS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "nir": r"(?<![0-9])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]|[2-9][0-9]) ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])",
+    "dni": r"(?<![A-Za-z0-9])[0-9]{8}-?[A-HJ-NP-TV-Z](?![A-Za-z0-9])",
+    "cpf": r"(?<![0-9])[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,72}+|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----)(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without a match of this has no span of the kind.
-GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}"}
+GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "nir": "[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2}", "dni": "[0-9]{8}-?[A-Z]", "cpf": r"[0-9]\.[0-9]{3}\.[0-9]{3}-", "secret": "AKIA|ghp_|xox[abp]-|PRIVATE KEY"}
+#: Letters of Spanish identity numbers by remainder.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Least score of an added kind's span.
+ENOUGH = 0.5
 #: Score before and weight of words nearby; those words for and against.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "nir": 0.6, "dni": 0.4, "cpf": 0.7, "secret": 0.9}
 FOR = {
     "email": r"\b(?:e-?mail|mail|contact|write|reach)\b",
     "ip": r"\b(?:ip|host|server|address|login)\b",
     "card": r"\b(?:card|visa|credit|debit|payment|cvv)\b",
     "phone": r"\b(?:phone|tel|call|mobile|fax|contact)\b",
     "iban": r"\b(?:iban|account|bank|transfer)\b",
+    "nir": r"\b(?:nir|insee|sécurité|sociale|secu)\b",
+    "dni": r"\b(?:dni|nif|identidad|documento|identity)\b",
+    "cpf": r"\b(?:cpf|cadastro|contribuinte|tax)\b",
+    "secret": r"\b(?:key|token|secret|password|credentials?)\b",
 }
 AGAINST = {
     "email": r"\b(?:example|noreply|no-reply)\b",
@@ -39,6 +54,10 @@ AGAINST = {
     "card": r"\b(?:order|invoice|serial|part|tracking)\b",
     "phone": r"\b(?:isbn|serial|version|order)\b",
     "iban": r"\b(?:serial|version|model)\b",
+    "nir": r"\b(?:serial|order|tracking|invoice)\b",
+    "dni": r"\b(?:serial|order|part|model)\b",
+    "cpf": r"\b(?:serial|order|part|model)\b",
+    "secret": r"\b(?:example|sample|dummy)\b",
 }
 AROUND = 40
 _BLOCK = 512
@@ -111,13 +130,23 @@ def confirmed(kind: str, v: Column) -> Column:
         return n.between(10, 15)
     if kind == "iban":
         return F.when(F.length(F.regexp_replace(v, " ", "")).between(15, 34), mod97(v)).otherwise(False)
+    if kind == "nir":  # the last two digits make the others up to a multiple of 97
+        d = digits(v)
+        return (d.substr(1, 13).cast("long") + d.substr(14, 2).cast("long")) % 97 == 0
+    if kind == "dni":
+        return F.substring(F.lit(DNI_LETTERS), (digits(v).cast("int") % 23 + 1).cast("int"), F.lit(1)) == F.substring(v, -1, 1)
+    if kind == "cpf":
+        d = digits(v)
+        digit = lambda i: d.substr(F.lit(i), F.lit(1)).cast("int")
+        check = lambda n: sum(((n + 1 - i) * digit(i) for i in range(1, n)), F.lit(0)) * 10 % 11 % 10
+        return (check(10) == digit(10)) & (check(11) == digit(11)) & ~d.rlike(r"^([0-9])\1*$")
     return F.lit(True)
 
 
 def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: array of struct(start, rank, end, kind, score), by start and then kind as listed.
 
-    Code points, end exclusive; a column of that name is replaced. Base kinds keep every confirmed span whatever its score; ``iban`` is added.
+    Code points, end exclusive; a column of that name is replaced. Base kinds keep every confirmed span whatever its score, the others from ``ENOUGH``.
     """
     docs = docs.drop("pii")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -145,6 +174,7 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
         kept = F.transform(F.filter(F.col(f"__s_{k}"), lambda x: confirmed(k, x["v"])), one)
+        kept = kept if k in BASE else F.filter(kept, lambda x: x["score"] >= ENOUGH)
         return F.coalesce(kept, F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>)"))
 
     return df.select(*docs.columns, F.array_sort(F.concat(*(scored(k) for k in kinds))).alias("pii"))
@@ -158,7 +188,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         *(counted(k) for k in KINDS),
-        F.sha2(named(F.filter(pii, lambda x: x["kind"] != "iban")), 256).alias("base_sha256"),
+        F.sha2(named(F.filter(pii, lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
         named(pii).alias("spans"),
         F.array_join(F.transform(pii, lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
