@@ -28,9 +28,13 @@ def id_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
 
 
+#: Type of ``row_key()``.
+ROW = "struct<a:bigint,b:bigint>"
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """One key per distinct (id, text): rows repeated whole share it and get the same answer."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """128 bits for each distinct (id, text): rows repeated whole share them and get the same answer, others do not meet."""
+    return F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text), F.col(doc_id)).alias("b"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import connected, let_go, partitions, row_key, stash
+from citeweave.llm.common import ROW, connected, let_go, partitions, row_key, stash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -276,7 +276,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         let_go(_WORDS)
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("chars"))
-    return rows.mapInArrow(sign, "row long, doc_id long, rep long, sig array<long>, chars long")
+    return rows.mapInArrow(sign, f"row {ROW}, doc_id long, rep long, sig array<long>, chars long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.llm.common import id_key, let_go, row_key, stash
+from citeweave.llm.common import ROW, id_key, let_go, row_key, stash
 
 WORDS = 25
 #: An odd number and its inverse modulo 2 ** 64.
@@ -114,7 +114,7 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
         let_go()
 
     rows = docs.filter("text <> ''").select(row_key().alias("key"), id_key().alias("id"), "text")
-    return rows.mapInArrow(make, "key long, id long, a int, b int, mark long, again boolean")
+    return rows.mapInArrow(make, f"key {ROW}, id long, a int, b int, mark long, again boolean")
 
 
 def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
