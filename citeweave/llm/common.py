@@ -11,17 +11,30 @@ from citeweave.storage import remove, scratch, stash  # noqa: F401
 NULL_ID = -(2**63)
 
 
+#: Rows that travel to Python at once: texts are long.
+ROWS_AT_ONCE = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(at_once)) == 10_000:  # as Spark sets it; a session's own number stays
+        spark.conf.set(at_once, str(ROWS_AT_ONCE))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def let_go(*memories: dict) -> None:
-    """At the end of a task: forget what a worker remembers and give Arrow's free memory back, for the stages to come."""
+    """At the end of a task: forget what a worker remembers and give free memory back, Arrow's and that of the C library, for the stages to come."""
+    import ctypes
+
     import pyarrow as pa
 
     for memory in memories:
         memory.clear()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def id_key(doc_id: str = "doc_id") -> Column:
