@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import sub
+from citeweave.functions.text import given, sub
 
 # Identifier patterns.
 DOI = r"(?iU)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)\b"
@@ -38,16 +38,19 @@ def _distinct(lists: list[Column]) -> Column:
 
 def validate_isbn(c: Column) -> Column:
     """ISBN-10 or ISBN-13 without separators, upper case; '' unless its check digit holds."""
-    s = sub(F.upper(F.coalesce(c, F.lit(""))), "[^0-9X]")
-    digit = lambda i: s.substr(i, F.lit(1)).cast("int")
-    ten = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + i * digit(i))
-    last = F.when(s.endswith("X"), 10).otherwise(s.substr(10, 1).try_cast("int"))
-    thirteen = F.aggregate(F.sequence(F.lit(1), F.lit(13)), F.lit(0), lambda a, i: a + digit(i) * F.when(i % 2 == 1, 1).otherwise(3))
-    return (
-        F.when(s.rlike("^[0-9]{9}[0-9X]\\z"), F.when((ten + 10 * last) % 11 == 0, s).otherwise(""))
-        .when(s.rlike("^[0-9]{13}\\z"), F.when(thirteen % 10 == 0, s).otherwise(""))
-        .otherwise("")
-    )
+
+    def checked(s):
+        digit = lambda i: s.substr(i, F.lit(1)).cast("int")
+        ten = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + i * digit(i))
+        last = F.when(s.endswith("X"), 10).otherwise(s.substr(10, 1).try_cast("int"))
+        thirteen = F.aggregate(F.sequence(F.lit(1), F.lit(13)), F.lit(0), lambda a, i: a + digit(i) * F.when(i % 2 == 1, 1).otherwise(3))
+        return (
+            F.when(s.rlike("^[0-9]{9}[0-9X]\\z"), F.when((ten + 10 * last) % 11 == 0, s).otherwise(""))
+            .when(s.rlike("^[0-9]{13}\\z"), F.when(thirteen % 10 == 0, s).otherwise(""))
+            .otherwise("")
+        )
+
+    return given(sub(F.upper(F.coalesce(c, F.lit(""))), "[^0-9X]"), checked)
 
 
 def pii_to_doi(c: Column) -> Column:

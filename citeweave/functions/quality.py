@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import YEAR, normalize_title, strip, words
+from citeweave.functions.text import YEAR, given, normalize_title, strip, words
 
 # Word lists and patterns that decide results.
 GENERIC_TITLES = (
@@ -122,8 +122,8 @@ def is_noise_line(c: Column) -> Column:
 def is_unreadable_text(c: Column) -> Column:
     t = _text(c)
     tokens = F.regexp_extract_all(F.lower(t.substr(1, 3000)), F.lit(r"(?U)\b([a-z]+)\b"), F.lit(1))
-    known = F.size(F.filter(tokens, lambda w: w.isin(FUNCTION_WORDS)))
-    return (F.length(strip(t)) < 200) | (F.size(tokens) < 30) | (known / F.greatest(F.size(tokens), F.lit(1)) < 0.04)
+    known = lambda w: F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS)))
+    return (F.length(strip(t)) < 200) | given(tokens, lambda w: (F.size(w) < 30) | (known(w) / F.greatest(F.size(w), F.lit(1)) < 0.04))
 
 
 def is_book(filename: Column, text: Column) -> Column:

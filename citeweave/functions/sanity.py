@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citeweave.functions.quality import is_unreadable_text
-from citeweave.functions.text import author_surname, normalize_filename, normalize_for_sanity, strip, words
+from citeweave.functions.text import author_surname, given, normalize_filename, normalize_for_sanity, strip, words
 
 LEAST = 0.4
 # Sources by kind, and title words that prove nothing.
@@ -32,30 +32,37 @@ def text_features(text: Column, filename: Column) -> Column:
 
 def sanity_score(title: Column, authors: Column, source: Column, features: Column) -> Column:
     names = F.filter(F.transform(authors, author_surname), lambda s: s != "")
-    in_name = F.exists(names, lambda s: F.array_contains(features["name_words"], s))
-    title_norm = normalize_for_sanity(title)
-    heavy = lambda least: F.filter(words(title_norm), lambda w: (F.length(w) >= least) & ~w.isin(STOP_WORDS))
-    share = lambda kept, known: F.size(F.filter(kept, lambda w: F.array_contains(known, w))) / F.greatest(F.size(kept), F.lit(1))
     search, ident = source.isin(*SEARCH_SOURCES), source.isin(*IDENTIFIER_SOURCES)
-    text_words = words(features["norm"])
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    title_match = (
-        F.when(title_norm == "", 0.0)
-        .when(padded(features["norm"]).contains(padded(title_norm)), 1.0)
-        .when(F.size(heavy(3)) == 0, 0.3)
-        .otherwise(share(heavy(3), text_words))
-    )
-    author_match = F.when(in_name | F.exists(names, lambda s: F.array_contains(text_words, s)), 1.0).otherwise(0.0)
-    name_hit = (F.size(heavy(4)) > 0) & (F.size(features["name_words"]) > 0) & (share(heavy(4), features["name_words"]) >= 0.4)
-    blind = F.when(ident, 0.6).when(search & in_name, 0.6)
-    return (
-        F.when(features["short"], blind.otherwise(0.0))
-        .when(features["unreadable"], blind.when(search & name_hit, 0.5).otherwise(0.0))
-        .otherwise(0.6 * title_match + 0.4 * author_match)
-    )
+
+    def share(kept, known):
+        return F.size(F.filter(kept, lambda w: F.array_contains(known, w))) / F.greatest(F.size(kept), F.lit(1))
+
+    def scored(x):
+        in_name = F.exists(x["names"], lambda s: F.array_contains(features["name_words"], s))
+        title_match = (
+            F.when(x["title"] == "", 0.0)
+            .when(padded(features["norm"]).contains(padded(x["title"])), 1.0)
+            .when(F.size(x["three"]) == 0, 0.3)
+            .otherwise(share(x["three"], x["text_words"]))
+        )
+        author_match = F.when(in_name | F.exists(x["names"], lambda s: F.array_contains(x["text_words"], s)), 1.0).otherwise(0.0)
+        name_hit = (F.size(x["four"]) > 0) & (F.size(features["name_words"]) > 0) & (share(x["four"], features["name_words"]) >= 0.4)
+        blind = F.when(ident, 0.6).when(search & in_name, 0.6)
+        return (
+            F.when(features["short"], blind.otherwise(0.0))
+            .when(features["unreadable"], blind.when(search & name_hit, 0.5).otherwise(0.0))
+            .otherwise(0.6 * title_match + 0.4 * author_match)
+        )
+
+    def weighed(x):
+        heavy = lambda least: F.filter(words(x), lambda w: (F.length(w) >= least) & ~w.isin(STOP_WORDS))
+        known = F.struct(x.alias("title"), heavy(3).alias("three"), heavy(4).alias("four"), names.alias("names"), words(features["norm"]).alias("text_words"))
+        return given(known, scored)
+
+    return given(normalize_for_sanity(title), weighed)
 
 
 def apply_sanity(score: Column) -> Column:
     """struct(sanity_score, sanity_passed): rounded first, then compared."""
-    rounded = F.round(score, 3)
-    return F.struct(rounded.alias("sanity_score"), (rounded >= LEAST).alias("sanity_passed"))
+    return given(F.round(score, 3), lambda r: F.struct(r.alias("sanity_score"), (r >= LEAST).alias("sanity_passed")))

@@ -21,6 +21,11 @@ def strip(c: Column, chars: str | None = None) -> Column:
     return F.btrim(c, F.lit(chars)) if chars else sub(c, r"(?U)^\s+|\s+\z")
 
 
+def given(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, however often the body names it, inside its own lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(c: Column) -> Column:
     """Runs of non-blanks of a text whose blanks are single; none of ''."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))

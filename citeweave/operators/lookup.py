@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.identifiers import validate_isbn
 from citeweave.functions.sanity import apply_sanity, sanity_score
+from citeweave.storage import stash
 
 # Each kind's catalog source, resolver and note, in the order in which kinds are tried.
 KINDS = {
@@ -38,15 +39,19 @@ def catalog_keys(catalogs: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.min_by("entry", F.to_json("entry")).alias("entry"))
 
 
+def keyed(catalogs: DataFrame) -> DataFrame:
+    """``catalog_keys`` as a table of its own; one that was made before stays as it is."""
+    return catalogs if {"kind", "key", "entry"} <= set(catalogs.columns) else stash(catalog_keys(catalogs), "catalog-keys")
+
+
 def lookup_identifiers(pool: DataFrame, catalogs: DataFrame) -> DataFrame:
     """``pool`` rows (doc_id, kind, pos, value) with ``matched``, ``source``, ``resolver`` and the entry's fields.
 
-    Each distinct identifier meets its catalog once and comes back to the documents that cite it.
+    The keyed catalog is written once, so that both sides of the join are plain exchanges, which Spark splits where one
+    identifier is cited very often, and the pool, whose texts are dear to search, is made in one pass.
     """
     wanted = pool.filter(F.col("kind").isin(*KINDS)).withColumn("key", key_of(F.col("kind"), F.col("value")))
-    distinct = wanted.filter("key <> ''").select("kind", "key").distinct()
-    met = distinct.join(catalog_keys(catalogs), ["kind", "key"])
-    joined = wanted.join(met, ["kind", "key"], "left")
+    joined = wanted.join(keyed(catalogs), ["kind", "key"], "left")
     return joined.select(
         "doc_id", "kind", "pos", "value", F.col("entry").isNotNull().alias("matched"), by_kind(1).alias("resolver"),
         F.when(F.col("entry").isNotNull(), by_kind(0)).otherwise("").alias("source"), *(F.col(f"entry.{c}").alias(c) for c in ENTRY),

@@ -25,7 +25,7 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def catalogs(spark, sf_dir) -> DataFrame:
-    return src.load(spark, sf_dir, src.CATALOG).withColumn("authors", F.split("authors", "; "))
+    return src.load(spark, sf_dir, src.CATALOG, {"orders": "o_orderkey"}).withColumn("authors", F.split("authors", "; "))
 
 
 def search_catalog(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.operators.lookup import keyed
 from citeweave.plans.jobs import identifier_resolution
 from citeweave.sources.files import routes
 
@@ -29,8 +30,10 @@ def incremental_resolve(stream_docs: DataFrame, candidates: Callable[[DataFrame]
     names documents of an earlier run that stay as they are.
     """
 
+    entries = keyed(catalogs)
+
     def append(batch: DataFrame, number: int) -> None:
         fresh = batch if done is None else batch.join(done.select("doc_id"), "doc_id", "left_anti")
-        resolved(fresh, candidates(fresh), catalogs).write.mode("overwrite").partitionBy("route").parquet(f"{sink}/batch={number}")
+        resolved(fresh, candidates(fresh), entries).write.mode("overwrite").partitionBy("route").parquet(f"{sink}/batch={number}")
 
     return stream_docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
