@@ -59,7 +59,8 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates two joins a round: every neighbour above a node goes to the least node around it, then every
     node's lower neighbours go to the least of them. Each round is written to the shared folder. Nothing but two counts
-    reaches the driver, and no neighbour list is ever gathered: hubs meet as joins that Spark can split.
+    reaches the driver, and no neighbour list is ever gathered. The least ones are tables of their own too: joined straight
+    from their aggregate they would share its exchange, and Spark splits a hub's rows only where both sides are plain exchanges.
     """
     e = stash(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e"
@@ -67,11 +68,11 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     before, now = None, ()
     while before != now:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-m")
         far = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.filter("m <> u").select("u", F.col("m").alias("v"))
         large = stash(far.union(own).filter("u <> v").distinct(), f"{name}-l")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-n")
         near = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = near.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = stash(small, f"{name}-s")

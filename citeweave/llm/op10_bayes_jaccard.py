@@ -257,10 +257,10 @@ def _verify(table: pa.Table, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, rep, sig, chars): documents of equal tokens share ``rep``; without tokens it is null."""
+    """(row, doc_id, key, sig, chars): documents of equal tokens share ``key``, 128 bits; without tokens it is null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
@@ -268,15 +268,15 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys, sigs = [], []
                 for t in part.column(2).to_pylist():
                     words = tokens(t)
-                    keys.append(xxh3_64_intdigest("\n".join(words).encode()) - 2**63 if words else None)
+                    keys.append(xxh3_128_digest("\n".join(words).encode()) if words else None)
                     sigs.append(minhash(shingles(words)) if words else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), part.column(3)], names=["row", "doc_id", "rep", "sig", "chars"]
+                    [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), part.column(3)], names=["row", "doc_id", "key", "sig", "chars"]
                 )
         let_go(_WORDS)
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("chars"))
-    return rows.mapInArrow(sign, f"row {ROW}, doc_id long, rep long, sig array<long>, chars long")
+    return rows.mapInArrow(sign, f"row {ROW}, doc_id long, key binary, sig array<long>, chars long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,9 +286,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = stash(_signed(docs), "near-sig")
     reps = stash(
-        signed.filter("rep IS NOT NULL")
-        .groupBy("rep")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"), F.first("sig").alias("sig"), F.max("chars").alias("chars")),
+        signed.filter("key IS NOT NULL")
+        .groupBy("key")
+        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"), F.first("sig").alias("sig"), F.max("chars").alias("chars"))
+        .withColumn("rep", F.monotonically_increasing_id()),  # a short name for the key, fixed by being written
         "near-reps",
     )
     bucket = ["band", "value"]
@@ -304,12 +305,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).filter("a <> b"), "near-b")
 
-    known = reps.select("rep", "copies", "first").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("rep", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
+    known = reps.select("key", "rep", "copies", "first").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("key", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
     classes = known.groupBy("root").agg(F.min("first").alias("least"), F.min("first.doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_rep = known.join(classes, "root").select("rep", "class_id", "class_size", "least", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
-    every = signed.select("row", "doc_id", "rep").join(of_rep, "rep", "left")
-    lone = F.col("rep").isNull()
+    classes = stash(classes, "near-classes")  # a table of its own: the join's sides are plain exchanges, which Spark splits where a class is large
+    of_rep = known.join(classes, "root").select("key", "class_id", "class_size", "least", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    every = signed.select("row", "doc_id", "key").join(of_rep, "key", "left")
+    lone = F.col("key").isNull()
     return every.select(
         "row",
         "doc_id",
