@@ -79,3 +79,12 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         before, now = now, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: A table of at most so many rows is broadcast.
+FEW = 1_000_000
+
+
+def meet(rows: DataFrame, few: DataFrame, on: str, most: int = FEW) -> DataFrame:
+    """Join ``rows`` with ``few``, a written table with one row for each key: broadcast where a count finds at most ``most`` rows in it, else shuffled, hot keys split by Spark."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few.hint("merge"), on)
