@@ -152,15 +152,19 @@ def demote_book_source(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     ).drop("is_book")
 
 
-def identifier_pool(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(doc_id, kind, pos, value): distinct identifiers of a document in the order in which they count."""
-    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "doi", "isbn", "arxiv"))), lambda x: F.struct(x["doi"].alias("doi"), x["isbn"].alias("isbn"), x["arxiv"].alias("arxiv")))
-    of_cands = candidates.filter(has_identifier()).groupBy("doc_id").agg(own.alias("own"))
+def text_identifiers(docs: DataFrame) -> DataFrame:
+    """(doc_id, stem, d, i, a, s): the stem of the file name, and DOIs, ISBNs, arXiv and stable ids of name and texts."""
     # a document of few pages has the same text in both windows
     chunks = [basename(F.col("path")), F.col("text"), F.when(F.col("ident_text").eqNullSafe(F.col("text")), "").otherwise(F.col("ident_text"))]
-    found = docs.select(
+    return docs.select(
         "doc_id", stem(F.col("path")).alias("stem"), extract_dois(*chunks).alias("d"), extract_isbns(*chunks).alias("i"), extract_arxivs(*chunks).alias("a"), extract_stable_ids(*chunks).alias("s")
-    ).join(of_cands, "doc_id", "left")
+    )
+
+
+def pooled(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, kind, pos, value) of documents whose ``text_identifiers`` were found, with those of their candidates."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "doi", "isbn", "arxiv"))), lambda x: F.struct(x["doi"].alias("doi"), x["isbn"].alias("isbn"), x["arxiv"].alias("arxiv")))
+    found = found.join(candidates.filter(has_identifier()).groupBy("doc_id").agg(own.alias("own")), "doc_id", "left")
     of = lambda k: F.coalesce(F.transform("own", lambda x: x[k]), F.array().cast("array<string>"))
     merged = lambda c, k: F.array_distinct(F.concat(c, F.filter(of(k), lambda x: x != "")))
     kinds = found.select(
@@ -177,6 +181,11 @@ def identifier_pool(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return kinds.select("doc_id", "k.kind", F.posexplode("k.values").alias("pos", "value"))
 
 
+def identifier_pool(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, kind, pos, value): distinct identifiers of a document in the order in which they count."""
+    return pooled(text_identifiers(docs), candidates)
+
+
 def debug_columns(candidates: DataFrame, pool: DataFrame) -> DataFrame:
     """Per document: candidate sources, candidates as JSON, best local source, first grobid fields, identifier lists."""
     shape = F.struct(*sorted(("source", "title", "authors", "year", "doi", "isbn", "arxiv", "priority", "notes")))

@@ -17,7 +17,7 @@ from citeweave.plans import inputs as src
 from citeweave.plans import jobs
 from citeweave.plans.queries_text import MENTION_SQL, candidates, mentions, with_windows
 from citeweave.plans.queries_text import _from as from_
-from citeweave.plans.registry import ORACLES, query
+from citeweave.plans.registered import ORACLES, query
 
 
 def documents(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeweave.operators import compare, reports
 from citeweave.plans import inputs as src
 from citeweave.plans.queries_text import _from as from_
-from citeweave.plans.registry import query
+from citeweave.plans.registered import query
 from citeweave.sources.files import PROVIDERS
 
 R, D, P = (from_(x) for x in (src.RESULTS, src.DEBUG, src.PROFILE))

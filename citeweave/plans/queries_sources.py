@@ -11,7 +11,7 @@ from citeweave.plans import inputs as src
 from citeweave.plans.queries_decide import catalogs, documents
 from citeweave.plans.queries_text import _from as from_
 from citeweave.plans.queries_text import candidates
-from citeweave.plans.registry import query
+from citeweave.plans.registered import query
 from citeweave.sources import catalogs as cat
 from citeweave.sources import files
 from citeweave.storage import scratch

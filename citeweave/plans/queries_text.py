@@ -12,7 +12,7 @@ from citeweave.operators import extract
 from citeweave.operators.candidates import identifier_pool
 from citeweave.plans import ducksql as d
 from citeweave.plans import inputs as src
-from citeweave.plans.registry import query
+from citeweave.plans.registered import query
 
 ENGLISH = "SELECT doc_id, text, source FROM {documents}"
 

@@ -1,35 +1,7 @@
 """Registered queries of the metadata operators and their DuckDB counterparts.
 
-A query's name starts with the numbers of the operators that it runs. Queries without SQL use a vectorised helper or look-around;
-the tests hold them against brute force.
+A query's name starts with the numbers of the operators that it runs. Queries without SQL are held against brute force by the tests.
 """
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a function of (spark, sf_dir) under ``name``, with SQL that gives the same rows."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            ORACLES[name] = sql
-        return function
-
-    return add
-
-
-def collect() -> None:
-    """Import the modules that register queries."""
-    from citeweave.plans import queries_text  # isort: skip  # noqa: F401
-    from citeweave.plans import queries_decide, queries_reports, queries_sources  # noqa: F401
-
-
-collect()
+from citeweave.plans import queries_decide, queries_reports, queries_sources, queries_text  # noqa: F401
+from citeweave.plans.registered import ORACLES, QUERIES, query  # noqa: F401
