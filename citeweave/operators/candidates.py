@@ -152,12 +152,12 @@ def demote_book_source(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     ).drop("is_book")
 
 
-def text_identifiers(docs: DataFrame) -> DataFrame:
-    """(doc_id, stem, d, i, a, s): the stem of the file name, and DOIs, ISBNs, arXiv and stable ids of name and texts."""
+def text_identifiers(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, stem, d, i, a, s): the stem of the file name, and DOIs, ISBNs, arXiv and stable ids of name and texts; ``carried`` columns stay."""
     # a document of few pages has the same text in both windows
     chunks = [basename(F.col("path")), F.col("text"), F.when(F.col("ident_text").eqNullSafe(F.col("text")), "").otherwise(F.col("ident_text"))]
     return docs.select(
-        "doc_id", stem(F.col("path")).alias("stem"), extract_dois(*chunks).alias("d"), extract_isbns(*chunks).alias("i"), extract_arxivs(*chunks).alias("a"), extract_stable_ids(*chunks).alias("s")
+        "doc_id", *carried, stem(F.col("path")).alias("stem"), extract_dois(*chunks).alias("d"), extract_isbns(*chunks).alias("i"), extract_arxivs(*chunks).alias("a"), extract_stable_ids(*chunks).alias("s")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.identifiers import validate_isbn
 from citeweave.functions.sanity import apply_sanity, sanity_score
+from citeweave.operators.reduce import asked_for
 from citeweave.storage import stash
 
 # Each kind's catalog source, resolver and note, in the order in which kinds are tried.
@@ -25,33 +26,70 @@ def by_kind(which: int) -> Column:
     return out
 
 
+def kind_order(kind: Column) -> Column:
+    return F.when(kind == "doi", 0).when(kind == "isbn", 1).otherwise(2)
+
+
 def key_of(kind: Column, value: Column) -> Column:
     """DOIs meet whatever their case, ISBNs after validation."""
     return F.when(kind == "doi", F.lower(value)).when(kind == "isbn", validate_isbn(value)).otherwise(value)
 
 
-def catalog_keys(catalogs: DataFrame) -> DataFrame:
-    """(kind, key, entry): a row for each identifier by which an authoritative entry is found; first title wins ties."""
+def _by_key(catalogs: DataFrame) -> DataFrame:
+    """(kind, key, entry, rank): rank puts the entry that wins first, by ``arrival`` where catalogs have it, else by its text."""
     kind = F.when(F.col("source") == "crossref_doi", "doi").when(F.col("source") == "openlibrary_isbn", "isbn").when(F.col("source") == "arxiv_id", "arxiv")
     value = F.when(F.col("source") == "crossref_doi", F.col("doi")).when(F.col("source") == "openlibrary_isbn", F.col("isbn")).otherwise(F.col("arxiv"))
-    rows = catalogs.select(kind.alias("kind"), key_of(kind, value).alias("key"), F.struct(*ENTRY).alias("entry"))
-    rows = rows.filter(F.col("kind").isNotNull() & (F.col("key") != ""))
-    return rows.groupBy("kind", "key").agg(F.min_by("entry", F.to_json("entry")).alias("entry"))
+    arrival = F.col("arrival").cast("long") if "arrival" in catalogs.columns else F.lit(0).cast("long")
+    entry = F.struct(*ENTRY)
+    rows = catalogs.select(kind.alias("kind"), key_of(kind, value).alias("key"), entry.alias("entry"), F.struct(arrival.alias("arrival"), F.to_json(entry).alias("text")).alias("rank"))
+    return rows.filter(F.col("kind").isNotNull() & (F.col("key") != ""))
+
+
+def catalog_keys(catalogs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(kind, key, entry): a row for each identifier by which an authoritative entry is found; of several the first to arrive, without ``arrival`` the least JSON text.
+
+    With ``wanted`` (kind, key) most entries that nobody asks for stay out of the shuffle.
+    """
+    rows = _by_key(catalogs)
+    if wanted is not None:
+        rows = asked_for(rows, wanted, ["kind", "key"])
+    return rows.groupBy("kind", "key").agg(F.min_by("entry", "rank").alias("entry"))
 
 
-def keyed(catalogs: DataFrame) -> DataFrame:
+def is_keyed(catalogs: DataFrame) -> bool:
+    return {"kind", "key", "entry"} <= set(catalogs.columns)
+
+
+def keyed(catalogs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``catalog_keys`` as a table of its own; one that was made before stays as it is."""
-    return catalogs if {"kind", "key", "entry"} <= set(catalogs.columns) else stash(catalog_keys(catalogs), "catalog-keys")
+    return catalogs if is_keyed(catalogs) else stash(catalog_keys(catalogs, wanted), "catalog-keys")
+
+
+def write_keyed(catalogs: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``catalog_keys`` as the table ``name``, bucketed by key: joins read it without an exchange, run after run."""
+    catalog_keys(catalogs).write.bucketBy(buckets, "kind", "key").sortBy("kind", "key").saveAsTable(name)
+    return catalogs.sparkSession.table(name)
+
+
+def update_keyed(name: str, catalogs: DataFrame, new_name: str, buckets: int) -> DataFrame:
+    """The table ``name`` with the entries of ``catalogs``, which take the place of earlier ones, as the table ``new_name``; only the new entries are shuffled if ``buckets`` is unchanged."""
+    old, new = catalogs.sparkSession.table(name), stash(catalog_keys(catalogs), "catalog-keys").withColumnRenamed("entry", "new")
+    both = old.join(new.hint("merge"), ["kind", "key"], "full_outer")
+    both.select("kind", "key", F.coalesce("new", "entry").alias("entry")).write.bucketBy(buckets, "kind", "key").sortBy("kind", "key").saveAsTable(new_name)
+    return catalogs.sparkSession.table(new_name)
 
 
 def lookup_identifiers(pool: DataFrame, catalogs: DataFrame) -> DataFrame:
     """``pool`` rows (doc_id, kind, pos, value) with ``matched``, ``source``, ``resolver`` and the entry's fields.
 
-    The keyed catalog is written once, so that both sides of the join are plain exchanges, which Spark splits where one
-    identifier is cited very often, and the pool, whose texts are dear to search, is made in one pass.
+    The pool, whose texts are dear to search, is written once, and so is the part of the catalog that it asks for: both sides of the join are
+    plain exchanges, which Spark splits where one identifier is cited very often. A catalog that is ``keyed`` already is taken as it is.
     """
     wanted = pool.filter(F.col("kind").isin(*KINDS)).withColumn("key", key_of(F.col("kind"), F.col("value")))
-    joined = wanted.join(keyed(catalogs), ["kind", "key"], "left")
+    if not is_keyed(catalogs):
+        wanted = stash(wanted, "wanted")
+        catalogs = keyed(catalogs, wanted)
+    joined = wanted.join(catalogs, ["kind", "key"], "left")
     return joined.select(
         "doc_id", "kind", "pos", "value", F.col("entry").isNotNull().alias("matched"), by_kind(1).alias("resolver"),
         F.when(F.col("entry").isNotNull(), by_kind(0)).otherwise("").alias("source"), *(F.col(f"entry.{c}").alias(c) for c in ENTRY),
@@ -70,7 +108,7 @@ def best_identifier_match(hits: DataFrame) -> DataFrame:
 
     A kind after a passing hit is never looked at, so the first passing one wins whatever its score.
     """
-    order = F.when(F.col("kind") == "doi", 0).when(F.col("kind") == "isbn", 1).otherwise(2)
+    order = kind_order(F.col("kind"))
     rank = F.struct((~F.col("sanity_passed")).alias("failed"), F.when(F.col("sanity_passed"), 0.0).otherwise(-F.col("sanity_score")).alias("s"), order.alias("k"), F.col("pos"))
     fields = [c for c in hits.columns if c != "doc_id"]
     best = hits.groupBy("doc_id").agg(F.min_by(F.struct(*fields), rank).alias("b")).select("doc_id", "b.*")

@@ -44,9 +44,10 @@ MENTIONS, CATALOG, CANDIDATES = (f"({src.oracle(x)})" for x in (src.MENTIONS, sr
 _ISBNS = f"list_transform({d.found('text', r'[^0-9]((?:97[89][-\s]?)?[0-9][0-9\s-]{8,20}[0-9Xx])[^0-9]')}, lambda i: {d.isbn('i')})"
 _ARXIVS = d.found("text", r"(?i)arXiv: ([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)\b")
 #: m: documents; c: candidates; cat: catalog; hits: matched identifiers with their place in the pool; best: the winner of each document.
-BASE = f"""
-m AS MATERIALIZED (SELECT * FROM {MENTIONS} AS t),
-c AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, {d.words(d.title('title'))} AS tw FROM (SELECT doc_id, pos, title, {d.split_names('authors')} AS names, year, doi, isbn, arxiv, source, priority, {d.split_names('notes')} AS notes FROM {CANDIDATES} AS t)),
+def base(mentions: str = MENTIONS, candidates: str = CANDIDATES, staged: str = "") -> str:
+    return f"""
+m AS MATERIALIZED (SELECT * FROM {mentions} AS t),
+c AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, {d.words(d.title('title'))} AS tw FROM (SELECT doc_id, {staged}pos, title, {d.split_names('authors')} AS names, year, doi, isbn, arxiv, source, priority, {d.split_names('notes')} AS notes FROM {candidates} AS t)),
 cat AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, CASE source WHEN 'crossref_doi' THEN 'doi' WHEN 'openlibrary_isbn' THEN 'isbn' ELSE 'arxiv' END AS kind, CASE source WHEN 'crossref_doi' THEN lower(doi) WHEN 'openlibrary_isbn' THEN isbn ELSE arxiv END AS key FROM (SELECT *, {d.split_names('authors')} AS names FROM {CATALOG} AS t)),
 pool AS (SELECT doc_id, kind, value, min(n) AS pos FROM (
   SELECT doc_id, 'doi' AS kind, unnest({d.dois('text')}) AS value, generate_subscripts({d.dois('text')}, 1) AS n FROM m
@@ -63,6 +64,9 @@ r AS MATERIALIZED (SELECT doc_id, title, names, sn, year, doi, isbn, arxiv, CASE
 """
 
 
+BASE = base()
+
+
 def based(query: str) -> str:
     """A query over the tables of ``BASE``; one that starts with a comma adds tables of its own."""
     return f"WITH {BASE.strip()}{query if query.startswith(',') else ' ' + query}"
@@ -159,7 +163,7 @@ def prefer_local(r: str, local: str) -> str:
     fields = ("title", "names", "year", "doi", "isbn", "arxiv", "source", "confidence")
     return (
         f"SELECT r.* REPLACE ({', '.join(f'CASE WHEN {swap} THEN l.{k} ELSE r.{k} END AS {k}' for k in fields)}, NOT {swap} AND r.verified AS verified, CASE WHEN {swap} THEN 0.0 ELSE r.sanity_score END AS sanity_score, "
-        f"CASE WHEN {swap} THEN list_concat({kept}, {distinct}) ELSE r.notes END AS notes) FROM {r} r LEFT JOIN {local} l USING (doc_id) LEFT JOIN {d.similar(f'SELECT r.title AS a, l.title AS b FROM {r} r JOIN {local} l USING (doc_id)')} s ON s.a = r.title AND s.b = l.title"
+        f"CASE WHEN {swap} THEN list_concat({kept}, {distinct}) ELSE r.notes END AS notes), {swap} AS swapped FROM {r} r LEFT JOIN {local} l USING (doc_id) LEFT JOIN {d.similar(f'SELECT r.title AS a, l.title AS b FROM {r} r JOIN {local} l USING (doc_id)')} s ON s.a = r.title AND s.b = l.title"
     )
 
 
@@ -181,7 +185,7 @@ def _rarest(part: str) -> str:
     return f"row_number() OVER (PARTITION BY {part} ORDER BY df, token) <= count(*) OVER (PARTITION BY {part}) - ceil(count(*) OVER (PARTITION BY {part}) * {LEAST} - 1e-9) + 1"
 
 
-def searched(docs: str, c: str = "c") -> str:
+def searched(docs: str, c: str = "c", f: str = "f") -> str:
     """Best search match of each document of ``docs`` (search by words): the columns of hits, nth, score, confidence, total."""
     before = "SELECT 1 FROM h e WHERE e.doc_id = h.doc_id AND e.source = h.source AND e.nth < h.nth AND e.strong"
     best = "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, ord, nth) = 1"
@@ -195,7 +199,7 @@ def searched(docs: str, c: str = "c") -> str:
     s AS (SELECT q.doc_id, q.nth, q.qid, k.source, k.title, k.names, k.sn, k.year, k.doi, k.isbn, k.arxiv, k.publisher, {SCORE} AS score, {_THRESHOLD} AS least FROM met JOIN {d.similar('SELECT a, b FROM met')} USING (a, b) JOIN q USING (qid) JOIN k USING (eid)),
     top AS (SELECT *, {BAND} AS confidence FROM s WHERE score >= least QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC) = 1),
     h AS MATERIALIZED (SELECT *, sanity_score >= 0.4 AS sanity_passed, sanity_score >= 0.4 AND confidence = 'high' AS strong, sanity_score + CASE WHEN confidence = 'high' THEN 0.05 ELSE 0 END AS total, {_ORDER} AS ord, {_WAVE} AS wave FROM (
-      SELECT top.*, round({d.sanity_score('top.title', 'top.names', 'top.source', 'f.norm', 'f.name_words', 'f.short', 'f.blind')}, 3) AS sanity_score FROM top JOIN f USING (doc_id))),
+      SELECT top.*, round({d.sanity_score('top.title', 'top.names', 'top.source', 'f.norm', 'f.name_words', 'f.short', 'f.blind')}, 3) AS sanity_score FROM top JOIN {f} f USING (doc_id))),
     t AS (SELECT * FROM h WHERE NOT EXISTS ({before})),
     w1 AS (SELECT * FROM t WHERE wave = 1 {best}),
     w2 AS (SELECT * FROM (SELECT * FROM w1 UNION ALL SELECT * FROM t WHERE wave = 2 AND doc_id NOT IN (SELECT doc_id FROM w1 WHERE strong)) {best}),
@@ -203,34 +207,146 @@ def searched(docs: str, c: str = "c") -> str:
     SELECT * FROM w3"""
 
 
+SHAPE = "doc_id, title, names, sn, year, doi, isbn, arxiv, publisher, source, confidence, verified, sanity_passed, sanity_score, needs_ocr, notes, note"
+NOTE = "CASE kind WHEN 'doi' THEN 'resolved by DOI via Crossref' WHEN 'isbn' THEN 'resolved by ISBN via OpenLibrary' ELSE 'resolved by arXiv ID' END"
+WITH_WHY = "concat(note, ' (', CASE WHEN why <> '' THEN why ELSE concat('corroborated by ', by_source) END, ')')"
+
+
+def _noted(r: str) -> str:
+    """The columns of r, its note behind its notes."""
+    return f"SELECT * REPLACE (CASE WHEN note <> '' THEN list_append(notes, note) ELSE notes END AS notes) FROM ({r})"
+
+
+def concluded(sure: str, opened: str, held: str | None, looked: str, docs: str = "f", local: str = "local") -> str:
+    """CTEs up to ``every`` and ``soft``, and the result rows, from tables of ``SHAPE`` (``sure`` with force_review) and the search's best matches."""
+    lower = "CASE WHEN confidence = 'high' THEN 'medium' ELSE confidence END"
+    passed = "concat('sanity_score=', printf('%.3f', sanity_score), ' (passed)')"
+    clean = lambda r: f"(SELECT * REPLACE ({d.authors('names')} AS names) FROM {r})"
+    keep = "doc_id, title, names, sn, year, doi, isbn, arxiv, publisher, source, {c} AS confidence, verified, sanity_passed, sanity_score, needs_ocr, notes"
+    kept_for_review = ""
+    if held:
+        kept_for_review = f" UNION ALL SELECT {keep.format(c=lower)}, false, false FROM held_rows"
+        held = f"held_rows AS (SELECT * REPLACE (list_concat(notes, ['no local extractor corroborated this identifier match; routed to review for human verification', {passed}]) AS notes) FROM ({_noted(merged(clean(f'(SELECT * FROM {held} WHERE doc_id NOT IN (SELECT doc_id FROM won))'), local))})),"
+    return f"""sure_rows AS MATERIALIZED (SELECT * REPLACE (list_append(notes, {passed}) AS notes) FROM ({_noted(merged(clean(sure), local))})),
+    rest AS (SELECT {SHAPE}, sanity_score AS rank, 0 AS o FROM {opened}
+      UNION ALL SELECT doc_id, title, names, sn, year, doi, isbn, arxiv, publisher, source, confidence, true, sanity_passed, sanity_score, f.blind, []::varchar[], 'title-search match', total, 1 FROM {looked} JOIN {docs} f USING (doc_id)),
+    top1 AS MATERIALIZED (SELECT {SHAPE} FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM sure_rows) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, o) = 1),
+    filled AS MATERIALIZED (SELECT * REPLACE ({d.surnames('names')} AS sn) FROM ({_noted(merged('top1', local))})),
+    saved AS MATERIALIZED ({rescue('filled', 'k')}), lowered AS MATERIALIZED ({downgraded('saved')}),
+    won AS MATERIALIZED (SELECT * REPLACE (CASE WHEN swapped THEN '' ELSE publisher END AS publisher) FROM ({prefer_local('lowered', local)})), {held or ""}
+    decided AS MATERIALIZED (SELECT {keep.format(c=f"CASE WHEN force_review THEN {lower} ELSE confidence END")}, NOT force_review AND verified AND confidence = 'high' AS auto_safe, NOT force_review AS judge FROM sure_rows
+      UNION ALL SELECT {keep.format(c="confidence")}, verified AND sanity_passed AND confidence = 'high', true FROM won{kept_for_review}),
+    every AS MATERIALIZED (SELECT * REPLACE ({d.surnames('names')} AS sn) FROM (SELECT * FROM decided UNION ALL
+      SELECT doc_id, title, names, []::varchar[], year, doi, isbn, arxiv, '', source, confidence, false, false, 0.0, f.blind, CASE WHEN f.blind THEN list_append(notes, 'PDF text appears unreadable — OCR recommended') ELSE notes END, false, true FROM {local} JOIN {docs} f USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM decided))),
+    soft AS ({soft_auto('every', 'k')})
+    SELECT doc_id, title, array_to_string(names, ' | ') AS authors, year, doi, isbn, arxiv, publisher, source, confidence, verified, sanity_passed, round(sanity_score, 3) AS sanity_score, needs_ocr, auto_safe, array_to_string(notes, ' | ') AS notes, judge AND soft.soft_auto AS soft_auto FROM every JOIN soft USING (doc_id)"""
+
+
 def finalized(mode: str = "default") -> str:
-    """One result a document: (doc_id, title, source, confidence, verified, sanity_passed, sanity_score, auto_safe, soft_auto)."""
-    shape = "doc_id, title, names, sn, year, doi, isbn, arxiv, source, confidence, verified, sanity_passed, sanity_score, needs_ocr, notes"
-    ident = "SELECT doc_id, title, names, sn, year, doi, isbn, arxiv, source, 'high' AS confidence, true AS verified, sanity_passed, sanity_score, blind AS needs_ocr, []::varchar[] AS notes FROM best JOIN f USING (doc_id)"
+    """One result a document."""
+    ident = f"SELECT doc_id, title, names, sn, year, doi, isbn, arxiv, publisher, source, 'high' AS confidence, true AS verified, sanity_passed, sanity_score, blind AS needs_ocr, []::varchar[] AS notes, {NOTE} AS note FROM best JOIN f USING (doc_id)"
     if mode == "safe":
-        judged = f"judged AS MATERIALIZED (SELECT p.*, s.accepted, s.force_review FROM (SELECT * FROM ident WHERE sanity_passed) p JOIN ({corroboration('(SELECT * FROM ident WHERE sanity_passed)')}) s USING (doc_id)),"
+        judged = f"judged AS MATERIALIZED (SELECT p.* REPLACE (CASE WHEN accepted THEN {WITH_WHY} ELSE p.note END AS note), accepted, force_review FROM (SELECT * FROM ident WHERE sanity_passed) p JOIN (SELECT doc_id, accepted, force_review, source AS by_source, note AS why FROM ({corroboration('(SELECT * FROM ident WHERE sanity_passed)')})) s USING (doc_id)),"
     else:
         judged = "judged AS (SELECT *, true AS accepted, false AS force_review FROM ident WHERE sanity_passed),"
-    lower = "CASE WHEN confidence = 'high' THEN 'medium' ELSE confidence END"
     return based(
-        f""", ident AS MATERIALIZED ({ident}), local AS MATERIALIZED ({fallback('m')}), {judged}
+        f""", k AS (SELECT * FROM c), ident AS MATERIALIZED ({ident}), local AS MATERIALIZED ({fallback('m')}), {judged}
     looked AS MATERIALIZED ({searched('(SELECT doc_id FROM m WHERE doc_id NOT IN (SELECT doc_id FROM ident WHERE sanity_passed))')}),
-    sure AS MATERIALIZED ({merged('(SELECT * FROM judged WHERE accepted)', 'local')}),
-    rest AS (SELECT {shape}, sanity_score AS rank, 0 AS o FROM ident WHERE NOT sanity_passed
-      UNION ALL SELECT doc_id, title, names, sn, year, doi, isbn, arxiv, source, confidence, true, sanity_passed, sanity_score, blind, []::varchar[], total, 1 FROM looked JOIN f USING (doc_id)),
-    top1 AS MATERIALIZED (SELECT {shape} FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM sure) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, o) = 1),
-    filled AS MATERIALIZED (SELECT * REPLACE ({d.surnames('names')} AS sn) FROM ({merged('top1', 'local')})),
-    saved AS MATERIALIZED ({rescue('filled')}), lowered AS MATERIALIZED ({downgraded('saved')}), won AS MATERIALIZED ({prefer_local('lowered', 'local')}),
-    held AS ({merged('(SELECT * FROM judged WHERE NOT accepted AND doc_id NOT IN (SELECT doc_id FROM won))', 'local')}),
-    decided AS MATERIALIZED (SELECT {shape}, CASE WHEN force_review THEN {lower} ELSE confidence END AS conf, NOT force_review AND confidence = 'high' AS auto_safe, NOT force_review AS judge FROM sure
-      UNION ALL SELECT {shape}, confidence, verified AND sanity_passed AND confidence = 'high', true FROM won
-      UNION ALL SELECT {shape}, {lower}, false, false FROM held),
-    every AS MATERIALIZED (SELECT * REPLACE ({d.surnames('names')} AS sn) FROM (SELECT * FROM decided UNION ALL SELECT doc_id, title, names, []::varchar[], year, doi, isbn, arxiv, source, confidence, false, false, 0.0, blind, notes, confidence, false, true FROM local JOIN f USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM decided))),
-    soft AS ({soft_auto('every')})
-    SELECT doc_id, title, array_to_string(names, ' | ') AS authors, source, conf AS confidence, verified, sanity_passed, round(sanity_score, 3) AS sanity_score, needs_ocr, auto_safe, judge AND soft.soft_auto AS soft_auto FROM every JOIN soft USING (doc_id)"""
+    {concluded('(SELECT * FROM judged WHERE accepted)', '(SELECT * FROM ident WHERE NOT sanity_passed)', '(SELECT * FROM judged WHERE NOT accepted)' if mode == 'safe' else None, 'looked')}"""
     )
 
 
+def _arriving(stage: int, docs: str) -> str:
+    return f"SELECT * EXCLUDE (stage) FROM c WHERE stage = {stage} AND doc_id IN (SELECT doc_id FROM {docs})"
+
+
+def _unseen(rows: str, known: str) -> str:
+    """Rows whose key no row of ``known`` has, the first of each key."""
+    key = "source, title, array_to_string(names, '; '), year, doi, isbn, arxiv"
+    return f"SELECT * FROM ({rows}) WHERE (doc_id, {key}) NOT IN (SELECT doc_id, {key} FROM {known}) QUALIFY row_number() OVER (PARTITION BY doc_id, {key} ORDER BY pos) = 1"
+
+
+def _combined(known: str, pos: int) -> str:
+    made = f"SELECT doc_id, {pos} AS pos, title, {d.split_names('authors')} AS names, year, doi, isbn, arxiv, source, priority, ['combined local title/author/year candidates'] AS notes FROM ({synthesized(known)})"
+    return _unseen(f"SELECT *, {d.surnames('names')} AS sn, {d.words(d.title('title'))} AS tw FROM ({made})", known)
+
+
+def _round(k: int, safe: bool, f: str) -> str:
+    """Tables of look-up round k: settled, best, held, open, tried, from those of the round before and the candidates k{k}."""
+    before = k - 1
+    rank = "sanity_score < 0.4, CASE WHEN sanity_score >= 0.4 THEN 0 ELSE -sanity_score END, korder, pos"
+    match = f"SELECT h.doc_id, h.kind, h.value, h.pos, h.title, h.names, h.sn, h.year, h.doi, h.isbn, h.arxiv, h.source, h.publisher, 'high' AS confidence, true AS verified, sanity_score >= 0.4 AS sanity_passed, sanity_score, fl.blind AS needs_ocr, []::varchar[] AS notes, {NOTE} AS note"
+    out = f"""
+    pool{k} AS (SELECT doc_id, kind, value, min(n) AS pos FROM (SELECT * FROM text_pool UNION ALL SELECT doc_id, 'doi', doi, 1000 + pos FROM k{k} WHERE doi <> '') WHERE value <> '' AND doc_id IN (SELECT doc_id FROM open{before}) GROUP BY 1, 2, 3),
+    hit{k} AS (SELECT p.doc_id, p.kind, p.pos, p.value, CASE p.kind WHEN 'doi' THEN 0 WHEN 'isbn' THEN 1 ELSE 2 END AS korder, e.title, e.names, e.sn, e.year, e.doi, e.isbn, e.arxiv, e.source, e.publisher FROM pool{k} p JOIN cat e ON p.kind = e.kind AND e.key = CASE WHEN p.kind = 'doi' THEN lower(p.value) ELSE p.value END
+      WHERE (p.doc_id, p.kind, p.value) NOT IN (SELECT doc_id, kind, value FROM tried{before})),
+    scored{k} AS MATERIALIZED (SELECT h.*, round({d.sanity_score('h.title', 'h.names', 'h.source', 'f.norm', 'f.name_words', 'f.short', 'f.blind')}, 3) AS sanity_score FROM hit{k} h JOIN {f} f USING (doc_id)),
+    new{k} AS MATERIALIZED (SELECT * FROM scored{k} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {rank}) = 1),
+    tried{k} AS MATERIALIZED (SELECT * FROM tried{before} UNION ALL SELECT s.doc_id, s.kind, s.value FROM scored{k} s LEFT JOIN (SELECT * FROM new{k} WHERE sanity_score >= 0.4) w USING (doc_id) WHERE w.doc_id IS NULL OR s.korder < w.korder OR (s.korder = w.korder AND s.pos <= w.pos)),
+    both{k} AS MATERIALIZED (SELECT * EXCLUDE (o) FROM (SELECT *, 0 AS o FROM best{before} UNION ALL SELECT *, 1 FROM ({match} FROM new{k} h JOIN f fl USING (doc_id))) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sanity_score DESC, o) = 1),"""
+    if not safe:
+        return out + f"""
+    settled{k} AS (SELECT *, false AS force_review FROM both{k} WHERE sanity_passed), best{k} AS (SELECT * FROM both{k} WHERE NOT sanity_passed),
+    open{k} AS MATERIALIZED (SELECT doc_id FROM open{before} WHERE doc_id NOT IN (SELECT doc_id FROM settled{k})),"""
+    return out + f"""
+    said{k} AS MATERIALIZED (SELECT doc_id, accepted, force_review, source AS by_source, note AS why FROM ({corroboration(f'(SELECT * FROM both{k} WHERE sanity_passed)', f'k{k}')})),
+    asked{k} AS MATERIALIZED (SELECT b.*, accepted, force_review, by_source, why, force_review AND doc_id NOT IN (SELECT doc_id FROM k{k} WHERE source = 'grobid' OR {model('source')}) AS waits FROM both{k} b LEFT JOIN said{k} USING (doc_id)),
+    ended{k} AS (SELECT * REPLACE ({WITH_WHY} AS note) FROM asked{k} WHERE sanity_passed AND accepted AND NOT waits),
+    hold{k} AS MATERIALIZED (SELECT * FROM (SELECT *, true AS old FROM held{before} UNION ALL SELECT * EXCLUDE (accepted, force_review, by_source, why, waits), false FROM asked{k} WHERE sanity_passed AND NOT accepted) WHERE doc_id NOT IN (SELECT doc_id FROM ended{k}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sanity_score DESC, NOT old) = 1),
+    {_recheck(k, f"(SELECT * EXCLUDE (old) FROM hold{k} WHERE old)")}
+    settled{k} AS MATERIALIZED (SELECT * EXCLUDE (accepted, by_source, why, waits) FROM ended{k} UNION ALL SELECT * FROM late{k}),
+    open{k} AS MATERIALIZED (SELECT doc_id FROM open{before} WHERE doc_id NOT IN (SELECT doc_id FROM settled{k})),
+    best{k} AS MATERIALIZED (SELECT * EXCLUDE (accepted, force_review, by_source, why, waits) FROM asked{k} WHERE doc_id IN (SELECT doc_id FROM open{k}) AND (NOT sanity_passed OR waits)),
+    held{k} AS MATERIALIZED (SELECT * EXCLUDE (old) FROM hold{k} WHERE doc_id IN (SELECT doc_id FROM open{k})),"""
+
+
+def _recheck(k: int, held: str) -> str:
+    return f"""late{k} AS MATERIALIZED (SELECT h.* REPLACE ({WITH_WHY.replace('note', 'h.note', 1)} AS note), force_review FROM {held} h JOIN (SELECT doc_id, accepted, force_review, source AS by_source, note AS why FROM ({corroboration(held, f'k{k}')})) USING (doc_id) WHERE accepted),"""
+
+
+def phased(mode: str = "default") -> str:
+    """The rounds of the phased job over staged candidates, every decision made anew from all candidates: one result a document and the round that settled it."""
+    safe = mode == "safe"
+    docs, cands = (f"({src.oracle(x)})" for x in (src.STAGED_DOCS, src.STAGED))
+    usable = f"title <> '' AND {_NT} >= 4 AND NOT {d.series('title')} AND ({one_of('source', decide.SEARCHABLE)} OR source LIKE 'llm:%')"
+    numeric = d.match("regexp_extract(path, '([^/]*)\\.pdf$', 1)", "^[0-9]{7,10}$")
+    strong = f"(NOT f.blind AND doc_id IN (SELECT doc_id FROM k2 WHERE {usable}))"
+    if safe:
+        call = f"NOT {strong} OR doc_id IN (SELECT doc_id FROM held2)"
+    else:
+        call = f"NOT (doc_id IN (SELECT doc_id FROM tried2) AND (doc_id IN (SELECT doc_id FROM pool2) OR {numeric})) AND NOT {strong}"
+    columns = "source = 'grobid' AND doc_id IN (SELECT doc_id FROM books)"
+    seen = "SELECT doc_id, string_agg(trim(concat(title, ' ', array_to_string(names, ' '))), ' ' ORDER BY pos) AS t FROM a3 WHERE doc_id IN (SELECT doc_id FROM m WHERE text = '') GROUP BY 1"
+    empty = "SELECT * FROM ({}) WHERE false"
+    last = 4 if safe else 3
+    final = " UNION ALL ".join([f"SELECT * FROM k{i} WHERE doc_id IN (SELECT doc_id FROM settled{i})" for i in range(1, last + 1)] + [f"SELECT * FROM k{last} WHERE doc_id IN (SELECT doc_id FROM open{last})"])
+    start = "SELECT doc_id, kind, value, pos, title, names, sn, year, doi, isbn, arxiv, source, publisher, 'high' AS confidence, true AS verified, true AS sanity_passed, sanity_score, false AS needs_ocr, []::varchar[] AS notes, '' AS note FROM best"
+    phase_of = " UNION ALL ".join(f"SELECT doc_id, {i} AS phase FROM settled{i}" for i in range(1, last + 1))
+    escalated = f"""
+    a4 AS MATERIALIZED ({_unseen(_arriving(4, 'held3'), 'k3')}), k4a AS MATERIALIZED (SELECT * FROM k3 WHERE doc_id IN (SELECT doc_id FROM open3) UNION ALL SELECT * FROM a4),
+    s4 AS MATERIALIZED ({_combined('(SELECT * FROM k4a WHERE doc_id IN (SELECT doc_id FROM held3))', 490000)}), k4 AS MATERIALIZED (SELECT * FROM k4a UNION ALL SELECT * FROM s4),
+    {_recheck(4, 'held3')} settled4 AS (SELECT * FROM late4), open4 AS MATERIALIZED (SELECT doc_id FROM open3 WHERE doc_id NOT IN (SELECT doc_id FROM late4)),
+    best4 AS (SELECT * FROM best3 WHERE doc_id IN (SELECT doc_id FROM open4)), held4 AS (SELECT * FROM held3 WHERE doc_id IN (SELECT doc_id FROM open4)),"""
+    text_pool = base(docs, cands, "stage, ")
+    text_pool = text_pool[text_pool.index("SELECT doc_id, 'doi' AS kind, unnest") : text_pool.index(") WHERE value <> '' GROUP BY")]
+    text_pool = "\n  UNION ALL ".join(p for p in text_pool.split("\n  UNION ALL ") if "FROM c " not in p)
+    return f"""WITH {base(docs, cands, 'stage, ').strip()}, text_pool AS MATERIALIZED ({text_pool}),
+    open0 AS (SELECT doc_id FROM m), tried0 AS (SELECT doc_id, kind, value FROM pool WHERE false), best0 AS ({empty.format(start)}), held0 AS ({empty.format(start)}),
+    books0 AS MATERIALIZED (SELECT doc_id FROM m WHERE {d.book('path', 'text')}),
+    k1a AS MATERIALIZED ({_arriving(1, 'open0')}), s1 AS MATERIALIZED ({_combined('k1a', 190000)}), k1 AS MATERIALIZED (SELECT * FROM k1a UNION ALL SELECT * FROM s1),{_round(1, safe, 'f')}
+    k2a AS MATERIALIZED (SELECT * FROM k1 WHERE doc_id IN (SELECT doc_id FROM open1) UNION ALL {_arriving(2, 'open1')}), s2 AS MATERIALIZED ({_combined('k2a', 290000)}), k2 AS MATERIALIZED (SELECT * FROM k2a UNION ALL SELECT * FROM s2),{_round(2, safe, 'f')}
+    hard AS MATERIALIZED (SELECT doc_id FROM open2 JOIN m USING (doc_id) JOIN f USING (doc_id) WHERE {call}),
+    a3 AS MATERIALIZED ({_unseen(_arriving(3, 'hard'), 'k2')}), k3a AS MATERIALIZED (SELECT * FROM k2 WHERE doc_id IN (SELECT doc_id FROM open2) UNION ALL SELECT * FROM a3),
+    s3 AS MATERIALIZED ({_combined('k3a', 390000)}), books AS (SELECT doc_id FROM books0 WHERE doc_id IN (SELECT doc_id FROM open2)),
+    k3b AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {columns} THEN greatest(priority, 30) ELSE priority END AS priority, CASE WHEN {columns} THEN list_append(notes, 'grobid demoted (is_book)') ELSE notes END AS notes) FROM (SELECT * FROM k3a UNION ALL SELECT * FROM s3)),
+    s3b AS MATERIALIZED ({_combined('k3b', 391000)}), k3 AS MATERIALIZED (SELECT * FROM k3b UNION ALL SELECT * FROM s3b),
+    f3 AS MATERIALIZED (SELECT doc_id, coalesce(norm2, norm) AS norm, name_words, coalesce(short2, short) AS short, coalesce(blind2, blind) AS blind FROM f LEFT JOIN (SELECT doc_id, {d.sanity('substr(t, 1, 8000)')} AS norm2, length({d.strip('t')}) < 100 AS short2, {d.unreadable('t')} AS blind2 FROM ({seen})) USING (doc_id)),{_round(3, safe, 'f3')}{escalated if safe else ''}
+    k AS MATERIALIZED ({final}), local AS MATERIALIZED ({fallback('m', 'k')}), looked AS MATERIALIZED ({searched(f'open{last}', 'k', 'f3')}),
+    sure AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM settled{i}' for i in range(1, last + 1))}), phases AS ({phase_of}),
+    out AS ({concluded('sure', f'best{last}', f'held{last}' if safe else None, 'looked', 'f').replace('sure_rows AS', 'WITH sure_rows AS', 1)})
+    SELECT out.*, coalesce(phase, 0)::INTEGER AS phase FROM out LEFT JOIN phases USING (doc_id)"""
+
+
 def synthesized(c: str = "c") -> str:
     """(doc_id, title, authors, year, doi, isbn, arxiv, source, priority)."""
     good = f"(title <> '' AND NOT {d.garbage('title')} AND NOT {d.journal_abbrev('title')} AND NOT {d.suspicious('title')})"
@@ -256,3 +372,19 @@ def best_titles(queries: str, catalog: str) -> str:
     pairs AS MATERIALIZED (SELECT a, b FROM (SELECT DISTINCT a FROM q WHERE a <> ''), (SELECT DISTINCT b FROM k WHERE b <> '') WHERE {near} OR {d.jaccard('a', 'b')} >= 0.8),
     s AS (SELECT q.qid, k.eid, k.source, k.title, {SCORE} AS score, {_THRESHOLD} AS least FROM {d.similar('SELECT a, b FROM pairs')} JOIN q USING (a) JOIN k USING (b))
     SELECT qid, source, eid, title, round(score, 6) AS score, {BAND} AS confidence FROM s WHERE score >= least - 1e-12 QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, eid) = 1"""
+
+
+def rest_titles(queries: str, catalog: str) -> str:
+    """Title search by words, and over all pairs for the queries that so find nothing: (qid, source, eid, title, score, confidence)."""
+    near = "(2.0 * least(length(a), length(b)) >= 0.8 * (length(a) + length(b)) AND levenshtein(a, b) <= 0.2 * (length(a) + length(b)) + 1e-9)"
+    tokens = "SELECT {k}, unnest(list_distinct(string_split({x}, ' '))) AS token FROM {t} WHERE {x} <> ''"
+    best = f"SELECT qid, source, eid, title, score, {BAND} AS confidence FROM s WHERE score >= least - 1e-12 QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, eid) = 1"
+    return f"""WITH q AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, {d.title('title')} AS a FROM ({queries})), k AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, {d.title('title')} AS b FROM ({catalog})),
+    kt AS MATERIALIZED ({tokens.format(k='eid', x='b', t='k')}), qt AS (SELECT qid, t.token, list_contains({d.lst(STOP_WORDS)}, t.token) AS stop, coalesce(n, 0) AS df FROM ({tokens.format(k='qid', x='a', t='q')}) t LEFT JOIN (SELECT token, count(*) AS n FROM kt GROUP BY 1) USING (token)),
+    pick AS (SELECT qid, token FROM (SELECT *, {_rarest('qid')} AS x, {_rarest('qid, stop')} AND NOT stop AS y FROM qt) WHERE (x OR y) AND df > 0),
+    near AS MATERIALIZED (SELECT a, b FROM (SELECT DISTINCT a FROM q WHERE a <> ''), (SELECT DISTINCT b FROM k WHERE b <> '') WHERE {near} OR {d.jaccard('a', 'b')} >= 0.8),
+    s AS MATERIALIZED (SELECT q.qid, k.eid, k.source, k.title, {SCORE} AS score, {_THRESHOLD} AS least FROM {d.similar('SELECT a, b FROM near')} JOIN q USING (a) JOIN k USING (b)),
+    blocked AS (SELECT DISTINCT qid, eid FROM pick JOIN kt USING (token) UNION SELECT qid, eid FROM q JOIN k ON a = b WHERE a <> ''),
+    by_word AS MATERIALIZED ({best.replace('FROM s WHERE', 'FROM s SEMI JOIN blocked USING (qid, eid) WHERE')}),
+    by_all AS ({best.replace('FROM s WHERE', 'FROM s WHERE qid NOT IN (SELECT qid FROM by_word) AND')})
+    SELECT qid, source, eid, title, round(score, 6) AS score, confidence FROM by_word UNION ALL SELECT qid, source, eid, title, round(score, 6), confidence FROM by_all"""

@@ -112,6 +112,35 @@ UNION ALL
 SELECT o_orderkey, 4, concat('On order', {letters("o_orderkey")}, ' of widgets'), concat('Jo Stone', {letters("o_custkey")}), '', '', '', '', 'pdfinfo', 15, ''
 FROM {{orders}} WHERE o_orderkey % 20 = 0"""
 
+#: Documents, some without any text, and their candidates by the stage in which they arrive.
+STAGED_DOCS = f"SELECT doc_id, path, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text FROM ({MENTIONS}) AS t"
+_ORDER_TITLE, _ORDER_AUTHOR, _ORDER_YEAR = f"concat('On order', {letters('o_orderkey')}, ' of widgets')", f"concat('Jo Stone', {letters('o_custkey')})", "cast(extract(year FROM o_orderdate) as varchar(9))"
+STAGED = f"""
+SELECT o_orderkey AS doc_id, 1 AS stage, 100000 AS pos, {_ORDER_TITLE} AS title, {_ORDER_AUTHOR} AS authors, '' AS year, '' AS doi, '' AS isbn, '' AS arxiv, 'pdfinfo' AS source, 15 AS priority, '' AS notes
+FROM {{orders}} WHERE o_orderkey % 4 = 0
+UNION ALL
+SELECT o_orderkey, 1, 103000, concat('Notes ', {letters("o_orderkey")}), '', '', '', '', '', 'filename_title_only', 80, ''
+FROM {{orders}} WHERE o_orderkey % 10 <> 9
+UNION ALL
+SELECT o_orderkey, 1, 103001, concat({_ORDER_TITLE}, ' and bolts of many kinds'), {_ORDER_AUTHOR}, '', '', '', '', 'filename_structured', 40, 'parsed'
+FROM {{orders}} WHERE o_orderkey % 4 = 1
+UNION ALL
+SELECT o_orderkey, 1, 104000, {_ORDER_TITLE}, {_ORDER_AUTHOR}, '', CASE WHEN o_orderkey % 3 = 0 THEN {doi("o_orderkey")} ELSE '' END, '', '', 'text_header', 90, ''
+FROM {{orders}} WHERE o_orderkey % 8 = 2
+UNION ALL
+SELECT o_orderkey, 2, 205000, CASE o_orderkey % 5 WHEN 0 THEN 'Untitled' WHEN 1 THEN concat({_ORDER_TITLE}, ' and bolts') ELSE {_ORDER_TITLE} END,
+  CASE o_orderkey % 3 WHEN 0 THEN '' ELSE concat({_ORDER_AUTHOR}, '; Al Baker (ed.)') END, {_ORDER_YEAR}, CASE WHEN o_orderkey % 8 IN (3, 5) THEN {doi("o_orderkey")} WHEN o_orderkey % 8 = 6 THEN {doi("o_orderkey + 2")} ELSE '' END, '', '', 'grobid', 12, 'header'
+FROM {{orders}} WHERE o_orderkey % 6 <> 5
+UNION ALL
+SELECT o_orderkey, 2, 206000, {_ORDER_TITLE}, concat('Stone', {letters("o_custkey")}, ', Jo'), {_ORDER_YEAR}, '', '', '', 'llm:m', 30, 'model'
+FROM {{orders}} WHERE o_orderkey % 7 = 3
+UNION ALL
+SELECT o_orderkey, 3, 307000, {_ORDER_TITLE}, CASE WHEN o_orderkey % 13 = 0 THEN concat({_ORDER_AUTHOR}, '; {FILLER}{FILLER}') ELSE {_ORDER_AUTHOR} END, '', CASE WHEN o_orderkey % 9 IN (1, 2, 4) THEN {doi("o_orderkey")} ELSE '' END, '', '', 'vision_llm:v', 25, 'seen'
+FROM {{orders}} WHERE o_orderkey % 3 <> 0
+UNION ALL
+SELECT o_orderkey, 4, 408000, {_ORDER_TITLE}, {_ORDER_AUTHOR}, '', '', '', '', 'vision_llm:v', 25, 'seen on more pages'
+FROM {{orders}} WHERE o_orderkey % 2 = 1"""
+
 #: A run's result table, its debug rows and another run.
 RESULTS = f"""
 SELECT o_orderkey AS seq, concat('/lib/', lower(o_orderpriority), '/f', cast(o_orderkey as varchar(20)), '.pdf') AS "File Path",

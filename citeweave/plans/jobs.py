@@ -30,21 +30,21 @@ def identifier_resolution(docs: DataFrame, candidates: DataFrame, catalogs: Data
     return best.withColumn("auto_safe", safe).withColumn("route", F.array_join(routes(safe, F.lit(False)), ","))
 
 
-def search_hits(docs: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Title-search matches of the documents with sanity_score and sanity_passed."""
+def search_hits(features: DataFrame, candidates: DataFrame, catalog: DataFrame, **searching) -> DataFrame:
+    """Title-search matches of documents, whose ``features`` are (doc_id, features), with sanity_score and sanity_passed. ``searching`` goes to ``title_search``."""
     queries = search_queries(candidates).withColumn("qid", F.xxhash64("doc_id", "nth"))
-    hits = title_search(queries, catalog).join(features(docs), "doc_id")
+    hits = title_search(queries, catalog, **searching).join(features, "doc_id")
     judged = apply_sanity(sanity_score(F.col("title"), F.col("authors"), F.col("source"), F.col("features")))
     return hits.withColumn("judged", judged).select(*[c for c in hits.columns if c != "features"], "judged.*")
 
 
-def resolve(docs: DataFrame, candidates: DataFrame, catalogs: DataFrame, search_catalog: DataFrame, mode: str = "default") -> DataFrame:
-    """W2: identifiers first, title search for what they leave, decision rules, fallback: one result a document."""
+def resolve(docs: DataFrame, candidates: DataFrame, catalogs: DataFrame, search_catalog: DataFrame, mode: str = "default", **searching) -> DataFrame:
+    """W2: identifiers first, title search for what they leave, decision rules, fallback: one result a document. ``searching`` goes to ``title_search``: ``spelling=True`` is the exact way."""
     # several passes look at each of these: written once, read by all
     ready = stash(prepared(candidates), "candidates")
     ident = stash(identifier_resolution(docs, ready, catalogs), "identified")
     rest = docs.join(ident.filter("auto_safe").select("doc_id"), "doc_id", "left_anti")
     left = ready.join(rest.select("doc_id"), "doc_id", "left_semi")
-    found = stash(best_search_match(search_hits(rest, left, search_catalog)), "searched")
+    found = stash(best_search_match(search_hits(features(rest), left, search_catalog, **searching)), "searched")
     docs_flag = stash(docs.select("doc_id", text_features(F.col("text"), F.col("path"))["unreadable"].alias("needs_ocr")), "flags")
     return finalize(docs_flag, ready, ident, found, mode)

@@ -14,7 +14,7 @@ from citeweave.operators.candidates import identifier_pool
 from citeweave.plans import decide_sql as rules
 from citeweave.plans import ducksql as d
 from citeweave.plans import inputs as src
-from citeweave.plans import jobs
+from citeweave.plans import jobs, phases
 from citeweave.plans.queries_text import MENTION_SQL, candidates, mentions, with_windows
 from citeweave.plans.queries_text import _from as from_
 from citeweave.plans.registered import ORACLES, query
@@ -89,6 +89,12 @@ def f7(spark, sf_dir):
     return search.title_search(*title_tables(spark, sf_dir), spelling=True).select("qid", "source", "eid", "title", F.round("score", 6).alias("score"), "confidence")
 
 
+@query("f7_title_search_in_job", rules.rest_titles(f"SELECT * FROM {_named(src.TITLE_QUERIES)}", f"SELECT * FROM {_named(src.TITLE_CATALOG)}"))
+def f7_job(spark, sf_dir):
+    """Title search as the jobs run it: by words, and by spelling where words find nothing."""
+    return search.title_search(*title_tables(spark, sf_dir)).select("qid", "source", "eid", "title", F.round("score", 6).alias("score"), "confidence")
+
+
 #: Search hits of three sources and two candidates each, made from orders.
 HITS = (
     "SELECT o_orderkey AS doc_id, n AS nth, CASE (o_orderkey + n) % 4 WHEN 0 THEN 'crossref_search' WHEN 1 THEN 'openalex_search' WHEN 2 THEN 'openlibrary_search' ELSE 'semanticscholar_search' END AS source, "
@@ -218,10 +224,12 @@ def h7(spark, sf_dir):
     return _flat(decide.prefer_local(r, fallback).select("doc_id", "title", "source", "confidence", "notes"))
 
 
+FINAL = ("doc_id", "title", "authors", "year", "doi", "isbn", "arxiv", "publisher", "source", "confidence", "verified", "sanity_passed", "sanity_score", "needs_ocr", "auto_safe", "notes", "soft_auto")
+
+
 def _finalized(spark, sf_dir, mode: str) -> DataFrame:
-    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir), mode)
-    shape = ["doc_id", "title", "authors", "source", "confidence", "verified", "sanity_passed", "sanity_score", "needs_ocr", "auto_safe", "soft_auto"]
-    return _flat(out.withColumn("sanity_score", F.round("sanity_score", 3)).select(*shape))
+    out = jobs.resolve(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir), mode, spelling=False)
+    return _flat(out.withColumn("sanity_score", F.round("sanity_score", 3)).select(*FINAL))
 
 
 @query("h8_finalize_w2", rules.finalized())
@@ -234,6 +242,28 @@ def h8_safe(spark, sf_dir):
     return _finalized(spark, sf_dir, "safe")
 
 
+def staged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents and their candidates by stage."""
+    docs = with_windows(src.load(spark, sf_dir, src.STAGED_DOCS, {"orders": "o_orderkey"})).withColumn("sanity_text", F.col("text"))
+    split = lambda c: F.filter(F.split(c, "; "), lambda x: x != "")
+    return docs, src.load(spark, sf_dir, src.STAGED).withColumns({"authors": split("authors"), "notes": split("notes")})
+
+
+def _phased(spark, sf_dir, mode: str) -> DataFrame:
+    out = phases.resolve_staged(*staged(spark, sf_dir), catalogs(spark, sf_dir), search_catalog(spark, sf_dir), mode, spelling=False)
+    return _flat(out.withColumn("sanity_score", F.round("sanity_score", 3)).select(*FINAL, "phase"))
+
+
+@query("h8_h9_phased", rules.phased())
+def h8_phased(spark, sf_dir):
+    return _phased(spark, sf_dir, "default")
+
+
+@query("h8_h9_phased_safe_mode", rules.phased("safe"))
+def h8_phased_safe(spark, sf_dir):
+    return _phased(spark, sf_dir, "safe")
+
+
 _STRONG = (
     f"SELECT doc_id, max(CASE WHEN title <> '' AND {_NT} >= 4 AND NOT {d.series('title')} AND (source IN ({', '.join(map(d.text, decide.SEARCHABLE))}) OR source LIKE 'llm:%') THEN 1 ELSE 0 END) AS strong FROM {from_(src.CANDIDATES)} GROUP BY doc_id"
 )
