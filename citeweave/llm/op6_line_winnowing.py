@@ -1,17 +1,19 @@
-"""Removal of repeated runs of lines, found by winnowing line hashes.
+"""Removal of repeated runs of lines by winnowing.
 
 The unit is a line, cut further behind sentence ends, because a passage pasted into a paragraph shares its first and last
-line with other text. Windows are as many units in a row as hold ``WORDS`` words, the fewest from each first unit and the fewest up to
-each last unit, so that the windows inside a run of ``WORDS`` words or more cover all of it.
+line with other text. Short runs of units (``SHORT`` words or more) are hashed; spans are as many units as hold ``WORDS`` words, the
+fewest from each first unit and the fewest up to each last unit. Of the short runs in a span the one with the least hash is a fingerprint. Two texts
+with a run of ``WORDS`` words in common have a span in common, and so the same fingerprint at the same place of it.
 
-Every window is a fingerprint, by the hash of all its units: a single unit's hash (the least of the window) would let one
-frequent line stand in for all runs that hold it. Each window stays in the earliest document (by doc_id) that has it, at its
-first position there, and goes everywhere else; documents never meet each other, only the first holder of a window. As a
-whole window is the key, the first copy of every unit stays.
+A fingerprint that stands in several places is joined with its first one (by doc_id), and the match is extended both ways, unit by unit,
+as far as the spans that chose the fingerprint reach; what matches over ``WORDS`` words or more is a repeated run and goes. A
+fingerprint may be a frequent line whose first place has nothing else in common with a later run: spans that no extension covered are joined once more
+by the hash of all their units, with the first of them, and go if all units are equal. So of every span the first copy stays and no other, nothing goes by one
+64-bit hash alone (units are compared by a hash of their own), and documents never meet each other, only first places.
 
 Units are equal when they are after trimming; empty ones never start a run. Null and empty texts stay as they are, a missing
 doc_id comes before all others, rows repeated whole (same doc_id and text) count as one document and all get its answer.
-Other columns pass through.
+Other columns pass through. A very long text is one value in memory, as are the places of its own that go.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeweave.llm.common import ROW, id_key, let_go, row_key, stash
+from citeweave.operators.reduce import asked_for
 
-WORDS = 25
+WORDS, SHORT = 25, 8
 #: An odd number and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
@@ -45,37 +48,79 @@ def units(text: str) -> list[str]:
     return out
 
 
-def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each unit (0 if blank) and its words."""
-    from xxhash import xxh3_64_intdigest
+def both_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each unit (0 if blank), another of its own, and its words."""
+    from xxhash import xxh3_128_intdigest
 
     bare = [u.strip() for u in units(text)]
-    h = np.array([xxh3_64_intdigest(u.encode()) or 1 if u else 0 for u in bare], np.uint64).view(np.int64)
-    return h, np.array([u.count(" ") + 1 if u else 0 for u in bare], np.int32)
+    wide = b"".join((xxh3_128_intdigest(u.encode()) or 1).to_bytes(16, "little") if u else bytes(16) for u in bare)
+    h = np.frombuffer(wide, "<i8").reshape(-1, 2)
+    return h[:, 0], h[:, 1], np.array([u.count(" ") + 1 if u else 0 for u in bare], np.int32)
+
 
+def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each unit (0 if blank) and its words."""
+    h, _, words = both_hashes(text)
+    return h, words
 
-def windows(h: np.ndarray, words: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(text, first unit, unit behind the last, hash, whether it stood in the text before) of each window of texts laid end to end."""
+
+def spans_of(words: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first unit, unit behind the last) of the spans of texts laid end to end."""
     ends = np.cumsum(lengths)
     begins = ends - lengths
     text = np.repeat(np.arange(len(lengths)), lengths)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    stop = np.searchsorted(total, total[:-1] + least)  # the window from i is [i, stop[i])
+    stop = np.searchsorted(total, total[:-1] + least)  # the span from i is [i, stop[i])
     full = words > 0
     a = np.flatnonzero(full & (stop <= ends[text]))
     last = np.flatnonzero(full & (total[1:] - total[begins[text]] >= least))
     start = np.searchsorted(total, total[last + 1] - least, "right") - 1
     other = stop[start] != last + 1  # not among those from a first unit
     a, b = np.concatenate([a, start[other]]), np.concatenate([stop[a], last[other] + 1])
-    # sum of h[a + k] * BASE ** k modulo 2 ** 64
+    return text[a], a, b
+
+
+def run_hash(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of h[a + k] * BASE ** k modulo 2 ** 64 over each run [a, b)."""
     power = lambda x: np.cumprod(np.array([1, *[x] * len(h)], np.uint64))
     so_far = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64) * power(_BASE)[:-1], dtype=np.uint64)])
-    mark = ((so_far[b] - so_far[a]) * power(_UNBASE)[a]).view(np.int64)
-    order = np.lexsort((a, mark, text[a]))
-    a, b, mark = a[order], b[order], mark[order]
-    again = np.zeros(len(a), bool)
-    again[1:] = (mark[1:] == mark[:-1]) & (text[a[1:]] == text[a[:-1]])
-    return text[a], a - begins[text[a]], b - begins[text[a]], mark, again
+    mixed = (so_far[b] - so_far[a]) * power(_UNBASE)[a]
+    mixed ^= mixed >> np.uint64(32)  # low bits count as much as high ones when the least is taken
+    return (mixed * np.uint64(_BASE)).view(np.int64)
+
+
+def fingerprints(h: np.ndarray, words: np.ndarray, lengths: np.ndarray, least: int, short: int = SHORT) -> tuple[np.ndarray, ...]:
+    """(text, unit, hash, first unit and unit behind the last of all spans that chose it) of each fingerprint of texts laid end to end."""
+    text, a, b = spans_of(words, lengths, least)
+    if not len(a):
+        return (np.empty(0, np.int64),) * 5
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.cumsum(lengths)
+    stop = np.searchsorted(total, total[:-1] + min(short, least))
+    starts = np.flatnonzero((words > 0) & (stop <= ends[np.repeat(np.arange(len(lengths)), lengths)]))
+    mark = run_hash(h, starts, stop[starts])
+    order = np.argsort(mark.view(np.uint64), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # short runs inside a span: from its first unit on, as long as they end inside
+    low, high = np.searchsorted(starts, a), np.searchsorted(stop[starts], b, "right")
+    chosen = order[np.minimum.reduceat(np.append(rank, len(rank)), np.stack([low, high], 1).ravel())[::2]]
+    by = np.argsort(chosen, kind="stable")
+    chosen, a, b, text = chosen[by], a[by], b[by], text[by]
+    first = np.flatnonzero(np.diff(chosen, prepend=-1))
+    one = chosen[first]
+    return text[first], starts[one], mark[one], np.minimum.reduceat(a, first), np.maximum.reduceat(b, first)
+
+
+def agreement(own: np.ndarray, at: int, other: np.ndarray, there: int) -> tuple[int, int]:
+    """The stretch of ``own`` around ``at`` that agrees with ``other`` around ``there``, as a half-open range."""
+    back, ahead = min(at, there), min(len(own) - at, len(other) - there)
+    same = own[at - back : at + ahead] == other[there - back : there + ahead]
+    unlike = np.flatnonzero(~same)
+    k = int(np.searchsorted(unlike, back))
+    low = int(unlike[k - 1]) + 1 if k else 0
+    high = int(unlike[k]) if k < len(unlike) else len(same)
+    return at - back + low, max(at - back + high, at - back + low)
 
 
 def strip_units(text: str, gone: list[tuple[int, int]]) -> str:
@@ -97,36 +142,82 @@ def strip_units(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join(out).strip("\n") if not lost[-1:].any() else "".join(out).rstrip()
 
 
-def _windows(docs: DataFrame, least: int) -> DataFrame:
-    """(key, id, a, b, mark, again): all windows of all documents."""
+def _fingerprints(docs: DataFrame, least: int) -> DataFrame:
+    """(key, id, mark, unit, at, near, words): each fingerprint, the hashes of the units in its spans and their words; it is the ``at``-th of them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                h, words = zip(*(hashes(text) for text in part.column(2).to_pylist()))
-                row, a, b, mark, again = windows(np.concatenate(h), np.concatenate(words), np.array([len(x) for x in h]), least)
+                h, other, words = zip(*(both_hashes(text) for text in part.column(2).to_pylist()))
+                lengths = np.array([len(x) for x in h])
+                other, words = np.concatenate(other), np.concatenate(words)
+                row, unit, mark, a, b = fingerprints(np.concatenate(h), words, lengths, least)
+                near, sizes = memoryview(other.astype("<i8").tobytes()), memoryview(words.astype("<i4").tobytes())
+                a0, b0 = a.tolist(), b.tolist()
+                begins = (np.cumsum(lengths) - lengths)[row]
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(mark), pa.array(again)],
-                    names=["key", "id", "a", "b", "mark", "again"],
-                )
+                    [
+                        part.column(0).take(row), part.column(1).take(row), pa.array(mark), pa.array(unit - begins, pa.int32()), pa.array(unit - a, pa.int32()),
+                        pa.array([near[8 * x : 8 * y] for x, y in zip(a0, b0)], pa.binary()), pa.array([sizes[4 * x : 4 * y] for x, y in zip(a0, b0)], pa.binary()),
+                    ],
+                    names=["key", "id", "mark", "unit", "at", "near", "words"],
+                )
         let_go()
 
     rows = docs.filter("text <> ''").select(row_key().alias("key"), id_key().alias("id"), "text")
-    return rows.mapInArrow(make, f"key {ROW}, id long, a int, b int, mark long, again boolean")
+    return rows.mapInArrow(make, f"key {ROW}, id long, mark long, unit int, at int, near binary, words binary")
+
+
+def _extended(pairs: DataFrame, least: int) -> DataFrame:
+    """(key, id, a, b, span, near): repeated runs of the later places (span is null), and the spans that no extension covered, by the hash of their units."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("unit", "at", "near", "words", "first_at", "first_near")]
+            for k, (unit, at, near, words, there, first) in enumerate(zip(*columns)):
+                own, words = np.frombuffer(near, "<i8"), np.frombuffer(words, "<i4")
+                low, high = (0, len(own)) if at == there and near == first else agreement(own, at, np.frombuffer(first, "<i8"), there)
+                begin = unit - at
+                if words[low:high].sum() >= least:
+                    out.append((k, begin + low, begin + high, None, None))
+                else:
+                    low = high = at
+                if (low, high) == (0, len(own)):
+                    continue
+                _, a, b = spans_of(words, np.array([len(own)]), least)
+                left = ~((a >= low) & (b <= high)) & (a <= at) & (b > at)
+                a, b = a[left], b[left]
+                out += [(k, begin + x, begin + y, z, near[8 * x : 8 * y]) for x, y, z in zip(a.tolist(), b.tolist(), run_hash(own, a, b).tolist())]
+            row, a, b, span, near = zip(*out) if out else [()] * 5
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(row), batch.column("id").take(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(span, pa.int64()), pa.array(near, pa.binary())],
+                names=["key", "id", "a", "b", "span", "near"],
+            )
+        let_go()
+
+    return pairs.mapInArrow(extend, f"key {ROW}, id long, a int, b int, span long, near binary")
 
 
 def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(key, gone): for each document with repeated runs, their units as half-open ranges. ``key`` is ``row_key()``."""
-    made = stash(_windows(docs, least), "windows")
-    at = made.filter("NOT again")
-    first = at.groupBy("mark").agg(F.min(F.struct("id", "key")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    marks = stash(_fingerprints(docs, least), "fingerprints")
+    several = stash(marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "repeated-marks")
+    places = stash(asked_for(marks, several, ["mark"]), "places")
+    first = places.groupBy("mark").agg(F.min(F.struct("id", "key", "unit", "at", "near")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     # a table of its own, so that both sides of the join are plain exchanges, which Spark splits where a mark is hot
-    first = stash(first.select("mark", F.col("f.key").alias("first")), "first-marks")
-    across = at.select("mark", "key", "a", "b").join(first, "mark").filter("key <> first").select("key", "a", "b")
-    inside = made.filter("again").select("key", "a", "b")
-    return across.union(inside).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    first = stash(first.select("mark", *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("key", "unit", "at", "near"))), "first-places")
+    later = places.join(first, "mark").filter((F.col("key") != F.col("first_key")) | (F.col("unit") != F.col("first_unit")))
+    found = stash(_extended(later.select("key", "id", "unit", "at", "near", "words", "first_at", "first_near"), least), "extended")
+    spans = found.filter("span IS NOT NULL")
+    held = spans.groupBy("span").agg(F.min(F.struct("id", "key", "a", "near")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    held = stash(held.select("span", *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("key", "a", "near"))), "first-spans")
+    again = asked_for(spans, held, ["span"]).join(held, "span").filter("near = first_near").filter((F.col("key") != F.col("first_key")) | (F.col("a") != F.col("first_a")))
+    gone = found.filter("span IS NULL").select("key", "a", "b").union(again.select("key", "a", "b"))
+    return gone.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
 def without_repeats(docs: DataFrame, least: int = WORDS, flags: tuple[str, str] = ("repeats", "emptied")) -> DataFrame:

@@ -407,3 +407,40 @@ def test_op5_short_masks_miss_no_replacement():
     for n in range(op5.SHORTEST, op5.SPAN):
         for gone in combinations(range(n), n // 5):
             assert any(not set(gone) & set(m) for m in op5.short_masks(n))
+
+
+def test_op6_fingerprints_of_shared_runs():
+    """Whatever stands around it, a run of ``WORDS`` words or more gives both texts one fingerprint at one place of it, and fewer of them than spans."""
+    rng = np.random.default_rng(8)
+    unit = lambda: " ".join(f"w{x}" for x in rng.integers(0, 4000, rng.integers(1, 12))) + ". "
+    marks = spans = 0
+    for _ in range(200):
+        run = [unit() for _ in range(rng.integers(3, 9))]
+        found = []
+        for _ in range(2):
+            head, tail = ("".join(unit() for _ in range(rng.integers(0, 9))) for _ in range(2))
+            h, _, words = op6.both_hashes(head + "".join(run) + tail)
+            _, at, mark, a, b = op6.fingerprints(h, words, np.array([len(h)]), op6.WORDS)
+            begin = len(op6.units(head))
+            found.append({(m, x - begin) for m, x in zip(mark.tolist(), at.tolist())})
+            assert ((a <= at) & (at < b)).all()
+            marks, spans = marks + len(at), spans + len(op6.spans_of(words, np.array([len(h)]), op6.WORDS)[0])
+        inside = {(m, x) for m, x in found[0] & found[1] if 0 <= x < len(run)}
+        assert inside or sum(len(u.split()) for u in run) < op6.WORDS
+    assert marks < 0.7 * spans
+
+
+def test_op6_clash_cuts_nothing(spark):
+    """Equal fingerprints of unlike units, and equal hashes of unlike spans, are no repeats."""
+    raw = lambda x, t: np.array(x, t).tobytes()
+    key, words = {"a": 1, "b": 2}, raw([20, 20], "<i4")
+    shape = f"key {op6.ROW}, id long, unit int, at int, near binary, words binary, first_at int, first_near binary"
+    pairs = [(key, 1, 5, 0, raw([7, 8], "<i8"), words, 0, raw([9, 8], "<i8")), (key, 1, 9, 1, raw([7, 8], "<i8"), words, 1, raw([7, 8], "<i8"))]
+    got = op6._extended(spark.createDataFrame(pairs, shape), op6.WORDS).collect()
+    assert [(r.a, r.b) for r in got if r.span is None] == [(8, 10)]
+    assert {(r.a, r.b) for r in got if r.span is not None} == {(5, 7)}
+
+
+def test_op6_extends_both_ways():
+    own, other = np.array([1, 2, 3, 4, 5]), np.array([9, 2, 3, 4, 8, 8])
+    assert op6.agreement(own, 2, other, 2) == (1, 4) and op6.agreement(own, 0, other, 0) == (0, 0) and op6.agreement(own, 1, other[1:], 0) == (1, 4)
