@@ -77,6 +77,42 @@ def longest(same: np.ndarray) -> tuple[int, int]:
     return int(start[k]), k
 
 
+#: Places of one hash in a text times those in the benchmark; above, their differences are taken stretch by stretch.
+HEAVY = 256
+
+
+def stretches(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Ascending numbers as (first, step, count) of even steps; a lone one has step 0."""
+    out, i, n, gaps = [], 0, len(at), np.diff(at)
+    turns = np.append(np.flatnonzero(np.diff(gaps)) + 1, len(gaps))  # gaps are alike from one turn to the next
+    while i < n:
+        if i == n - 1:
+            out.append((int(at[i]), 0, 1))
+            break
+        j = int(turns[np.searchsorted(turns, i, "right")])
+        out.append((int(at[i]), int(gaps[i]), j - i + 1))
+        i = j + 1
+    return out
+
+
+def diagonals(places: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Distinct differences of two ascending lists. Of two stretches of one step, n and m long, there are n + m - 1, whatever n m is."""
+    p, q = stretches(places), stretches(seeds)
+    found = []
+    if 4 * len(p) * len(q) > len(places) * len(seeds):  # no even steps: all differences, a bounded number at once
+        rows = max(1, 1_000_000 // len(seeds))
+        return np.unique(np.concatenate([np.unique(places[i : i + rows, None] - seeds[None, :]) for i in range(0, len(places), rows)]))
+    for a, s, n in p:
+        for b, t, m in q:
+            if n == 1 or m == 1 or s == t:
+                step = s or t or 1
+                found.append(np.arange(a - b - (m - 1) * t, a - b + (n - 1) * s + 1, step))
+            else:
+                short, long = ((a - b + s * np.arange(n), -t * np.arange(m)) if n < m else (a - b - t * np.arange(m), s * np.arange(n)))
+                found += [x + long for x in short.tolist()]
+    return np.unique(np.concatenate(found))
+
+
 class Seeds:
     """A block of the benchmark: its vocabulary, and for each mask its hashes in order with item and position."""
 
@@ -108,15 +144,23 @@ class Seeds:
             place = np.flatnonzero(known[own >> np.uint64(64 - _TABLE_BITS)])
             if len(place):
                 low, high = (np.searchsorted(h, own[place], side) for side in ("left", "right"))
+                order = np.argsort(low, kind="stable")
+                place, low, high = place[order], low[order], high[order]
+                first = np.flatnonzero(np.diff(low, prepend=-1) | (high == low))
+                times = np.diff(np.append(first, len(low)))
+                heavy = times * (high - low)[first] > HEAVY
+                for i, n in zip(first[heavy].tolist(), times[heavy].tolist()):  # text and benchmark repeat this hash
+                    items, seeds = which[low[i] : high[i]], at[low[i] : high[i]]
+                    for k in np.unique(items):
+                        found.append(np.stack(np.broadcast_arrays(k, diagonals(place[i : i + n], np.sort(seeds[items == k]))), 1))
+                light = ~np.repeat(heavy, times)
+                place, low, high = place[light], low[light], high[light]
                 n = high - low
                 row = np.repeat(np.arange(len(place)), n)
                 seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
                 found.append(np.stack([which[seed], place[row] - at[seed]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
-    def verified(self, ids: np.ndarray, begin: int, end: int, k: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        return verified(self.items[k][1], ids, begin, end, diagonal)
-
 
 def verified(item: np.ndarray, ids: np.ndarray, begin: int, end: int, diagonal: int) -> tuple[int, int, int, int] | None:
     """(start in the item, start in the tokens, length, equal) of the best stretch on a diagonal inside [begin, end)."""
@@ -133,6 +177,21 @@ def verified(item: np.ndarray, ids: np.ndarray, begin: int, end: int, diagonal:
     return a + start, diagonal + a + start, length, equal
 
 
+def best_of(item: np.ndarray, ids: np.ndarray, begin: int, end: int, along: list[int]) -> tuple[int, int, int, int] | None:
+    """The best of ``verified`` over diagonals: most equal tokens, then the earliest start. One that can't beat the best so far isn't looked at."""
+    rows = np.array(along, np.int64)
+    start = np.maximum(begin, rows)
+    room = np.minimum(rows + len(item), end) - start
+    best = None
+    for k in np.lexsort((rows, -room)).tolist():
+        if best and (room[k] < best[3] or (room[k] == best[3] and start[k] >= best[1])):
+            continue
+        found = verified(item, ids, begin, end, int(rows[k]))
+        if found and (best is None or (found[3], -found[1]) > (best[3], -best[1])):
+            best = found
+    return best
+
+
 def overlaps_of(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, item id, start in the item, start in the text, length, equal tokens): the best of each pair."""
     get = seeds.vocabulary.get
@@ -146,7 +205,7 @@ def overlaps_of(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, in
         flat.extend(gap)
     ids = np.array(flat, np.uint64)
     edges = np.array(begins)
-    best: dict[tuple[int, int], tuple] = {}
+    pairs: dict[tuple[int, int], list[int]] = {}
     for k, diagonal in seeds.hits(ids).tolist():
         # a diagonal may start before the text that it hits, by less than the item's length
         for d in range(int(np.searchsorted(edges, diagonal, "right")) - 1, len(edges)):
@@ -154,9 +213,12 @@ def overlaps_of(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, in
                 continue
             if begins[d] >= diagonal + len(seeds.items[k][1]):
                 break
-            found = seeds.verified(ids, begins[d], ends[d], k, diagonal)
-            if found and (found[3], -found[1]) > (best.get((d, k), (0, 0, 0, 0))[3], -best.get((d, k), (0, 10**18, 0, 0))[1]):
-                best[d, k] = found
+            pairs.setdefault((d, k), []).append(diagonal)
+    best = {}
+    for (d, k), along in pairs.items():
+        found = best_of(seeds.items[k][1], ids, begins[d], ends[d], along)
+        if found:
+            best[d, k] = found
     for (d, k), (i, t, length, equal) in sorted(best.items()):
         yield d, seeds.items[k][0], i, t - begins[d], length, equal
 
@@ -196,9 +258,24 @@ def word_ids(words: list[str]) -> np.ndarray:
     return np.array([xxh3_64_intdigest(w.encode()) for w in words], np.uint64)
 
 
+def folded(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending places as stretches: (hash, first, step, count)."""
+    order = np.lexsort((at, h))
+    h, at = h[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(h)))
+    few = np.repeat(times < 3, times)
+    out = [(h[few], at[few], np.zeros(few.sum(), np.int64), np.ones(few.sum(), np.int64))]
+    for i, n in zip(first[times >= 3].tolist(), times[times >= 3].tolist()):
+        rows = np.array(stretches(at[i : i + n]), np.int64)
+        out.append((np.full(len(rows), h[i]), *rows.T))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _joined(docs: DataFrame, rows: DataFrame, shortest: int) -> DataFrame:
     """The same rows for a benchmark of any size, by joins on (mask, hash)."""
-    # an item is known by the number that it gets when it is written; a document by two hashes of its row
+    # an item is known by the number that it gets when it is written; a document by two hashes of its row. Places of one hash in one text are
+    # written as stretches of even steps, so that repeats of a text meet those of another as a few rows
     items = stash(rows.withColumn("item", F.monotonically_increasing_id()), "benchmark")
     masks = mask_list(set(range(max(shortest, 1), SPAN)))
 
@@ -210,11 +287,12 @@ def _joined(docs: DataFrame, rows: DataFrame, shortest: int) -> DataFrame:
                 for m, (offsets, fits) in enumerate(masks):
                     if len(ids) >= max(shortest, 1) and fits(len(ids)):
                         h = masked(ids, offsets)
-                        out.append((np.full(len(h), m, np.int32), h.view(np.int64), np.full(len(h), item), np.arange(len(h))))
-            columns = [np.concatenate(c) for c in zip(*out)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["mask", "hash", "item", "at"])
+                        of, *held = folded(h, np.arange(len(h)))
+                        out.append((np.full(len(of), m, np.int32), of.view(np.int64), np.full(len(of), item), *held))
+            columns = [np.concatenate(c) for c in zip(*out)] or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 5))], names=["mask", "hash", "item", "at", "at_step", "at_n"])
 
-    table = stash(items.select("item", "text").mapInArrow(seeds, "mask int, hash long, item long, at long"), "seeds")
+    table = stash(items.select("item", "text").mapInArrow(seeds, "mask int, hash long, item long, at long, at_step long, at_n long"), "seeds")
     used = [r[0] for r in table.select("mask").distinct().collect()]
     bits = min(MAP_BITS, max(16, (16 * max(table.count(), 1)).bit_length()))
     top = table.select(F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("t")).select(F.expr("shiftright(t, 6)").alias("cell"), F.expr("shiftleft(1L, cast(t % 64 as int))").alias("bit"))
@@ -235,24 +313,30 @@ def _joined(docs: DataFrame, rows: DataFrame, shortest: int) -> DataFrame:
                         h = masked(ids, masks[m][0])
                         t = h >> np.uint64(64 - bits)
                         at = np.flatnonzero(cell[(t >> np.uint64(6)).astype(np.int64)] >> (t & np.uint64(63)) & np.uint64(1))
-                        out.append((np.full(len(at), k), np.full(len(at), m, np.int32), h[at].view(np.int64), at))
-                row, *columns = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64)] * 4
+                        of, *held = folded(h[at], at)
+                        out.append((np.full(len(of), k), np.full(len(of), m, np.int32), of.view(np.int64), *held))
+                row, *columns = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64)] * 6
                 row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64())))], names=["k1", "k2", "mask", "hash", "place"]
+                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4)))],
+                    names=["k1", "k2", "mask", "hash", "place", "place_step", "place_n"],
                 )
         let_go()
 
     keyed = docs.filter("text <> ''").select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("k2"), "doc_id", "text")
-    hits = keyed.select("k1", "k2", "text").mapInArrow(probe, "k1 long, k2 long, mask int, hash long, place long")
-    met = stash(hits.join(table, ["mask", "hash"]).select("k1", "k2", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct(), "seed-hits")
+    hits = keyed.select("k1", "k2", "text").mapInArrow(probe, "k1 long, k2 long, mask int, hash long, place long, place_step long, place_n long")
+    met = hits.join(table, ["mask", "hash"]).select("k1", "k2", "item", "place", "place_step", "place_n", "at", "at_step", "at_n").distinct()
+    # a row a pair: its stretches are no more than the tokens of both
+    met = stash(met.groupBy("k1", "k2", "item").agg(F.collect_list(F.struct("place", "place_step", "place_n", "at", "at_step", "at_n")).alias("met")), "seed-hits")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, (text, item, diagonal) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+            for k, (text, item, met) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
                 ids = word_ids(tokens(text))
-                found = verified(word_ids(tokens(item)), ids, 0, len(ids), diagonal)
+                row = lambda x, c: x[c] + x[f"{c}_step"] * np.arange(x[f"{c}_n"])
+                along = np.unique(np.concatenate([diagonals(row(x, "place"), row(x, "at")) for x in met]))
+                found = best_of(word_ids(tokens(item)), ids, 0, len(ids), along)
                 if found:
                     rows.append((k, *found))
             at, *columns = zip(*rows) if rows else [()] * 5
@@ -263,6 +347,6 @@ def _joined(docs: DataFrame, rows: DataFrame, shortest: int) -> DataFrame:
     hit = keyed.select("k1", "k2", "text").join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     texts = met.join(items.select("item", F.col("text").alias("item_text")), "item").join(hit.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     shape = "k1 long, k2 long, item long, item_start long, doc_start long, n_tokens long, n_equal long"
-    good = texts.select("k1", "k2", "item", "text", "item_text", "diagonal").mapInArrow(check, shape)
+    good = texts.select("k1", "k2", "item", "text", "item_text", "met").mapInArrow(check, shape)
     best = good.groupBy("k1", "k2", "item").agg(F.max_by(F.struct(*FOUND), F.struct("n_equal", -F.col("doc_start"))).alias("f"))
     return keyed.select("k1", "k2", "doc_id").join(best, ["k1", "k2"]).join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "f.*")
