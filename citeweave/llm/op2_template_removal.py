@@ -10,7 +10,8 @@ what is around them are never deleted for recurring, and inside them an exact su
 paragraphs and lists which articles share stay. Copies of one article (of one page, where there is none) count as one page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles also go by element, role or the
-words of class and id, for hosts of few pages. If a page has an article (else ``main``), only it is text; a ``header`` inside it keeps its headings.
+words of class and id, for hosts of few pages. Inside an article a class or id goes so only if all its words name furniture or its parts
+(``comment-list``); one with other words too (``rail-network``) only proposes, and its subtree goes if it is a template or if half of its text is links. If a page has an article (else ``main``), only it is text; a ``header`` inside it keeps its headings.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line breaks.
 
 Null and empty html give an empty text. A missing or odd url has the host ''. Pages without mark-up are one block. Repeated rows get equal
@@ -50,6 +51,8 @@ WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer comment comments reply replies respond disqus share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login search pager pagination toolbar widget copyright disclaimer masthead".split()
 )
+#: Words that say what part of furniture it is.
+PARTS = frozenset("area article articles bar block body box btn button buttons card cards col column container content feed field form group heading icon icons inner inline input item items label left line link links list main more outer panel post posts right row section slot stories text title top bottom unit wrap wrapper".split())
 _HEAD_WORDS = frozenset({"header", "site-header", "page-header", "site_header", "top-bar", "topbar"})
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -74,7 +77,11 @@ class Node:
     shapes: list = field(default_factory=list)
     digest: int = 0
     shape: int = 0
+    #: Characters of text, and those of links.
     size: int = 0
+    linked: int = 0
+    #: Its class or id has a word of furniture among others.
+    proposed: bool = False
 
 
 @dataclass
@@ -96,7 +103,18 @@ def furniture(tag: str, a: dict[str, str], inside: bool) -> bool:
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
         return True
     named = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return bool(named.strip()) and (not WORDS.isdisjoint(_SPLIT.split(named)) or not _HEAD_WORDS.isdisjoint(named.split()) and not inside)
+    if not inside:
+        return bool(named.strip()) and (not WORDS.isdisjoint(_SPLIT.split(named)) or not _HEAD_WORDS.isdisjoint(named.split()))
+    return any(_all_furniture(name) for name in named.split())
+
+
+def _all_furniture(name: str) -> bool:
+    words = {w for w in _SPLIT.split(name) if w and not w.isdigit()}
+    return not WORDS.isdisjoint(words) and words <= WORDS | PARTS
+
+
+def proposes(a: dict[str, str]) -> bool:
+    return bool(a) and not WORDS.isdisjoint(_SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
 
 
 def read(source: str) -> Page:
@@ -106,22 +124,31 @@ def read(source: str) -> Page:
     page = Page()
     nodes, runs = page.nodes, page.runs
     nodes.append(Node("", -1, False, False, False))
-    stack, block, at, n = [0], 0, 0, len(source)
+    stack, block, at, n, anchor = [0], 0, 0, len(source), False
+    #: Places in the stack of the open elements of each name, and of those that a list's end tag doesn't pass.
+    opened: dict[str, list[int]] = {}
+    bounds: list[int] = []
 
     def text(t: str) -> None:
         if t:
+            node = nodes[stack[-1]]
             runs.append((stack[-1], block, t))
-            nodes[stack[-1]].parts.append(t)
-            nodes[stack[-1]].size += len(t.strip())
+            node.parts.append(t)
+            node.size += len(t.strip())
+            node.linked += len(t.strip()) * anchor
 
     def close() -> None:
         node = nodes[stack.pop()]
+        opened[node.tag].pop()
+        if node.tag in LISTS:
+            bounds.pop()
         up = nodes[node.parent]
         whole = "\x01".join(p if isinstance(p, str) else format(p[0], "x") for p in node.parts)
         node.digest = xxh3_64_intdigest(f"{node.tag}\x02{node.said}\x02{whole}".encode("utf-8", "surrogatepass"))
         node.shape = xxh3_64_intdigest(f"{node.tag}\x03{node.kind}\x03{node.shapes}".encode("utf-8", "surrogatepass"))
         if node.tag not in RAW:
             up.size += node.size
+            up.linked += node.linked
         up.parts.append((node.digest,))
         if up.shapes[-1:] != [node.shape]:
             up.shapes.append(node.shape)
@@ -166,17 +193,16 @@ def read(source: str) -> Page:
             elif tag == "hr":
                 block += 1
             continue
+        if tag == "a":
+            anchor = not closing
         if closing:
             if tag in INLINE and not any(nodes[k].tag == tag for k in stack[-2:]):
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    while len(stack) > depth:
-                        close()
-                    block += tag not in INLINE
-                    break
-                if tag in CLOSES and nodes[stack[depth]].tag in LISTS:
-                    break
+            depth = opened[tag][-1] if opened.get(tag) else 0
+            if depth and not (tag in CLOSES and bounds and bounds[-1] > depth):
+                while len(stack) > depth:
+                    close()
+                block += tag not in INLINE
             continue
         a = attributes(raw) if raw else {}
         inside = any(nodes[k].article for k in stack[-1:])
@@ -193,7 +219,10 @@ def read(source: str) -> Page:
         heading = up.heading and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") or (tag == "header" and inside)
         article = up.article or tag in ("article", "main") or a.get("role", "").lower() == "main"
         kind = _NUMBER.sub("0", " ".join(sorted(a.get("class", "").lower().split())))
-        nodes.append(Node(tag, stack[-1], up.dropped or off, article, heading, tuple(sorted(a.items())), kind))
+        nodes.append(Node(tag, stack[-1], up.dropped or off, article, heading, tuple(sorted(a.items())), kind, proposed=inside and proposes(a)))
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in LISTS:
+            bounds.append(len(stack))
         stack.append(len(nodes) - 1)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}", re.I).search(source, at)
@@ -242,10 +271,10 @@ def subtrees(page: Page) -> list[tuple[int, int]]:
     """(node, hash) of the subtrees that count: exact ones and shapes, as signed 64-bit values."""
     from xxhash import xxh3_64_intdigest
 
-    out, place, paths = [], core(page), [""]
+    out, place, paths = [], core(page), [0]  # of a path the hash of its parent's, the tag and the words of class
     articles = any(x.article for x in page.nodes)
     for k, x in enumerate(page.nodes[1:], 1):
-        paths.append(f"{paths[x.parent]}>{x.tag}.{x.kind}" if place[x.parent] != 2 else "")
+        paths.append(xxh3_64_intdigest(f"{paths[x.parent]}>{x.tag}.{x.kind}".encode("utf-8", "surrogatepass")) if place[x.parent] != 2 else 0)
         if not x.parts or x.tag in ("html", "head", "body"):
             continue
         around = articles and (place[k] == 1 or (place[k] == 2 and place[x.parent] != 2))
@@ -266,7 +295,8 @@ def main_text(page: Page, templates: frozenset[int] = frozenset()) -> str:
     counted = {k for k, h in subtrees(page) if h in templates} if templates else set()
     gone: list[bool] = []
     for k, node in enumerate(page.nodes):
-        gone.append(node.dropped or k in counted or (node.parent >= 0 and gone[node.parent]))
+        links = node.proposed and 2 * node.linked >= node.size > 0
+        gone.append(node.dropped or links or k in counted or (node.parent >= 0 and gone[node.parent]))
     chosen = [True] * len(page.nodes)
     for tag in ("article", "main"):
         roots = [k for k, x in enumerate(page.nodes) if x.tag == tag and not gone[k]]
