@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import let_go
+from citeweave.llm.common import let_go, stash
 
 SPAN, EDGE, HIDDEN = 128, 8, 12
 #: Length of the windows of training, and bounds of the labelled sample.
@@ -144,7 +144,7 @@ def train(docs: DataFrame) -> Network | None:
     size = 4 * (TRAIN_SPAN - 2 * EDGE)
     pieces = F.expr(f"transform(sequence(0, (length(raw) - 1) div {size}), i -> substring(raw, cast(i * {size} + 1 as int), {size}))")
     cut = known.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "doc_id", F.encode("text", "UTF-8").alias("raw")).filter(F.length("raw") > 0)
-    cut = cut.select("lang", "doc_id", F.posexplode(pieces).alias("pos", "piece"))
+    cut = stash(cut.select("lang", "doc_id", F.posexplode(pieces).alias("pos", "piece")), "language-pieces")  # one pass over the documents, however many languages
     examples: dict[str, list[bytes]] = {}
     for (lang,) in sorted(map(tuple, cut.select("lang").distinct().collect())):
         rows = cut.filter(F.col("lang") == lang).orderBy(F.xxhash64("piece", "doc_id", "pos"), "doc_id", "pos").limit(WINDOWS_EACH // 4).select("piece").collect()

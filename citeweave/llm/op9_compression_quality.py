@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import let_go
+from citeweave.llm.common import let_go, stash
 
 BLOCK, DICT_BYTES, LEVEL = 1024, 48 * 1024, 3
 #: Bytes at which a text's own evidence weighs as much as the prior.
@@ -106,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         "doc_id", "quality", (F.xxhash64("doc_id", F.lit("part")) % 2 == 0).alias("held"),
         F.posexplode(F.expr(f"transform(sequence(0, (length(raw) - 1) div {BLOCK}), i -> substring(raw, cast(i * {BLOCK} + 1 as int), {BLOCK}))")).alias("pos", "block"),
     )
+    cut = stash(cut, "quality-blocks")  # one pass over the documents
     blocks = []
     for q in (0, 1):
         of_q = cut.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos").limit(BLOCKS_EACH)
