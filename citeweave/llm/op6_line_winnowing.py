@@ -34,6 +34,7 @@ WORDS, SHORT = 25, 8
 #: An odd number and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
+_BLANK = bytes(16)
 _CUT = re.compile(r"[.!?]+[\"')\]]*[ \t]+|\n+")
 
 
@@ -50,11 +51,10 @@ def units(text: str) -> list[str]:
 
 def both_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each unit (0 if blank), another of its own, and its words."""
-    from xxhash import xxh3_128_intdigest
+    from xxhash import xxh3_128_digest
 
     bare = [u.strip() for u in units(text)]
-    wide = b"".join((xxh3_128_intdigest(u.encode()) or 1).to_bytes(16, "little") if u else bytes(16) for u in bare)
-    h = np.frombuffer(wide, "<i8").reshape(-1, 2)
+    h = np.frombuffer(b"".join([xxh3_128_digest(u) if u else _BLANK for u in bare]), "<i8").reshape(-1, 2)
     return h[:, 0], h[:, 1], np.array([u.count(" ") + 1 if u else 0 for u in bare], np.int32)
 
 
@@ -142,25 +142,32 @@ def strip_units(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join(out).strip("\n") if not lost[-1:].any() else "".join(out).rstrip()
 
 
+def slices(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The bytes of ``values[a:b]`` for each a and b."""
+    size = b - a
+    before = np.cumsum(size) - size
+    data = values[np.repeat(a - before, size) + np.arange(size.sum())]
+    ends = np.concatenate([[0], np.cumsum(size)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def _fingerprints(docs: DataFrame, least: int) -> DataFrame:
     """(key, id, mark, unit, at, near, words): each fingerprint, the hashes of the units in its spans and their words; it is the ``at``-th of them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 h, other, words = zip(*(both_hashes(text) for text in part.column(2).to_pylist()))
                 lengths = np.array([len(x) for x in h])
                 other, words = np.concatenate(other), np.concatenate(words)
                 row, unit, mark, a, b = fingerprints(np.concatenate(h), words, lengths, least)
-                near, sizes = memoryview(other.astype("<i8").tobytes()), memoryview(words.astype("<i4").tobytes())
-                a0, b0 = a.tolist(), b.tolist()
                 begins = (np.cumsum(lengths) - lengths)[row]
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(row), part.column(1).take(row), pa.array(mark), pa.array(unit - begins, pa.int32()), pa.array(unit - a, pa.int32()),
-                        pa.array([near[8 * x : 8 * y] for x, y in zip(a0, b0)], pa.binary()), pa.array([sizes[4 * x : 4 * y] for x, y in zip(a0, b0)], pa.binary()),
+                        slices(other.astype("<i8"), a, b), slices(np.minimum(words, 65535).astype("<u2"), a, b),
                     ],
                     names=["key", "id", "mark", "unit", "at", "near", "words"],
                 )
@@ -178,8 +185,8 @@ def _extended(pairs: DataFrame, least: int) -> DataFrame:
             out: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("unit", "at", "near", "words", "first_at", "first_near")]
             for k, (unit, at, near, words, there, first) in enumerate(zip(*columns)):
-                own, words = np.frombuffer(near, "<i8"), np.frombuffer(words, "<i4")
-                low, high = (0, len(own)) if at == there and near == first else agreement(own, at, np.frombuffer(first, "<i8"), there)
+                own, words = np.frombuffer(near, "<i8"), np.frombuffer(words, "<u2").astype(np.int64)
+                low, high = agreement(own, at, np.frombuffer(first, "<i8"), there)
                 begin = unit - at
                 if words[low:high].sum() >= least:
                     out.append((k, begin + low, begin + high, None, None))
@@ -211,7 +218,12 @@ def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     # a table of its own, so that both sides of the join are plain exchanges, which Spark splits where a mark is hot
     first = stash(first.select("mark", *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("key", "unit", "at", "near"))), "first-places")
     later = places.join(first, "mark").filter((F.col("key") != F.col("first_key")) | (F.col("unit") != F.col("first_unit")))
-    found = stash(_extended(later.select("key", "id", "unit", "at", "near", "words", "first_at", "first_near"), least), "extended")
+    # where all spans of both places agree there is no more to extend
+    whole = (F.col("at") == F.col("first_at")) & (F.col("near") == F.col("first_near"))
+    begin = F.col("unit") - F.col("at")
+    alike = later.filter(whole).select("key", "id", begin.alias("a"), (begin + F.length("near") / 8).cast("int").alias("b"), F.lit(None).cast("long").alias("span"), F.lit(None).cast("binary").alias("near"))
+    unlike = later.filter(~whole).select("key", "id", "unit", "at", "near", "words", "first_at", "first_near")
+    found = stash(alike.union(_extended(unlike, least)), "extended")
     spans = found.filter("span IS NOT NULL")
     held = spans.groupBy("span").agg(F.min(F.struct("id", "key", "a", "near")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     held = stash(held.select("span", *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("key", "a", "near"))), "first-spans")
@@ -228,11 +240,12 @@ def without_repeats(docs: DataFrame, least: int = WORDS, flags: tuple[str, str]
     gone = repeated_runs(docs, least)
     joined = docs.withColumn("__key", row_key()).join(gone.withColumnRenamed("key", "__key").withColumnRenamed("gone", "__gone"), "__key", "left")
 
-    @F.pandas_udf(T.StringType())
-    def cut(text, spans):
-        import pandas as pd
-
-        return pd.Series([None if s is None else strip_units(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
+    @F.arrow_udf(T.StringType())
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        ends = spans.offsets.to_numpy()
+        a, b = (spans.values.field(k).to_pylist() for k in ("a", "b"))
+        at = zip(ends[:-1].tolist(), ends[1:].tolist())
+        return pa.array([strip_units(t, list(zip(a[i:j], b[i:j]))) if t is not None and i < j else None for t, (i, j) in zip(text.to_pylist(), at)], pa.string())
 
     hit = F.col("__gone").isNotNull()
     columns = [c for c in docs.columns if c not in flags]
