@@ -433,7 +433,7 @@ def test_op6_fingerprints_of_shared_runs():
 def test_op6_clash_cuts_nothing(spark):
     """Equal fingerprints of unlike units, and equal hashes of unlike spans, are no repeats."""
     raw = lambda x, t: np.array(x, t).tobytes()
-    key, words = {"a": 1, "b": 2}, raw([20, 20], "<i4")
+    key, words = {"a": 1, "b": 2}, raw([20, 20], "<u2")
     shape = f"key {op6.ROW}, id long, unit int, at int, near binary, words binary, first_at int, first_near binary"
     pairs = [(key, 1, 5, 0, raw([7, 8], "<i8"), words, 0, raw([9, 8], "<i8")), (key, 1, 9, 1, raw([7, 8], "<i8"), words, 1, raw([7, 8], "<i8"))]
     got = op6._extended(spark.createDataFrame(pairs, shape), op6.WORDS).collect()
@@ -444,3 +444,55 @@ def test_op6_clash_cuts_nothing(spark):
 def test_op6_extends_both_ways():
     own, other = np.array([1, 2, 3, 4, 5]), np.array([9, 2, 3, 4, 8, 8])
     assert op6.agreement(own, 2, other, 2) == (1, 4) and op6.agreement(own, 0, other, 0) == (0, 0) and op6.agreement(own, 1, other[1:], 0) == (1, 4)
+
+
+def test_op2_listed_words_only_propose_inside_articles(spark):
+    """Class names that hold a word of furniture among others keep their text, unless it is links or recurs."""
+    page = '<article><h1>T{0}</h1><p>own {0}</p><div {1}><p>inner {2}</p></div><p>end {0}</p></article>'
+    read = lambda said, text="words": op2.main_text(op2.read(page.format(1, said, text)))
+    for said in ('class="ad-hoc"', 'id="rail-network"', 'class="related-work"'):
+        assert "inner" in read(said) and "inner" not in read(said, '<a href="/x">all of it is a link and no more than this</a>')
+    assert all("inner" not in read(said) for said in ('class="ad"', 'class="comment-list"', 'class="share-buttons"', 'id="newsletter-signup-2"', 'role="complementary"'))
+    rows = [(i, f"http://h.org/{i}", page.format(i, 'class="rail-network"', "the same everywhere")) for i in range(9)]
+    got = op2.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"T{r.page_id}\nown {r.page_id}\nend {r.page_id}" for r in got)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "</section>" * 100_000, "<li>x" + "<x-y>" * 50_000 + "</li>" * 50_000 + "<ul>" * 50_000 + "</li>" * 50_000, "<div class=a>" * 20_000 + "t" + "</div>" * 20_000])
+def test_op2_reads_unbalanced_pages_in_proportion(html):
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    page = op2.read(html)
+    op2.subtrees(page), op2.main_text(page, frozenset([1]))
+    assert time.perf_counter() - began < 10  # some 2 s; a quadratic reader takes minutes
+    tracemalloc.start()
+    op2.subtrees(page)
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_op5_diagonals_of_even_steps():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        p, q = (np.unique(np.concatenate([rng.integers(0, 90, rng.integers(0, 4)), rng.integers(0, 50) + rng.integers(1, 4) * np.arange(rng.integers(1, 15))])) for _ in range(2))
+        assert op5.diagonals(p, q).tolist() == sorted({int(x - y) for x in p for y in q})
+        rows = op5.stretches(p)
+        assert [a + s * i for a, s, n in rows for i in range(n)] == p.tolist()
+
+
+@pytest.mark.parametrize("block", [op5.BLOCK_TOKENS, 1])
+def test_op5_repeated_tokens_stay_cheap(spark, block):
+    """A text of 20,000 equal words against an item of 200, in both ways: no product of repeats is ever made."""
+    import time
+
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "b c " * 3_000), (3, "x " * 50 + "a " * 150 + "y " * 50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a " * 200), (2, "c b " * 100)], "item_id long, text string")
+    began = time.perf_counter()
+    got = sorted(map(tuple, op5.overlaps(docs, items, block_tokens=block).collect()))
+    assert [r[:2] for r in got] == [(1, 1), (2, 2), (3, 1)] and time.perf_counter() - began < 40
+    assert got[0][2:] == (0, 0, 200, 200) and got[1][4:] == (200, 200) and got[2][5] == 150
+    seeds = op5.Seeds([(1, "a " * 200)])
+    began = time.perf_counter()
+    assert list(op5.overlaps_of(seeds, ["a " * 20_000])) == [(0, 1, 0, 0, 200, 200)] and time.perf_counter() - began < 2
