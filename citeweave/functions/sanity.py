@@ -30,9 +30,19 @@ def text_features(text: Column, filename: Column) -> Column:
     )
 
 
+def is_search_source(source: Column) -> Column:
+    """Sources of title search, the built-in ones and a caller's: their names end so."""
+    return source.isin(*SEARCH_SOURCES) | source.endswith("_search")
+
+
+def is_identifier_source(source: Column) -> Column:
+    """Sources of identifier look-ups, the built-in ones and a caller's."""
+    return source.isin(*IDENTIFIER_SOURCES) | source.rlike("_(doi|isbn|id)$")
+
+
 def sanity_score(title: Column, authors: Column, source: Column, features: Column) -> Column:
     names = F.filter(F.transform(authors, author_surname), lambda s: s != "")
-    search, ident = source.isin(*SEARCH_SOURCES), source.isin(*IDENTIFIER_SOURCES)
+    search, ident = is_search_source(source), is_identifier_source(source)
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
 
     def share(kept, known):

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import basename
+from citeweave.operators.ranks import median
 from citeweave.operators.reports import is_yes, name, number, said
+from citeweave.storage import stash
 
 RESULT_STABLE = (
     "Final Source|Confidence|Verified|Title|Authors|Year|DOI|ISBN|arXiv|Sanity Passed|Sanity Score|Auto Safe|Needs OCR|Soft Auto|Soft Auto Reasons".split("|")
@@ -56,8 +58,10 @@ def compare_runs(base: DataFrame, current: DataFrame, table: str, stable: list[s
 
 
 def timing_summary(profile: DataFrame) -> DataFrame:
-    wall = number("File Wall s")
-    return profile.agg(F.coalesce(F.sum(wall), F.lit(0.0)).alias("total"), F.coalesce(F.median(wall), F.lit(0.0)).alias("median"), F.coalesce(F.max(wall), F.lit(0.0)).alias("max"))
+    """(total, median, max) of the wall times, one row; the median by counting rounds (``ranks``)."""
+    walls = stash(profile.select(number("File Wall s").alias("wall")), "wall-times")
+    middle = median(walls, "wall") or 0.0
+    return walls.agg(F.coalesce(F.sum("wall"), F.lit(0.0)).alias("total"), F.lit(middle).alias("median"), F.coalesce(F.max("wall"), F.lit(0.0)).alias("max"))
 
 
 def compare_timing(base: DataFrame, current: DataFrame, mode: str = "cached") -> DataFrame:

@@ -365,12 +365,12 @@ def synthesized(c: str = "c") -> str:
     SELECT doc_id, title, array_to_string(names, '; ') AS authors, year, doi, isbn, arxiv, 'synthesized' AS source, priority FROM g WHERE len(names) > 0 OR year <> '' OR doi <> '' OR isbn <> '' OR arxiv <> ''"""
 
 
-def best_titles(queries: str, catalog: str) -> str:
+def best_titles(queries: str, catalog: str, threshold: str = _THRESHOLD) -> str:
     """Title search over all pairs: (qid, source, eid, title, score, confidence)."""
     near = "(2.0 * least(length(a), length(b)) >= 0.8 * (length(a) + length(b)) AND levenshtein(a, b) <= 0.2 * (length(a) + length(b)) + 1e-9)"
     return f"""WITH q AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, {d.title('title')} AS a FROM ({queries})), k AS MATERIALIZED (SELECT *, {d.surnames('names')} AS sn, {d.title('title')} AS b FROM ({catalog})),
     pairs AS MATERIALIZED (SELECT a, b FROM (SELECT DISTINCT a FROM q WHERE a <> ''), (SELECT DISTINCT b FROM k WHERE b <> '') WHERE {near} OR {d.jaccard('a', 'b')} >= 0.8),
-    s AS (SELECT q.qid, k.eid, k.source, k.title, {SCORE} AS score, {_THRESHOLD} AS least FROM {d.similar('SELECT a, b FROM pairs')} JOIN q USING (a) JOIN k USING (b))
+    s AS (SELECT q.qid, k.eid, k.source, k.title, {SCORE} AS score, {threshold} AS least FROM {d.similar('SELECT a, b FROM pairs')} JOIN q USING (a) JOIN k USING (b))
     SELECT qid, source, eid, title, round(score, 6) AS score, {BAND} AS confidence FROM s WHERE score >= least - 1e-12 QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, eid) = 1"""
 
 

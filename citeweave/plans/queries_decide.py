@@ -118,6 +118,48 @@ def f8(spark, sf_dir):
     return search.best_search_match(hits).select("doc_id", "nth", "source", "title", F.round("total", 6).alias("total"))
 
 
+#: Identifiers of two kinds, one of them not built in, and the catalogs that know them; hits and titles of six search sources.
+MORE_POOL = f"SELECT o_orderkey AS doc_id, 'pmid' AS kind, 0 AS pos, cast(o_orderkey as varchar(20)) AS value FROM {{orders}} WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'doi', 0, upper({src.doi('o_orderkey')}) FROM {{orders}} WHERE o_orderkey % 3 = 0"
+MORE_CATALOG = f"SELECT *, '' AS pmid FROM ({src.CATALOG}) AS t UNION ALL SELECT 'pubmed_id', concat('Trial ', {src.letters('o_orderkey')}), 'Al Baker', '2001', '', '', '', 'Press', cast(o_orderkey as varchar(20)) FROM {{orders}} WHERE o_orderkey % 5 <> 0"
+PUBMED = lookup.IdentifierKind("pmid", "pubmed_id", "pubmed_by_id", "resolved by PubMed id", "pmid")
+
+
+@query(
+    "f5_f6_fourth_kind",
+    f"WITH p AS (SELECT * FROM ({src.oracle(MORE_POOL)})), k AS (SELECT * FROM ({src.oracle(MORE_CATALOG)})), h AS (SELECT p.doc_id, p.kind, k.source, k.title, CASE p.kind WHEN 'doi' THEN 'crossref_by_doi' ELSE 'pubmed_by_id' END AS resolver, CASE p.kind WHEN 'doi' THEN 0 ELSE 3 END AS o "
+    "FROM p JOIN k ON (p.kind = 'doi' AND k.source = 'crossref_doi' AND k.doi = lower(p.value)) OR (p.kind = 'pmid' AND k.source = 'pubmed_id' AND k.pmid = p.value)) "
+    "SELECT doc_id, kind, source, resolver, title, CASE kind WHEN 'doi' THEN 'resolved by DOI via Crossref' ELSE 'resolved by PubMed id' END AS note FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o) = 1",
+)
+def f5_more(spark, sf_dir):
+    kinds = (*lookup.KINDS, PUBMED)
+    entries = src.load(spark, sf_dir, MORE_CATALOG).withColumn("authors", F.split("authors", "; "))
+    hits = lookup.lookup_identifiers(src.load(spark, sf_dir, MORE_POOL), entries, kinds).filter("matched")
+    judged = hits.withColumns({"sanity_score": F.lit(1.0), "sanity_passed": F.lit(True)})
+    return lookup.best_identifier_match(judged, kinds).select("doc_id", "kind", "source", "resolver", "title", "note")
+
+
+MORE_SOURCES = (search.SOURCES[0], search.CatalogSource("zbmath_search", 1, 0.95), *search.SOURCES[1:])
+_MORE_TITLES = src.TITLE_CATALOG.replace("CASE p_partkey % 5 WHEN 0", "CASE p_partkey % 6 WHEN 5 THEN 'zbmath_search' WHEN 0")
+
+
+@query("f7_sixth_source", rules.best_titles(f"SELECT * FROM {_named(src.TITLE_QUERIES)}", f"SELECT * FROM {_named(_MORE_TITLES)}", rules._THRESHOLD.replace(" END", " WHEN 'zbmath_search' THEN 0.95 END")))
+def f7_more(spark, sf_dir):
+    split = F.filter(F.split("authors", "; "), lambda x: x != "")
+    q, k = (src.load(spark, sf_dir, sql, {"part": "p_partkey"}).withColumn("authors", split) for sql in (src.TITLE_QUERIES, _MORE_TITLES))
+    found = search.title_search(q, k, spelling=True, sources=search.source_table(spark, MORE_SOURCES))
+    return found.select("qid", "source", "eid", "title", F.round("score", 6).alias("score"), "confidence")
+
+
+_MORE_HITS = HITS.replace("CASE (o_orderkey + n) % 4 WHEN 0", "CASE (o_orderkey + n) % 5 WHEN 4 THEN 'zbmath_search' WHEN 0")
+
+
+@query("f8_sixth_source", ORACLES["f8_best_search_match"].replace(from_(HITS), from_(_MORE_HITS)).replace("WHEN 'openalex_search' THEN 1 WHEN", "WHEN 'zbmath_search' THEN 0.5 WHEN 'openalex_search' THEN 1 WHEN"))
+def f8_more(spark, sf_dir):
+    hits = src.load(spark, sf_dir, _MORE_HITS).withColumns({"sanity_passed": F.col("sanity_score") >= 0.4, "verified": F.lit(True)})
+    best = search.best_search_match(hits, search.source_table(spark, MORE_SOURCES))
+    return best.select("doc_id", "nth", "source", "title", F.round("total", 6).alias("total"))
+
+
 _CQ = f"SELECT *, {d.split_names('authors')} AS names FROM {from_(src.CANDIDATES)}"
 _NT = f"len({d.words(d.title('title'))})"
 _BEST_CAND = f"SELECT * FROM (SELECT *, {rules.QUALITY} AS quality FROM ({_CQ})) WHERE {rules.USEFUL} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {rules.RANK}) = 1"
