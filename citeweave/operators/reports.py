@@ -106,7 +106,16 @@ def candidate_evidence(rows: DataFrame, most: int = 8) -> DataFrame:
     return rows.select("File Path", F.posexplode(F.concat(shown, plain)).alias("pos", "e")).select("File Path", "pos", "e.*")
 
 
-def run_summary(results: DataFrame) -> DataFrame:
+def flagged(results: DataFrame) -> DataFrame:
+    """Rows of a result table with the flags that ``run_summary`` counts."""
+    flags = {"auto_safe": "Auto Safe", "soft_auto": "Soft Auto", "verified": "Verified", "sanity_passed": "Sanity Passed", "needs_ocr": "Needs OCR", "imported": "Imported"}
+    return results.select(*(is_yes(c).alias(k) for k, c in flags.items()), F.lower(said("Confidence")).alias("confidence"))
+
+
+def run_summary(results: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
+    """Counts of a run, one row; with a ``quarantine`` also its lines, as ``unreadable``."""
+    if quarantine is not None:
+        return run_summary(results).join(quarantine.agg(F.count("*").alias("unreadable")), how="cross")  # a row each
     auto, soft = F.col("auto_safe"), F.col("soft_auto") & ~F.col("auto_safe")
     return results.agg(
         F.count("*").alias("total"), F.count_if(auto).alias("auto_safe"), F.count_if(soft).alias("soft_auto"), F.count_if(~auto & ~soft).alias("review"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.sanity import apply_sanity, sanity_score, text_features
 from citeweave.operators.candidates import identifier_pool, prepared
+from citeweave.operators.compare import legacy_count, previous_rows, resume_split
 from citeweave.operators.decide import finalize
 from citeweave.operators.lookup import best_identifier_match, lookup_identifiers, scored_hits
 from citeweave.operators.search import best_search_match, search_queries, title_search
@@ -48,3 +51,15 @@ def resolve(docs: DataFrame, candidates: DataFrame, catalogs: DataFrame, search_
     found = stash(best_search_match(search_hits(features(rest), left, search_catalog, **searching)), "searched")
     docs_flag = stash(docs.select("doc_id", text_features(F.col("text"), F.col("path"))["unreadable"].alias("needs_ocr")), "flags")
     return finalize(docs_flag, ready, ident, found, mode)
+
+
+def resume(docs: DataFrame, previous: list[DataFrame], run: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Go on from the result tables of earlier runs: ``run`` sees the documents (doc_id, path, ...) that no earlier table has as auto-safe.
+
+    Back come its results, and one row (done, legacy): how many documents were done, and how many verified rows of old tables, without an Auto Safe column, were not taken over.
+    """
+    earlier = previous_rows(previous)
+    split = stash(resume_split(docs.select("doc_id", "path"), earlier), "resumed")
+    left = docs.join(split.filter("NOT done").select("doc_id"), "doc_id", "left_semi")
+    counts = split.agg(F.count_if("done").alias("done")).join(legacy_count(earlier), how="cross")  # a row each
+    return run(left), counts

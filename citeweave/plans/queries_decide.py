@@ -306,6 +306,18 @@ def h8_phased_safe(spark, sf_dir):
     return _phased(spark, sf_dir, "safe")
 
 
+#: A table of an earlier run: every third document was auto-safe, every fifth verified in a table of old shape.
+EARLIER = f"SELECT path AS \"File Path\", CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE 'no' END AS \"Auto Safe\", CASE WHEN doc_id % 5 = 0 THEN 'yes' ELSE 'no' END AS \"Verified\" FROM ({src.MENTIONS}) AS t"
+
+
+@query("f10_w1_resumed_run", rules.based("SELECT doc_id, title, source, CASE WHEN sanity_passed THEN 'auto' ELSE 'review' END AS route, (SELECT count(*) FROM m WHERE doc_id % 3 = 0) AS done, (SELECT count(*) FROM m WHERE doc_id % 5 = 0) AS legacy FROM best WHERE doc_id % 3 <> 0"))
+def f10_resumed(spark, sf_dir):
+    earlier, cands, entries = src.load(spark, sf_dir, EARLIER), candidates(spark, sf_dir), catalogs(spark, sf_dir)
+    run = lambda docs: jobs.identifier_resolution(docs, cands.join(docs.select("doc_id"), "doc_id", "left_semi"), entries).select("doc_id", "title", "source", "route")
+    found, counts = jobs.resume(documents(spark, sf_dir), [earlier, earlier.drop("Auto Safe")], run)
+    return found.join(F.broadcast(counts), how="cross")  # one row
+
+
 _STRONG = (
     f"SELECT doc_id, max(CASE WHEN title <> '' AND {_NT} >= 4 AND NOT {d.series('title')} AND (source IN ({', '.join(map(d.text, decide.SEARCHABLE))}) OR source LIKE 'llm:%') THEN 1 ELSE 0 END) AS strong FROM {from_(src.CANDIDATES)} GROUP BY doc_id"
 )

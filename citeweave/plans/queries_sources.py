@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators import reports
+from citeweave.operators.lookup import keyed
 from citeweave.plans import decide_sql as rules
 from citeweave.plans import inputs as src
 from citeweave.plans.queries_decide import catalogs, documents
 from citeweave.plans.queries_text import _from as from_
 from citeweave.plans.queries_text import candidates
-from citeweave.plans.registered import query
+from citeweave.plans.registered import ORACLES, query
 from citeweave.sources import catalogs as cat
 from citeweave.sources import files
 from citeweave.storage import scratch
-from citeweave.streaming.incremental import DOCUMENTS, incremental_resolve, resolved
+from citeweave.streaming.incremental import DOCUMENTS, PUBLISHED, incremental_resolve, resolved
+from citeweave.streaming.published import read_published
 
 
 def j(sql: str) -> str:
@@ -195,6 +197,40 @@ def a2(spark, sf_dir):
     return files.read_results(spark, folder).select(F.regexp_extract("File Path", "([^/]*)\\z", 1).alias("file"), F.col("Title").alias("title"), F.col("Authors").alias("authors"), F.col("Error").alias("error"))
 
 
+#: Lines of a result table as they might be found: some cut short, some with a cell too many.
+_LINE = "concat_ws(chr(9), concat('/lib/f', cast(o_orderkey as varchar(20)), '.pdf'), 'tag', 'crossref_doi', CASE o_orderkey % 3 WHEN 0 THEN 'high' ELSE 'low' END, CASE WHEN o_orderkey % 4 < 2 THEN 'yes' ELSE 'no' END, concat('On order ', cast(o_orderkey as varchar(20))), 'Jo Stone', '2001', '', '', '', 'yes', '0.500', CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END, 'no', '', 'no', '', '', 'no', '', '', '', 'crossref_doi', 'no', '')"
+LINES = f"SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 17 = 0 THEN substr({_LINE}, 1, 20) WHEN o_orderkey % 23 = 0 THEN concat({_LINE}, chr(9), 'more') ELSE {_LINE} END AS line FROM {{orders}}"
+_BAD = "(o_orderkey % 17 = 0 OR o_orderkey % 23 = 0)"
+
+
+@query(
+    "a2_i1_quarantine",
+    f"SELECT count_if(NOT {_BAD}) AS total, count_if(NOT {_BAD} AND o_orderkey % 2 = 0) AS auto_safe, 0 AS soft_auto, count_if(NOT {_BAD} AND o_orderkey % 2 = 1) AS review, count_if(NOT {_BAD} AND o_orderkey % 3 = 0) AS high, 0 AS medium, count_if(NOT {_BAD} AND o_orderkey % 3 <> 0) AS low, "
+    f"count_if(NOT {_BAD} AND o_orderkey % 4 < 2) AS verified, count_if(NOT {_BAD}) AS sanity_passed, 0 AS needs_ocr, 0 AS imported, count_if({_BAD}) AS unreadable FROM orders",
+)
+def a2_bad(spark, sf_dir):
+    folder, aside = scratch(spark, "results"), scratch(spark, "results-quarantine")
+    src.load(spark, sf_dir, LINES).select("line").write.text(folder)
+    good, bad = files.read_checked_results(spark, folder, aside, header=False)
+    return reports.run_summary(reports.flagged(good), bad)
+
+
+_JSON_LINE = "concat(chr(123), '\"file_path\":\"/lib/f', cast(o_orderkey as varchar(20)), '.pdf\",\"error\":\"', CASE WHEN o_orderkey % 5 = 0 THEN 'timeout' ELSE '' END, '\",\"imported\":', CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END, chr(125))"
+JSON_LINES = f"SELECT CASE WHEN o_orderkey % 19 = 0 THEN substr({_JSON_LINE}, 1, 25) ELSE {_JSON_LINE} END AS value FROM {{orders}}"
+
+
+@query(
+    "a5_quarantine",
+    "SELECT 'kept' AS what, count_if(o_orderkey % 19 <> 0) AS n, count_if(o_orderkey % 19 <> 0 AND o_orderkey % 5 = 0) AS with_error FROM orders UNION ALL SELECT 'quarantined', count_if(o_orderkey % 19 = 0), 0 FROM orders",
+)
+def a5_bad(spark, sf_dir):
+    folder, aside = scratch(spark, "debug"), scratch(spark, "debug-quarantine")
+    src.load(spark, sf_dir, JSON_LINES).write.text(folder)
+    good, bad = files.read_checked_debug(spark, folder, aside)
+    kept = files.flatten_debug(good).agg(F.count("*").alias("n"), F.count_if(F.col("Error") != "").alias("with_error")).select(F.lit("kept").alias("what"), "n", "with_error")
+    return kept.union(bad.agg(F.count("*")).select(F.lit("quarantined"), "count(1)", F.lit(0).cast("long")))
+
+
 @query(
     "a4_profile_rows",
     "SELECT event_id, printf('%.6f', value) AS crossref_s, cast(user_id % 4 AS varchar) AS crossref_tried, '0.000000' AS openalex_s, '2' AS lookups FROM events",
@@ -265,7 +301,20 @@ def k1(spark, sf_dir):
     entries, cands = catalogs(spark, sf_dir), candidates(spark, sf_dir)
     run = incremental_resolve(stream, lambda batch: cands.join(batch.select("doc_id"), "doc_id", "left_semi"), entries, sink, mark)
     run.awaitTermination()
-    return spark.read.parquet(sink).select("doc_id", "source", "title", "sanity_score", "route")
+    return read_published(spark, sink, PUBLISHED)
+
+
+@query("k1_repeated_documents", ORACLES["k1_incremental_resolve"])
+def k1_repeated(spark, sf_dir):
+    """Every document arrives twice, the second time after a restart, together with those that are new; batches are compacted."""
+    inbox, sink, mark = (scratch(spark, f"k1-{x}") for x in ("in", "out", "mark"))
+    docs = documents(spark, sf_dir).select("doc_id", "path", "text", "ident_text")
+    entries, cands = keyed(catalogs(spark, sf_dir)), candidates(spark, sf_dir)
+    for part in (docs.filter("doc_id % 3 = 0"), docs, docs.filter("doc_id % 2 = 0")):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+        incremental_resolve(stream, lambda batch: cands.join(batch.select("doc_id"), "doc_id", "left_semi"), entries, sink, mark, compact_every=2).awaitTermination()
+    return read_published(spark, sink, PUBLISHED)
 
 
 def k1_batch(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.repair import repair_ligatures
 from citeweave.schemas import LOOKUP, TITLE_SEARCH
+from citeweave.storage import stash
 
 # Column names of the result and debug tables, and providers as (source, name).
 RESULT_COLUMNS = (
@@ -48,6 +49,37 @@ def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.csv(paths, sep="\t", header=True, quote='"', escape='"', multiLine=True, inferSchema=False).na.fill("")
 
 
+BROKEN = "_corrupt_record"
+
+
+def set_aside(rows: DataFrame, folder: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that could be read, and those that could not: (table, file, line), written to the quarantine ``folder``; ``rows`` has the corrupt-record column."""
+    read = stash(rows.withColumn("__file", F.input_file_name()), table)  # Spark asks for a written table before it tells bad rows apart
+    read.filter(F.col(BROKEN).isNotNull()).select(F.lit(table).alias("table"), F.col("__file").alias("file"), F.col(BROKEN).alias("line")).write.parquet(folder)
+    return read.filter(F.col(BROKEN).isNull()).drop(BROKEN, "__file"), rows.sparkSession.read.parquet(folder)
+
+
+def read_checked_results(spark: SparkSession, paths: str | list[str], quarantine: str, columns: list[str] = RESULT_COLUMNS, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``read_results`` of tables with these columns, and the lines that have more or fewer cells, as they stand there, in the new folder ``quarantine``."""
+    schema = ", ".join([*(f"`{c}` string" for c in columns), f"{BROKEN} string"])
+    rows = spark.read.schema(schema).csv(paths, sep="\t", header=header, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
+    good, bad = set_aside(rows, quarantine, "results")
+    return good.na.fill(""), bad
+
+
+def read_checked_debug(spark: SparkSession, path: str, quarantine: str) -> tuple[DataFrame, DataFrame]:
+    """``read_debug_json``, and the lines that are no JSON of its kind in the new folder ``quarantine``."""
+    rows = spark.read.schema(f"{DEBUG_SCHEMA}, {BROKEN} string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
+    return set_aside(rows, quarantine, "debug")
+
+
+def checked_responses(responses: DataFrame, quarantine: str) -> tuple[DataFrame, DataFrame]:
+    """``valid_responses``, and the responses whose payload is no JSON in the new folder ``quarantine``."""
+    rows = responses.withColumn(BROKEN, F.when(F.try_parse_json("payload").isNull(), F.col("payload")))
+    good, bad = set_aside(rows, quarantine, "responses")
+    return valid_responses(good), bad
+
+
 def result_rows(results: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """schemas.RESULT with path and tags → the 26 text columns of a result table, behind the columns to keep."""
     of = lambda c: F.coalesce(F.col(c), F.lit("")) if c in results.columns else F.lit("")
