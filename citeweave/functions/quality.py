@@ -61,6 +61,21 @@ BOOK_NAMES = (
 )
 
 
+# Shapes of titles that are none, of journal headers and of abbreviations.
+TITLE_SHAPES = (
+    r"(?:[A-Z]\.?\s+){1,3}[A-Z][a-z]+\z",
+    r"[A-Z]{2,20}\z",
+    r"(?U:\d{4},?\s*(?:Vol|No|pp))",
+    r"(?U:[A-Z][a-z]+ [A-Z][a-z]+,\s*\d+,\s*\d+)",
+    rf"(?iU:(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}})\z",
+)
+VOLUME_HEADER = r"(?U)^[A-Z][A-Za-z\s]{2,40}\s+\d{1,3}\s+\(\d{4}\)"
+DVI_FILE = r"(?i)^[a-z0-9_.-]+\.dvi\z"
+ABBREV_YEAR = r"(?U)^[A-Za-z\s.]{1,30}\s*[-–—]\s*\d{4}\z"
+ABBREV_CAPITALS = r"^[A-Z]{2,8}\z"
+ABBREV_JOURNAL = r"^J\s+[A-Z][a-z]"
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -82,22 +97,19 @@ def is_series_banner(c: Column) -> Column:
 def is_journal_header(c: Column) -> Column:
     t = strip(_text(c))
     opening = F.lower(t).rlike(f"^(?:{JOURNALS})") & (t.rlike(YEAR) | (F.size(F.split(t, r"(?U)\s+")) <= 5))
-    return (t != "") & (opening | t.rlike(r"^[A-Z][A-Za-z\s]{2,40}\s+[0-9]{1,3}\s+\([0-9]{4}\)") | t.rlike(r"(?i)^[a-z0-9_.-]+\.dvi\z"))
+    return (t != "") & (opening | t.rlike(VOLUME_HEADER) | t.rlike(DVI_FILE))
 
 
 def is_journal_abbrev(c: Column) -> Column:
     t = strip(_text(c))
-    return t.rlike(r"^[A-Za-z\s.]{1,30}\s*[-–—]\s*[0-9]{4}\z") | t.rlike(r"^[A-Z]{2,8}\z") | (t.rlike(r"^J\s+[A-Z][a-z]") & (F.length(t) < 40))
+    return t.rlike(ABBREV_YEAR) | t.rlike(ABBREV_CAPITALS) | (t.rlike(ABBREV_JOURNAL) & (F.length(t) < 40))
 
 
 def is_garbage_title(c: Column) -> Column:
     t = strip(_text(c))
     few = F.length(F.regexp_replace(t, r"\P{L}", "")) < 3
     ascii_share = F.length(F.regexp_replace(t, r"[^\x20-\x7e]", "")) < F.length(t) * 0.5
-    shapes = (
-        rf"^(?:(?:[A-Z]\.?\s+){{1,3}}[A-Z][a-z]+\z|[A-Z]{{2,20}}\z|[0-9]{{4}},?\s*(?:Vol|No|pp)|[A-Z][a-z]+ [A-Z][a-z]+,\s*[0-9]+,\s*[0-9]+|"
-        rf"(?i:(?:{MONTHS})\s+[0-9]{{1,2}},?\s+[0-9]{{4}})\z)"
-    )
+    shapes = f"^(?:{'|'.join(TITLE_SHAPES)})"
     return (t == "") | few | t.rlike(shapes) | F.lower(t).rlike("^(?:" + "|".join(BLURBS) + ")") | ascii_share | is_journal_header(t) | is_software_title(t)
 
 
@@ -164,7 +176,8 @@ def is_importable(result: Column, minimum: str = "medium") -> Column:
     rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
     routed = result["auto_safe"] | result["soft_auto"]
     enough = rank(result["confidence"]) >= rank(F.lit(minimum))
-    reason = F.when(~routed, "not auto-safe").when(~enough, F.concat(F.lit("confidence below "), F.lit(minimum))).otherwise("")
+    low = F.concat(F.lit("skipped: confidence "), result["confidence"], F.lit(f" below threshold {minimum}"))
+    reason = F.when(~routed, "skipped: not auto-safe; manual review required").when(~enough, low).otherwise("")
     return F.struct((routed & enough).alias("importable"), reason.alias("reason"))
 
 

@@ -32,7 +32,9 @@ def may_reach(x: Column, y: Column, least: float) -> Column:
     It leaves (1 - ratio)(a + b) characters unmatched, never fewer than the difference of lengths or the edit distance.
     """
     la, lb = F.length(x), F.length(y)
-    return (2.0 * F.least(la, lb) >= least * (la + lb)) & (F.levenshtein(x, y) <= (1 - least) * (la + lb) + 1e-9)
+    most = F.floor((1 - least) * (la + lb) + 1e-9).cast("int")
+    # beyond the limit the distance is -1, and it stops there
+    return (2.0 * F.least(la, lb) >= least * (la + lb)) & (F.call_function("levenshtein", x, y, most) >= 0)
 
 
 def normal_similarity(x: Column, y: Column, least: float = 0.0) -> Column:

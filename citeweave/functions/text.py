@@ -10,7 +10,14 @@ YEAR = r"(?U)\b(1[5-9]\d{2}|20\d{2}|2100)\b"
 ROLE = r"(?iU)(?:\s*[\[(]\s*(?:auth\.?|author|authors|ed\.?|eds\.?|editor|editors)\s*[\])]\s*)+\z"
 FOOTNOTE_SIGNS = "∗†‡§¶✝✦⋆*"
 TRAILING_WORDS = r"(?iU)\b(?:paper|main|supplementary material|supplement|accepted|final draft)\b\z"
-CONFERENCE_YEAR = r"(?i)^(?:nips|neurips|icml|aistats|jmlr|uai|aaai|cvpr|iclr)[-_ ]+[0-9]{4}[-_ ]+"
+CONFERENCE_YEAR = r"(?iU)^(?:nips|neurips|icml|aistats|jmlr|uai|aaai|cvpr|iclr)[-_ ]+\d{4}[-_ ]+"
+BOOK_YEAR = r"(?iU)^\d{4}[_ -]+book[_ -]+"
+COPY_NUMBER = r"(?U)\s*\((\d+)\)\z"
+CLOSED_YEAR = r"(?U)\s*\((\d{4})(?:\s*,[^)]*)?\)?\z"
+OPEN_YEAR = r"(?U)^(.*?)(?:\s*[\[(](\d{4})(?:\s*,.*)?)\z"
+GLUED_DIGITS = r"(?U)(?<=[a-zA-Z])\d+"
+LONE_NUMBERS = r"(?U)\s+\d+(?=\s|\z)"
+CAMEL_GAPS = (r"(?<=[a-z])(?=[A-Z])", r"(?<=[A-Z])(?=[A-Z][a-z])", r"(?U)(?<=[A-Za-z])(?=\d)", r"(?U)(?<=\d)(?=[A-Za-z])")
 
 
 def sub(c: Column, pattern: str, by: str = "") -> Column:
@@ -63,7 +70,7 @@ def normalize_author(c: Column) -> Column:
 
 def strip_footnote_markers(c: Column) -> Column:
     bare = F.translate(c, FOOTNOTE_SIGNS, "")
-    return strip(sub(sub(bare, "(?<=[a-zA-Z])[0-9]+"), r"(?U)\s+\d+(?=\s|\z)", " "))
+    return strip(sub(sub(bare, GLUED_DIGITS), LONE_NUMBERS, " "))
 
 
 def split_authors(c: Column) -> Column:
@@ -93,7 +100,7 @@ def first_year(*chunks: Column) -> Column:
 
 
 def decamelize(c: Column) -> Column:
-    for gap in ("(?<=[a-z])(?=[A-Z])", "(?<=[A-Z])(?=[A-Z][a-z])", "(?<=[A-Za-z])(?=[0-9])", "(?<=[0-9])(?=[A-Za-z])"):
+    for gap in CAMEL_GAPS:
         c = sub(c, gap, " ")
     return c
 
@@ -103,20 +110,19 @@ def clean_filename_text(c: Column) -> Column:
     s = sub(sub(s, r"^\[[^\]]{1,200}\]\s*"), r"(?U)\s+", " ")
     hyphens = F.length(s) - F.length(F.replace(s, F.lit("-"), F.lit("")))
     s = F.when((hyphens >= 4) & ~s.contains(" "), F.replace(s, F.lit("-"), F.lit(" "))).otherwise(s)
-    s = sub(sub(sub(s, TRAILING_WORDS), CONFERENCE_YEAR), r"(?i)^[0-9]{4}[_ -]+book[_ -]+")
-    s = sub(sub(s, r"\s*\([0-9]+\)\z"), r"(?U)\s+", " ")
+    s = sub(sub(sub(s, TRAILING_WORDS), CONFERENCE_YEAR), BOOK_YEAR)
+    s = sub(sub(s, COPY_NUMBER), r"(?U)\s+", " ")
     return clean_text(strip(s, " -_."))
 
 
 def strip_title_metadata(c: Column) -> Column:
     """struct(title, year): a trailing '(2020, Publisher)' or open '[2020 …' leaves the title."""
     raw = clean_text(c)
-    closed = sub(raw, r"\s*\([0-9]{4}(?:\s*,[^)]*)?\)?\z")
-    opened = r"^(.*?)(?:\s*[\[(]([0-9]{4})(?:\s*,.*)?)\z"
+    closed = sub(raw, CLOSED_YEAR)
     tidy = lambda x: strip(clean_text(x), " -_.,;:")
     return (
         F.when(closed != raw, F.struct(tidy(closed).alias("title"), first_year(raw).alias("year")))
-        .when(raw.rlike(opened), F.struct(tidy(F.regexp_extract(raw, opened, 1)).alias("title"), F.regexp_extract(raw, opened, 2).alias("year")))
+        .when(raw.rlike(OPEN_YEAR), F.struct(tidy(F.regexp_extract(raw, OPEN_YEAR, 1)).alias("title"), F.regexp_extract(raw, OPEN_YEAR, 2).alias("year")))
         .otherwise(F.struct(raw.alias("title"), first_year(raw).alias("year")))
     )
 

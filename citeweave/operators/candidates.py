@@ -23,12 +23,16 @@ def has_identifier(of=F.col) -> Column:
     return (of("doi") != "") | (of("isbn") != "") | (of("arxiv") != "")
 
 
+def with_title_flags(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``__t``, what rules ask about a title: its words, and whether it is garbage or an abbreviation; worked out once a row."""
+    title = F.col("title")
+    return candidates.withColumn("__t", F.struct(F.size(words(normalize_title(title))).alias("n"), is_garbage_title(title).alias("garbage"), is_journal_abbrev(title).alias("abbrev")))
+
+
 def candidate_quality() -> Column:
-    title, source = F.col("title"), F.col("source")
-    n = F.size(words(normalize_title(title)))
-    by_title = (
-        F.when(title == "", 0.0).when(is_garbage_title(title), -3.0).when(is_journal_abbrev(title), -2.0).otherwise(F.least(F.lit(4.0), F.greatest(F.lit(1.0), n / 3.0)))
-    )
+    """Of rows ``with_title_flags``."""
+    title, source, n = F.col("title"), F.col("source"), F.col("__t.n")
+    by_title = F.when(title == "", 0.0).when(F.col("__t.garbage"), -3.0).when(F.col("__t.abbrev"), -2.0).otherwise(F.least(F.lit(4.0), F.greatest(F.lit(1.0), n / 3.0)))
     return (
         by_title
         + F.when(F.size("authors") > 0, F.least(F.lit(2.0), 0.75 + 0.5 * F.size("authors"))).otherwise(0.0)
@@ -55,7 +59,7 @@ def _row() -> Column:
 
 def best_candidate(candidates: DataFrame) -> DataFrame:
     """The best useful candidate of each document: (doc_id, fields, quality)."""
-    rated = candidates.filter(is_useful()).withColumn("quality", candidate_quality())
+    rated = with_title_flags(candidates.filter(is_useful())).withColumn("quality", candidate_quality()).drop("__t")
     return rated.groupBy("doc_id").agg(F.min_by(_row(), _rank()).alias("best")).select("doc_id", "best.*")
 
 
@@ -80,8 +84,8 @@ def _author_quality() -> Column:
 def synthesize(candidates: DataFrame) -> DataFrame:
     """A ``synthesized`` candidate for each document whose parts give more than a title. ``candidates`` is prepared()."""
     title = F.col("title")
-    good = (title != "") & ~is_garbage_title(title) & ~is_journal_abbrev(title) & ~is_suspicious_title(title)
-    rated = candidates.withColumn("quality", candidate_quality()).withColumn("good", good)
+    good = (title != "") & ~F.col("__t.garbage") & ~F.col("__t.abbrev") & ~is_suspicious_title(title)
+    rated = with_title_flags(candidates).withColumns({"quality": candidate_quality(), "good": good}).drop("__t")
     doc = Window.partitionBy("doc_id")
     by_title = F.min_by(_row(), F.when(title != "", _rank((~F.col("good")).alias("bad")))).over(doc)
     rated = rated.withColumn("t", by_title).filter(F.col("t").isNotNull())
@@ -191,7 +195,7 @@ def debug_columns(candidates: DataFrame, pool: DataFrame) -> DataFrame:
     shape = F.struct(*sorted(("source", "title", "authors", "year", "doi", "isbn", "arxiv", "priority", "notes")))
     listed = F.array_sort(F.collect_list(F.struct("pos", shape.alias("c"))))
     of_grobid = F.min_by(F.struct("title", "authors", "year"), F.when((F.col("source") == "grobid") & (F.col("title") != ""), F.col("pos")))
-    rows = candidates.withColumn("quality", candidate_quality()).groupBy("doc_id").agg(
+    rows = with_title_flags(candidates).withColumn("quality", candidate_quality()).groupBy("doc_id").agg(
         listed.alias("all"), of_grobid.alias("g"), F.min_by("source", F.when(is_useful(), _rank())).alias("local_best_source")
     )
     ids = pool.groupBy("doc_id").agg(

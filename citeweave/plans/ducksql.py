@@ -279,10 +279,51 @@ def decamel(x: str) -> str:
 def file_title(x: str) -> str:
     s = sub(sub(f"replace({decamel(clean(x))}, '_', ' ')", r"^\[[^\]]{1,200}\]\s*"), rf"[{BLANKS}]+", " ")
     s = f"(CASE WHEN length({s}) - length(replace({s}, '-', '')) >= 4 AND NOT contains({s}, ' ') THEN replace({s}, '-', ' ') ELSE {s} END)"
-    s = sub(sub(sub(s, tx.TRAILING_WORDS.replace("(?iU)", "(?i)").replace(r"\z", "$")), tx.CONFERENCE_YEAR), r"(?i)^[0-9]{4}[_ -]+book[_ -]+")
+    s = sub(sub(sub(s, tx.TRAILING_WORDS.replace("(?iU)", "(?i)").replace(r"\z", "$")), tx.CONFERENCE_YEAR.replace("(?iU)", "(?i)")), r"(?i)^[0-9]{4}[_ -]+book[_ -]+")
     return clean(strip(sub(sub(s, r"\s*\([0-9]+\)$"), rf"[{BLANKS}]+", " "), " -_."))
 
 
+def meta_title(x: str) -> str:
+    """The title that a trailing year in brackets leaves."""
+    raw, closed = clean(x), sub(clean(x), r"\s*\([0-9]{4}(?:\s*,[^)]*)?\)?$")
+    opened = r"^(.*?)(?:\s*[\[(]([0-9]{4})(?:\s*,.*)?)$"
+    tidy = lambda y: strip(clean(y), " -_.,;:")
+    return f"(CASE WHEN {closed} <> {raw} THEN {tidy(closed)} WHEN {match(raw, opened)} THEN {tidy(f'regexp_extract({raw}, {text(opened)}, 1)')} ELSE {raw} END)"
+
+
+def meta_year(x: str) -> str:
+    raw, closed = clean(x), sub(clean(x), r"\s*\([0-9]{4}(?:\s*,[^)]*)?\)?$")
+    opened = r"^(.*?)(?:\s*[\[(]([0-9]{4})(?:\s*,.*)?)$"
+    return f"(CASE WHEN {closed} <> {raw} THEN {first_year(raw)} WHEN {match(raw, opened)} THEN regexp_extract({raw}, {text(opened)}, 2) ELSE {first_year(raw)} END)"
+
+
+def filename_candidates(rows: str) -> str:
+    """Candidates of file names without folders and endings: ``rows`` is a query of (doc_id, stem)."""
+    hex32, archive, series, pair = r"(?i)^[0-9a-f]{32}$", r"(?i)^Anna'?s Archive(?:-[0-9]+)?$", r"^\(([^)]{1,160})\)\s*(.+?)\s+-\s+(.+?)\s*\(([0-9]{4})(?:\s*,[^)]*)?\)?$", r"^(.*?)\s+-\s+(.+)$"
+    raw = sub(sub(sub(clean("stem"), r"(?i)\s+-\s+libgen\.[A-Za-z0-9]+$"), r"(?i)\s+-\s+Anna.?s Archive(?:-[0-9]+)?$"), r"(\([0-9]{4}\))-[0-9]+$", r"\1")
+    part = lambda pattern, n: f"regexp_extract(raw, {text(pattern)}, {n})"
+    names = lambda x: split_authors(f"replace({x}, '_', '; ')")
+    either = lambda a, b: f"coalesce(nullif({a}, ''), {b}, '')"
+    leading = sub(clean(part(pair, 1)), r"^[\[(].{0,160}?[\])]\s*")
+    first_doi = "coalesce({0}[1], {1}[1], '')".format(dois("raw"), dois("cleaned"))
+    shape = f"title, {joined('authors')} AS authors, year, {first_doi} AS doi, isbn, '' AS arxiv, source, priority, notes"
+    made = lambda title, authors_, year, source, priority, notes="''", isbn_="''", pos=0: f"doc_id, raw, cleaned, {pos} AS pos, {title} AS title, {authors_} AS authors, {year} AS year, {isbn_} AS isbn, '{source}' AS source, {priority} AS priority, {notes} AS notes"
+    lone = f"(fits AND {journal_abbrev('pair_title')})"
+    return f"""WITH s AS (SELECT doc_id, {raw} AS raw FROM ({rows})),
+    c AS (SELECT *, {file_title('raw')} AS cleaned, list_filter(list_transform(regexp_split_to_array(raw, {text(r'\s+--\s+')}), lambda p: {clean('p')}), lambda p: p <> '' AND NOT {match('p', hex32)} AND NOT {match('p', archive)}) AS pieces FROM s),
+    i AS (SELECT *, list_transform(pieces, lambda p: {isbn('p')}) AS isbns FROM c),
+    j AS (SELECT *, coalesce(list_position(list_transform(isbns, lambda x: x <> ''), true), 0) AS ip, coalesce(list_position(list_transform(range(1, len(pieces) + 1), lambda k: {match('pieces[k]', '^(?:1[5-9][0-9]{2}|20[0-9]{2}|2100)$')} AND isbns[k] = ''), true), 0) AS yp FROM i),
+    r AS MATERIALIZED (SELECT *, list_transform(list_filter(range(1, len(pieces) + 1), lambda k: k <> ip AND k <> yp), lambda k: {file_title('pieces[k]')}) AS rest, replace({leading}, '_', '; ') AS author, {meta_title(file_title(part(pair, 2)))} AS pair_title,
+      coalesce(nullif({meta_year(file_title(part(pair, 2)))}, ''), {first_year('raw')}) AS pair_year, contains(raw, ' -- ') AS is_archive, {match('raw', series)} AS is_series, {match('raw', pair)} AS is_pair FROM j),
+    f AS MATERIALIZED (SELECT *, NOT is_archive AND NOT is_series AND is_pair AND author <> '' AND length(pair_title) > 4 AS fits FROM r),
+    made AS (SELECT {made(meta_title("coalesce(rest[1], '')"), f"CASE WHEN rest[2] IS NOT NULL AND NOT {match('rest[2]', hex32)} THEN {names('rest[2]')} ELSE [] END", either("coalesce(pieces[nullif(yp, 0)], '')", meta_year("coalesce(rest[1], '')")), 'filename_structured', 40, "'parsed structured Anna/libgen filename'", "coalesce(isbns[nullif(ip, 0)], '')")} FROM f WHERE is_archive
+      UNION ALL SELECT {made(meta_title(file_title(part(series, 3))), names(clean(part(series, 2))), either(meta_year(file_title(part(series, 3))), part(series, 4)), 'filename_series', 35)} FROM f WHERE is_series AND NOT is_archive
+      UNION ALL SELECT {made('pair_title', split_authors('author'), 'pair_year', 'filename_author_title', 45)} FROM f WHERE fits AND NOT {lone}
+      UNION ALL SELECT {made("''", split_authors('author'), 'pair_year', 'filename_author_only', 70, "'filename title was journal abbreviation, dropped'")} FROM f WHERE {lone}
+      UNION ALL SELECT {made(meta_title('cleaned'), '[]::varchar[]', either(meta_year('cleaned'), first_year('raw')), 'filename_title_only', 80, pos='CASE WHEN fits THEN 1 ELSE 0 END')} FROM f WHERE NOT is_archive AND NOT is_series AND (NOT fits OR {lone}))
+    SELECT doc_id, pos, {shape} FROM made"""
+
+
 def small_first(x: str) -> str:
     return f"concat(lower(substr({x}, 1, 1)), substr({x}, 2))"
 

@@ -167,7 +167,7 @@ _BEST_CAND = f"SELECT * FROM (SELECT *, {rules.QUALITY} AS quality FROM ({_CQ}))
 
 @query("g3_candidate_quality", f"SELECT doc_id, pos, round({rules.QUALITY}, 6) AS quality FROM ({_CQ})")
 def g3(spark, sf_dir):
-    return candidates(spark, sf_dir).select("doc_id", "pos", F.round(cands.candidate_quality(), 6).alias("quality"))
+    return cands.with_title_flags(candidates(spark, sf_dir)).select("doc_id", "pos", F.round(cands.candidate_quality(), 6).alias("quality"))
 
 
 @query("g4_best_candidate", f"SELECT doc_id, title, source, round(quality, 6) AS quality FROM ({_BEST_CAND})")
@@ -241,16 +241,10 @@ def h5(spark, sf_dir):
     return _flat(decide.rescue_match(results(spark, sf_dir), candidates(spark, sf_dir)).select("doc_id", "sanity_passed", "sanity_score", "notes"))
 
 
-@query(
-    "h6_downgrade_failed",
-    f"SELECT doc_id, o, CASE WHEN o THEN 'high' ELSE 'medium' END AS confidence, o AS verified, concat('sanity_score=', printf('%.3f', s), CASE WHEN o THEN ' (passed)' ELSE ' (below threshold 0.4)' END) AS notes FROM (SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS o, cast(o_orderkey % 1000 as double) / 1000 AS s FROM orders)",
-)
+@query("h6_downgrade_failed", rules.based(f"SELECT doc_id, confidence, verified, sanity_passed, array_to_string(notes, ' | ') AS notes FROM ({rules.downgraded('(SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN chr(108) || chr(111) || chr(119) ELSE confidence END AS confidence, [source] AS notes) FROM r)')})"))
 def h6(spark, sf_dir):
-    k = F.col("o_orderkey")
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        k.alias("doc_id"), (k % 3 == 0).alias("sanity_passed"), (k % 1000 / 1000).alias("sanity_score"), F.lit(True).alias("verified"), F.lit("high").alias("confidence"), F.expr("cast(array() as array<string>)").alias("notes")
-    )
-    return _flat(decide.downgrade_failed(rows).select("doc_id", F.col("sanity_passed").alias("o"), "confidence", "verified", "notes"))
+    r = results(spark, sf_dir).withColumns({"confidence": F.when(F.col("doc_id") % 4 == 0, "low").otherwise(F.col("confidence")), "notes": F.array("source")})
+    return _flat(decide.downgrade_failed(r).select("doc_id", "confidence", "verified", "sanity_passed", "notes"))
 
 
 _UNLIKE = "r2 AS MATERIALIZED (SELECT * REPLACE (sanity_passed AS verified, CASE WHEN doc_id % 2 = 0 THEN 'Quite another work' ELSE title END AS title) FROM r)"
@@ -384,8 +378,24 @@ def a20(spark, sf_dir):
     return cands.debug_columns(c, identifier_pool(documents(spark, sf_dir), c))
 
 
-@query("d14_importable", f"SELECT o_orderkey AS doc_id, (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 < 2 AS importable FROM orders")
+#: What ends up in the tables of a run, with every confidence, and the least one that is asked for.
+_IMPORT = "SELECT doc_id, auto_safe, CASE doc_id % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'odd' ELSE confidence END AS confidence, doc_id % 7 = 0 AS soft_auto FROM (SELECT doc_id, 'high' AS confidence, sanity_passed AS auto_safe FROM best)"
+_RANK = "CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
+
+
+@query(
+    "d14_importable",
+    rules.based(
+        " UNION ALL ".join(
+            f"SELECT doc_id, '{least}' AS least, (auto_safe OR soft_auto) AND {_RANK} >= {n} AS importable, CASE WHEN NOT auto_safe AND NOT soft_auto THEN 'skipped: not auto-safe; manual review required' WHEN {_RANK} < {n} THEN concat('skipped: confidence ', confidence, ' below threshold {least}') ELSE '' END AS reason FROM ({_IMPORT})"
+            for n, least in enumerate(("low", "medium", "high"))
+        )
+    ),
+)
 def d14(spark, sf_dir):
-    k = F.col("o_orderkey")
-    r = F.struct((k % 2 == 0).alias("auto_safe"), (k % 3 == 0).alias("soft_auto"), F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").otherwise("low").alias("confidence"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("doc_id"), quality.is_importable(r)["importable"].alias("importable"))
+    k = F.col("doc_id")
+    best = jobs.identifier_resolution(documents(spark, sf_dir), candidates(spark, sf_dir), catalogs(spark, sf_dir))
+    r = F.struct("auto_safe", (k % 7 == 0).alias("soft_auto"), F.when(k % 5 == 0, "low").when(k % 5 == 1, "medium").when(k % 5 == 2, "odd").otherwise(F.col("confidence")).alias("confidence"))
+    said = [quality.is_importable(r, least) for least in ("low", "medium", "high")]
+    rows = [F.struct(F.lit(least).alias("least"), s["importable"].alias("importable"), s["reason"].alias("reason")) for least, s in zip(("low", "medium", "high"), said)]
+    return best.select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.*")

@@ -238,16 +238,16 @@ def d10(spark, sf_dir):
     return mentions(spark, sf_dir).select("doc_id", quality.is_book(F.col("path"), F.col("text")).alias("book"))
 
 
-@query("e1_filename_candidates")
+_FILES = (
+    "SELECT id AS doc_id, replace(CASE id % 5 WHEN 0 THEN concat(title, ' (2019, Press) -- Ann_Reed -- 2019 -- 9780306406157 -- ', md5(cast(id as varchar(20)))) WHEN 1 THEN concat('(Series) Ann Reed_Bo Stone - ', title, ' (2011, Press)') "
+    f"WHEN 2 THEN concat('Ann Reed - ', title) WHEN 3 THEN CASE id % 3 WHEN 0 THEN 'Bo Stone - J Math' WHEN 1 THEN concat('[Old] Cy Lee, Di Reed - ', title, ' - libgen.li') ELSE concat(title, ' (1999)-2') END ELSE title END, '/', '_') AS stem FROM ({src.TITLES}) AS t"
+)
+
+
+@query("e1_filename_candidates", d.filename_candidates(f"SELECT doc_id, CASE WHEN stem = '' THEN '.pdf' ELSE stem END AS stem FROM ({src.oracle(_FILES)})"))
 def e1(spark, sf_dir):
-    t = src.load(spark, sf_dir, src.TITLES)
-    made = (
-        F.when(F.col("id") % 4 == 0, F.concat("title", F.lit(" (2019, Press) -- Ann_Reed -- 2019 -- 9780306406157 -- "), F.md5(F.col("id").cast("string"))))
-        .when(F.col("id") % 4 == 1, F.concat(F.lit("(Series) Ann Reed_Bo Stone - "), F.col("title"), F.lit(" (2011, Press)")))
-        .when(F.col("id") % 4 == 2, F.concat(F.lit("Ann Reed - "), F.col("title")))
-        .otherwise(F.col("title"))
-    )
-    return extract.candidates_from_filename(t.select(F.col("id").alias("doc_id"), F.concat(F.lit("/lib/"), F.replace(made, F.lit("/"), F.lit("_")), F.lit(".pdf")).alias("path")))
+    names = src.load(spark, sf_dir, _FILES).select("doc_id", F.concat(F.lit("/lib/"), "stem", F.lit(".pdf")).alias("path"))
+    return extract.candidates_from_filename(names).withColumns({c: F.array_join(c, "; ") for c in ("authors", "notes")})
 
 
 #: Documents behind header lines of several kinds.
