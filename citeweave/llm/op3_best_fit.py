@@ -6,7 +6,7 @@ permitted size that holds the piece the rest is filled, in thought, with the lon
 ``OVERHEAD`` is divided by what it would hold. At the end every bin shrinks to the least permitted size of its contents.
 
 Shards are dealt by hash and hold about ``SHARD_TOKENS`` tokens, so a task's work is bounded and no bin spans shards; rows repeated whole
-are dealt apart by where they were read. A document without tokens (null or empty text) still has its end token: length 1. A text longer than
+are dealt apart by where they were read, so bins depend on how the input is split. A document without tokens (null or empty text) still has its end token: length 1. A text longer than
 the largest sequence becomes several pieces. A missing doc_id stays missing. Repeated rows are packed each. Other columns, whatever their names, are ignored.
 """
 
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import stash
+
 SIZES = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 8
 SHARD_TOKENS = 4_000_000
@@ -81,6 +83,7 @@ def best_fit(docs: DataFrame, length: Column | None = None, sizes: tuple[int, ..
     """A row a piece: where it starts in its document, and its bin, the bin's size and its offset there."""
     most = max(sizes)
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES))).alias("deal"), (n_tokens() if length is None else length).cast("long").alias("n"))
+    doc = stash(doc, "lengths")  # texts are read once, and a task that runs again deals as before
     total = doc.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_TOKENS))
     pieces = doc.select("*", F.explode(F.expr(f"sequence(0, cast((n - 1) div {most} as int))")).alias("piece")).select(

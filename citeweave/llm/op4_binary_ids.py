@@ -8,7 +8,7 @@ its word has selector 0 and the index of the id in a list of whole 64-bit values
 File: magic, four counts, doc ids, ids a document, block offsets, escaped ids, words; little-endian, 64 bits each.
 
 Null text counts as empty: the end id alone. Rows with the same doc_id come in a fixed order of their texts' hashes; a missing doc_id comes first. Rows
-repeated whole are encoded each. Other columns, whatever their names, are ignored. A very long text is encoded by itself and stays in one file.
+repeated whole are encoded each; they are told apart by where they were read, so ``docs`` should be a written table if it has such rows. Other columns, whatever their names, are ignored. A very long text is encoded by itself and stays in one file.
 """
 
 from __future__ import annotations
