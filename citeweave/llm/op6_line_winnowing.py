@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,7 +182,16 @@ def _extended(pairs: DataFrame, least: int) -> DataFrame:
     """(key, id, a, b, span, near): repeated runs of the later places (span is null), and the spans that no extension covered, by the hash of their units."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "a", "b", "span", "near"]
         for batch in batches:
+            # where all spans of both places agree there is no more to extend
+            alike = pc.and_(pc.equal(batch.column("at"), batch.column("first_at")), pc.equal(batch.column("near"), batch.column("first_near")))
+            same = batch.filter(alike)
+            begin = pc.subtract(same.column("unit"), same.column("at"))
+            end = pc.add(begin, pc.cast(pc.divide(pc.binary_length(same.column("near")), 8), pa.int32()))
+            nothing = (pa.nulls(same.num_rows, t) for t in (pa.int64(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([same.column("key"), same.column("id"), begin, end, *nothing], names=names)
+            batch = batch.filter(pc.invert(alike))
             out: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("unit", "at", "near", "words", "first_at", "first_near")]
             for k, (unit, at, near, words, there, first) in enumerate(zip(*columns)):
@@ -201,8 +211,7 @@ def _extended(pairs: DataFrame, least: int) -> DataFrame:
             row, a, b, span, near = zip(*out) if out else [()] * 5
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(row), batch.column("id").take(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(span, pa.int64()), pa.array(near, pa.binary())],
-                names=["key", "id", "a", "b", "span", "near"],
+                [batch.column("key").take(row), batch.column("id").take(row), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(span, pa.int64()), pa.array(near, pa.binary())], names=names
             )
         let_go()
 
@@ -218,12 +227,7 @@ def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     # a table of its own, so that both sides of the join are plain exchanges, which Spark splits where a mark is hot
     first = stash(first.select("mark", *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("key", "unit", "at", "near"))), "first-places")
     later = places.join(first, "mark").filter((F.col("key") != F.col("first_key")) | (F.col("unit") != F.col("first_unit")))
-    # where all spans of both places agree there is no more to extend
-    whole = (F.col("at") == F.col("first_at")) & (F.col("near") == F.col("first_near"))
-    begin = F.col("unit") - F.col("at")
-    alike = later.filter(whole).select("key", "id", begin.alias("a"), (begin + F.length("near") / 8).cast("int").alias("b"), F.lit(None).cast("long").alias("span"), F.lit(None).cast("binary").alias("near"))
-    unlike = later.filter(~whole).select("key", "id", "unit", "at", "near", "words", "first_at", "first_near")
-    found = stash(alike.union(_extended(unlike, least)), "extended")
+    found = stash(_extended(later.select("key", "id", "unit", "at", "near", "words", "first_at", "first_near"), least), "extended")
     spans = found.filter("span IS NOT NULL")
     held = spans.groupBy("span").agg(F.min(F.struct("id", "key", "a", "near")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     held = stash(held.select("span", *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("key", "a", "near"))), "first-spans")
