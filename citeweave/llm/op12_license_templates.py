@@ -57,7 +57,7 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_PLAIN).split()
 
 
-# A template's tree: a bytes word, an ("any", least, most) region, or an ("opt", [...]) region.
+# A template's tree: bytes words, ("any", least, most, pattern) regions and ("opt", [...]) regions.
 def parse(template: str) -> list:
     """The template as words, replaceable and optional regions."""
     stack: list[list] = [[]]
