@@ -79,6 +79,22 @@ def test_title_search_with_hot_words(spark, sf):
     assert len(want) > 20 and want <= got and len(got) < 3 * len(want)
 
 
+def test_spelling_with_hot_runs(spark):
+    """Runs that many titles have give way to longer ones: misspelt twins are found, titles of one pattern don't all meet; blank and very short titles do no harm."""
+    from citeweave.operators import search
+
+    names = ["".join(chr(97 + (k * 7919 + 31) * p % 9973 % 26) for p in (3, 17, 101, 443, 1009, 2003, 3001, 4001, 5003)) for k in range(120)]
+    title = lambda name: f"proceedings of the annual workshop on {name} held in {name[::-1]} and its proofs"
+    entries = [(n, title(name), [], "") for n, name in enumerate(names)] + [(500 + n, "abc", [], "") for n in range(5)] + [(600, "", [], ""), (601, None, [], "")]
+    misspelt = [(n, title(name).replace("proceedings", "procedings").replace("proofs", "profs"), [], "") for n, name in enumerate(names)]
+    asked = [*misspelt, (500, "abc", [], ""), (600, "", [], ""), (601, None, [], ""), (602, "ab", [], "")]
+    shape = "{} long, title string, authors array<string>, year string"
+    q, k = spark.createDataFrame(asked, shape.format("qid")), spark.createDataFrame(entries, shape.format("eid"))
+    exact, bounded = ({(r.qid, r.eid) for r in search.spelled_pairs(q, k, hot=h).collect()} for h in (None, 20))
+    assert {(n, n) for n in range(120)} | {(500, 500 + n) for n in range(5)} <= bounded <= exact
+    assert len(exact) > 10_000 and len(bounded) < len(exact) / 4 and not {600, 601} & {x for pair in bounded for x in pair}
+
+
 def test_inputs_grow_with_their_tables(spark):
     """Every sixth order has an arXiv entry and id of its own, and orders cite all parts."""
     from citeweave.plans import inputs
