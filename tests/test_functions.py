@@ -210,3 +210,12 @@ def test_blocking_counts_stop_words(spark):
     query = spark.createDataFrame([(1, "on the use of a norm in spaces with zorblax"), (2, "a linear algebra")], "qid long, title string")
     catalog = spark.createDataFrame([(1, "on the use of a norm in spaces with"), (2, "zorblax"), (20, "linear algebra"), *((k, f"norm use spaces {k}") for k in range(3, 9))], "eid long, title string")
     assert {(1, 1), (2, 20)} <= {tuple(r) for r in search.blocked_pairs(query, catalog).collect()}
+
+
+def test_three_decimals_by_binary_value(spark):
+    """Ties of the decimal text are none of the number: as Python prints it."""
+    from citeweave.sources.files import three_decimals
+
+    scores = [0.2975, 0.0625, 0.1875, 0.0005, 0.0015, 0.1235, 0.4115, 0.5, 1.0, 0.0, 0.9995, -0.0625, 12.3455, 0.123, 0.1229999999999999, 3.0e9] + [(2 * n + 1) / 2000 for n in range(1000)]
+    df = spark.createDataFrame([(n, s) for n, s in enumerate(scores)], "n int, s double")
+    assert [r[0] for r in df.orderBy("n").select(three_decimals(F.col("s"))).collect()] == [f"{s:.3f}" for s in scores]
