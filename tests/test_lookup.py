@@ -71,3 +71,13 @@ def test_bucketed_catalog_is_not_shuffled(spark, table):
         assert len(exchanges(lookup.lookup_identifiers(pool(spark, [1]), newer))) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filter_is_broadcast_in_few_rows(spark):
+    """A row of the broadcast holds a block of words, those without a bit too; no key is lost at its seams."""
+    wanted = spark.range(0, 300_000, 3).withColumnRenamed("id", "k")
+    words, bits = reduce.filter_words(wanted, ["k"])
+    sizes = [r.n for r in words.selectExpr("size(__sets) AS n").collect()]
+    assert sizes == [reduce.BLOCK] * (bits // 64 // reduce.BLOCK) and len(sizes) == 32
+    kept = reduce.asked_for(spark.range(300_000).withColumnRenamed("id", "k"), wanted, ["k"])
+    assert kept.join(wanted, "k").count() == 100_000 and kept.count() < 120_000
