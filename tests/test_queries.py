@@ -125,3 +125,21 @@ def test_soft_audit_queue_by_final_source(spark, tmp_path):
     assert got == [r.seq for r in sorted((r for r in rows.values() if r["Soft Auto"] == "yes"), key=key)[:100]]
     full = reports.soft_audit_queue(queries_reports.joined(spark, str(tmp_path)).withColumn("missing", reports.F.lit(False)), 100)
     assert [r.seq for r in full.orderBy("Soft ID").collect()] != got
+
+
+def test_text_is_made_by_all_tasks(spark, tmp_path):
+    """A table in one small file doesn't leave the work on its texts to one task."""
+    from citeweave.plans import queries_text
+
+    spark.range(40).selectExpr("id AS p_partkey", "'wood' AS p_name", "'b' AS p_brand", "'T' AS p_type", "cast(id AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert queries_text.e1(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+def test_titles_of_names_are_cut_once(spark):
+    """Layouts name the cut title often; its patterns stand in the plan once for each place where a name is cut."""
+    from citeweave.functions import text as tx
+    from citeweave.operators import extract
+
+    names = spark.createDataFrame([(1, "/a/b.pdf")], "doc_id long, path string")
+    plan = extract.candidates_from_filename(names)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(tx.CLOSED_YEAR) <= 4
