@@ -219,3 +219,28 @@ def test_three_decimals_by_binary_value(spark):
     scores = [0.2975, 0.0625, 0.1875, 0.0005, 0.0015, 0.1235, 0.4115, 0.5, 1.0, 0.0, 0.9995, -0.0625, 12.3455, 0.123, 0.1229999999999999, 3.0e9] + [(2 * n + 1) / 2000 for n in range(1000)]
     df = spark.createDataFrame([(n, s) for n, s in enumerate(scores)], "n int, s double")
     assert [r[0] for r in df.orderBy("n").select(three_decimals(F.col("s"))).collect()] == [f"{s:.3f}" for s in scores]
+
+
+def test_replies_and_texts_are_searched_once(spark):
+    """A path of a TEI reply is looked up once a row, be its result named in filters; a round of repair searches a text twice, not four times."""
+    from citeweave.sources import catalogs as cat
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    replies = spark.createDataFrame([(1, "<a/>")], "doc_id long, payload string")
+    assert plan(cat.candidates_from_tei(replies)).count("//titleStmt/title[1]/text()") == 1
+    texts = spark.createDataFrame([("a",)], "t string")
+    assert plan(texts.select(repair.repair_title_ligatures(F.col("t")).alias("x"))).count(repair.FRAGMENT) <= 2
+
+
+def test_repair_ends_after_a_round_that_changes_nothing(spark):
+    """All rounds that join something are made: each joins one more fragment of a chain."""
+    t = "C Hapter and F Ield of thi Nki Ngab Outit Al and the End"
+    want = tx_rounds(t)
+    assert apply(spark, repair.repair_title_ligatures, [t, "plain words"]) == [want, "plain words"]
+
+
+def tx_rounds(t):
+    t = re.sub(r"(?<=\b[B-HJ-Z])\s+([A-Z])(?=[a-z]+\b)", lambda m: m[1].lower(), t)
+    for _ in range(repair.ROUNDS):
+        t = re.sub(repair.FRAGMENT, lambda m: m[0] if m[1].lower() in repair.STAY_APART else m[1] + m[2][0].lower() + m[2][1:], t)
+    return t
