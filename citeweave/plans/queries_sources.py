@@ -117,7 +117,7 @@ def a19(spark, sf_dir):
     "SELECT 'arxiv_id' AS source, concat('On order ', o_orderkey) AS title, 'Jo Stone' AS authors, cast(extract(year FROM o_orderdate) AS varchar) AS year, concat('10.1000/x', o_orderkey) AS doi, '' AS isbn, concat('2001.', lpad(cast(o_orderkey AS varchar), 5, '0')) AS arxiv, '' AS publisher FROM orders",
 )
 def a15(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = src.to_all_tasks(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderkey")
     feed = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>q</title><entry><title>On  order '), F.col("o_orderkey").cast("string"), F.lit("</title><author><name>Jo Stone</name></author><author><name> </name></author><published>"),
         F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</published><summary>see 10.1000/x"), F.col("o_orderkey").cast("string"), F.lit(" &amp; more</summary></entry></feed>"),
@@ -128,7 +128,7 @@ def a15(spark, sf_dir):
 
 @query("a16_tei_candidates", "SELECT o_orderkey AS doc_id, concat('On order ', o_orderkey, ' of widgets') AS title, 'Jo Stone' AS authors, 'grobid' AS source, 12 AS priority FROM orders")
 def a16(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = src.to_all_tasks(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
     tei = F.concat(
         F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>On order '), F.col("o_orderkey").cast("string"), F.lit(" of widgets</title></titleStmt><sourceDesc><author><persName><forename>Jo</forename><surname>Stone</surname></persName></author></sourceDesc></fileDesc></teiHeader></TEI>"),
     )
@@ -180,7 +180,7 @@ def a1(spark, sf_dir):
 def a7(spark, sf_dir):
     """A file a supplier in three folders, read back as responses."""
     folder = scratch(spark, "responses")
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("n"), (F.col("s_nationkey") % 3).cast("string")).alias("namespace"), F.col("s_suppkey").alias("k"), "s_name")
+    rows = src.to_all_tasks(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_name"), "s_suppkey").select(F.concat(F.lit("n"), (F.col("s_nationkey") % 3).cast("string")).alias("namespace"), F.col("s_suppkey").alias("k"), "s_name")
     rows.write.option("maxRecordsPerFile", 1).partitionBy("namespace").json(folder)
     got = files.read_responses(spark, folder)
     return got.select("namespace", F.get_json_object("payload", "$.k").alias("k"), F.get_json_object("payload", "$.s_name").alias("name"), (F.length("key_sha1") > 0).alias("keyed"))

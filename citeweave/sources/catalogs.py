@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.identifiers import extract_arxivs, extract_dois, extract_isbns, validate_isbn
 from citeweave.functions.quality import is_software_author, is_software_title, is_suspicious_title
-from citeweave.functions.text import clean_text, first_year, split_authors, strip_footnote_markers
+from citeweave.functions.text import clean_text, first_year, given, split_authors, strip_footnote_markers
 
 _DATE = "struct<`date-parts`:array<array<int>>>"
 _WORK = (
@@ -127,21 +127,16 @@ def _candidate(title: Column, authors: Column, year: Column, doi: Column, isbn:
 
 def candidates_from_tei(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Header TEI → ``grobid`` candidate; a suspicious title is blanked, a row with nothing left goes."""
-    title = clean_text(_first(F.xpath(payload, F.lit("//titleStmt/title[1]/text()"))))
-    title = F.when(is_suspicious_title(title), "").otherwise(title)
+    # each path reads the whole reply, so it is looked up once a row, and no later step is pulled in front of that
+    title = given(clean_text(_first(F.xpath(payload, F.lit("//titleStmt/title[1]/text()")))), lambda t: F.when(is_suspicious_title(t), "").otherwise(t))
     # an author without one of the two names has an empty place in its list
     count = F.xpath_int(payload, F.lit("count(//sourceDesc//author)"))
-    rows = df.withColumn("__n", count)
     fore, sur = (F.xpath(payload, F.lit(f"//sourceDesc//author//{k}[1]/text()")) for k in ("forename", "surname"))
     paired = F.zip_with(fore, sur, lambda a, b: F.concat_ws(" ", a, b))
-    blob = _all_text(F.col(payload))
-    out = rows.select(
-        "doc_id",
-        *_candidate(
-            title, _list(F.when(F.col("__n") == 0, F.expr(_NONE)).otherwise(paired)), first_year(blob), _first(extract_dois(blob)), _first(extract_isbns(blob)),
-            _first(extract_arxivs(blob)), F.lit("grobid"), 12,
-        ),
-    )
+    read = F.struct(title.alias("title"), _list(F.when(count == 0, F.expr(_NONE)).otherwise(paired)).alias("authors"), _all_text(F.col(payload)).alias("blob"))
+    rows = df.select("doc_id", F.inline(F.array(read)))
+    blob = F.col("blob")
+    out = rows.select("doc_id", *_candidate(F.col("title"), F.col("authors"), first_year(blob), _first(extract_dois(blob)), _first(extract_isbns(blob)), _first(extract_arxivs(blob)), F.lit("grobid"), 12))
     return out.filter((F.col("title") != "") | (F.size("authors") > 0) | (F.col("doi") != "") | (F.col("isbn") != "") | (F.col("arxiv") != ""))
 
 

@@ -129,10 +129,12 @@ def test_soft_audit_queue_by_final_source(spark, tmp_path):
 
 def test_text_is_made_by_all_tasks(spark, tmp_path):
     """A table in one small file doesn't leave the work on its texts to one task."""
-    from citeweave.plans import queries_text
+    from citeweave.plans import queries_sources, queries_text
 
     spark.range(40).selectExpr("id AS p_partkey", "'wood' AS p_name", "'b' AS p_brand", "'T' AS p_type", "cast(id AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert queries_text.e1(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    spark.range(40).selectExpr("id AS o_orderkey", "date'2000-01-01' AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert all(q(spark, str(tmp_path)).rdd.getNumPartitions() > 1 for q in (queries_sources.a15, queries_sources.a16))
 
 
 def test_titles_of_names_are_cut_once(spark):
