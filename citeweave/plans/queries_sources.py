@@ -296,8 +296,10 @@ def i10(spark, sf_dir):
 )
 def k1(spark, sf_dir):
     inbox, sink, mark = (scratch(spark, f"k1-{x}") for x in ("in", "out", "mark"))
-    documents(spark, sf_dir).select("doc_id", "path", "text", "ident_text").repartition(2).write.parquet(inbox)
-    stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    docs = src.to_all_tasks(documents(spark, sf_dir).select("doc_id", "path", "text", "ident_text"), "doc_id")
+    docs.write.parquet(inbox)
+    half = (docs.rdd.getNumPartitions() + 1) // 2  # two batches, whatever the number of files
+    stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", half).parquet(inbox)
     entries, cands = catalogs(spark, sf_dir), candidates(spark, sf_dir)
     run = incremental_resolve(stream, lambda batch: cands.join(batch.select("doc_id"), "doc_id", "left_semi"), entries, sink, mark)
     run.awaitTermination()
@@ -311,8 +313,8 @@ def k1_repeated(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "path", "text", "ident_text")
     entries, cands = keyed(catalogs(spark, sf_dir)), candidates(spark, sf_dir)
     for part in (docs.filter("doc_id % 3 = 0"), docs, docs.filter("doc_id % 2 = 0")):
-        part.coalesce(1).write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+        part.write.mode("append").parquet(inbox)  # by all tasks; an arrival is one batch
+        stream = spark.readStream.schema(DOCUMENTS).parquet(inbox)
         incremental_resolve(stream, lambda batch: cands.join(batch.select("doc_id"), "doc_id", "left_semi"), entries, sink, mark, compact_every=2).awaitTermination()
     return read_published(spark, sink, PUBLISHED)
 

@@ -18,6 +18,8 @@ from citeweave.storage import remove
 _WHOLE = "end of snapshot"
 #: Old snapshots that stay for readers that have just listed them.
 KEPT = 20
+#: What a task of ``compact`` writes, so that it holds no more, however large the table.
+FILE_BYTES = 32 << 20
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -105,14 +107,20 @@ def _read(spark: SparkSession, table: str, schema: str, folders: list[str]) -> D
     return spark.read.schema(schema).option("basePath", f"{table}/data").parquet(*folders).select(*none.columns) if folders else none
 
 
-def compact(spark: SparkSession, table: str, schema: str, partition: list[str] = (), keep: int = 0, files: int = 1) -> int:
-    """Write all folders but the last ``keep`` batches again as one, of ``files`` files at most for each partition; how many there were."""
+def _size(spark: SparkSession, path: str) -> int:
+    fs, at = _file_system(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
+def compact(spark: SparkSession, table: str, schema: str, partition: list[str] = (), keep: int = 0, files: int | None = None) -> int:
+    """Write all folders but the last ``keep`` batches again as one, of ``files`` files at most for each partition (None: one for every ``FILE_BYTES``); how many there were."""
     old = sorted(snapshot(spark, table)[1], key=lambda f: f["first"])
     old = old[: len(old) - keep]
     if len(old) < 2:
         return 0
     rows = _read(spark, table, schema, [f["folder"] for f in old])
-    new = _written(rows.repartition(files, *partition) if partition else rows.coalesce(files), table, list(partition), old[0]["first"], old[-1]["last"])
+    files = files or 1 + sum(_size(spark, f["folder"]) for f in old) // FILE_BYTES
+    new = _written(rows.coalesce(files), table, list(partition), old[0]["first"], old[-1]["last"])
     gone = {f["folder"] for f in old}
 
     def change(folders: list[dict]) -> list[dict]:

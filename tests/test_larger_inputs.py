@@ -22,3 +22,28 @@ def test_blanks_at_the_ends_of_a_text(spark):
     every = "".join(chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000)
     rows = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in every], "t string")
     assert rows.filter(~tx.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+\z", ""))).count() == 0
+
+
+def test_arrivals_are_written_by_all_tasks(spark, sf, tmp_path, monkeypatch):
+    from citeweave.plans import queries_sources as qs
+
+    class Done:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(qs, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(qs, "incremental_resolve", lambda *a, **k: Done())
+    monkeypatch.setattr(qs, "keyed", lambda entries: entries)
+    qs.k1_repeated(spark, sf)
+    assert len(list(tmp_path.glob("k1-in/*.parquet"))) > 3
+
+
+def test_compaction_writes_as_many_files_as_the_size_asks_for(spark, tmp_path, monkeypatch):
+    from citeweave.streaming import published
+
+    monkeypatch.setattr(published, "FILE_BYTES", 2000)
+    for n in range(2):
+        published.publish(spark.range(n * 2000, (n + 1) * 2000, numPartitions=4).selectExpr("id", "'r' AS route"), str(tmp_path), n, ["route"])
+    assert published.compact(spark, str(tmp_path), "id long, route string", ["route"]) == 2
+    now = published.read_published(spark, str(tmp_path), "id long, route string")
+    assert now.count() == 4000 and len(now.inputFiles()) > 1
