@@ -47,3 +47,12 @@ def test_compaction_writes_as_many_files_as_the_size_asks_for(spark, tmp_path, m
     assert published.compact(spark, str(tmp_path), "id long, route string", ["route"]) == 2
     now = published.read_published(spark, str(tmp_path), "id long, route string")
     assert now.count() == 4000 and len(now.inputFiles()) > 1
+
+
+def test_title_search_normalises_either_side_once(spark):
+    from citeweave.operators import search
+
+    q = spark.createDataFrame([(1, 1, 1, "On waves in water", ["Ann Reed"], "")], "qid long, doc_id long, nth int, title string, authors array<string>, year string")
+    k = spark.createDataFrame([(7, "crossref_search", "On waves in water", ["Ann Reed"], "", "", "", "", "")], "eid long, source string, title string, authors array<string>, year string, doi string, isbn string, arxiv string, publisher string")
+    found = search.title_search(q, k, spelling=False)
+    assert "edition|ed" not in optimized(found) and [r.eid for r in found.collect()] == [7]
