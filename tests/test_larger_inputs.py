@@ -56,3 +56,48 @@ def test_title_search_normalises_either_side_once(spark):
     k = spark.createDataFrame([(7, "crossref_search", "On waves in water", ["Ann Reed"], "", "", "", "", "")], "eid long, source string, title string, authors array<string>, year string, doi string, isbn string, arxiv string, publisher string")
     found = search.title_search(q, k, spelling=False)
     assert "edition|ed" not in optimized(found) and [r.eid for r in found.collect()] == [7]
+
+
+def test_file_names_are_cut_once_for_all_identifiers(spark):
+    from citeweave.operators import candidates as cands
+
+    docs = spark.createDataFrame([(1, "/a/arXiv 2001.00001 b.pdf", "See doi:10.1000/X1. stable/12 and (S0022-0000(99)00001-2).", "more stable/13")], "doc_id long, path string, text string, ident_text string")
+    found = cands.text_identifiers(docs)
+    assert optimized(found).count(r"([^/\\]*+)") <= 2
+    row = found.first()
+    assert (row.stem, row.d, row.a, row.s) == ("arXiv 2001.00001 b", ["10.1000/X1", "10.1016/S0022-0000(99)00001-2"], ["2001.00001"], ["stable/12", "stable/13"])
+
+
+def test_readable_texts_by_their_definition(spark):
+    import random
+    import re
+
+    from citeweave.functions.quality import FUNCTION_WORDS, is_unreadable_text
+
+    r = random.Random(7)
+    odd = ["xq", "Zz9", "é", "the_", "été", "i", "-", "of,", "\n", "q" * 40]
+
+    def text():
+        share, n = r.choice((0.0, 0.03, 0.04, 0.05, 0.3, 0.9)), r.choice((20, 60, 100, 300, 900))
+        return "".join(r.choice(FUNCTION_WORDS if r.random() < share else odd) + r.choice(("", " ", " ", " ", "  ", ".")) for _ in range(n))
+
+    def wanted(t):
+        words = re.findall(r"\b([a-z]+)\b", t[:3000].lower())
+        return len(t.strip()) < 200 or len(words) < 30 or sum(w in FUNCTION_WORDS for w in words) / len(words) < 0.04
+
+    texts = [(text(),) for _ in range(600)]
+    got = spark.createDataFrame(texts, "t string").select("t", is_unreadable_text(F.col("t")).alias("u")).collect()
+    assert [x.t for x in got if x.u != wanted(x.t)] == [] and 50 < sum(x.u for x in got) < len(got) - 50
+
+
+def test_separators_and_archive_names(spark):
+    import itertools
+
+    from citeweave.functions import text as tx
+
+    texts = [("".join(x),) for x in itertools.product(" -é\na1", repeat=6)]
+    rows = spark.createDataFrame(texts, "t string")
+    assert rows.filter(tx.normalize_for_sanity(F.col("t")) != F.trim(F.regexp_replace("t", "[^a-z0-9]+", " "))).count() == 0
+    names = ["/x/Anna's Archive-12 Waves.pdf", "annas archive" + "0F" * 16, "a LibGen.lc b.PDF", "0a" * 16 + ".pdf", "0a" * 17 + ".pdf", "Plain_name.pdf"]
+    got = [x.n for x in spark.createDataFrame([(n,) for n in names], "p string").select(tx.normalize_filename(F.col("p")).alias("n")).collect()]
+    assert got == ["waves", "", "a b", "", "0a" * 17, "plain name"]
