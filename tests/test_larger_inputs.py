@@ -101,3 +101,12 @@ def test_separators_and_archive_names(spark):
     names = ["/x/Anna's Archive-12 Waves.pdf", "annas archive" + "0F" * 16, "a LibGen.lc b.PDF", "0a" * 16 + ".pdf", "0a" * 17 + ".pdf", "Plain_name.pdf"]
     got = [x.n for x in spark.createDataFrame([(n,) for n in names], "p string").select(tx.normalize_filename(F.col("p")).alias("n")).collect()]
     assert got == ["waves", "", "a b", "", "0a" * 17, "plain name"]
+
+
+def test_rules_read_results_that_are_resolved_once(spark, sf, monkeypatch):
+    from citeweave.plans import queries_decide as qd
+
+    monkeypatch.setattr(qd.jobs, "identifier_resolution", lambda *a: spark.range(9).selectExpr("id AS doc_id", "'crossref_doi' AS source", "true AS sanity_passed"))
+    made = qd.results(spark, sf)
+    assert made.inputFiles() and all("/results-" in f for f in made.inputFiles())
+    assert {r.source for r in made.collect()} == {"crossref_doi", "crossref_search"}
