@@ -110,3 +110,11 @@ def test_rules_read_results_that_are_resolved_once(spark, sf, monkeypatch):
     made = qd.results(spark, sf)
     assert made.inputFiles() and all("/results-" in f for f in made.inputFiles())
     assert {r.source for r in made.collect()} == {"crossref_doi", "crossref_search"}
+
+
+def test_worklist_reads_texts_once(spark, sf, monkeypatch):
+    from citeweave.plans import queries_decide as qd
+
+    monkeypatch.setattr(qd.jobs, "best_of_pool", lambda *a: spark.range(9).selectExpr("id AS doc_id", "true AS sanity_passed"), raising=False)
+    monkeypatch.setattr(qd.jobs, "identifier_resolution", lambda *a: spark.range(9).selectExpr("id AS doc_id", "true AS sanity_passed"))
+    assert "regexp_extract_all" not in optimized(qd.h9(spark, sf))
