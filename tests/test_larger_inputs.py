@@ -118,3 +118,34 @@ def test_worklist_reads_texts_once(spark, sf, monkeypatch):
     monkeypatch.setattr(qd.jobs, "best_of_pool", lambda *a: spark.range(9).selectExpr("id AS doc_id", "true AS sanity_passed"), raising=False)
     monkeypatch.setattr(qd.jobs, "identifier_resolution", lambda *a: spark.range(9).selectExpr("id AS doc_id", "true AS sanity_passed"))
     assert "regexp_extract_all" not in optimized(qd.h9(spark, sf))
+
+
+def test_flags_of_titles_travel_with_candidates(spark, tmp_path):
+    """Candidates that are combined round after round are asked about their titles once; what is made of them has its title's flags and is what it is without."""
+    from citeweave.operators import candidates as cands
+
+    titles = ["On waves in water", "J Appl Phys", "We study waves at the university", "", "Waves, 2nd edition"]
+    rows = spark.createDataFrame([(k, pos, t, ["Ann Reed"], "2001", "", "", "", ("grobid", "pdfinfo")[pos], 12 + pos, []) for k, t in enumerate(titles) for pos in range(2)], CANDIDATE_ROW)
+    cands.with_synthesis_flags(rows).write.parquet(f"{tmp_path}/flagged")
+    made = cands.synthesize(spark.read.parquet(f"{tmp_path}/flagged"))
+    assert "edition|ed" not in optimized(made)
+    plain = cands.synthesize(rows)
+    assert [r.asDict() for r in made.drop("__t", "__odd").orderBy("doc_id").collect()] == [r.asDict() for r in plain.orderBy("doc_id").collect()] and len(made.columns) == len(plain.columns) + 2
+    assert made.collect() == cands.with_synthesis_flags(made.drop("__t", "__odd")).collect()
+
+
+def test_evidence_of_a_round_is_written_once(spark, monkeypatch):
+    """Matches of both kinds read what candidates say of them from one table."""
+    from citeweave.plans import phases
+
+    docs = spark.createDataFrame([(1, "/a/b.pdf", "On waves in water. doi:10.1/1", "", "")], "doc_id long, path string, text string, ident_text string, sanity_text string")
+    rows = spark.createDataFrame([(1, 1, 100000, "On waves in water", ["Ann Reed"], "", "", "", "", "pdfinfo", 15, [])], "doc_id long, stage int, pos int, title string, authors array<string>, year string, doi string, isbn string, arxiv string, source string, priority int, notes array<string>")
+    entries = spark.createDataFrame([("crossref_doi", "On waves in water", ["Ann Reed"], "", "10.1/1", "", "", "")], "source string, title string, authors array<string>, year string, doi string, isbn string, arxiv string, publisher string")
+    rounds, seen = phases.Rounds(docs, rows, entries, "safe", True), []
+    plain = phases.stash
+    monkeypatch.setattr(phases, "stash", lambda df, name: (seen.append((name, optimized(df))), plain(df, name))[1])
+    local = rounds.add(rounds.arriving(phases.LOCAL, rounds.docs), "local")
+    rounds.look_up([local])
+    judged = [plan for name, plan in seen if name == "judged"]
+    assert judged and "levenshtein" not in judged[0]  # that of titles is in the table's own plan
+    assert rounds.settled[0].count() + rounds.state.count() == 1
